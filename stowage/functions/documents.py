@@ -59,16 +59,19 @@ def attr(document: Column, path: str, type_name: str = "string", strict: bool =
     return cast_text(attr_text(document, path), type_name, strict)
 
 
+def none_if_empty(entries: Column) -> Column:
+    return F.get(F.filter(F.array(entries), lambda m: F.size(m) > 0), 0)
+
+
 def variant_object(children: Mapping[str, Column], base: Column | None = None) -> Column:
     """VARIANT object of the non-NULL children laid over an optional map; NULL when nothing is left."""
-    fields = None
+    parts = []
+    if base is not None:
+        parts.append(F.coalesce(F.transform_values(base, lambda _, v: v.cast("variant")), empty_map()))
     if children:
         entries = [x for name, value in children.items() for x in (F.lit(name), value.cast("variant"))]
-        fields = F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull())
-    if base is not None:
-        base = F.transform_values(base, lambda _, v: v.cast("variant"))
-        fields = base if fields is None else F.coalesce(overlay(base, fields), base, fields)
-    return F.when(F.size(fields) > 0, F.to_variant_object(fields))
+        parts.append(F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull()))
+    return F.to_variant_object(none_if_empty(parts[0] if len(parts) == 1 else overlay(*parts)))
 
 
 def as_map(document: Column) -> Column:
@@ -81,8 +84,8 @@ def empty_map() -> Column:
 
 
 def overlay(below: Column, above: Column) -> Column:
-    """Shallow merge of two maps; keys of ``above`` win."""
-    return F.map_concat(F.map_filter(below, lambda k, _: ~F.array_contains(F.map_keys(above), k)), above)
+    """Shallow merge of two maps; keys of ``above`` win, which the session's map key policy sees to."""
+    return F.map_concat(below, above)
 
 
 def merge_attributes(old: Column, new: Column, object_id: Column) -> Column:

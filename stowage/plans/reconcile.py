@@ -64,16 +64,19 @@ def _apply(objects, inside, listing, seen_at, complete, heads, run_id) -> DataFr
         rows = rows.join(heads.select(*KEY, F.col("attributes").alias("captured")), KEY, "left")
         captured = F.coalesce("captured", nothing)
     row_id = F.coalesce("id", new_object_id(F.col("bucket_id"), F.col("key")))
-    facts = overlay_evidence(captured, *[F.col(name) for name in EVIDENCE])
-    fresh = docs.with_core(facts, row_id, format_rfc3339_nano(stamp))
     written = F.col("action").isin("import", "refresh")
+    # Documents are built in steps, each a column of its own, so that no step is computed twice.
+    rows = rows.withColumn("facts", F.when(written, overlay_evidence(captured, *[F.col(n) for n in EVIDENCE])))
+    seen = format_rfc3339_nano(stamp)
+    rows = rows.withColumn("fresh", F.when(written, docs.with_core(F.col("facts"), row_id, seen)))
+    merged = docs.merge_attributes(F.col("old_attributes"), F.col("fresh"), row_id)
     old_provenance = F.coalesce("old_attribute_provenance", F.create_map().cast("map<string,string>"))
     provenance = docs.overlay(old_provenance, F.create_map(F.lit("upstream"), F.lit(run_id)))
     snapshot = rows.select(
         row_id.alias("id"),
         *KEY,
-        F.when(F.col("action") == "import", fresh)
-        .when(F.col("action") == "refresh", docs.merge_attributes(F.col("old_attributes"), fresh, row_id))
+        F.when(F.col("action") == "import", F.col("fresh"))
+        .when(F.col("action") == "refresh", merged)
         .otherwise(F.col("old_attributes"))
         .alias("attributes"),
         F.when(written, provenance).otherwise(F.col("old_attribute_provenance")).alias("attribute_provenance"),

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A split hot key is worth one more exchange after the join.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Merging two maps keeps the entries of the second.
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # Bucket ids that look like numbers must stay strings.
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
 }

@@ -1,0 +1,13 @@
+"""The jobs run over the test tables."""
+
+from __future__ import annotations
+
+import importlib
+
+MODULES = ("search_queries", "catalog_queries")
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    for name in MODULES:
+        importlib.import_module(f"workloads.{name}")
