@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,8 +21,15 @@ from stowage.schema import OBJECT_COLUMNS, PROMOTED
 @dataclass(frozen=True)
 class Reconciled:
     plan: DataFrame
-    counts: DataFrame
-    snapshot: DataFrame
+    build: Callable[[], DataFrame]
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return plan_counts(self.plan)
+
+    @cached_property
+    def snapshot(self) -> DataFrame:
+        return self.build()
 
 
 def _scope(bucket_id: str, prefix: str, partition: tuple[int, int] | None) -> Column:
@@ -47,8 +56,7 @@ def reconcile(
     inside = _scope(bucket_id, prefix, partition)
     scoped, listed = objects.where(inside), listing.where(inside)
     plan = plan_mutations(listed, scoped, complete)
-    snapshot = _apply(objects, inside, listed, seen_at, complete, heads, run_id)
-    return Reconciled(plan, plan_counts(plan), snapshot)
+    return Reconciled(plan, lambda: _apply(objects, inside, listed, seen_at, complete, heads, run_id))
 
 
 def _apply(objects, inside, listing, seen_at, complete, heads, run_id) -> DataFrame:

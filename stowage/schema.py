@@ -95,6 +95,10 @@ STORED_EVENT = T.StructType(
     ]
 )
 
+# The inbox as it is stored: one folder per micro-batch.
+INGEST = "ingest_batch"
+INBOX = T.StructType([*STORED_EVENT.fields, T.StructField(INGEST, LONG)])
+
 JOB_RUN = T.StructType(
     [
         T.StructField("id", STRING),

@@ -69,7 +69,8 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
 def read_listing(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per listed object of every good page."""
-    return parse_pages(pages).where("error IS NULL").select(*keep, F.inline("objects"))
+    # The outer form keeps Spark from inferring a filter on the array and repeating the parse inside it.
+    return parse_pages(pages).select(*keep, F.inline_outer("objects")).where("key IS NOT NULL")
 
 
 def listing_complete(pages: DataFrame, by: tuple[str, ...] = ("bucket_id",)) -> DataFrame:

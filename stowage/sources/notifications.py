@@ -114,9 +114,7 @@ def _s3_record(record: Column, legacy: bool) -> Column:
     )
 
 
-def _eventbridge(value: Column) -> Column:
-    name = F.try_variant_get(value, '$["detail-type"]', "string")
-    body = F.try_variant_get(value, "$", EVENTBRIDGE)
+def _eventbridge(name: Column, body: Column) -> Column:
     stored = body["detail"]["object"]
     return _event(
         F.when(body.isNull(), "envelope is malformed").otherwise(_time_error(body["time"])),
@@ -148,12 +146,10 @@ def _b2_event(item: Column) -> Column:
     )
 
 
-def _pubsub(value: Column) -> Column:
-    message = F.try_variant_get(value, "$.message", PUBSUB)
+def _pubsub(message: Column, payload: Column) -> Column:
     values = message["attributes"]
     name, time = values["eventType"], values["eventTime"]
     encoded = F.trim(_text(message["data"]))
-    payload = F.try_parse_json(F.try_to_binary(F.when(encoded != "", encoded), F.lit("base64")).cast("string"))
     size = _text(F.try_variant_get(payload, "$.size", "string"))
     error = F.when(event_action(name) == "ignore", F.lit(None)).otherwise(
         F.coalesce(
@@ -177,8 +173,7 @@ def _pubsub(value: Column) -> Column:
     )
 
 
-def _r2(value: Column) -> Column:
-    body = F.try_variant_get(value, "$", R2)
+def _r2(body: Column) -> Column:
     action = event_action(body["action"])
     skipped = (_text(body["object"]["key"]) == "") | (action == "ignore")
     error = F.when(body.isNull(), "envelope is malformed").when(~skipped, _time_error(body["eventTime"]))
@@ -199,53 +194,86 @@ def parse_notifications(df: DataFrame, body: str = "body") -> DataFrame:
     """``df`` with ``format``, ``events`` (array of normalized events) and ``error``.
 
     Events without a key, or whose name means neither an import nor a removal, are left out. One bad event makes its
-    whole notification bad, so that it can be looked at and sent again.
+    whole notification bad, so that it can be looked at and sent again. Of ``events`` and ``error`` one is NULL.
+
+    Each step is a column of its own, and a body is read only as the envelope it is. Pick rows with :func:`accepted` and
+    :func:`rejects`: a filter on these columns would be pushed below the steps and repeat them all inside it.
     """
     staged = df.withColumn("_text", _unwrap(F.col(body)))
     staged = staged.withColumns({"_value": F.try_parse_json("_text"), "_keys": F.json_object_keys("_text")})
     staged = staged.withColumn("format", envelope_format(F.col("_keys")))
     value, kind = F.col("_value"), F.col("format")
 
-    def many(path: str, schema: str, build) -> Column:
-        items = F.try_variant_get(value, path, schema)
-        broken = items.isNull() & F.try_variant_get(value, path, "variant").isNotNull() & (
-            F.schema_of_variant(F.try_variant_get(value, path, "variant")) != "VOID"
-        )
-        bad = F.array(_event(F.lit("envelope is malformed"), event_time=F.lit(None).cast("timestamp")))
-        return F.when(broken, bad).otherwise(F.transform(items, build))
+    def read(name: str, path: str, schema: str) -> Column:
+        return F.when(kind == name, F.try_variant_get(value, path, schema))
+
+    staged = staged.withColumns(
+        {
+            "_records": F.coalesce(read("s3", "$.Records", RECORDS), read("rustfs", "$.records", RECORDS)),
+            "_list": F.coalesce(
+                read("s3", "$.Records", "variant"), read("rustfs", "$.records", "variant"), read("b2", "$.events", "variant")
+            ),
+            "_b2": read("b2", "$.events", B2_EVENTS),
+            "_bridge": read("eventbridge", "$", EVENTBRIDGE),
+            "_bridge_name": read("eventbridge", '$["detail-type"]', "string"),
+            "_message": read("gcp", "$.message", PUBSUB),
+            "_r2": read("r2", "$", R2),
+            "_topic": read("sns", "$.Type", "string"),
+        }
+    )
+    data = F.trim("_message.data")
+    decoded = F.try_to_binary(F.when(data != "", data), F.lit("base64")).cast("string")
+    staged = staged.withColumn("_payload", F.try_parse_json(decoded))
 
     events = (
-        F.when(kind == "s3", many("$.Records", RECORDS, lambda r: _s3_record(r, False)))
-        .when(kind == "rustfs", many("$.records", RECORDS, lambda r: _s3_record(r, True)))
-        .when(kind == "b2", many("$.events", B2_EVENTS, _b2_event))
-        .when(kind == "eventbridge", F.array(_eventbridge(value)))
-        .when(kind == "gcp", F.array(_pubsub(value)))
-        .when(kind == "r2", F.array(_r2(value)))
+        F.when(kind == "s3", F.transform("_records", lambda r: _s3_record(r, False)))
+        .when(kind == "rustfs", F.transform("_records", lambda r: _s3_record(r, True)))
+        .when(kind == "b2", F.transform("_b2", _b2_event))
+        .when(kind == "eventbridge", F.array(_eventbridge(F.col("_bridge_name"), F.col("_bridge"))))
+        .when(kind == "gcp", F.array(_pubsub(F.col("_message"), F.col("_payload"))))
+        .when(kind == "r2", F.array(_r2(F.col("_r2"))))
+    )
+    topic = F.col("_topic")
+    quiet = F.coalesce(topic.isin("SubscriptionConfirmation", "UnsubscribeConfirmation"), F.lit(False))
+    # A list that is there but does not have the shape it should; a JSON null counts as an empty list.
+    misshapen = (
+        F.coalesce(F.size("_records"), F.size("_b2")).isNull()
+        & F.col("_list").isNotNull()
+        & (F.schema_of_variant("_list") != "VOID")
     )
-    topic = F.try_variant_get(value, "$.Type", "string")
-    quiet = topic.isin("SubscriptionConfirmation", "UnsubscribeConfirmation")
     unread = (
         F.when(F.col(body).isNull() | value.isNull() | F.col("_keys").isNull(), "body is not a JSON object")
         .when(kind.isNull(), "unsupported format")
         .when((kind == "sns") & (topic == "Notification"), "topic message is empty")
-        .when((kind == "sns") & ~F.coalesce(quiet, F.lit(False)), "unsupported topic message type")
+        .when((kind == "sns") & ~quiet, "unsupported topic message type")
+        .when(misshapen, "envelope is malformed")
     )
-    staged = staged.withColumn("_events", events).withColumn("_unread", unread)
+    staged = staged.withColumns({"_events": events, "_unread": unread})
     first_error = F.get(F.filter(F.transform("_events", lambda e: e["error"]), lambda e: e.isNotNull()), 0)
+    staged = staged.withColumn("error", F.coalesce("_unread", first_error))
     kept = F.filter("_events", lambda e: (e["key"] != "") & (e["action"] != "ignore"))
     bare = F.transform(kept, lambda e: F.struct(*[e[n].alias(n) for n in NORMALIZED_EVENT.fieldNames()]))
-    error = F.coalesce("_unread", first_error)
-    return staged.withColumns(
-        {"error": error, "events": F.when(error.isNull(), F.coalesce(bare, F.array().cast(f"array<{NORMALIZED_EVENT.simpleString()}>")))}
-    ).drop("_text", "_value", "_keys", "_events", "_unread")
+    none = F.array().cast(f"array<{NORMALIZED_EVENT.simpleString()}>")
+    staged = staged.withColumn("events", F.when(F.col("error").isNull(), F.coalesce(bare, none)))
+    return staged.drop(*[c for c in staged.columns if c.startswith("_") and c not in df.columns])
+
+
+def accepted(parsed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The events of parsed notifications. The outer form keeps Spark from inferring a filter on the array."""
+    return parsed.select(*keep, F.inline_outer("events")).where("key IS NOT NULL")
+
+
+def rejects(parsed: DataFrame) -> DataFrame:
+    """The parsed notifications that have an error."""
+    rest = [c for c in parsed.columns if c != "error"]
+    return parsed.select(*rest, F.explode_outer(F.array("error")).alias("error")).where("error IS NOT NULL")
 
 
 def normalize_notifications(df: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per event of every readable notification."""
-    parsed = parse_notifications(df, body).where("error IS NULL")
-    return parsed.select(*keep, F.inline("events"))
+    return accepted(parse_notifications(df, body), keep)
 
 
 def rejected_notifications(df: DataFrame, body: str = "body") -> DataFrame:
     """The notifications that could not be read, with the reason."""
-    return parse_notifications(df, body).where("error IS NOT NULL").drop("events", "format")
+    return rejects(parse_notifications(df, body)).drop("events", "format")

@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stowage.operators.events import BATCH_SIZE, batch_mutations, coalesce_mutations, event_outcomes, resolve_events
-from stowage.schema import STORED_EVENT
-from stowage.streaming.ingest import INGEST
+from stowage.schema import INBOX, STORED_EVENT
 
 APPLY = "apply_batch"
 
 
 def inbox_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """The inbox as a stream of its files, oldest first."""
-    reader = spark.readStream.schema(STORED_EVENT.add(INGEST, "long"))
+    reader = spark.readStream.schema(INBOX)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(path)

@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stowage.operators.events import append_events, to_stored
-from stowage.schema import NORMALIZED_EVENT, STORED_EVENT
-from stowage.sources.notifications import parse_notifications
-
-INGEST = "ingest_batch"
+from stowage.schema import INBOX, INGEST, STORED_EVENT
+from stowage.sources.notifications import accepted, parse_notifications, rejects
 
 
 def create_inbox(spark: SparkSession, path: str) -> None:
@@ -19,7 +17,7 @@ def create_inbox(spark: SparkSession, path: str) -> None:
 
 
 def read_inbox(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STORED_EVENT.add(INGEST, "long")).parquet(path)
+    return spark.read.schema(INBOX).parquet(path)
 
 
 def dedupe_batch(batch: DataFrame, stored: DataFrame) -> DataFrame:
@@ -35,14 +33,13 @@ def store_batch(batch: DataFrame, batch_id: int, inbox: str, rejected: str, tran
     spark = batch.sparkSession
     parsed = parse_notifications(batch).persist()
     try:
-        event = F.inline("events").alias(*NORMALIZED_EVENT.fieldNames())
-        events = parsed.where("error IS NULL").select("bucket_id", "received_at", event)
+        events = accepted(parsed, ("bucket_id", "received_at"))
         earlier = read_inbox(spark, inbox).where(F.col(INGEST) != batch_id)
         fresh = dedupe_batch(to_stored(events, transport), earlier)
         # Bloom filters let the lookup of later batches skip row groups.
         writer = fresh.write.mode("overwrite").option("parquet.bloom.filter.enabled#dedupe_key", "true")
         writer.parquet(f"{inbox}/{INGEST}={batch_id}")
-        bad = parsed.where("error IS NOT NULL").select("bucket_id", "received_at", "body", "error")
+        bad = rejects(parsed).select("bucket_id", "received_at", "body", "error")
         bad.write.mode("overwrite").parquet(f"{rejected}/{INGEST}={batch_id}")
     finally:
         parsed.unpersist()

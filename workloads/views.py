@@ -155,8 +155,13 @@ def _event_name() -> Column:
     return chain
 
 
-def _event_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events")
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of its files."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _event_columns(rows: DataFrame) -> DataFrame:
     return rows.select(
         "event_id",
         F.concat(F.lit("src"), F.pmod("user_id", F.lit(20)).cast("string")).alias("bucket_id"),
@@ -167,12 +172,12 @@ def _event_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def upstream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def upstream_events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """The inbox: every event pending, with its dedupe key."""
     from stowage.functions.hashing import dedupe_key
     from stowage.schema import STORED_EVENT
 
-    rows = _event_columns(spark, sf_dir)
+    rows = _event_columns(event_stream(spark, sf_dir) if stream else table(spark, sf_dir, "events"))
     key = dedupe_key(*[F.col(c) for c in ("bucket_id", "event_name", "object_key")], F.lit(""), F.col("received_at"))
     columns = {
         "id": F.concat(F.lit("upevt_"), F.lpad(F.col("event_id").cast("string"), 10, "0")),
@@ -187,9 +192,10 @@ def upstream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*[columns.get(n, F.col(n)).alias(n) for n in STORED_EVENT.fieldNames()])
 
 
-def raw_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_notifications(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Every event as the JSON body one of seven providers would send, chosen by the event's number."""
-    rows = _event_columns(spark, sf_dir).withColumn("size", F.floor(F.col("value") * 100).cast("bigint"))
+    rows = _event_columns(event_stream(spark, sf_dir) if stream else table(spark, sf_dir, "events"))
+    rows = rows.withColumn("size", F.floor(F.col("value") * 100).cast("bigint"))
     time = F.date_format("received_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     size_text = F.col("size").cast("string")
     record = F.struct(
