@@ -173,10 +173,11 @@ def infer_type(value: Column) -> Column:
 
 
 def widen_pair(existing: Column, incoming: Column) -> Column:
-    """The type that holds both, or 'conflict'."""
+    """The type that holds both, or 'conflict'; a side that is NULL gives way to the other."""
     numeric = ("integer", "float")
     return (
-        F.when(existing == incoming, existing)
+        F.when(existing.isNull(), incoming)
+        .when(incoming.isNull() | (existing == incoming), existing)
         .when(existing == "unknown", incoming)
         .when(incoming == "unknown", existing)
         .when(existing.isin(*numeric) & incoming.isin(*numeric), "float")
