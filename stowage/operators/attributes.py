@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stowage.functions import documents as docs
-from stowage.schema import BUILTIN_ATTRIBUTES, REGISTERED_ATTRIBUTES, CATALOG_ENTRY
+from stowage.schema import BUILTIN_ATTRIBUTES, CATALOG_ENTRY, REGISTERED_ATTRIBUTES
+from stowage.session import cut_lineage
 
 USER_NAMESPACE = "user"
 LEAF_TYPES = ("string", "integer", "float", "boolean", "timestamp")
@@ -166,7 +167,8 @@ def mutate_attributes(
     if one is. Sets go before deletes; a delete also drops the parents it leaves empty. Only edited documents are taken
     apart, by joining in rows, and put together again with one shuffle by object.
     """
-    checked = edit_errors(edits, catalog, namespace)
+    # The edits, and later the rows of the edited documents, are written once: several steps read them.
+    checked = cut_lineage(edit_errors(edits, catalog, namespace))
     bad = checked.where("error IS NOT NULL").select("id").distinct()
     rejected = checked.join(bad, "id", "left_semi")
     good = checked.join(bad, "id", "left_anti").withColumn("steps", F.filter(F.split("path", r"\."), lambda s: s != ""))
@@ -188,8 +190,10 @@ def mutate_attributes(
     ).select("id", F.concat("steps", "segments").alias("segments"), "value")
     after_sets = survivors.unionByName(written)
     emptied = docs.is_object(F.col("value")) & _starts("_cut", "segments")
-    remaining = after_sets.join(
-        deletes, (after_sets["id"] == deletes["id"]) & (_starts("segments", "_cut") | emptied), "left_anti"
+    remaining = cut_lineage(
+        after_sets.join(
+            deletes, (after_sets["id"] == deletes["id"]) & (_starts("segments", "_cut") | emptied), "left_anti"
+        )
     )
     longest = remaining.agg(F.max(F.size("segments")).alias("n")).first().n or 1
     entries = F.collect_list(F.struct("segments", "value"))

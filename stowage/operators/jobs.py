@@ -149,22 +149,12 @@ def _root_counts() -> list[Column]:
 def trace_summary(jobs: DataFrame, now: datetime) -> DataFrame:
     """One row per trace that has a root: state, batches, applied, listed and planned counts, seconds since progress.
 
-    Root values ride along in the same aggregation, so all traces cost a single shuffle.
+    All counts are numbers, so they are hash-aggregated before the shuffle; the roots join on the same key.
     """
-    root_values = F.struct("updated_at", *_root_counts())
-    summary = jobs.groupBy("trace_id").agg(
-        _trace_state().alias("state"),
-        *_batch_columns(),
-        *_applied_columns(),
-        F.max(F.when(is_root(), root_values)).alias("root"),
-    )
-    rows = summary.where(F.col("root").isNotNull())
-    stale = F.unix_seconds(literal(now).column) - F.unix_seconds("root.updated_at")
-    counts = [c for c in summary.columns if c not in ("trace_id", "state", "root")]
-    planned = [f"root.{k}_planned" for k in BATCHES]
-    return rows.select(
-        "trace_id", "state", *counts, "root.phase", "root.objects_listed", *planned, stale.alias("stale_seconds")
-    )
+    summary = jobs.groupBy("trace_id").agg(_trace_state().alias("state"), *_batch_columns(), *_applied_columns())
+    stale = F.unix_seconds(literal(now).column) - F.unix_seconds("updated_at")
+    roots = jobs.where(is_root()).select("trace_id", *_root_counts(), stale.alias("stale_seconds"))
+    return summary.join(roots, "trace_id")
 
 
 def trace_phase(summary: DataFrame) -> DataFrame:

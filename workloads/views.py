@@ -252,10 +252,10 @@ def raw_notifications(spark: SparkSession, sf_dir: str, stream: bool = False) ->
             ).alias("message")
         )
     )
-    bodies = F.array(aws, sns, wrapped, bridge, b2, gcp, rustfs)
-    return rows.select(
-        "event_id", "bucket_id", "received_at", F.get(bodies, F.pmod("event_id", F.lit(7)).cast("int")).alias("body")
-    )
+    kind, body = F.pmod("event_id", F.lit(7)), F.when(F.lit(False), "")
+    for number, envelope in enumerate((aws, sns, wrapped, bridge, b2, gcp, rustfs)):
+        body = body.when(kind == number, envelope)
+    return rows.select("event_id", "bucket_id", "received_at", body.alias("body"))
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,8 +306,8 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("pending")
     )
     counter = {"A": "objects_imported", "N": "objects_refreshed", "R": "objects_deleted"}
-    counted = F.create_map(
-        *[x for f, name in counter.items() for x in (F.lit(name), F.when(flag == f, quantity.cast("string")).otherwise(""))]
+    counted = F.struct(
+        *[F.when(flag == f, quantity.cast("string")).otherwise("").alias(name) for f, name in counter.items()]
     )
     batch = F.transform(F.sequence(F.lit(1), F.col("l_linenumber")), lambda n: F.struct(n.cast("string").alias("key")))
     shipped = F.col("l_shipdate").cast("timestamp")
