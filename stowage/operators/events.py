@@ -45,15 +45,23 @@ def first_per_key(incoming: DataFrame) -> DataFrame:
     return grouped.select("dedupe_key", "_row.*", "copies")
 
 
-def _stored_among(keys: DataFrame, stored: DataFrame) -> DataFrame:
-    """The keys that are stored already. The store is read for this one column and matched against the few new keys."""
-    return stored.select("dedupe_key").join(keys.select("dedupe_key"), "dedupe_key", "left_semi").distinct()
+def _stored_among(keys: DataFrame, stored: DataFrame, few: bool = False) -> DataFrame:
+    """The keys that are stored already. The store is read for this one column and matched against the new keys."""
+    wanted = keys.select("dedupe_key")
+    return stored.select("dedupe_key").join(F.broadcast(wanted) if few else wanted, "dedupe_key", "left_semi").distinct()
+
+
+def unseen(stored: DataFrame, unique: DataFrame, few: bool = False) -> DataFrame:
+    """The rows of ``unique``, one per dedupe key, whose key is not stored.
+
+    ``few`` says that the caller has counted the rows and there are few enough to broadcast, so that the store stays put.
+    """
+    return unique.join(_stored_among(unique, stored, few), "dedupe_key", "left_anti")
 
 
 def append_events(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """The incoming events to add: each dedupe key once, and only if it is not stored yet."""
-    unique = first_per_key(incoming)
-    return unique.join(_stored_among(unique, stored), "dedupe_key", "left_anti").select(*incoming.columns)
+    return unseen(stored, first_per_key(incoming)).select(*incoming.columns)
 
 
 def ingest_counts(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -136,10 +144,10 @@ def mutation_events(resolved: DataFrame) -> DataFrame:
     )
 
 
-def batch_mutations(mutations: DataFrame, size: int = BATCH_SIZE, slice_unit: str = "hour") -> DataFrame:
+def batch_mutations(mutations: DataFrame, size: int = BATCH_SIZE, slice_unit: str = "minute") -> DataFrame:
     """Mutations with ``batch_no`` and ``position``: batches of ``size`` per (bucket, job type), by first appearance.
 
-    A busy bucket is numbered hour by hour, so no task sorts the whole of it.
+    A busy bucket is numbered minute by minute, so no task sorts the whole of it.
     """
     if size <= 0:
         raise ValueError("the batch size must be greater than zero")

@@ -34,14 +34,24 @@ def should_sample(partition: Column, rate: Column, day: date | datetime) -> Colu
     return F.when(rate >= 1, True).when(rate <= 0, False).otherwise(drawn < F.floor(rate * RATE_STEPS))
 
 
+def sampled(partition: Column, count: Column, day: date | datetime) -> Column:
+    """Whether a partition of a scope is checked that day. Scopes below the medium size are checked whole."""
+    return (count < MEDIUM_SCOPE) | should_sample(partition, sample_rate(count), day)
+
+
+def sampled_total(count: Column, day: date | datetime, partitions: int = DEFAULT_PARTITIONS) -> Column:
+    """How many partitions of a scope are checked that day, empty ones included."""
+    every = F.sequence(F.lit(0), F.lit(partitions - 1))
+    return F.size(F.filter(every, lambda i: sampled(partition_id(i, partitions), count, day))).cast("bigint")
+
+
 def sample_partitions(
     scopes: DataFrame, day: date | datetime, partitions: int = DEFAULT_PARTITIONS, count: str = "object_count"
 ) -> DataFrame:
-    """The partitions to check for every scope row. Scopes below the medium size are checked whole."""
+    """The partitions to check, one row each, for every scope row."""
     index = F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))).alias("partition_index")
     rows = scopes.select("*", index).withColumn("partition_id", partition_id(F.col("partition_index"), partitions))
-    whole = F.col(count) < MEDIUM_SCOPE
-    return rows.where(whole | should_sample(F.col("partition_id"), sample_rate(F.col(count)), day))
+    return rows.where(sampled(F.col("partition_id"), F.col(count), day))
 
 
 def fingerprints(
@@ -56,6 +66,34 @@ def fingerprints(
     )
 
 
+def drift() -> Column:
+    """Where two fingerprints part: first the count is compared, then the bytes; '' where they agree."""
+    return (
+        F.when(F.col("local_count") != F.col("upstream_count"), "count")
+        .when(F.col("local_bytes") != F.col("upstream_bytes"), "bytes")
+        .otherwise("")
+    )
+
+
+def paired_fingerprints(
+    local: DataFrame, upstream: DataFrame, partitions: int = DEFAULT_PARTITIONS, by: Sequence[str] = ()
+) -> DataFrame:
+    """Fingerprints of both sides and their drift in one aggregation over the rows of both, without a join."""
+    sides = {"local": local, "upstream": upstream}
+    tagged = [
+        side.select(*by, "key", F.coalesce("size", F.lit(0)).alias("size"), F.lit(name).alias("_side"))
+        for name, side in sides.items()
+    ]
+    index = partition_index(F.col("key"), partitions).alias("partition_index")
+    sums = []
+    for name in sides:
+        mine = F.col("_side") == name
+        sums.append(F.count_if(mine).alias(f"{name}_count"))
+        sums.append(F.sum(F.when(mine, F.col("size")).otherwise(0)).alias(f"{name}_bytes"))
+    rows = tagged[0].unionByName(tagged[1]).select(*by, index, "size", "_side")
+    return rows.groupBy(*by, "partition_index").agg(*sums).withColumn("drift_at", drift())
+
+
 def compare_fingerprints(local: DataFrame, upstream: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Both sides per partition, and where they drift apart: first the count is compared, then the bytes."""
     keys = [*by, "partition_index"]
@@ -65,9 +103,4 @@ def compare_fingerprints(local: DataFrame, upstream: DataFrame, by: Sequence[str
     ]
     filled = {f"{n}_{m}": F.coalesce(f"{n}_{m}", F.lit(0)) for n in ("local", "upstream") for m in ("count", "bytes")}
     joined = sides[0].join(sides[1], keys, "full").withColumns(filled)
-    drift = (
-        F.when(F.col("local_count") != F.col("upstream_count"), "count")
-        .when(F.col("local_bytes") != F.col("upstream_bytes"), "bytes")
-        .otherwise("")
-    )
-    return joined.where("local_count > 0 OR upstream_count > 0").withColumn("drift_at", drift)
+    return joined.where("local_count > 0 OR upstream_count > 0").withColumn("drift_at", drift())

@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stowage.functions.evidence import evidence
-from stowage.functions.hashing import DEFAULT_PARTITIONS, partition_index
-from stowage.operators.fingerprints import compare_fingerprints, fingerprints, sample_partitions
+from stowage.functions.hashing import DEFAULT_PARTITIONS, partition_id, partition_index
+from stowage.operators.fingerprints import paired_fingerprints, sampled, sampled_total
 
 BUCKET = ["bucket_id"]
 
@@ -33,22 +33,22 @@ def verify(
     ``partitions`` reports each checked partition, ``buckets`` the status: healthy, needs_sync, or none where the
     listing was cut, by the caller or because a bucket lists more than ``max_listed`` objects.
     """
-    local_rows = objects.select(*BUCKET, "key", evidence(objects)["size"].alias("size"))
-    local = fingerprints(local_rows, partitions, BUCKET)
-    upstream = fingerprints(listing, partitions, BUCKET)
-    compared = compare_fingerprints(local, upstream, BUCKET)
-    # Bucket totals come from the fingerprints, so neither side is read twice for them.
-    totals = compared.groupBy(*BUCKET).agg(
-        F.sum("local_count").alias("object_count"), F.sum("upstream_count").alias("objects_listed")
-    )
+    local = objects.select(*BUCKET, "key", evidence(objects)["size"].alias("size"))
+    compared = paired_fingerprints(local, listing, partitions, BUCKET)
+    # A bucket has at most one row per partition here, so its totals are a small window and no second pass.
+    bucket = Window.partitionBy(*BUCKET)
     finished = F.lit(complete)
     if max_listed is not None:
         finished = finished & (F.col("objects_listed") <= max_listed)
-    sampled = sample_partitions(totals.withColumn("listing_complete", finished), day, partitions)
-    checked = sampled.join(compared, [*BUCKET, "partition_index"], "left")
-    scanned = F.col("drift_at").isNotNull()
-    mismatch = scanned & F.col("listing_complete") & (F.col("drift_at") != "")
-    report = checked.where(scanned).select(
+    label = partition_id(F.col("partition_index"), partitions)
+    compared = (
+        compared.withColumn("object_count", F.sum("local_count").over(bucket))
+        .withColumn("objects_listed", F.sum("upstream_count").over(bucket))
+        .withColumn("listing_complete", finished)
+        .withColumn("partition_id", label)
+        .withColumn("scanned", sampled(F.col("partition_id"), F.col("object_count"), day))
+    )
+    report = compared.where("scanned").select(
         *BUCKET,
         "partition_id",
         "partition_index",
@@ -58,13 +58,12 @@ def verify(
         "upstream_bytes",
         F.when(F.col("listing_complete"), F.col("drift_at")).alias("drift_at"),
     )
-    mismatches = F.col("partitions_mismatched")
-    buckets = checked.groupBy(*BUCKET, "object_count", "objects_listed", "listing_complete").agg(
-        F.count(F.lit(1)).alias("partitions_sampled"),
-        F.count_if(scanned).alias("partitions_scanned"),
-        F.count_if(mismatch).alias("partitions_mismatched"),
+    mismatch = F.col("scanned") & F.col("listing_complete") & (F.col("drift_at") != "")
+    totals = compared.groupBy(*BUCKET, "object_count", "objects_listed", "listing_complete").agg(
+        F.count_if("scanned").alias("partitions_scanned"), F.count_if(mismatch).alias("partitions_mismatched")
     )
-    status = F.when(mismatches > 0, "needs_sync").when(F.col("listing_complete"), "healthy")
+    buckets = totals.withColumn("partitions_sampled", sampled_total(F.col("object_count"), day, partitions))
+    status = F.when(F.col("partitions_mismatched") > 0, "needs_sync").when(F.col("listing_complete"), "healthy")
     return Verified(report, buckets.withColumn("status", status))
 
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stowage.operators.events import append_events, to_stored
+from stowage.operators.events import append_events, first_per_key, to_stored, unseen
 from stowage.schema import INBOX, INGEST, STORED_EVENT
 from stowage.sources.notifications import accepted, parse_notifications, rejects
 
+# Keys of a micro-batch up to this number are broadcast; at some hundred bytes each that is tens of megabytes.
+FEW_KEYS = 200_000
+
 
 def create_inbox(spark: SparkSession, path: str) -> None:
     """An empty inbox table, so that readers find it before the first batch."""
@@ -28,20 +31,21 @@ def dedupe_batch(batch: DataFrame, stored: DataFrame) -> DataFrame:
 def store_batch(batch: DataFrame, batch_id: int, inbox: str, rejected: str, transport: str = "stream") -> None:
     """Parse, dedupe and store one micro-batch of (bucket_id, body, received_at).
 
-    A batch owns one folder and replaces it whole, so a batch that is run again leaves the same rows.
+    A batch owns one folder and replaces it whole, so a batch that is run again leaves the same rows. The new keys are
+    counted: a usual batch has few and is broadcast to the store's files, a larger one joins by shuffle.
     """
-    spark = batch.sparkSession
     parsed = parse_notifications(batch).persist()
+    unique = first_per_key(to_stored(accepted(parsed, ("bucket_id", "received_at")), transport)).persist()
     try:
-        events = accepted(parsed, ("bucket_id", "received_at"))
-        earlier = read_inbox(spark, inbox).where(F.col(INGEST) != batch_id)
-        fresh = dedupe_batch(to_stored(events, transport), earlier)
+        earlier = read_inbox(batch.sparkSession, inbox).where(F.col(INGEST) != batch_id)
+        fresh = unseen(earlier, unique, few=unique.count() <= FEW_KEYS).select(*STORED_EVENT.fieldNames())
         # Bloom filters let the lookup of later batches skip row groups.
         writer = fresh.write.mode("overwrite").option("parquet.bloom.filter.enabled#dedupe_key", "true")
         writer.parquet(f"{inbox}/{INGEST}={batch_id}")
         bad = rejects(parsed).select("bucket_id", "received_at", "body", "error")
         bad.write.mode("overwrite").parquet(f"{rejected}/{INGEST}={batch_id}")
     finally:
+        unique.unpersist()
         parsed.unpersist()
 
 
