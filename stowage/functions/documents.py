@@ -155,9 +155,12 @@ def is_object(value: Column) -> Column:
     return F.schema_of_variant(value).startswith("OBJECT<")
 
 
-def infer_type(value: Column) -> Column:
-    """Catalog type of a leaf; NULL for a JSON null. A whole number is an integer however it is written."""
-    kind = F.schema_of_variant(value)
+def infer_type(value: Column, kind: Column | None = None) -> Column:
+    """Catalog type of a leaf; NULL for a JSON null. A whole number is an integer however it is written.
+
+    ``kind`` is the value's own schema where the caller has it as a column already.
+    """
+    kind = F.schema_of_variant(value) if kind is None else kind
     text = F.try_variant_get(value, "$", "string")
     number = F.try_variant_get(value, "$", "double")
     numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 # Parts of a lower-cased event name that mean an object appeared or vanished.
@@ -24,10 +22,6 @@ CATEGORIES = ("created", "removed", "metadata_changed", "other")
 IMPORT_JOB, REFRESH_JOB, REMOVE_JOB = "import_objects", "refresh_objects", "remove_objects"
 
 
-def _any(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 def _is_created(name: Column) -> Column:
     return name.startswith("ObjectCreated:") | name.startswith("s3:ObjectCreated:")
 
@@ -40,14 +34,14 @@ def _is_metadata(name: Column) -> Column:
     return name.contains("Tagging") | name.startswith("ObjectAcl:")
 
 
+def _names_any(name: Column, tokens: tuple[str, ...]) -> Column:
+    """Whether the name contains one of the tokens in any case; one pattern, so the name is walked once."""
+    return F.coalesce(name.rlike("(?i)" + "|".join(tokens)), F.lit(False))
+
+
 def event_action(name: Column) -> Column:
     """import, remove or ignore, whatever the provider's spelling."""
-    lowered = F.lower(F.coalesce(name, F.lit("")))
-    return (
-        F.when(_any(lowered.contains(t) for t in IMPORT_TOKENS), "import")
-        .when(_any(lowered.contains(t) for t in REMOVE_TOKENS), "remove")
-        .otherwise("ignore")
-    )
+    return F.when(_names_any(name, IMPORT_TOKENS), "import").when(_names_any(name, REMOVE_TOKENS), "remove").otherwise("ignore")
 
 
 def event_category(name: Column) -> Column:

@@ -15,8 +15,12 @@ LEAF_TYPES = ("string", "integer", "float", "boolean", "timestamp")
 
 
 def document_depth(documents: DataFrame, column: str = "attributes") -> int:
-    """Levels of nesting in the deepest document: one number from one pass over the documents."""
-    schema = F.schema_of_variant(F.col(column))
+    """Levels of nesting in the deepest document: one number from one pass over the documents.
+
+    Documents of the same shape are made one before the shuffle, and only shapes are measured.
+    """
+    shapes = documents.select(F.schema_of_variant(F.col(column)).alias("shape")).distinct()
+    schema = F.col("shape")
     # Only structure matters: quoted names are cut out before brackets are counted.
     marks = F.split(F.regexp_replace(F.regexp_replace(schema, "`[^`]*`", ""), "[^<>]", ""), "")
     walked = F.aggregate(
@@ -28,7 +32,7 @@ def document_depth(documents: DataFrame, column: str = "attributes") -> int:
         ),
         lambda s: s["top"],
     )
-    return documents.agg(F.max(walked).alias("depth")).first().depth or 0
+    return shapes.agg(F.max(walked).alias("depth")).first().depth or 0
 
 
 def flatten(
@@ -66,11 +70,14 @@ def observe_attributes(documents: DataFrame, column: str = "attributes", depth:
 
     Paths are few, so types are folded into flags before the shuffle; each path then moves as one row per task.
     """
-    leaves = flatten(documents, column, depth=depth).select(
-        F.array_join("segments", ".").alias("path"), docs.infer_type(F.col("value")).alias("leaf_type")
+    leaves = (
+        flatten(documents, column, depth=depth)
+        .select(F.array_join("segments", ".").alias("path"), "value", F.schema_of_variant("value").alias("kind"))
+        .select("path", docs.infer_type(F.col("value"), F.col("kind")).alias("leaf_type"))
     )
+    # A leaf of no known type leaves every flag NULL; asking for one flag afterwards keeps the typing in one place.
     flags = [F.max(F.col("leaf_type") == t).alias(f"_{t}") for t in LEAF_TYPES]
-    folded = leaves.where("leaf_type IS NOT NULL").groupBy("path").agg(*flags)
+    folded = leaves.groupBy("path").agg(*flags).where(F.col("_string").isNotNull())
     seen = F.filter(
         F.array(*[F.when(F.col(f"_{t}"), F.lit(t)) for t in LEAF_TYPES]), lambda t: t.isNotNull()
     )

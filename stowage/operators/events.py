@@ -10,7 +10,7 @@ from stowage.functions.events import REFRESH_JOB, REMOVE_JOB, event_job_type
 from stowage.functions.hashing import dedupe_key
 from stowage.operators.objects import delete_objects, upsert_objects
 from stowage.operators.predicates import literal
-from stowage.operators.skew import number_within
+from stowage.operators.skew import number_within, small_side
 from stowage.schema import NORMALIZED_EVENT, STORED_EVENT
 
 BATCH_SIZE = 100
@@ -47,8 +47,8 @@ def first_per_key(incoming: DataFrame) -> DataFrame:
 
 def _stored_among(keys: DataFrame, stored: DataFrame, few: bool = False) -> DataFrame:
     """The keys that are stored already. The store is read for this one column and matched against the new keys."""
-    wanted = keys.select("dedupe_key")
-    return stored.select("dedupe_key").join(F.broadcast(wanted) if few else wanted, "dedupe_key", "left_semi").distinct()
+    wanted = small_side(keys.select("dedupe_key"), few)
+    return stored.select("dedupe_key").join(wanted, "dedupe_key", "left_semi").distinct()
 
 
 def unseen(stored: DataFrame, unique: DataFrame, few: bool = False) -> DataFrame:
@@ -85,12 +85,18 @@ def pending_events(events: DataFrame, limit: int = BATCH_SIZE) -> DataFrame:
     return events.where("state = 'pending'").orderBy("received_at", "id").limit(limit if limit > 0 else BATCH_SIZE)
 
 
-def resolve_events(events: DataFrame, buckets: DataFrame, objects: DataFrame, unified: bool = False) -> DataFrame:
+def resolve_events(
+    events: DataFrame, buckets: DataFrame, objects: DataFrame, unified: bool = False, few: bool = False
+) -> DataFrame:
     """Events with ``job_type``, ``object_id`` and ``skip_reason``.
 
     Removals and refreshes need an object in the catalog; imports do not. Both lookups are plain left joins: Spark
-    broadcasts a side only below its size threshold and splits a hot key's events otherwise.
+    broadcasts a side only below its size threshold and splits a hot key's events otherwise. ``few`` says that the caller
+    has counted the events and they are few: then their keys go to the catalog's files, and the catalog stays put.
     """
+    if few:
+        keys = events.select("bucket_id", F.col("object_key").alias("key")).distinct()
+        objects = objects.select("id", *MUTATION).join(small_side(keys, few), MUTATION, "left_semi")
     known = buckets.select(F.col("id").alias("bucket_id"), F.lit(True).alias("_bucket"))
     found = objects.select("bucket_id", F.col("key").alias("object_key"), F.col("id").alias("_object"))
     job = event_job_type(F.col("event_name"), unified)
@@ -196,11 +202,16 @@ def mark_events(events: DataFrame, outcomes: DataFrame, at: datetime) -> DataFra
     return events.join(new, "id", "left").select(*[updated(c) for c in events.columns])
 
 
-def apply_mutations(objects: DataFrame, mutations: DataFrame, heads: DataFrame, seen_at: datetime, run_id: str = "") -> DataFrame:
-    """Objects after the mutations. Imports and refreshes take their documents from ``heads`` (bucket_id, key, attributes)."""
+def apply_mutations(
+    objects: DataFrame, mutations: DataFrame, heads: DataFrame, seen_at: datetime, run_id: str = "", few: bool = False
+) -> DataFrame:
+    """Objects after the mutations. Imports and refreshes take their documents from ``heads`` (bucket_id, key, attributes).
+
+    ``few`` says that the caller has counted the mutations and they are few enough to broadcast.
+    """
     removals = mutations.where(F.col("job_type") == REMOVE_JOB).select(F.col("object_id").alias("id"))
     written = mutations.where(F.col("job_type") != REMOVE_JOB).select(*MUTATION, F.lit(0).alias("ordinal"))
     batch = written.join(heads.select(*MUTATION, "attributes"), MUTATION).withColumn(
         "attribute_provenance", F.create_map(F.lit("upstream"), F.lit(run_id))
     )
-    return upsert_objects(delete_objects(objects, removals), batch, seen_at)
+    return upsert_objects(delete_objects(objects, removals, few), batch, seen_at, few)

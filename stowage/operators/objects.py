@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stowage.functions import documents as docs
 from stowage.functions.text import format_rfc3339_nano
 from stowage.operators.predicates import literal, scope
+from stowage.operators.skew import small_side
 from stowage.schema import OBJECT_COLUMNS, PROMOTED
 
 KEY = ["bucket_id", "key"]
@@ -41,13 +42,14 @@ def last_per_key(batch: DataFrame) -> DataFrame:
     return batch.groupBy(*KEY).agg(last).select(*KEY, "_row.*")
 
 
-def upsert_objects(objects: DataFrame, batch: DataFrame, seen_at: datetime) -> DataFrame:
+def upsert_objects(objects: DataFrame, batch: DataFrame, seen_at: datetime, few: bool = False) -> DataFrame:
     """Objects with ``batch`` merged in by (bucket_id, key).
 
     ``batch`` has bucket_id, key, attributes, attribute_provenance, ordinal and optionally id. Namespaces present in the
     new document replace the old ones whole, the id and the first time seen stay, provenance maps merge.
 
-    The catalog is only left-joined, so a batch below Spark's broadcast threshold moves none of the catalog's rows.
+    The catalog is only left-joined. ``few`` says that the caller has counted the batch and it is small enough to
+    broadcast; then none of the catalog's rows move.
     """
     stamp = literal(seen_at).column
     rows = last_per_key(batch)
@@ -63,7 +65,7 @@ def upsert_objects(objects: DataFrame, batch: DataFrame, seen_at: datetime) -> D
     touched = F.col("_id").isNotNull()
     kept_provenance = F.coalesce("attribute_provenance", F.create_map().cast("map<string,string>"))
     merged = docs.merge_attributes(F.col("attributes"), F.col("_attributes"), F.col("id"))
-    updated = objects.select(*OBJECT_COLUMNS).join(rows, KEY, "left").select(
+    updated = objects.select(*OBJECT_COLUMNS).join(small_side(rows, few), KEY, "left").select(
         "id",
         *KEY,
         F.when(touched, merged).otherwise(F.col("attributes")).alias("attributes"),
@@ -73,7 +75,7 @@ def upsert_objects(objects: DataFrame, batch: DataFrame, seen_at: datetime) -> D
         "created_at",
         F.when(touched, stamp).otherwise(F.col("updated_at")).alias("updated_at"),
     )
-    known = objects.select(*KEY).join(rows.select(*KEY), KEY, "left_semi")
+    known = objects.select(*KEY).join(small_side(rows.select(*KEY), few), KEY, "left_semi")
     inserted = rows.join(known, KEY, "left_anti").select(
         F.col("_id").alias("id"),
         *KEY,
@@ -87,10 +89,10 @@ def upsert_objects(objects: DataFrame, batch: DataFrame, seen_at: datetime) -> D
     return with_promoted(result) if promoted & set(objects.columns) else result
 
 
-def delete_objects(objects: DataFrame, removals: DataFrame) -> DataFrame:
+def delete_objects(objects: DataFrame, removals: DataFrame, few: bool = False) -> DataFrame:
     """Objects without the ids in ``removals``; rows without an id remove nothing."""
     ids = removals.where(F.coalesce("id", F.lit("")) != "").select("id").distinct()
-    return objects.join(ids, "id", "left_anti")
+    return objects.join(small_side(ids, few), "id", "left_anti")
 
 
 def deletion_counts(objects: DataFrame, removals: DataFrame) -> DataFrame:

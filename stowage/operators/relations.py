@@ -46,9 +46,10 @@ def relation_types(relations: DataFrame) -> DataFrame:
 def upsert_relations(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """One row per (source, target, type).
 
-    The first row keeps its creation time, the newest brings attributes and run id. Edges from an object to itself are
-    dropped, and an empty type means a duplicate.
+    The first row keeps its creation time and any further columns, the newest brings attributes and run id. Edges from an
+    object to itself are dropped, and an empty type means a duplicate.
     """
+    further = [c for c in stored.columns if c not in (*EDGE, "attributes", "created_by_run_id", "created_at", "updated_at")]
     kind = F.coalesce(F.when(F.col("relation_type") != "", F.col("relation_type")), F.lit(DUPLICATE))
     fresh = incoming.withColumn("relation_type", kind).where("source_object_id <> target_object_id")
     rows = stored.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
@@ -59,6 +60,7 @@ def upsert_relations(stored: DataFrame, incoming: DataFrame) -> DataFrame:
         F.max_by("created_by_run_id", order).alias("created_by_run_id"),
         F.min_by("created_at", first).alias("created_at"),
         F.max_by("updated_at", order).alias("updated_at"),
+        *[F.min_by(c, first).alias(c) for c in further],
     )
 
 

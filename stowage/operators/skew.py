@@ -1,4 +1,4 @@
-"""Joins and numbering that stay spread out when one group holds a large part of the rows."""
+"""Joins and numbering that stay spread out when one group holds a large part of the rows, or one side is large."""
 
 from __future__ import annotations
 
@@ -9,6 +9,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # Rows of one group that a single task may take. Groups above it are cut into pieces.
 HOT_ROWS = 1_000_000
 
+# Rows of keys that may be broadcast; at some hundred bytes each that is tens of megabytes.
+FEW_ROWS = 200_000
+
+
+def is_few(rows: DataFrame) -> bool:
+    """Whether there are few enough rows to broadcast; the count stops once it knows."""
+    return rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+
+
+def small_side(rows: DataFrame, few: bool) -> DataFrame:
+    """``rows`` to be broadcast if the caller has found them few, else left to Spark."""
+    return F.broadcast(rows) if few else rows
+
 
 def join_groups(
     rows: DataFrame,

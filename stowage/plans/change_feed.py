@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 
 from stowage.operators.events import apply_mutations, coalesce_mutations, event_outcomes, mark_events, resolve_events
+from stowage.operators.skew import is_few
 from stowage.streaming.apply import inbox_stream, latest_mutations, stream_apply
 from stowage.streaming.ingest import stream_ingest
 
@@ -23,7 +24,8 @@ def run_change_feed(
     """Ingest and process everything the stream holds now, and return the catalog after it.
 
     ``workspace`` keeps the inbox, the rejected notifications, the outcomes and the checkpoints, on shared storage; call
-    again with the same one to go on from where the last call ended.
+    again with the same one to go on from where the last call ended. ``objects`` gives the snapshot the workspace started
+    from: the last mutation of every key so far is applied to it.
     """
     spark = notifications.sparkSession
     inbox, output = f"{workspace}/inbox", f"{workspace}/applied"
@@ -33,7 +35,8 @@ def run_change_feed(
     stream_apply(
         inbox_stream(spark, inbox), buckets, objects, output, f"{workspace}/checkpoints/apply", available_now=True
     ).awaitTermination()
-    return apply_mutations(objects(), latest_mutations(spark, output), heads, seen_at)
+    mutations = latest_mutations(spark, output)
+    return apply_mutations(objects(), mutations, heads, seen_at, few=is_few(mutations))
 
 
 def apply_events(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stowage.operators.events import BATCH_SIZE, batch_mutations, coalesce_mutations, event_outcomes, resolve_events
+from stowage.operators.skew import is_few
 from stowage.schema import INBOX, STORED_EVENT
 
 APPLY = "apply_batch"
@@ -25,7 +26,8 @@ def process_events(
     events: DataFrame, buckets: DataFrame, objects: DataFrame, size: int = BATCH_SIZE, unified: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(mutations cut into batches, outcome per event) for a set of pending events."""
-    resolved = resolve_events(events.where("state = 'pending'"), buckets, objects, unified)
+    pending = events.where("state = 'pending'")
+    resolved = resolve_events(pending, buckets, objects, unified, few=is_few(pending))
     return batch_mutations(coalesce_mutations(resolved), size), event_outcomes(resolved)
 
 
@@ -45,9 +47,13 @@ def stream_apply(
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        mutations, outcomes = process_events(batch.select(*STORED_EVENT.fieldNames()), buckets(), objects(), size)
-        mutations.write.mode("overwrite").parquet(f"{output}/mutations/{APPLY}={batch_id}")
-        outcomes.write.mode("overwrite").parquet(f"{output}/outcomes/{APPLY}={batch_id}")
+        rows = batch.select(*STORED_EVENT.fieldNames()).persist()
+        try:
+            mutations, outcomes = process_events(rows, buckets(), objects(), size)
+            mutations.write.mode("overwrite").parquet(f"{output}/mutations/{APPLY}={batch_id}")
+            outcomes.write.mode("overwrite").parquet(f"{output}/outcomes/{APPLY}={batch_id}")
+        finally:
+            rows.unpersist()
 
     writer = events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

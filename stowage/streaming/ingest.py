@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stowage.operators.events import append_events, first_per_key, to_stored, unseen
+from stowage.operators.skew import is_few
 from stowage.schema import INBOX, INGEST, STORED_EVENT
 from stowage.sources.notifications import accepted, parse_notifications, rejects
 
-# Keys of a micro-batch up to this number are broadcast; at some hundred bytes each that is tens of megabytes.
-FEW_KEYS = 200_000
-
 
 def create_inbox(spark: SparkSession, path: str) -> None:
     """An empty inbox table, so that readers find it before the first batch."""
@@ -38,7 +36,7 @@ def store_batch(batch: DataFrame, batch_id: int, inbox: str, rejected: str, tran
     unique = first_per_key(to_stored(accepted(parsed, ("bucket_id", "received_at")), transport)).persist()
     try:
         earlier = read_inbox(batch.sparkSession, inbox).where(F.col(INGEST) != batch_id)
-        fresh = unseen(earlier, unique, few=unique.count() <= FEW_KEYS).select(*STORED_EVENT.fieldNames())
+        fresh = unseen(earlier, unique, few=is_few(unique)).select(*STORED_EVENT.fieldNames())
         # Bloom filters let the lookup of later batches skip row groups.
         writer = fresh.write.mode("overwrite").option("parquet.bloom.filter.enabled#dedupe_key", "true")
         writer.parquet(f"{inbox}/{INGEST}={batch_id}")

@@ -17,6 +17,8 @@ from stowage.operators.predicates import scope
 from stowage.plans.duplicates import apply_hashes, detect_duplicates
 from stowage.plans.reconcile import reconcile
 from stowage.plans.verify import in_drifted_partitions, verify
+from stowage.session import scratch_path
+from stowage.sources.tables import read_objects, write_objects
 from workloads import views as v
 from workloads.registry import query
 from workloads.search_queries import fnv_sql, ntz
@@ -165,6 +167,19 @@ def _removals(spark, d):
     return o.where(toxic == "1").select(F.when(good == "1", F.col("id")).otherwise("").alias("id"))
 
 
+@query(
+    "stored_snapshot",
+    v.with_views(v.OBJECTS) + """SELECT id, bucket_id, key, etag, size, last_modified, content_type, storage_class FROM objects
+    WHERE starts_with(key, 'en/') AND size > 300""",
+)
+def stored_snapshot(spark, d):
+    """Objects written as a snapshot and read back through its promoted columns."""
+    path = scratch_path(spark, "snapshot")
+    write_objects(v.bare_objects(spark, d), path)
+    stored = read_objects(spark, path).where(scope(prefixes="en/") & (F.col("size") > 300))
+    return stored.select("id", "bucket_id", "key", "etag", "size", "last_modified", "content_type", "storage_class")
+
+
 @query("delete_objects", v.with_views(v.CATALOG) + "SELECT id, bucket_id, key FROM catalog WHERE NOT coalesce(toxic = 1 AND quality = 1, false)")
 def delete_objects(spark, d):
     return object_ops.delete_objects(v.catalog(spark, d), _removals(spark, d)).select("id", "bucket_id", "key")
