@@ -17,6 +17,10 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Merging two maps keeps the entries of the second.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Documents are written with their common paths as Parquet columns, and a read of a path reads its column alone.
+    "spark.sql.variant.writeShredding.enabled": "true",
+    "spark.sql.variant.inferShreddingSchema": "true",
+    "spark.sql.variant.pushVariantIntoScan": "true",
     # Bucket ids that look like numbers must stay strings.
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
 }

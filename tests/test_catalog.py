@@ -246,6 +246,8 @@ def test_snapshots_on_disk(spark, tmp_path):
     assert rows["o1"].bucket_id == "7" and rows["o1"].size == 5 and rows["o1"].etag == "x"
     plan = back.where("bucket_id = '7' AND size > 1")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket_id" in plan and "GreaterThan(size,1)" in plan
+    size = back.select(docs.attr(F.col("attributes"), "upstream.size", "integer").alias("n"))
+    assert "ReadSchema: struct<attributes:struct<0:string>>" in size._jdf.queryExecution().executedPlan().toString()
     replace_buckets(catalog(spark, [("o3", "8", "c", "{}")]), path, ["8"])
     spark.catalog.refreshByPath(path)
     assert sorted(r.id for r in read_objects(spark, path).collect()) == ["o1", "o3"]
