@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from stowage.functions.text import blank_to_null
+
 # Parts of a lower-cased event name that mean an object appeared or vanished.
 IMPORT_TOKENS = (
     "object created",
@@ -73,6 +75,11 @@ def event_provider(source: Column) -> Column:
     return F.when(F.lower(source) == "rustfs:s3", "rustfs").otherwise("aws")
 
 
+def decode_payload(encoded: Column) -> Column:
+    """Base64 text to the JSON value in it; NULL where either is malformed."""
+    return F.try_parse_json(F.try_to_binary(blank_to_null(F.trim(encoded)), F.lit("base64")).cast("string"))
+
+
 def decode_key(raw: Column) -> Column:
     """URL-decoded key with ``+`` read as a space; NULL where an escape is malformed."""
     malformed = raw.rlike("%(?![0-9A-Fa-f]{2})")

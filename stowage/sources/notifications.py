@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stowage.functions.documents import as_map
-from stowage.functions.events import decode_key, event_action, event_provider
+from stowage.functions.events import decode_key, decode_payload, event_action, event_provider
 from stowage.functions.text import get_ci, parse_rfc3339
 from stowage.schema import NORMALIZED_EVENT
 
@@ -221,9 +221,7 @@ def parse_notifications(df: DataFrame, body: str = "body") -> DataFrame:
             "_topic": read("sns", "$.Type", "string"),
         }
     )
-    data = F.trim("_message.data")
-    decoded = F.try_to_binary(F.when(data != "", data), F.lit("base64")).cast("string")
-    staged = staged.withColumn("_payload", F.try_parse_json(decoded))
+    staged = staged.withColumn("_payload", decode_payload(F.col("_message.data")))
 
     events = (
         F.when(kind == "s3", F.transform("_records", lambda r: _s3_record(r, False)))

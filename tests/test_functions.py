@@ -88,6 +88,11 @@ def test_decode_key(one, raw, key):
     assert one(events.decode_key(F.lit(raw))) == key
 
 
+def test_decode_payload(one):
+    assert one(as_json(events.decode_payload(F.lit(" eyJzaXplIjoiNSJ9 ")))) == '{"size":"5"}'
+    assert one(events.decode_payload(F.lit("%%"))) is None and one(events.decode_payload(F.lit("b29wcw=="))) is None
+
+
 def test_dedupe_key(one):
     at = F.lit("2026-06-26T01:00:00.1200Z").cast("timestamp")
     args = [F.lit(x) for x in ("bucket", "ObjectCreated:Put", "a.jpg")]

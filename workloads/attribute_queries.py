@@ -69,12 +69,26 @@ def _event_documents(spark, d):
     )
 
 
-OBSERVED = """SELECT * FROM (VALUES ('props', 'unknown'), ('props.k', 'integer'), ('amount', 'float'), ('mixed', 'conflict'),
-    ('seen', 'unknown'), ('seen.flag', 'boolean'), ('seen.at', 'timestamp'), ('seen.tags', 'unknown')) t(path, value_type)
-    WHERE EXISTS (SELECT 1 FROM events)"""
-
-
-@query("observe_attributes", OBSERVED)
+WHOLE = "CASE WHEN value = floor(value) THEN 'integer' ELSE 'float' END"
+
+
+def observed_sql(name: str, where: str = "true") -> str:
+    """The catalog of the event documents: every leaf's type, and the parents, folded by path."""
+    return f"""{name}_leaves AS (
+      SELECT 'props.k' AS path, 'integer' AS kind FROM events WHERE {where}
+      UNION ALL SELECT 'amount', CASE WHEN event_type = 'click' THEN 'integer' ELSE {WHOLE} END FROM events
+        WHERE event_type IN ('click', 'view') AND {where}
+      UNION ALL SELECT 'mixed', CASE WHEN event_type = 'error' THEN {WHOLE} ELSE 'string' END FROM events WHERE {where}
+      UNION ALL SELECT 'seen.flag', 'boolean' FROM events WHERE event_type = 'signup' AND {where}
+      UNION ALL SELECT unnest(['seen.at', 'seen.tags']), unnest(['timestamp', 'unknown']) FROM events WHERE {where}),
+    {name}_all AS (SELECT * FROM {name}_leaves UNION ALL SELECT split_part(path, '.', 1), 'unknown' FROM {name}_leaves WHERE path LIKE '%.%'),
+    {name} AS (SELECT path, CASE count(DISTINCT kind) FILTER (kind <> 'unknown') WHEN 0 THEN 'unknown'
+        WHEN 1 THEN max(kind) FILTER (kind <> 'unknown')
+        ELSE CASE WHEN bool_and(kind IN ('integer', 'float', 'unknown')) THEN 'float' ELSE 'conflict' END END AS value_type
+      FROM {name}_all GROUP BY path)"""
+
+
+@query("observe_attributes", f"WITH {observed_sql('observed')} SELECT * FROM observed")
 def observe_attributes(spark, d):
     return ops.observe_attributes(_event_documents(spark, d))
 
@@ -113,19 +127,28 @@ def _click_catalog(spark, d):
     )
 
 
+_NUMERIC = "IN ('integer', 'float')"
+_WIDENED = f"""CASE WHEN k.path IS NULL THEN o.value_type WHEN o.path IS NULL OR k.source = 'registered' OR k.value_type = o.value_type
+    THEN k.value_type WHEN k.value_type = 'unknown' THEN o.value_type WHEN o.value_type = 'unknown' THEN k.value_type
+    WHEN k.value_type {_NUMERIC} AND o.value_type {_NUMERIC} THEN 'float' ELSE 'conflict' END"""
+
+
 @query(
     "merge_catalog",
-    """SELECT * FROM (VALUES ('props', 'unknown', 'observed', false), ('props.k', 'string', 'registered', false),
-    ('amount', 'float', 'observed', false), ('mixed', 'string', 'observed', true), ('seen', 'unknown', 'observed', false),
-    ('seen.flag', 'boolean', 'observed', false), ('seen.at', 'timestamp', 'observed', false), ('seen.tags', 'unknown', 'observed', false))
-    t(path, value_type, source, conflict) WHERE EXISTS (SELECT 1 FROM events)""",
+    f"WITH {observed_sql('clicks', 'event_type = ' + chr(39) + 'click' + chr(39))}, {observed_sql('observed')}"
+    + f""", known AS (SELECT path, CASE WHEN path = 'props.k' THEN 'string' ELSE value_type END AS value_type,
+      CASE WHEN path = 'props.k' THEN 'registered' ELSE 'observed' END AS source FROM clicks),
+    joined AS (SELECT coalesce(k.path, o.path) AS path, k.value_type AS old, {_WIDENED} AS new, coalesce(k.source, 'observed') AS source
+      FROM known k FULL JOIN observed o ON o.path = k.path)
+    SELECT path, CASE WHEN new = 'conflict' THEN old ELSE new END AS value_type, source, new = 'conflict' AS conflict FROM joined""",
 )
 def merge_catalog(spark, d):
     return ops.merge_catalog(_click_catalog(spark, d), ops.observe_attributes(_event_documents(spark, d)))
 
 
 OBJECT_TYPES = f"types AS (SELECT DISTINCT path, {TYPED} AS value_type FROM leaves)"
-PARENTS = "parents AS (SELECT DISTINCT path FROM (VALUES ('core'), ('upstream'), ('upstream.header'), ('upstream.s3'), ('user')) t(path))"
+_UP = "regexp_replace(path, '\\.[^.]+$', '')"
+PARENTS = f"near AS (SELECT DISTINCT {_UP} AS path FROM leaves), parents AS (SELECT path FROM near UNION SELECT {_UP} FROM near)"
 ALL_TYPES = "all_types AS (SELECT path, value_type FROM types UNION ALL SELECT path, 'unknown' FROM parents)"
 
 
