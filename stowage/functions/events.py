@@ -43,7 +43,8 @@ def _names_any(name: Column, tokens: tuple[str, ...]) -> Column:
 
 def event_action(name: Column) -> Column:
     """import, remove or ignore, whatever the provider's spelling."""
-    return F.when(_names_any(name, IMPORT_TOKENS), "import").when(_names_any(name, REMOVE_TOKENS), "remove").otherwise("ignore")
+    appeared, vanished = _names_any(name, IMPORT_TOKENS), _names_any(name, REMOVE_TOKENS)
+    return F.when(appeared, "import").when(vanished, "remove").otherwise("ignore")
 
 
 def event_category(name: Column) -> Column:

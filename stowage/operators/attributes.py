@@ -82,7 +82,8 @@ def observe_attributes(documents: DataFrame, column: str = "attributes", depth:
         F.array(*[F.when(F.col(f"_{t}"), F.lit(t)) for t in LEAF_TYPES]), lambda t: t.isNotNull()
     )
     typed = folded.select("path", seen.alias("types"))
-    parents = typed.select(F.explode(docs.path_prefixes(F.col("path"))).alias("path"), F.array().cast("array<string>").alias("types"))
+    untyped = F.array().cast("array<string>").alias("types")
+    parents = typed.select(F.explode(docs.path_prefixes(F.col("path"))).alias("path"), untyped)
     merged = typed.unionByName(parents).groupBy("path").agg(F.flatten(F.collect_set("types")).alias("types"))
     return merged.select("path", docs.widen_types(F.array_distinct("types")).alias("value_type"))
 
@@ -100,7 +101,8 @@ def merge_catalog(catalog: DataFrame, observed: DataFrame) -> DataFrame:
     result = (
         F.when(new, F.col("_seen")).when(fixed | F.col("_seen").isNull(), F.col("value_type")).otherwise(widened)
     )
-    conflict = ~F.coalesce(fixed, F.lit(False)) & F.coalesce((result == "conflict") | (F.col("_seen") == "conflict"), F.lit(False))
+    clash = F.coalesce((result == "conflict") | (F.col("_seen") == "conflict"), F.lit(False))
+    conflict = ~F.coalesce(fixed, F.lit(False)) & clash
     return joined.select(
         "path",
         F.when(conflict, F.col("value_type")).otherwise(result).alias("value_type"),
@@ -171,8 +173,9 @@ def mutate_attributes(
     """(objects after the edits, rejected edits).
 
     ``edits`` has id, op ('set' or 'delete'), path, value (VARIANT) and provenance. All edits of an object are rejected
-    if one is. Sets go before deletes; a delete also drops the parents it leaves empty. Only edited documents are taken
-    apart, by joining in rows, and put together again with one shuffle by object.
+    if one is. Sets go before deletes, and the sets of one object must not lie one below another; a delete also drops the
+    parents it leaves empty. Only edited documents are taken apart into rows, and put together again with one shuffle by
+    object.
     """
     # The edits, and later the rows of the edited documents, are written once: several steps read them.
     checked = cut_lineage(edit_errors(edits, catalog, namespace))

@@ -10,7 +10,6 @@ from stowage.functions.text import parse_rfc3339
 from stowage.operators.skew import HOT_ROWS, join_groups
 
 GROUP = ["etag", "size"]
-CANDIDATE = ["id", "bucket_id", "key", "etag", "size", "last_modified", "cached_sha256"]
 
 
 def cached_hash(size: Column, content_sha256: Column) -> Column:

@@ -100,7 +100,8 @@ def resolve_events(
     known = buckets.select(F.col("id").alias("bucket_id"), F.lit(True).alias("_bucket"))
     found = objects.select("bucket_id", F.col("key").alias("object_key"), F.col("id").alias("_object"))
     job = event_job_type(F.col("event_name"), unified)
-    rows = events.withColumn("job_type", job).join(known, "bucket_id", "left").join(found, ["bucket_id", "object_key"], "left")
+    rows = events.withColumn("job_type", job).join(known, "bucket_id", "left")
+    rows = rows.join(found, ["bucket_id", "object_key"], "left")
     needs_object = F.col("job_type").isin(REMOVE_JOB, REFRESH_JOB)
     reason = (
         F.when(F.col("_bucket").isNull(), "bucket_not_found")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stowage.functions import documents as docs
 from stowage.functions.hashing import partition_index
-from stowage.schema import CAST_TYPES, PROMOTED, SPARK_TYPES
+from stowage.schema import CAST_TYPES, PROMOTED
 
 FIELDS = {
     "id": "string",
@@ -252,7 +252,3 @@ def in_partition(partitions: int, index: int) -> Column:
 def in_bucket(buckets: DataFrame, name: str) -> Column:
     """Bucket by name, usable inside any condition; an unknown name matches nothing."""
     return F.col("bucket_id") == buckets.where(F.col("name") == name).agg(F.min("id")).scalar()
-
-
-def spark_type(type_name: str) -> str:
-    return SPARK_TYPES[type_name]

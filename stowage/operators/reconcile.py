@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stowage.functions.evidence import EVIDENCE, changed, evidence, listed_evidence
 from stowage.operators.objects import KEY
 
-PLAN = ["action", "bucket_id", "id", "key", *EVIDENCE]
-
 
 def _listed(listing: DataFrame) -> DataFrame:
     return listed_evidence(listing).select(*KEY, *EVIDENCE)

@@ -20,6 +20,6 @@ def hash_contents(spark: SparkSession, path_glob: str) -> DataFrame:
 
 
 def hash_column(rows: DataFrame, content: Column) -> DataFrame:
-    """The same for contents that are a column; keeps the other columns' names out of the way."""
+    """``rows`` with content_sha256 and bytes_read of contents that are a column."""
     binary = content.cast("binary")
     return rows.withColumns({"content_sha256": sha256_hex(binary), "bytes_read": F.octet_length(binary).cast("bigint")})

@@ -265,7 +265,8 @@ def _tree(tree: dict, whole: dict) -> Column:
     for name in dict.fromkeys([*whole, *[k for k in tree if k is not None]]):
         node = tree.get(name)
         if name in whole:
-            inner = {k: _tree(v, {}) if isinstance(v, dict) else v for k, v in node.items()} if isinstance(node, dict) else {}
+            below = node.items() if isinstance(node, dict) else ()
+            inner = {k: _tree(v, {}) if isinstance(v, dict) else v for k, v in below}
             children[name] = variant_object(inner, whole[name])
         else:
             children[name] = _tree(node, {}) if isinstance(node, dict) else node
@@ -277,6 +278,7 @@ def validate_rules(rules: DataFrame) -> DataFrame:
     """Rule rows with an ``error``: what keeps a user's capture rule from being accepted."""
     path, kind, ref = F.trim("attribute_path"), F.col("extractor_type"), F.trim("extractor_ref")
     rest = F.substring(path, len("upstream.") + 1, 1 << 30)
+    by_name = kind.isin("response_header", "metadata_key", "tag_key")
     error = (
         F.when(path == "", "attribute_path is required")
         .when(~path.startswith("upstream."), "attribute_path must start with upstream.")
@@ -285,7 +287,7 @@ def validate_rules(rules: DataFrame) -> DataFrame:
         .when(rest.startswith(".") | rest.endswith("."), "attribute_path has an empty segment")
         .when(ref == "", "extractor_ref is required")
         .when((kind == "sdk_field") & (F.col("origin") == "user"), "sdk_field is for platform rules only")
-        .when(kind.isin("response_header", "metadata_key", "tag_key") & ref.contains(".."), "extractor_ref must not contain ..")
+        .when(by_name & ref.contains(".."), "extractor_ref must not contain ..")
         .when(kind.isin("metadata_all", "tagging_all") & (ref != "*"), "extractor_ref must be *")
         .when(
             ~kind.isin("sdk_field", "response_header", "metadata_key", "tag_key", "metadata_all", "tagging_all"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stowage.operators import activity, events as ops, jobs, ordering
 from stowage.schema import JOB_RUN, STORED_EVENT
-from stowage.streaming.ingest import create_inbox, read_inbox, store_batch, stream_ingest
+from stowage.streaming.ingest import create_inbox, dedupe_batch, read_inbox, store_batch, stream_ingest
 
 T0 = datetime(2026, 6, 26, tzinfo=timezone.utc)
 
@@ -43,6 +43,20 @@ def test_coalesce(resolved):
     assert ops.mutation_events(resolved).where("key = 'x'").count() == 3
 
 
+def test_few_events_find_the_same_objects(spark):
+    buckets = spark.createDataFrame([("b",)], "id string")
+    objects = spark.createDataFrame([("o1", "b", "x"), ("o2", "b", "y")], "id string, bucket_id string, key string")
+    rows = events(spark, [("e1", "b", "ObjectRemoved:Delete", "x", 1), ("e2", "b", "ObjectRemoved:Delete", "q", 1)])
+    few, plain = [sorted(map(str, ops.resolve_events(rows, buckets, objects, few=f).collect())) for f in (True, False)]
+    assert few == plain
+
+
+def test_dedupe_batch(spark):
+    stored, fresh = events(spark, [("a", "b", "n", "k", 0)]), events(spark, [("a", "b", "n", "k", 1), ("c", "b", "n", "k", 3)])
+    assert [r.id for r in dedupe_batch(fresh, stored).collect()] == ["c"]
+    assert [r.id for r in ops.pending_events(stored.unionByName(fresh), 2).collect()] == ["a", "a"]
+
+
 def test_batches(spark):
     rows = spark.range(250).select(
         F.lit("b").alias("bucket_id"), F.concat(F.lit("k"), "id").alias("key"), F.lit("import_objects").alias("job_type"), F.lit(None).cast("string").alias("object_id"),

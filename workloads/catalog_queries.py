@@ -25,7 +25,6 @@ from workloads.search_queries import fnv_sql, ntz
 
 AT = datetime(2024, 2, 1, tzinfo=timezone.utc)
 DAY = date(2024, 2, 1)
-FACTS = "etag, size, last_modified, coalesce(storage_class, '') AS storage_class"
 CHANGED = """(c.etag IS DISTINCT FROM l.etag OR c.size <> l.size OR c.last_modified <> l.last_modified
     OR coalesce(c.storage_class, '') <> coalesce(l.storage_class, ''))"""
 
