@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stowage.functions.documents import coerce, empty_map, variant_object
 from stowage.functions.text import format_rfc3339, get_ci, parse_boolean, parse_http_date, parse_integer
+from stowage.sources.fence import fence
 from stowage.sources.listing import PROVIDERS
 
 METADATA_PREFIX = "x-amz-meta-"
@@ -187,9 +188,8 @@ def attributes_from_head(heads: DataFrame) -> DataFrame:
         bad(stored, parse_integer(stored), "x-goog-stored-content-length", provider == "gcp"),
     )
     document = F.to_variant_object(F.create_map(F.lit("upstream"), upstream))
-    return rows.withColumns(
-        {"error": error, "attributes": F.when(error.isNull(), document)}
-    ).drop("_names")
+    read = rows.withColumn("error", error).withColumn("attributes", F.when(F.col("error").isNull(), document))
+    return fence(read.drop("_names"), ["error", "attributes"])
 
 
 def _field(name: str) -> Column:
@@ -240,7 +240,8 @@ def capture_attributes(heads: DataFrame, rules: Sequence[CaptureRule]) -> DataFr
     upstream = F.coalesce(_tree(tree, whole), nothing)
     error = F.coalesce(*errors) if errors else F.lit(None).cast("string")
     document = F.to_variant_object(F.create_map(F.lit("upstream"), upstream))
-    return heads.withColumn("error", error).withColumn("attributes", F.when(F.col("error").isNull(), document))
+    captured = heads.withColumn("error", error).withColumn("attributes", F.when(F.col("error").isNull(), document))
+    return fence(captured, ["error", "attributes"])
 
 
 def _place(tree: dict, steps: list[str], value: Column) -> None:

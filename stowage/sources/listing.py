@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from stowage.functions.text import parse_integer, parse_rfc3339
+from stowage.sources.fence import fence
 
 # The providers whose pages are understood.
 PROVIDERS = ("aws", "r2", "b2", "gcp", "rustfs")
@@ -52,7 +53,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
         .when(F.exists("_objects", lambda o: o["last_modified"].isNull()), "object time is malformed")
     )
     truncated = F.lower(F.trim(F.coalesce("_page.IsTruncated", F.lit("")))) == "true"
-    return (
+    staged = (
         parsed.withColumn("_objects", rows)
         .withColumns(
             {
@@ -65,11 +66,11 @@ def parse_pages(pages: DataFrame) -> DataFrame:
         .withColumn("objects", F.when(F.col("error").isNull(), F.col("_objects")))
         .drop("_page", "_failure", "_objects")
     )
+    return fence(staged, ["error", "is_truncated", "next_marker", "next_continuation_token", "objects"])
 
 
 def read_listing(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per listed object of every good page."""
-    # The outer form keeps Spark from inferring a filter on the array and repeating the parse inside it.
     return parse_pages(pages).select(*keep, F.inline_outer("objects")).where("key IS NOT NULL")
 
 

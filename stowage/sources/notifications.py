@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stowage.functions.documents import as_map
+from stowage.functions.documents import as_map, is_object
 from stowage.functions.events import decode_key, decode_payload, event_action, event_provider
 from stowage.functions.text import get_ci, parse_rfc3339
 from stowage.schema import NORMALIZED_EVENT
+from stowage.sources.fence import fence
 
 # The fields each envelope carries.
 RECORDS = (
@@ -43,36 +46,62 @@ def _event(error: Column, **fields: Column) -> Column:
     return F.struct(*ordered, error.cast("string").alias("error"))
 
 
-def _time_error(text: Column) -> Column:
-    return F.when(_text(text) == "", "event time is empty").when(parse_rfc3339(text).isNull(), "event time is malformed")
+def _once(build: Callable[[Column], Column], **values: Column) -> Column:
+    """``build`` over the values, each computed once however often it is used."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(n) for n, v in values.items()])), build), 0)
+
+
+def _time_error(text: Column, at: Column) -> Column:
+    return F.when(_text(text) == "", "event time is empty").when(at.isNull(), "event time is malformed")
 
 
 def _has(keys: Column, name: str) -> Column:
     return F.array_contains(keys, name)
 
 
-def _unwrap(body: Column) -> Column:
-    """The innermost envelope: an object under ``body``, or the message inside a topic notification."""
+def _inner(value: Column, keys: Column) -> Column:
+    """What an envelope wraps: an object under ``body``, or the message of a topic notification; else the envelope."""
+    below = F.try_variant_get(value, "$.body", "variant")
+    wraps = _has(keys, "body") & ~_has(keys, "Records") & ~_has(keys, "records")
+    notice = _has(keys, "Type") & (F.try_variant_get(value, "$.Type", "string") == "Notification")
+    message = F.try_variant_get(value, "$.Message", "string")
+    return (
+        F.when(wraps & is_object(below), below)
+        .when(notice & (F.trim(_text(message)) != ""), F.try_parse_json(message))
+        .otherwise(value)
+    )
 
-    def step(text: Column) -> Column:
-        value, keys = F.try_parse_json(text), F.json_object_keys(text)
-        inner = F.try_variant_get(value, "$.body", "variant")
-        wrapped = _has(keys, "body") & ~_has(keys, "Records") & ~_has(keys, "records") & as_map(inner).isNotNull()
-        notice = _has(keys, "Type") & (F.try_variant_get(value, "$.Type", "string") == "Notification")
-        message = F.try_variant_get(value, "$.Message", "string")
-        return (
-            F.when(wrapped, F.to_json(inner))
-            .when(notice & (F.trim(_text(message)) != ""), message)
-            .otherwise(text)
-        )
 
-    # A wrapper needs one of these words, so their number bounds the depth; most bodies have neither.
-    words = (F.length(body) - F.length(F.replace(body, F.lit("body"), F.lit("")))) / 4
-    words = words + (F.length(body) - F.length(F.replace(body, F.lit("Message"), F.lit("")))) / 7
-    rounds = words.cast("int")
-    return F.when(
-        rounds > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), body, lambda text, _: step(text))
-    ).otherwise(body)
+def _top_keys(value: Column) -> Column:
+    return F.map_keys(as_map(value))
+
+
+def _unwrap(df: DataFrame, body: str) -> DataFrame:
+    """``df`` with the innermost envelope in ``_value`` and its top-level keys in ``_keys``.
+
+    A wrapper needs one of two words, so their number bounds the depth; most bodies have neither. Two levels are plain
+    columns, which Spark compiles; the rare deeper body goes on in a loop of its own length.
+    """
+    text = F.col(body)
+
+    def times(word: str) -> Column:
+        return (F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)
+
+    rounds, value, keys = F.col("_rounds"), F.col("_value"), F.col("_keys")
+    staged = df.withColumns(
+        {
+            "_rounds": (times("body") + times("Message")).cast("int"),
+            "_value": F.try_parse_json(text),
+            "_keys": F.json_object_keys(text),
+        }
+    )
+    for level in (1, 2):
+        staged = staged.withColumn("_value", F.when(rounds >= level, _inner(value, keys)).otherwise(value))
+        staged = staged.withColumn("_keys", F.when(rounds >= level, _top_keys(value)).otherwise(keys))
+    more = F.sequence(F.lit(3), F.greatest(rounds, F.lit(3)))
+    deepest = F.aggregate(more, value, lambda v, _: _inner(v, _top_keys(v)))
+    staged = staged.withColumn("_value", F.when(rounds > 2, deepest).otherwise(value))
+    return staged.withColumn("_keys", F.when(rounds > 2, _top_keys(value)).otherwise(keys))
 
 
 def envelope_format(keys: Column) -> Column:
@@ -89,16 +118,22 @@ def envelope_format(keys: Column) -> Column:
 
 
 def _s3_record(record: Column, legacy: bool) -> Column:
-    source, time = _text(record["eventSource"]), record["eventTime"]
     raw = _text(record["s3"]["object"]["key"])
-    key = F.when(raw == "", "").otherwise(decode_key(raw))
-    action = event_action(record["eventName"])
-    provider = event_provider(source)
+    return _once(
+        lambda seen: _s3_event(record, legacy, seen["key"], seen["action"], seen["at"]),
+        key=F.when(raw == "", "").otherwise(decode_key(raw)),
+        action=event_action(record["eventName"]),
+        at=parse_rfc3339(record["eventTime"]),
+    )
+
+
+def _s3_event(record: Column, legacy: bool, key: Column, action: Column, at: Column) -> Column:
+    source, time = _text(record["eventSource"]), record["eventTime"]
     skipped = (key == "") | (action == "ignore")
-    error = F.when(key.isNull(), "object key is malformed").when(~skipped, _time_error(time))
+    error = F.when(key.isNull(), "object key is malformed").when(~skipped, _time_error(time, at))
     return _event(
         error,
-        upstream=F.lit("rustfs") if legacy else provider,
+        upstream=F.lit("rustfs") if legacy else event_provider(source),
         action=action,
         event_name=record["eventName"],
         event_source=source,
@@ -109,7 +144,7 @@ def _s3_record(record: Column, legacy: bool) -> Column:
         key=key,
         etag=record["s3"]["object"]["eTag"],
         size=record["s3"]["object"]["size"],
-        event_time=parse_rfc3339(time),
+        event_time=at,
         version_id=record["s3"]["object"]["versionId"],
     )
 
@@ -117,7 +152,7 @@ def _s3_record(record: Column, legacy: bool) -> Column:
 def _eventbridge(name: Column, body: Column) -> Column:
     stored = body["detail"]["object"]
     return _event(
-        F.when(body.isNull(), "envelope is malformed").otherwise(_time_error(body["time"])),
+        F.when(body.isNull(), "envelope is malformed").otherwise(_time_error(body["time"], parse_rfc3339(body["time"]))),
         upstream=F.lit("aws"),
         action=event_action(name),
         event_name=name,
@@ -154,7 +189,7 @@ def _pubsub(message: Column, payload: Column) -> Column:
     error = F.when(event_action(name) == "ignore", F.lit(None)).otherwise(
         F.coalesce(
             F.when(message.isNull(), "envelope is malformed"),
-            _time_error(time),
+            _time_error(time, parse_rfc3339(time)),
             F.when((encoded != "") & as_map(payload).isNull(), "message data is malformed"),
             F.when((size != "") & ~size.rlike(r"^[+-]?\d+$"), "object size is malformed"),
         )
@@ -176,7 +211,9 @@ def _pubsub(message: Column, payload: Column) -> Column:
 def _r2(body: Column) -> Column:
     action = event_action(body["action"])
     skipped = (_text(body["object"]["key"]) == "") | (action == "ignore")
-    error = F.when(body.isNull(), "envelope is malformed").when(~skipped, _time_error(body["eventTime"]))
+    error = F.when(body.isNull(), "envelope is malformed").when(
+        ~skipped, _time_error(body["eventTime"], parse_rfc3339(body["eventTime"]))
+    )
     return _event(
         error,
         upstream=F.lit("r2"),
@@ -196,11 +233,9 @@ def parse_notifications(df: DataFrame, body: str = "body") -> DataFrame:
     Events without a key, or whose name means neither an import nor a removal, are left out. One bad event makes its
     whole notification bad, so that it can be looked at and sent again. Of ``events`` and ``error`` one is NULL.
 
-    Each step is a column of its own, and a body is read only as the envelope it is. Pick rows with :func:`accepted` and
-    :func:`rejects`: a filter on these columns would be pushed below the steps and repeat them all inside it.
+    Each step is a column of its own, and a body is read only as the envelope it is.
     """
-    staged = df.withColumn("_text", _unwrap(F.col(body)))
-    staged = staged.withColumns({"_value": F.try_parse_json("_text"), "_keys": F.json_object_keys("_text")})
+    staged = _unwrap(df, body)
     staged = staged.withColumn("format", envelope_format(F.col("_keys")))
     value, kind = F.col("_value"), F.col("format")
 
@@ -210,9 +245,6 @@ def parse_notifications(df: DataFrame, body: str = "body") -> DataFrame:
     staged = staged.withColumns(
         {
             "_records": F.coalesce(read("s3", "$.Records", RECORDS), read("rustfs", "$.records", RECORDS)),
-            "_list": F.coalesce(
-                read("s3", "$.Records", "variant"), read("rustfs", "$.records", "variant"), read("b2", "$.events", "variant")
-            ),
             "_b2": read("b2", "$.events", B2_EVENTS),
             "_bridge": read("eventbridge", "$", EVENTBRIDGE),
             "_bridge_name": read("eventbridge", '$["detail-type"]', "string"),
@@ -234,10 +266,11 @@ def parse_notifications(df: DataFrame, body: str = "body") -> DataFrame:
     topic = F.col("_topic")
     quiet = F.coalesce(topic.isin("SubscriptionConfirmation", "UnsubscribeConfirmation"), F.lit(False))
     # A list that is there but does not have the shape it should; a JSON null counts as an empty list.
-    misshapen = (
-        F.coalesce(F.size("_records"), F.size("_b2")).isNull()
-        & F.col("_list").isNotNull()
-        & (F.schema_of_variant("_list") != "VOID")
+    raw = F.coalesce(
+        read("s3", "$.Records", "variant"), read("rustfs", "$.records", "variant"), read("b2", "$.events", "variant")
+    )
+    misshapen = F.when(
+        F.coalesce(F.size("_records"), F.size("_b2")).isNull(), raw.isNotNull() & (F.schema_of_variant(raw) != "VOID")
     )
     unread = (
         F.when(F.col(body).isNull() | value.isNull() | F.col("_keys").isNull(), "body is not a JSON object")
@@ -250,21 +283,19 @@ def parse_notifications(df: DataFrame, body: str = "body") -> DataFrame:
     first_error = F.get(F.filter(F.transform("_events", lambda e: e["error"]), lambda e: e.isNotNull()), 0)
     staged = staged.withColumn("error", F.coalesce("_unread", first_error))
     kept = F.filter("_events", lambda e: (e["key"] != "") & (e["action"] != "ignore"))
-    bare = F.transform(kept, lambda e: F.struct(*[e[n].alias(n) for n in NORMALIZED_EVENT.fieldNames()]))
-    none = F.array().cast(f"array<{NORMALIZED_EVENT.simpleString()}>")
-    staged = staged.withColumn("events", F.when(F.col("error").isNull(), F.coalesce(bare, none)))
-    return staged.drop(*[c for c in staged.columns if c.startswith("_") and c not in df.columns])
+    none = F.filter(F.array(_event(F.lit(None), event_time=F.lit(None))), lambda _: F.lit(False))
+    staged = staged.withColumn("events", F.when(F.col("error").isNull(), F.coalesce(kept, none)))
+    return fence(staged.select(*df.columns, "format", "events", "error"), ["format", "events", "error"])
 
 
 def accepted(parsed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The events of parsed notifications. The outer form keeps Spark from inferring a filter on the array."""
-    return parsed.select(*keep, F.inline_outer("events")).where("key IS NOT NULL")
+    return parsed.select(*keep, F.inline_outer("events")).where("key IS NOT NULL").drop("error")
 
 
 def rejects(parsed: DataFrame) -> DataFrame:
     """The parsed notifications that have an error."""
-    rest = [c for c in parsed.columns if c != "error"]
-    return parsed.select(*rest, F.explode_outer(F.array("error")).alias("error")).where("error IS NOT NULL")
+    return parsed.where("error IS NOT NULL")
 
 
 def normalize_notifications(df: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -61,6 +61,7 @@ FIXTURES = {
     "rustfs_legacy": ({"records": [record("s3:ObjectCreated:Put", "a+b.jpg", "minio:s3")]}, "rustfs", "import", "a b.jpg", True, 434234, CREATED, ""),
     "minio": (aws(source="minio:s3"), "aws", "import", "photos/a.jpg", True, 434234, CREATED, ""),
     "wrapped_twice": ({"body": {"transport": "q", "body": aws()}}, "aws", "import", "photos/a.jpg", True, 434234, CREATED, ""),
+    "wrapped_deep": ({"body": {"body": {"body": {"body": {"body": aws()}}}}}, "aws", "import", "photos/a.jpg", True, 434234, CREATED, ""),
     "wrapped_sns": ({"body": {"Type": "Notification", "Message": json.dumps({"body": BRIDGE})}}, "aws", "import", "photos/a.jpg", True, 434234, CREATED, ""),
 }
 REJECTED = {
