@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
+import tempfile
+import zipfile
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stowage.session import cut_lineage, scratch_path
 
-__all__ = ["WORD", "cut_lineage", "fold", "read_table", "scratch_path", "slices", "text_rows"]
+__all__ = ["WORD", "cut_lineage", "fold", "read_table", "scratch_path", "ship", "slices", "text_rows"]
 
 # A word: what stands between ASCII spaces, tabs, line feeds, vertical tabs, form feeds and carriage returns.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -20,6 +25,24 @@ SLICE_CHARS = 2_000_000
 _LOWER = {code: code + 32 for code in range(ord("A"), ord("Z") + 1)}
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once per application, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if getattr(context, "_stowage_shipped", False):
+        return spark
+    root = Path(__file__).resolve().parents[1]
+    # The driver serves this file to the executors for as long as the application runs.
+    folder = tempfile.mkdtemp(prefix="package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/{root.name}_package.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for file in sorted(root.rglob("*.py")):
+            packed.write(file, file.relative_to(root.parent))
+    context.addPyFile(archive)
+    context._stowage_shipped = True
+    return spark
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

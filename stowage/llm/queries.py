@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stowage.llm.common import read_table, scratch_path
+from stowage.llm.common import read_table, scratch_path, ship
 from stowage.llm.packing import pack_documents
+from stowage.llm.simhash import near_duplicates
 from stowage.llm.token_counts import count_tokens
 from stowage.llm.token_store import checksums, read_tokens, write_tokens
 from stowage.session import configure
@@ -23,7 +24,7 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 def query(name: str, oracle: str | None = None):
     def register(function):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return function(configure(spark), sf_dir)
+            return function(ship(configure(spark)), sf_dir)
 
         QUERIES[name] = run
         if oracle is not None:
@@ -47,3 +48,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_token_counts")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(spark, read_table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+@query("op10_simhash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
