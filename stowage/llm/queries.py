@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from stowage.llm import embedding_dedup
 from stowage.llm.common import read_table, scratch_path, ship
 from stowage.llm.packing import pack_documents
 from stowage.llm.simhash import near_duplicates
@@ -53,3 +54,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query("op7_embedding_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark, read_table(spark, sf_dir, "embeddings"))
