@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stowage.llm import embedding_dedup
+from stowage.llm import embedding_dedup, toxicity
 from stowage.llm.common import read_table, scratch_path, ship
 from stowage.llm.packing import pack_documents
 from stowage.llm.simhash import near_duplicates
@@ -59,3 +59,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_embedding_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark, read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read_table(spark, sf_dir, "labels")
+    return toxicity.score_documents(spark, read_table(spark, sf_dir, "documents"), labels)
