@@ -238,8 +238,9 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
     usable = usable.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     # At most ``bound`` ids, some hundred kilobytes.
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda row: (row["doc_id"], row["text"]))
+    found = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id")
+    rows = found.agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    rows.sort(key=lambda row: row["doc_id"])
     return train([row["text"] for row in rows], [row["toxic"] for row in rows])
 
 
@@ -282,7 +283,8 @@ def score_documents(
     """One row per document: whether it is held out, its score, and 1 where the score reaches the threshold.
 
     A null or empty text has no words and gets the score of an empty window. Repeated rows score alike. Labels that are
-    null or not 0 or 1 teach nothing; of several labels of one id the highest counts. Without labels of both kinds no
+    null or not 0 or 1 teach nothing; of several labels of one id the highest counts,
+    of several texts the smallest. Without labels of both kinds no
     document is toxic. An empty table gives an empty table.
     """
     rows = text_rows(docs, id_col, text_col)
