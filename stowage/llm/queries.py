@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stowage.llm import embedding_dedup, hmm, toxicity
+from stowage.llm import embedding_dedup, fingerprints, hmm, toxicity
 from stowage.llm.common import read_table, scratch_path, ship
 from stowage.llm.packing import pack_documents
 from stowage.llm.simhash import near_duplicates
@@ -70,3 +70,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_hidden_markov")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(spark, read_table(spark, sf_dir, "documents"))
+
+
+@query("op6_fingerprints")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(spark, read_table(spark, sf_dir, "documents"))
