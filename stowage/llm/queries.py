@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stowage.llm import embedding_dedup, fingerprints, hmm, toxicity
+from stowage.llm import embedding_dedup, fingerprints, hmm, mixing, pii, toxicity
 from stowage.llm.common import read_table, scratch_path, ship
 from stowage.llm.packing import pack_documents
 from stowage.llm.simhash import near_duplicates
@@ -35,6 +35,11 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_pii")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find_private(spark, read_table(spark, sf_dir, "documents")))
+
+
 @query("op2_best_fit_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), WORD_BPE)
@@ -75,3 +80,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_fingerprints")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(spark, read_table(spark, sf_dir, "documents"))
+
+
+@query("op8_mixing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
