@@ -101,9 +101,12 @@ def count_tokens(
                 taken = [cut.pieces(text) for text in texts[first:end]]
                 missed = set().union(*taken).difference(known)
                 if len(seen) + len(missed) > REMEMBERED:
+                    # What this slice has again is likely to come again.
+                    again = {piece: seen[piece] for piece in missed if piece in seen}
                     seen.clear()
+                    seen.update(again)
                 new = list(missed.difference(seen))
-                seen.update(zip(new, map(len, cut.encode(new))))
+                seen.update(zip(new, (len(ids) // cut.id_type.itemsize for ids in cut.encode_new(new))))
                 for pieces in taken:
                     found = list(map(known.get, pieces))
                     if None in found:
