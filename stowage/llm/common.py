@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import re
 import shutil
 import tempfile
 import zipfile
@@ -14,16 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stowage.session import cut_lineage, scratch_path
 
-__all__ = ["WORD", "cut_lineage", "fold", "read_table", "scratch_path", "ship", "slices", "text_rows"]
-
-# A word: what stands between ASCII spaces, tabs, line feeds, vertical tabs, form feeds and carriage returns.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+__all__ = ["cut_lineage", "fresh", "read_table", "scratch_path", "ship", "slices", "text_rows"]
 
 # Characters of text that a Python worker takes apart at once.
 SLICE_CHARS = 2_000_000
 
-_LOWER = {code: code + 32 for code in range(ord("A"), ord("Z") + 1)}
-
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors once per application, as ``--py-files`` would."""
@@ -52,9 +46,12 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def fold(text: str) -> str:
-    """A-Z in lower case; all other characters stay."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
+def fresh(name: str, columns: Sequence[str]) -> str:
+    """A column name that none of ``columns`` has, whatever their case."""
+    taken = {column.lower() for column in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def slices(texts: Sequence[str], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stowage.llm.common import cut_lineage
+from stowage.llm.common import cut_lineage, fresh
 
 # Weights of the sources in their order, repeating, and the share of all words that the mix asks for.
 WEIGHTS = (3, 1, 2)
@@ -163,3 +163,19 @@ def mix(
     rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(_rate(F.col("tilt")))
     copied = round_copies(joined.withColumn("rate", rate))
     return copied.withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, all columns as they are."""
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).where("copies > 0")
+    plan = cut_lineage(taken.select("doc_id", "source", "size", "copies").distinct())
+    names = {name: fresh(f"mix_{name}", docs.columns) for name in ("doc_id", "source", "size", "copies", "copy")}
+    renamed = plan.select(*[F.col(name).alias(names[name]) for name in plan.columns])
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    same = (
+        F.col(id_col).cast("long").eqNullSafe(F.col(names["doc_id"]))
+        & F.col(source_col).cast("string").eqNullSafe(F.col(names["source"]))
+        & (size == F.col(names["size"]))
+    )
+    copied = docs.join(renamed, same).withColumn(names["copy"], F.explode(F.sequence(F.lit(1), F.col(names["copies"]))))
+    return copied.select(*docs.columns)

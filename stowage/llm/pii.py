@@ -532,19 +532,27 @@ def report(found: DataFrame) -> DataFrame:
     )
 
 
-def masked(found: DataFrame) -> DataFrame:
-    """(doc_id, text): each span replaced by its kind in brackets; of overlapping spans the first and longest counts."""
+def mask_text(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """Each span replaced by its kind in brackets; of overlapping spans the first and longest counts."""
+    parts, end = [], 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a >= end:
+            parts += [text[end:a], f"[{KINDS[kind]}]"]
+            end = b
+    return "".join([*parts, text[end:]])
+
+
+def mask(spark: SparkSession, docs: DataFrame, model: Field | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` with every span in the text replaced by its kind; other columns as they are. A null text stays null."""
+    shared = spark.sparkContext.broadcast(model or train(training_table(text_rows(docs, text_col=text_col))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(shared.value)
         for batch in batches:
-            out = []
-            for text, base, added in zip(*(batch[name].to_pylist() for name in ("text", "base", "added"))):
-                parts, end = [], 0
-                for s in sorted([*base, *added], key=lambda s: (s["start"], -s["end"])):
-                    if s["start"] >= end:
-                        parts += [text[end : s["start"]], f"[{KINDS[s['kind']]}]"]
-                        end = s["end"]
-                out.append("".join([*parts, text[end:]]))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.string())], ["doc_id", "text"])
-
-    return found.mapInArrow(run, "doc_id long, text string")
+            texts = batch[text_col].to_pylist()
+            found = find([text or "" for text in texts], decoder)
+            out = [None if text is None else mask_text(text, [*base, *added]) for text, (base, added) in zip(texts, found)]
+            at = batch.schema.get_field_index(text_col)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from stowage.llm import embedding_dedup, fingerprints, hmm, mixing, pii, toxicity
@@ -13,14 +13,12 @@ from stowage.llm.packing import pack_documents
 from stowage.llm.simhash import near_duplicates
 from stowage.llm.token_counts import count_tokens
 from stowage.llm.token_store import checksums, read_tokens, write_tokens
+from stowage.llm.tokens import BYTE_BPE, WORD_BPE
 from stowage.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
-BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
-
 
 def query(name: str, oracle: str | None = None):
     def register(function):
@@ -86,3 +84,6 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run

@@ -14,9 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from stowage.llm.common import cut_lineage, text_rows
+from stowage.llm.common import cut_lineage, fresh, text_rows
 from stowage.llm.components import connected_components, merge
 
 BITS = 64
@@ -176,6 +178,13 @@ def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     return grouped.mapInArrow(join, "a long, b long")
 
 
+def groups(distinct: DataFrame, max_bits: int) -> DataFrame:
+    """(bits, root) of distinct ``bits``: the root is one fingerprint of all that links lead to."""
+    found = connected_components(links(distinct, max_bits))
+    rooted = distinct.select("bits").join(found.withColumnRenamed("node", "bits"), "bits", "left")
+    return cut_lineage(rooted.select("bits", F.coalesce("component", "bits").alias("root")))
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -186,10 +195,35 @@ def near_duplicates(
     """
     prints = cut_lineage(fingerprints(text_rows(docs, id_col, text_col), words))
     distinct = cut_lineage(prints.groupBy("bits").agg(F.min("doc_id").alias("lowest")))
-    found = connected_components(links(distinct, max_bits))
-    rooted = distinct.join(found.withColumnRenamed("node", "bits"), "bits", "left")
-    rooted = cut_lineage(rooted.select("bits", "lowest", F.coalesce("component", "bits").alias("root")))
-    smallest = cut_lineage(rooted.groupBy("root").agg(F.min("lowest").alias("component_id")))
-    named = cut_lineage(rooted.select("bits", "root").join(smallest, "root").select("bits", "component_id"))
+    rooted = groups(distinct, max_bits)
+    smallest = rooted.join(distinct, "bits").groupBy("root").agg(F.min("lowest").alias("component_id"))
+    named = cut_lineage(rooted.join(cut_lineage(smallest), "root").select("bits", "component_id"))
     hexed = F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint")
     return prints.join(named, "bits").select("doc_id", hexed, "component_id")
+
+
+def keep_one(docs: DataFrame, words: int, max_bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, all its columns as they are: the one of the smallest id.
+
+    Null ids come last; of several rows of that id the first in the order of the input stays. A null text is empty, and
+    texts without words are one group. An empty table gives an empty table.
+    """
+    row, bits = fresh("row_id", docs.columns), fresh("bits", docs.columns)
+    schema = StructType([*docs.schema.fields, StructField(row, LongType()), StructField(bits, LongType())])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            found = np.array([simhash(text.as_py() or "", words) for text in batch[text_col]], dtype=np.uint64)
+            rows = np.arange(first, first + batch.num_rows)
+            first += batch.num_rows
+            columns = [*batch.columns, pa.array(rows), pa.array(found.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, row, bits])
+
+    # Written with the rows' numbers, which thereby stay what they are.
+    numbered = cut_lineage(docs.mapInArrow(number, schema))
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    distinct = cut_lineage(numbered.groupBy(F.col(bits).alias("bits")).agg(F.min(order).alias("first")))
+    rooted = groups(distinct, max_bits).join(distinct, "bits")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return numbered.join(cut_lineage(kept), row, "left_semi").select(*docs.columns)

@@ -9,6 +9,7 @@ were kept apart turns the best window's margin into a probability.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -247,36 +248,58 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
 _VALUES: dict[str, dict[str, float]] = {}
 
 
-def score(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, score, predicted) of each text of ``docs``."""
+def _scorer(spark: SparkSession, model: Model):
+    """A function of texts, for use in tasks, that gives their scores; words' values are remembered per worker."""
     shared = spark.sparkContext.broadcast(model)
-    key = f"{id(model)}-{np.random.SeedSequence().entropy}"
+    key = uuid.uuid4().hex
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(texts: list[str]) -> list[float]:
         model = shared.value
         if key not in _VALUES:
             _VALUES.clear()
             _VALUES[key] = {}
         known = _VALUES[key]
+        out: list[float] = []
+        for first, end in slices(texts):
+            taken = [words_of(text) for text in texts[first:end]]
+            wanted = set().union(*taken)
+            if len(known) + len(wanted) > REMEMBERED:
+                known.clear()
+            new = list(wanted.difference(known))
+            known.update(zip(new, word_values(new, model.bucket_values).tolist()))
+            value = known.__getitem__
+            out += [model.score(np.array(list(map(value, words)), dtype=np.float64)) for words in taken]
+        return out
+
+    return scores
+
+
+def score(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, score, predicted) of each text of ``docs``."""
+    scores = _scorer(spark, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            scores: list[float] = []
-            for first, end in slices(texts):
-                taken = [words_of(text) for text in texts[first:end]]
-                wanted = set().union(*taken)
-                if len(known) + len(wanted) > REMEMBERED:
-                    known.clear()
-                new = list(wanted.difference(known))
-                known.update(zip(new, word_values(new, model.bucket_values).tolist()))
-                value = known.__getitem__
-                scores += [model.score(np.array(list(map(value, words)), dtype=np.float64)) for words in taken]
-            predicted = pa.array([int(s >= threshold) for s in scores], pa.int32())
-            columns = [batch["doc_id"], pa.array(scores, pa.float64()), predicted]
+            found = scores(batch["text"].to_pylist())
+            predicted = pa.array([int(s >= threshold) for s in found], pa.int32())
+            columns = [batch["doc_id"], pa.array(found, pa.float64()), predicted]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted"])
 
     return docs.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def reject(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores below the threshold, all columns as they are. A null text is empty."""
+    scores = _scorer(spark, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = scores([text or "" for text in batch[text_col].to_pylist()])
+            yield batch.filter(pa.array([s < threshold for s in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_documents(
     spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
