@@ -125,8 +125,8 @@ def round_copies(rated: DataFrame) -> DataFrame:
                 if (source_no, chunk) != place:
                     place, last, over = (source_no, chunk), None, 0.0
                 if (size, doc_id) != last:
-                    last, copies = (size, doc_id), int(rate)
-                    copies += over + (rate - copies) * size >= 0.5 * size if size else rate - copies >= 0.5
+                    last = (size, doc_id)
+                    copies = min(MOST_COPIES, max(0, int((rate * size + over) / size + 0.5))) if size else int(rate + 0.5)
                 over += (rate - copies) * size
                 out[at] = copies
             yield pa.RecordBatch.from_arrays([*[batch[name] for name in names], pa.array(out)], [*names, "copies"])
