@@ -9,18 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stowage.functions.hashing import DEFAULT_PARTITIONS, fnv1a32, partition_id, partition_index
 
-# Scope sizes and the share of partitions checked per day.
-LARGE_SCOPE, MEDIUM_SCOPE = 100_000, 10_000
-LARGE_RATE, MEDIUM_RATE, SMALL_RATE = 0.01, 0.10, 0.25
 RATE_STEPS = 10_000
 
 
-def sample_rate(object_count: Column) -> Column:
-    return (
-        F.when(object_count > LARGE_SCOPE, LARGE_RATE).when(object_count >= MEDIUM_SCOPE, MEDIUM_RATE).otherwise(SMALL_RATE)
-    )
-
-
 def daily_epoch(at: date | datetime) -> date:
     """The UTC day of a moment."""
     if isinstance(at, datetime):
@@ -34,24 +25,19 @@ def should_sample(partition: Column, rate: Column, day: date | datetime) -> Colu
     return F.when(rate >= 1, True).when(rate <= 0, False).otherwise(drawn < F.floor(rate * RATE_STEPS))
 
 
-def sampled(partition: Column, count: Column, day: date | datetime) -> Column:
-    """Whether a partition of a scope is checked that day. Scopes below the medium size are checked whole."""
-    return (count < MEDIUM_SCOPE) | should_sample(partition, sample_rate(count), day)
-
-
-def sampled_total(count: Column, day: date | datetime, partitions: int = DEFAULT_PARTITIONS) -> Column:
-    """How many partitions of a scope are checked that day, empty ones included."""
+def sampled_total(rate: Column, day: date | datetime, partitions: int = DEFAULT_PARTITIONS) -> Column:
+    """How many partitions are checked that day at a rate, empty ones included."""
     every = F.sequence(F.lit(0), F.lit(partitions - 1))
-    return F.size(F.filter(every, lambda i: sampled(partition_id(i, partitions), count, day))).cast("bigint")
+    return F.size(F.filter(every, lambda i: should_sample(partition_id(i, partitions), rate, day))).cast("bigint")
 
 
 def sample_partitions(
-    scopes: DataFrame, day: date | datetime, partitions: int = DEFAULT_PARTITIONS, count: str = "object_count"
+    scopes: DataFrame, day: date | datetime, rate: float, partitions: int = DEFAULT_PARTITIONS
 ) -> DataFrame:
-    """The partitions to check, one row each, for every scope row."""
+    """The partitions to check at the rate asked for, one row each, for every scope row."""
     index = F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))).alias("partition_index")
     rows = scopes.select("*", index).withColumn("partition_id", partition_id(F.col("partition_index"), partitions))
-    return rows.where(sampled(F.col("partition_id"), F.col(count), day))
+    return rows.where(should_sample(F.col("partition_id"), F.lit(rate), day))
 
 
 def fingerprints(

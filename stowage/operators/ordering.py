@@ -1,4 +1,4 @@
-"""Sorting, paging and capped lists over objects, jobs and events."""
+"""Sorting, paging and lists over objects, jobs and events."""
 
 from __future__ import annotations
 
@@ -11,23 +11,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stowage.functions.events import event_category
 from stowage.operators.predicates import ObjectFields, Operand, literal
 
-MAX_ROWS = 1000
-PAGE, MAX_PAGE = 100, 500
-
-
 def sort_keys(keys: Iterable[Operand | Column]) -> list[Column]:
     """Operands sort ascending with NULLs last; columns are taken as they are."""
     return [k.asc() if isinstance(k, Operand) else k for k in keys]
 
 
-def capped(rows: int | None, cap: int = MAX_ROWS) -> int:
-    return cap if rows is None or rows > cap else rows
+def page(df: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """A page of a list: without a limit all rows, a given one is kept to; a negative offset is none."""
+    rows = df.offset(offset) if offset > 0 else df
+    return rows if limit is None else rows.limit(limit)
 
 
-def page(df: DataFrame, limit: int = 0, offset: int = 0) -> DataFrame:
-    """Listing page: no limit means 100 rows, 500 is the most, a negative offset is none."""
-    limit = PAGE if limit <= 0 else min(limit, MAX_PAGE)
-    return df.offset(offset).limit(limit) if offset > 0 else df.limit(limit)
+def after_key(bucket_id: str, key: str) -> Column:
+    """Where a list by bucket and key goes on. A page found so reads nothing before it, unlike a deep offset."""
+    return (F.col("bucket_id") > bucket_id) | ((F.col("bucket_id") == bucket_id) & (F.col("key") > key))
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -47,9 +44,14 @@ def object_filter(
     return _all(conditions)
 
 
-def list_objects(objects: DataFrame, limit: int = 0, offset: int = 0, **filters: str) -> DataFrame:
-    """Filtered objects by bucket and key, one page."""
-    return page(objects.where(object_filter(objects, **filters)).orderBy("bucket_id", "key"), limit, offset)
+def list_objects(
+    objects: DataFrame, limit: int | None = None, offset: int = 0, after: tuple[str, str] | None = None, **filters: str
+) -> DataFrame:
+    """Filtered objects by bucket and key, those after a (bucket, key) if one is given."""
+    rows = objects.where(object_filter(objects, **filters))
+    if after is not None:
+        rows = rows.where(after_key(*after))
+    return page(rows.orderBy("bucket_id", "key"), limit, offset)
 
 
 def job_filter(
@@ -88,7 +90,7 @@ def time_range(column: str, after: datetime | None, before: datetime | None) ->
     return conditions
 
 
-def list_jobs(jobs: DataFrame, limit: int = 0, offset: int = 0, **filters) -> DataFrame:
+def list_jobs(jobs: DataFrame, limit: int | None = None, offset: int = 0, **filters) -> DataFrame:
     rows = jobs.where(job_filter(**filters)).orderBy(F.desc("created_at"), F.desc("id"))
     return page(rows, limit, offset)
 
@@ -106,6 +108,6 @@ def event_filter(
     return _all(conditions + time_range("received_at", received_after, received_before))
 
 
-def list_events(events: DataFrame, limit: int = 0, offset: int = 0, **filters) -> DataFrame:
+def list_events(events: DataFrame, limit: int | None = None, offset: int = 0, **filters) -> DataFrame:
     rows = events.where(event_filter(**filters)).orderBy(F.desc("received_at"), F.desc("id"))
     return page(rows, limit, offset)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stowage.operators.ordering import MAX_ROWS, capped, sort_keys
+from stowage.operators.ordering import page, sort_keys
 from stowage.operators.predicates import ObjectFields, Operand
 
 Predicate = Column | str | Callable[[ObjectFields], Column]
@@ -26,13 +26,12 @@ def search(
     offset: int = 0,
     scope: Column | None = None,
     catalog: Mapping[str, str] | None = None,
-    max_rows: int | None = MAX_ROWS,
     strict: bool = True,
 ) -> DataFrame:
     """Scope, then predicate, then order, then offset and limit.
 
     ``where`` and ``order_by`` may be functions of :class:`ObjectFields`. No order is added that was not asked for, and
-    ``max_rows`` bounds the result unless it is None.
+    without a limit all rows are found.
     """
     fields = ObjectFields(objects, catalog, strict)
     rows = objects if scope is None else objects.where(scope)
@@ -41,11 +40,7 @@ def search(
     keys = sort_keys(order_by(fields) if callable(order_by) else order_by)
     if keys:
         rows = rows.orderBy(*keys)
-    if offset > 0:
-        rows = rows.offset(offset)
-    if max_rows is not None:
-        limit = capped(limit, max_rows)
-    return rows if limit is None else rows.limit(limit)
+    return page(rows, limit, offset)
 
 
 def saved_predicate(collection_id: str, where: Predicate) -> tuple[str, Predicate]:

@@ -1,4 +1,4 @@
-"""Sampled verification of the catalog against a listing."""
+"""Verification of the catalog against a listing."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stowage.functions.evidence import evidence
 from stowage.functions.hashing import DEFAULT_PARTITIONS, partition_id, partition_index
-from stowage.operators.fingerprints import paired_fingerprints, sampled, sampled_total
+from stowage.operators.fingerprints import paired_fingerprints, sampled_total, should_sample
 
 BUCKET = ["bucket_id"]
 
@@ -26,29 +26,27 @@ def verify(
     day: date | datetime,
     complete: bool = True,
     partitions: int = DEFAULT_PARTITIONS,
-    max_listed: int | None = None,
+    rate: float = 1.0,
 ) -> Verified:
-    """Fingerprints of both sides per bucket, compared on the day's sample of partitions.
+    """Fingerprints of both sides per bucket, compared partition by partition.
 
-    ``partitions`` reports each checked partition, ``buckets`` the status: healthy, needs_sync, or none where the
-    listing was cut, by the caller or because a bucket lists more than ``max_listed`` objects.
+    ``partitions`` reports every partition with rows, ``buckets`` the status: healthy, needs_sync, or none where the
+    listing is not complete and nothing differs. A ``rate`` below 1 checks the day's share of the partitions; the rows of
+    others are left out before anything is summed, so counts are then those of the checked partitions.
     """
-    local = objects.select(*BUCKET, "key", evidence(objects)["size"].alias("size"))
-    compared = paired_fingerprints(local, listing, partitions, BUCKET)
+    index = partition_index(F.col("key"), partitions)
+    chosen = should_sample(partition_id(index, partitions), F.lit(rate), day) if rate < 1 else F.lit(True)
+    local = objects.where(chosen).select(*BUCKET, "key", evidence(objects)["size"].alias("size"))
+    compared = paired_fingerprints(local, listing.where(chosen), partitions, BUCKET)
     # A bucket has at most one row per partition here, so its totals are a small window and no second pass.
     bucket = Window.partitionBy(*BUCKET)
-    finished = F.lit(complete)
-    if max_listed is not None:
-        finished = finished & (F.col("objects_listed") <= max_listed)
-    label = partition_id(F.col("partition_index"), partitions)
     compared = (
         compared.withColumn("object_count", F.sum("local_count").over(bucket))
         .withColumn("objects_listed", F.sum("upstream_count").over(bucket))
-        .withColumn("listing_complete", finished)
-        .withColumn("partition_id", label)
-        .withColumn("scanned", sampled(F.col("partition_id"), F.col("object_count"), day))
+        .withColumn("listing_complete", F.lit(complete))
+        .withColumn("partition_id", partition_id(F.col("partition_index"), partitions))
     )
-    report = compared.where("scanned").select(
+    report = compared.select(
         *BUCKET,
         "partition_id",
         "partition_index",
@@ -58,11 +56,11 @@ def verify(
         "upstream_bytes",
         F.when(F.col("listing_complete"), F.col("drift_at")).alias("drift_at"),
     )
-    mismatch = F.col("scanned") & F.col("listing_complete") & (F.col("drift_at") != "")
+    mismatch = F.col("listing_complete") & (F.col("drift_at") != "")
     totals = compared.groupBy(*BUCKET, "object_count", "objects_listed", "listing_complete").agg(
-        F.count_if("scanned").alias("partitions_scanned"), F.count_if(mismatch).alias("partitions_mismatched")
+        F.count(F.lit(1)).alias("partitions_scanned"), F.count_if(mismatch).alias("partitions_mismatched")
     )
-    buckets = totals.withColumn("partitions_sampled", sampled_total(F.col("object_count"), day, partitions))
+    buckets = totals.withColumn("partitions_sampled", sampled_total(F.lit(rate), day, partitions))
     status = F.when(F.col("partitions_mismatched") > 0, "needs_sync").when(F.col("listing_complete"), "healthy")
     return Verified(report, buckets.withColumn("status", status))
 

@@ -104,10 +104,13 @@ def test_null_order(objects):
     assert [r.id for r in ordered] == ["o2", "o3", "o1"]
 
 
-def test_caps(objects):
-    assert [ordering.capped(n) for n in (None, 5, 5000)] == [1000, 5, 1000]
-    assert ordering.page(objects.orderBy("id"), 0, -5).count() == 3
+def test_pages(spark, objects):
+    assert ordering.page(objects.orderBy("id"), None, -5).count() == 3
     assert [r.id for r in ordering.page(objects.orderBy("id"), 1, 1).collect()] == ["o2"]
+    many = spark.range(2500).select(F.col("id"), F.lit("b").alias("bucket_id"), F.lpad(F.col("id").cast("string"), 5, "0").alias("key"))
+    assert ordering.page(many, 1800).count() == 1800 and ordering.page(many).count() == 2500
+    rest = ordering.page(many.where(ordering.after_key("b", "02000")).orderBy("bucket_id", "key"), 3)
+    assert [r.id for r in rest.collect()] == [2001, 2002, 2003]
 
 
 def test_bucket_by_name(spark, objects):

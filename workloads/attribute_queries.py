@@ -11,7 +11,6 @@ from stowage.functions import evidence as ev
 from stowage.functions import text
 from stowage.operators import attributes as ops
 from stowage.plans.observe import observe_catalog
-from stowage.sources.contents import hash_contents
 from stowage.sources.heads import CaptureRule, attributes_from_head, capture_attributes, platform_rules, validate_rules
 from stowage.sources.listing import listing_complete, parse_pages, read_listing
 from workloads import views as v
@@ -464,10 +463,3 @@ def time_texts(spark, d):
         text.parse_http_date(F.date_format("at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).alias("http"),
     )
     return rows.select("event_id", *[ntz(c) for c in ("parsed", "from_millis", "http")])
-
-
-@query("hash_files")
-def hash_files(spark, d):
-    """The documents table's own files, hashed as stored objects."""
-    v.table(spark, d, "documents")
-    return hash_contents(spark, f"{d}/documents.parquet").select("content_sha256", "bytes_read")

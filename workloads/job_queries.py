@@ -17,6 +17,9 @@ TYPES = ["sync_bucket", "import_objects", "refresh_objects", "remove_objects"]
 STALE = "state = 'running' AND locked_by IS NOT NULL AND updated_at < TIMESTAMP '1998-12-31 23:45:00'"
 
 
+UNAIMED = "trace_id LIKE '%3'"
+
+
 def utc(*parts: int) -> datetime:
     return datetime(*parts, tzinfo=timezone.utc)
 
@@ -25,7 +28,7 @@ def utc(*parts: int) -> datetime:
     "list_jobs",
     JOBS + """SELECT id, type, state, target_id, created_at FROM jobs WHERE type IN ('sync_bucket', 'import_objects')
     AND state = 'succeeded' AND created_at >= TIMESTAMP '1997-01-01' AND created_at < TIMESTAMP '1998-01-01'
-    ORDER BY created_at DESC, id DESC LIMIT 500""",
+    ORDER BY created_at DESC, id DESC LIMIT 900""",
 )
 def list_jobs(spark, d):
     rows = ordering.list_jobs(
@@ -38,10 +41,10 @@ def list_jobs(spark, d):
 @query(
     "list_jobs_of_target",
     JOBS + """SELECT id, type, state, requested_by_id, created_at FROM jobs WHERE target_type = 'bucket' AND target_id = 'bucket_7'
-    AND requested_by_type = 'job' ORDER BY created_at DESC, id DESC LIMIT 100 OFFSET 10""",
+    AND requested_by_type = 'job' ORDER BY created_at DESC, id DESC OFFSET 10""",
 )
 def list_jobs_of_target(spark, d):
-    rows = ordering.list_jobs(v.jobs(spark, d), 0, 10, target_type="bucket", target_id="bucket_7", requested_by_type="job")
+    rows = ordering.list_jobs(v.jobs(spark, d), offset=10, target_type="bucket", target_id="bucket_7", requested_by_type="job")
     return rows.select("id", "type", "state", "requested_by_id", ntz("created_at"))
 
 
@@ -171,12 +174,17 @@ def planned_counts(spark, d):
 
 @query(
     "active_work",
-    JOBS + f"""SELECT id, trace_id, type, state, target_id FROM jobs j WHERE state IN ('pending', 'running') AND NOT ({STALE})
-    AND EXISTS (SELECT 1 FROM jobs r WHERE r.id = j.trace_id AND r.id = r.trace_id AND r.type IN ('sync_bucket', 'scan_bucket')
-      AND r.target_type = j.target_type AND r.target_id = j.target_id)""",
+    JOBS + f""", aimed AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {UNAIMED} THEN NULL ELSE target_id END AS target_id) FROM jobs),
+    roots AS (SELECT id, target_type, target_id FROM aimed WHERE id = trace_id AND type IN ('sync_bucket', 'scan_bucket'))
+    SELECT j.id, j.trace_id, j.type, j.state, j.target_id FROM aimed j SEMI JOIN roots r ON r.id = j.trace_id
+      AND r.target_type IS NOT DISTINCT FROM j.target_type AND r.target_id IS NOT DISTINCT FROM j.target_id
+    WHERE state IN ('pending', 'running') AND NOT coalesce({STALE}, false)""",
 )
 def active_work(spark, d):
-    return ops.active_work(v.jobs(spark, d), v.JOBS_NOW).select("id", "trace_id", "type", "state", "target_id")
+    """Some traces have no target, and are work of their own kind."""
+    rows = v.jobs(spark, d)
+    aimed = rows.withColumn("target_id", F.when(F.expr(UNAIMED), None).otherwise(F.col("target_id")))
+    return ops.active_work(aimed, v.JOBS_NOW).select("id", "trace_id", "type", "state", "target_id")
 
 
 @query("active_jobs", JOBS + "SELECT type, target_type, target_id, bool_or(state IN ('pending', 'running')) AS active FROM jobs GROUP BY ALL")
@@ -269,7 +277,7 @@ def event_activity_hours(spark, d):
 @query(
     "list_events",
     INBOX + f"""SELECT id, event_name, object_key, received_at FROM inbox WHERE bucket_id = 'src2' AND {v.CATEGORY} = 'created'
-    AND received_at >= TIMESTAMP '2024-01-05' AND received_at < TIMESTAMP '2024-01-25' ORDER BY received_at DESC, id DESC LIMIT 100""",
+    AND received_at >= TIMESTAMP '2024-01-05' AND received_at < TIMESTAMP '2024-01-25' ORDER BY received_at DESC, id DESC""",
 )
 def list_events(spark, d):
     rows = ordering.list_events(

@@ -89,7 +89,7 @@ def _where(name, sql, where, catalog=TYPES):
 
     @query(name, v.with_views(v.OBJECTS) + f"SELECT id, bucket_id, key FROM objects WHERE {sql}")
     def run(spark, d):
-        return search(v.bare_objects(spark, d), where, catalog=catalog, max_rows=None).select(*ROW)
+        return search(v.bare_objects(spark, d), where, catalog=catalog).select(*ROW)
 
 
 _where("field_equals", "bucket_id = 'src3'", lambda o: o.field("bucket_id") == "src3")
@@ -131,14 +131,14 @@ _where("time_arithmetic",
 )
 def in_bucket(spark, d):
     inside = p.in_bucket(v.buckets(spark, d), "bucket-src4")
-    return search(v.objects(spark, d), inside, max_rows=None).select(*ROW)
+    return search(v.objects(spark, d), inside).select(*ROW)
 
 
 def _scope(name, sql, scope):
     @query(name, v.with_views(v.OBJECTS) + f"SELECT id, bucket_id, key FROM objects WHERE {sql}")
     def run(spark, d):
         o = v.objects(spark, d)
-        return search(o, scope=scope(o), max_rows=None).select(*ROW)
+        return search(o, scope=scope(o)).select(*ROW)
 
 
 _scope("scope_bucket", "bucket_id = 'src2'", lambda o: p.scope("src2"))
@@ -180,7 +180,7 @@ def order_nulls(spark, d):
 
 @query(
     "limit_cap",
-    v.with_views(v.OBJECTS) + "SELECT id FROM objects ORDER BY id LIMIT 1000",
+    v.with_views(v.OBJECTS) + "SELECT id FROM objects ORDER BY id LIMIT 5000",
 )
 def limit_cap(spark, d):
     return search(v.objects(spark, d), order_by=[F.col("id").asc_nulls_last()], limit=5000).select("id")
@@ -204,7 +204,7 @@ def offset_page(spark, d):
     "list_objects",
     v.with_views(v.OBJECTS)
     + """SELECT id, bucket_id, key FROM objects WHERE bucket_id = 'src1' AND starts_with(key, 'en/')
-    AND content_type = 'text/en' AND key ILIKE '%1%' ORDER BY bucket_id, key LIMIT 100""",
+    AND content_type = 'text/en' AND key ILIKE '%1%' ORDER BY bucket_id, key""",
 )
 def list_objects(spark, d):
     return ordering.list_objects(
@@ -212,6 +212,16 @@ def list_objects(spark, d):
     ).select(*ROW)
 
 
+@query(
+    "list_objects_after",
+    v.with_views(v.OBJECTS)
+    + """SELECT id, bucket_id, key FROM objects WHERE bucket_id > 'src1' OR bucket_id = 'src1' AND key > 'en/5'
+    ORDER BY bucket_id, key LIMIT 60""",
+)
+def list_objects_after(spark, d):
+    return ordering.list_objects(v.objects(spark, d), 60, after=("src1", "en/5")).select(*ROW)
+
+
 @query("count_in_scope", v.with_views(v.OBJECTS) + "SELECT count(*) AS object_count FROM objects WHERE starts_with(key, 'en/')")
 def count_in_scope(spark, d):
     return object_ops.count_in_scope(v.objects(spark, d), p.scope(prefixes="en/"))
@@ -253,7 +263,7 @@ def relation_in_tree(spark, d):
     out = rel.relation_exists(edges, "derived_from", "out")
     into = rel.relation_exists(edges, "derived_from", "in")
     return search(
-        v.objects(spark, d), lambda o: ((o.attr("upstream.size") > 2000) & ~out) | into, catalog=TYPES, max_rows=None
+        v.objects(spark, d), lambda o: ((o.attr("upstream.size") > 2000) & ~out) | into, catalog=TYPES
     ).select(*ROW)
 
 
