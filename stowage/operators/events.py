@@ -6,11 +6,12 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stowage.functions.events import REFRESH_JOB, REMOVE_JOB, event_job_type
+from stowage.functions.events import IMPORT_JOB, REFRESH_JOB, REMOVE_JOB, event_job_type
 from stowage.functions.hashing import dedupe_key
-from stowage.operators.objects import delete_objects, upsert_objects
+from stowage.operators.objects import delete_objects, new_object_id, upsert_objects
+from stowage.operators.ordering import page
 from stowage.operators.predicates import literal
-from stowage.operators.skew import number_within, small_side
+from stowage.operators.skew import number_within
 from stowage.schema import NORMALIZED_EVENT, STORED_EVENT
 
 BATCH_SIZE = 100
@@ -45,18 +46,14 @@ def first_per_key(incoming: DataFrame) -> DataFrame:
     return grouped.select("dedupe_key", "_row.*", "copies")
 
 
-def _stored_among(keys: DataFrame, stored: DataFrame, few: bool = False) -> DataFrame:
+def _stored_among(keys: DataFrame, stored: DataFrame) -> DataFrame:
     """The keys that are stored already. The store is read for this one column and matched against the new keys."""
-    wanted = small_side(keys.select("dedupe_key"), few)
-    return stored.select("dedupe_key").join(wanted, "dedupe_key", "left_semi").distinct()
+    return stored.select("dedupe_key").join(keys.select("dedupe_key"), "dedupe_key", "left_semi").distinct()
 
 
-def unseen(stored: DataFrame, unique: DataFrame, few: bool = False) -> DataFrame:
-    """The rows of ``unique``, one per dedupe key, whose key is not stored.
-
-    ``few`` says that the caller has counted the rows and there are few enough to broadcast, so that the store stays put.
-    """
-    return unique.join(_stored_among(unique, stored, few), "dedupe_key", "left_anti")
+def unseen(stored: DataFrame, unique: DataFrame) -> DataFrame:
+    """The rows of ``unique``, one per dedupe key, whose key is not stored."""
+    return unique.join(_stored_among(unique, stored), "dedupe_key", "left_anti")
 
 
 def append_events(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -80,28 +77,27 @@ def ingest_counts(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
-def pending_events(events: DataFrame, limit: int = BATCH_SIZE) -> DataFrame:
-    """The oldest pending events."""
-    return events.where("state = 'pending'").orderBy("received_at", "id").limit(limit if limit > 0 else BATCH_SIZE)
+def pending_events(events: DataFrame, limit: int | None = None) -> DataFrame:
+    """Pending events, oldest first: all of them, or as many as are asked for."""
+    return page(events.where("state = 'pending'").orderBy("received_at", "id"), limit)
 
 
-def resolve_events(
-    events: DataFrame, buckets: DataFrame, objects: DataFrame, unified: bool = False, few: bool = False
-) -> DataFrame:
+def resolve_events(events: DataFrame, buckets: DataFrame, objects: DataFrame, unified: bool = False) -> DataFrame:
     """Events with ``job_type``, ``object_id`` and ``skip_reason``.
 
-    Removals and refreshes need an object in the catalog; imports do not. Both lookups are plain left joins: Spark
-    broadcasts a side only below its size threshold and splits a hot key's events otherwise. ``few`` says that the caller
-    has counted the events and they are few: then their keys go to the catalog's files, and the catalog stays put.
+    Removals and refreshes need an object; imports do not. An object is known if the catalog has it or an earlier import
+    among the events makes it, in which case its id is the one that import will give it. The lookups are plain left
+    joins: Spark broadcasts a side only below its size threshold and splits a hot key's events otherwise.
     """
-    if few:
-        keys = events.select("bucket_id", F.col("object_key").alias("key")).distinct()
-        objects = objects.select("id", *MUTATION).join(small_side(keys, few), MUTATION, "left_semi")
     known = buckets.select(F.col("id").alias("bucket_id"), F.lit(True).alias("_bucket"))
     found = objects.select("bucket_id", F.col("key").alias("object_key"), F.col("id").alias("_object"))
     job = event_job_type(F.col("event_name"), unified)
     rows = events.withColumn("job_type", job).join(known, "bucket_id", "left")
-    rows = rows.join(found, ["bucket_id", "object_key"], "left")
+    order = F.struct("received_at", "id")
+    imports = events.where(job == IMPORT_JOB).groupBy("bucket_id", "object_key").agg(F.min(order).alias("_imported"))
+    rows = rows.join(found, ["bucket_id", "object_key"], "left").join(imports, ["bucket_id", "object_key"], "left")
+    made = F.when(F.col("_imported") < order, new_object_id(F.col("bucket_id"), F.col("object_key")))
+    rows = rows.withColumn("_object", F.coalesce("_object", made))
     needs_object = F.col("job_type").isin(REMOVE_JOB, REFRESH_JOB)
     reason = (
         F.when(F.col("_bucket").isNull(), "bucket_not_found")
@@ -151,16 +147,14 @@ def mutation_events(resolved: DataFrame) -> DataFrame:
     )
 
 
-def batch_mutations(mutations: DataFrame, size: int = BATCH_SIZE, slice_unit: str = "minute") -> DataFrame:
+def batch_mutations(mutations: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
     """Mutations with ``batch_no`` and ``position``: batches of ``size`` per (bucket, job type), by first appearance.
 
-    A busy bucket is numbered minute by minute, so no task sorts the whole of it.
+    A busy bucket is numbered range by range, so no task sorts the whole of it.
     """
     if size <= 0:
         raise ValueError("the batch size must be greater than zero")
-    slices = F.date_trunc(slice_unit, "first_received_at")
-    order = ["first_received_at", "first_event_id"]
-    numbered = number_within(mutations, ["bucket_id", "job_type"], slices, order, "_row")
+    numbered = number_within(mutations, ["bucket_id", "job_type"], ["first_received_at", "first_event_id"], "_row")
     before = F.col("_row") - 1
     return numbered.withColumns(
         {"batch_no": F.floor(before / size).cast("bigint"), "position": F.pmod(before, F.lit(size)).cast("int")}
@@ -177,11 +171,28 @@ def batch_payloads(batched: DataFrame) -> DataFrame:
     )
 
 
-def event_outcomes(resolved: DataFrame) -> DataFrame:
-    """(id, state, error_message) as the processing of each event ended."""
+HEAD_NOT_FOUND = "head_not_found"
+
+
+def without_heads(mutations: DataFrame, heads: DataFrame) -> DataFrame:
+    """(bucket_id, key) of imports and refreshes whose document is not there."""
+    return mutations.where(F.col("job_type") != REMOVE_JOB).select(*MUTATION).join(heads.select(*MUTATION), MUTATION, "left_anti")
+
+
+def event_outcomes(resolved: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """(id, state, error_message) as the processing of each event ended.
+
+    Events behind a mutation of ``failed``, as :func:`without_heads` finds them, have failed and can be tried again.
+    """
     skipped = F.col("skip_reason").isNotNull()
-    return resolved.select(
-        "id", F.when(skipped, "skipped").otherwise("processed").alias("state"), F.col("skip_reason").alias("error_message")
+    rows, lost = resolved, F.lit(False)
+    if failed is not None:
+        keys = failed.select("bucket_id", F.col("key").alias("object_key"), F.lit(True).alias("_lost")).distinct()
+        rows, lost = resolved.join(keys, ["bucket_id", "object_key"], "left"), F.coalesce("_lost", F.lit(False))
+    return rows.select(
+        "id",
+        F.when(skipped, "skipped").when(lost, "failed").otherwise("processed").alias("state"),
+        F.when(skipped, F.col("skip_reason")).when(lost, HEAD_NOT_FOUND).alias("error_message"),
     )
 
 
@@ -204,15 +215,24 @@ def mark_events(events: DataFrame, outcomes: DataFrame, at: datetime) -> DataFra
 
 
 def apply_mutations(
-    objects: DataFrame, mutations: DataFrame, heads: DataFrame, seen_at: datetime, run_id: str = "", few: bool = False
+    objects: DataFrame, mutations: DataFrame, heads: DataFrame, seen_at: datetime, run_id: str = ""
 ) -> DataFrame:
     """Objects after the mutations. Imports and refreshes take their documents from ``heads`` (bucket_id, key, attributes).
 
-    ``few`` says that the caller has counted the mutations and they are few enough to broadcast.
+    One without a head changes nothing; :func:`without_heads` names it.
     """
     removals = mutations.where(F.col("job_type") == REMOVE_JOB).select(F.col("object_id").alias("id"))
     written = mutations.where(F.col("job_type") != REMOVE_JOB).select(*MUTATION, F.lit(0).alias("ordinal"))
     batch = written.join(heads.select(*MUTATION, "attributes"), MUTATION).withColumn(
         "attribute_provenance", F.create_map(F.lit("upstream"), F.lit(run_id))
     )
-    return upsert_objects(delete_objects(objects, removals, few), batch, seen_at, few)
+    return upsert_objects(delete_objects(objects, removals), batch, seen_at)
+
+
+def known_objects(objects: DataFrame, mutations: DataFrame) -> DataFrame:
+    """(id, bucket_id, key) as the catalog stands once ``mutations``, the last of each key, are applied to it."""
+    old = objects.select(*MUTATION, F.col("id").alias("_id"))
+    new = mutations.select(*MUTATION, F.col("job_type").alias("_job"), F.col("object_id").alias("_object"))
+    made = F.coalesce("_id", "_object", new_object_id(F.col("bucket_id"), F.col("key")))
+    after = old.join(new, MUTATION, "full").where(F.col("_job").isNull() | (F.col("_job") != REMOVE_JOB))
+    return after.select(F.when(F.col("_job").isNull(), F.col("_id")).otherwise(made).alias("id"), *MUTATION)

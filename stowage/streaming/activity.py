@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from stowage.functions.events import event_category
 
+COUNTS = "bucket_start timestamp, series string, n bigint"
+BATCH = "activity_batch"
 
-def stream_activity(events: DataFrame, width: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
-    """Events per arrival window and category. A window is emitted once the watermark has passed its end."""
-    counted = (
-        events.withWatermark("received_at", watermark)
-        .groupBy(F.window("received_at", width), event_category(F.col("event_name")).alias("series"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return counted.select(F.col("window.start").alias("bucket_start"), "series", "n")
+
+def stream_activity(
+    events: DataFrame, path: str, checkpoint: str, width: str = "1 hour", available_now: bool = False
+) -> StreamingQuery:
+    """Count events per arrival window and category. Every micro-batch writes its counts to a folder of its own, which a
+    repeated batch replaces, so late events count as others do and nothing waits for a watermark."""
+    events.sparkSession.createDataFrame([], COUNTS).write.mode("ignore").parquet(f"{path}/{BATCH}=-1")
+
+    def count(batch: DataFrame, batch_id: int) -> None:
+        counted = batch.groupBy(F.window("received_at", width).alias("w"), event_category(F.col("event_name")).alias("series"))
+        rows = counted.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("bucket_start"), "series", "n")
+        rows.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+
+    writer = events.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_activity(spark: SparkSession, path: str) -> DataFrame:
+    """Events per window and category over all batches so far."""
+    rows = spark.read.schema(f"{COUNTS}, {BATCH} bigint").parquet(path)
+    return rows.groupBy("bucket_start", "series").agg(F.sum("n").alias("n"))

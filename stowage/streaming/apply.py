@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stowage.operators.events import BATCH_SIZE, batch_mutations, coalesce_mutations, event_outcomes, resolve_events
-from stowage.operators.skew import is_few
+from stowage.operators.events import (
+    BATCH_SIZE,
+    batch_mutations,
+    coalesce_mutations,
+    event_outcomes,
+    known_objects,
+    resolve_events,
+)
 from stowage.schema import INBOX, STORED_EVENT
 
 APPLY = "apply_batch"
@@ -27,7 +33,7 @@ def process_events(
 ) -> tuple[DataFrame, DataFrame]:
     """(mutations cut into batches, outcome per event) for a set of pending events."""
     pending = events.where("state = 'pending'")
-    resolved = resolve_events(pending, buckets, objects, unified, few=is_few(pending))
+    resolved = resolve_events(pending, buckets, objects, unified)
     return batch_mutations(coalesce_mutations(resolved), size), event_outcomes(resolved)
 
 
@@ -39,28 +45,44 @@ def stream_apply(
     checkpoint: str,
     size: int = BATCH_SIZE,
     available_now: bool = False,
+    unified: bool = False,
 ) -> StreamingQuery:
     """Start processing a stream of inbox rows.
 
-    ``buckets`` and ``objects`` are read anew for each micro-batch. Mutations and outcomes go to folders named after the
-    batch, which a repeated batch replaces.
+    ``buckets`` and ``objects`` are read anew for each micro-batch, and a batch sees what the mutations of earlier ones
+    make of ``objects``. Mutations and outcomes go to folders named after the batch, which a repeated batch replaces.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(*STORED_EVENT.fieldNames()).persist()
         try:
-            mutations, outcomes = process_events(rows, buckets(), objects(), size)
+            earlier = latest_mutations(rows.sparkSession, output, before=batch_id)
+            mutations, outcomes = process_events(rows, buckets(), known_objects(objects(), earlier), size, unified)
             mutations.write.mode("overwrite").parquet(f"{output}/mutations/{APPLY}={batch_id}")
             outcomes.write.mode("overwrite").parquet(f"{output}/outcomes/{APPLY}={batch_id}")
         finally:
             rows.unpersist()
 
+    create_output(events.sparkSession, output)
     writer = events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def latest_mutations(spark: SparkSession, output: str) -> DataFrame:
-    """The last mutation per key over all batches; a later batch overrules an earlier one."""
-    rows = spark.read.parquet(f"{output}/mutations").withColumn(APPLY, F.col(APPLY).cast("bigint"))
+MUTATIONS = (
+    "bucket_id string, key string, job_type string, object_id string, event_count bigint, first_received_at timestamp, "
+    "first_event_id string, batch_no bigint, position int"
+)
+
+
+def create_output(spark: SparkSession, output: str) -> None:
+    """An empty table of mutations, so that the first batch finds it."""
+    spark.createDataFrame([], MUTATIONS).write.mode("ignore").parquet(f"{output}/mutations/{APPLY}=-1")
+
+
+def latest_mutations(spark: SparkSession, output: str, before: int | None = None) -> DataFrame:
+    """The last mutation per key over all batches, or those before one; a later batch overrules an earlier one."""
+    rows = spark.read.schema(f"{MUTATIONS}, {APPLY} bigint").parquet(f"{output}/mutations")
+    if before is not None:
+        rows = rows.where(F.col(APPLY) < before)
     last = F.max_by(F.struct("job_type", "object_id"), F.struct(APPLY, "first_received_at", "first_event_id"))
     return rows.groupBy("bucket_id", "key").agg(last.alias("_last")).select("bucket_id", "key", "_last.*")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stowage.operators.events import append_events, first_per_key, to_stored, unseen
-from stowage.operators.skew import is_few
 from stowage.schema import INBOX, INGEST, STORED_EVENT
 from stowage.sources.notifications import accepted, parse_notifications, rejects
 
@@ -30,16 +29,15 @@ def store_batch(batch: DataFrame, batch_id: int, inbox: str, rejected: str, tran
     """Parse, dedupe and store one micro-batch of (bucket_id, body, received_at).
 
     A batch owns one folder and replaces it whole, so a batch that is run again leaves the same rows. The new keys are
-    counted: a usual batch has few and is broadcast to the store's files, a larger one joins by shuffle.
+    held in memory, so Spark knows their size and broadcasts them to the store's files below its threshold.
     """
     parsed = parse_notifications(batch).persist()
     unique = first_per_key(to_stored(accepted(parsed, ("bucket_id", "received_at")), transport)).persist()
     try:
         earlier = read_inbox(batch.sparkSession, inbox).where(F.col(INGEST) != batch_id)
-        fresh = unseen(earlier, unique, few=is_few(unique)).select(*STORED_EVENT.fieldNames())
-        # Bloom filters let the lookup of later batches skip row groups.
-        writer = fresh.write.mode("overwrite").option("parquet.bloom.filter.enabled#dedupe_key", "true")
-        writer.parquet(f"{inbox}/{INGEST}={batch_id}")
+        unique.count()
+        fresh = unseen(earlier, unique).select(*STORED_EVENT.fieldNames())
+        fresh.write.mode("overwrite").parquet(f"{inbox}/{INGEST}={batch_id}")
         bad = rejects(parsed).select("bucket_id", "received_at", "body", "error")
         bad.write.mode("overwrite").parquet(f"{rejected}/{INGEST}={batch_id}")
     finally:

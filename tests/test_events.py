@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stowage.operators import activity, events as ops, jobs, ordering
+from stowage.plans.change_feed import apply_events, feed_outcomes, run_change_feed
 from stowage.schema import JOB_RUN, STORED_EVENT
 from stowage.streaming.ingest import create_inbox, dedupe_batch, read_inbox, store_batch, stream_ingest
 
@@ -43,12 +44,58 @@ def test_coalesce(resolved):
     assert ops.mutation_events(resolved).where("key = 'x'").count() == 3
 
 
-def test_few_events_find_the_same_objects(spark):
-    buckets = spark.createDataFrame([("b",)], "id string")
-    objects = spark.createDataFrame([("o1", "b", "x"), ("o2", "b", "y")], "id string, bucket_id string, key string")
-    rows = events(spark, [("e1", "b", "ObjectRemoved:Delete", "x", 1), ("e2", "b", "ObjectRemoved:Delete", "q", 1)])
-    few, plain = [sorted(map(str, ops.resolve_events(rows, buckets, objects, few=f).collect())) for f in (True, False)]
-    assert few == plain
+HEADS = "bucket_id string, key string, body string"
+BUCKET_ROWS = "id string"
+
+
+def feed(spark, rows, old=(), heads=("k",)):
+    buckets = spark.createDataFrame([("b",)], BUCKET_ROWS)
+    objects = spark.createDataFrame(list(old), "id string, bucket_id string, key string, attributes string, attribute_provenance map<string,string>, created_at timestamp, updated_at timestamp")
+    objects = objects.withColumn("attributes", F.parse_json("attributes"))
+    documents = spark.createDataFrame([("b", k, '{"upstream":{"etag":"e"}}') for k in heads], HEADS)
+    documents = documents.select("bucket_id", "key", F.parse_json("body").alias("attributes"))
+    catalog, after = apply_events(events(spark, rows), buckets, objects, documents, T0)
+    return sorted(r.key for r in catalog.collect()), {r.id: (r.state, r.error_message) for r in after.collect()}
+
+
+CREATED, REMOVED = "ObjectCreated:Put", "ObjectRemoved:Delete"
+
+
+def test_created_and_removed_is_gone(spark):
+    assert feed(spark, [("e1", "b", CREATED, "k", 1), ("e2", "b", REMOVED, "k", 2)]) == ([], {"e1": ("processed", None), "e2": ("processed", None)})
+
+
+def test_removed_and_created_is_there(spark):
+    old = [("o", "b", "k", "{}", {}, T0, T0)]
+    assert feed(spark, [("e1", "b", REMOVED, "k", 1), ("e2", "b", CREATED, "k", 2)], old)[0] == ["k"]
+    # What was never there cannot be removed.
+    assert feed(spark, [("e1", "b", REMOVED, "k", 1), ("e2", "b", CREATED, "k", 2)])[1]["e1"] == ("skipped", "object_not_found")
+
+
+def test_an_import_without_a_head_has_failed(spark):
+    keys, outcome = feed(spark, [("e1", "b", CREATED, "k", 1), ("e2", "b", CREATED, "lost", 1)])
+    assert keys == ["k"] and outcome == {"e1": ("processed", None), "e2": ("failed", "head_not_found")}
+
+
+def run_feed(spark, folder, parts):
+    """Each part of the messages is a call of its own on one workspace."""
+    buckets = spark.createDataFrame([("b",)], BUCKET_ROWS)
+    objects = spark.createDataFrame([], "id string, bucket_id string, key string, attributes string, attribute_provenance map<string,string>, created_at timestamp, updated_at timestamp").withColumn("attributes", F.parse_json("attributes"))
+    heads = spark.createDataFrame([("b", k, "{}") for k in ("k", "m")], HEADS).select("bucket_id", "key", F.parse_json("body").alias("attributes"))
+    for at, part in enumerate(parts):
+        rows = [("b", x, T0 + timedelta(minutes=10 * at + n)) for n, x in enumerate(part)]
+        spark.createDataFrame(rows, "bucket_id string, body string, received_at timestamp").coalesce(1).write.mode("append").json(f"{folder}/in")
+        stream = spark.readStream.schema("bucket_id string, body string, received_at timestamp").json(f"{folder}/in")
+        after = run_change_feed(stream, f"{folder}/work", lambda: buckets, lambda: objects, heads, T0, unified=True)
+    outcomes = feed_outcomes(spark, f"{folder}/work", heads)
+    return sorted(r.key for r in after.collect()), sorted((r.state, r.error_message or "") for r in outcomes.collect())
+
+
+def test_later_batches_see_earlier_ones(spark, tmp_path):
+    first, second = [body("k"), body("m"), body("lost")], [body("k", REMOVED, "2026-06-26T02:00:00Z")]
+    two = run_feed(spark, str(tmp_path / "two"), [first, second])
+    one = run_feed(spark, str(tmp_path / "one"), [first + second])
+    assert two == one == (["m"], [("failed", "head_not_found")] + [("processed", "")] * 3)
 
 
 def test_dedupe_batch(spark):

@@ -11,7 +11,7 @@ from stowage.operators import events as ops
 from stowage.plans.change_feed import apply_events, run_change_feed
 from stowage.session import scratch_path
 from stowage.sources.notifications import normalize_notifications, rejected_notifications
-from stowage.streaming.activity import stream_activity
+from stowage.streaming.activity import read_activity, stream_activity
 from stowage.streaming.apply import inbox_stream, latest_mutations, stream_apply
 from stowage.streaming.ingest import read_inbox, stream_ingest
 from workloads import views as v
@@ -113,8 +113,12 @@ def ingest_counts(spark, d):
     return ops.ingest_counts(*_inbox_halves(spark, d))
 
 
-RESOLVED = f"""resolved AS (SELECT i.*, {JOB} AS job_type, c.id AS found, b.id AS bucket FROM inbox i LEFT JOIN buckets b ON b.id = i.bucket_id
-    LEFT JOIN catalog c ON c.bucket_id = i.bucket_id AND c.key = i.object_key),
+# An earlier import of the same key makes an object known, under the id that follows from the key.
+RESOLVED = f"""imports AS (SELECT bucket_id, object_key, min((received_at, id)) AS first_import FROM inbox WHERE {JOB} = 'import_objects' GROUP BY ALL),
+  resolved AS (SELECT i.*, {JOB} AS job_type, b.id AS bucket, coalesce(c.id, CASE WHEN f.first_import < (i.received_at, i.id)
+      THEN 'object_' || md5(i.bucket_id || chr(0) || i.object_key) END) AS found
+    FROM inbox i LEFT JOIN buckets b ON b.id = i.bucket_id LEFT JOIN catalog c ON c.bucket_id = i.bucket_id AND c.key = i.object_key
+    LEFT JOIN imports f ON f.bucket_id = i.bucket_id AND f.object_key = i.object_key),
   reasoned AS (SELECT *, CASE WHEN bucket IS NULL THEN 'bucket_not_found' WHEN job_type IS NULL THEN 'unsupported_event_name'
     WHEN job_type <> 'import_objects' AND found IS NULL THEN 'object_not_found' END AS skip_reason,
     CASE WHEN job_type <> 'import_objects' THEN found END AS object_id FROM resolved)"""
@@ -189,9 +193,9 @@ def mark_events(spark, d):
     return marked.select("id", "state", "error_message", ntz("processed_at"))
 
 
-@query("pending_events", v.with_views(v.EVENTS) + "SELECT id, received_at FROM inbox ORDER BY received_at, id LIMIT 100")
+@query("pending_events", v.with_views(v.EVENTS) + "SELECT id, received_at FROM inbox ORDER BY received_at, id LIMIT 300")
 def pending_events(spark, d):
-    return ops.pending_events(v.upstream_events(spark, d)).select("id", ntz("received_at"))
+    return ops.pending_events(v.upstream_events(spark, d), 300).select("id", ntz("received_at"))
 
 
 def _heads(spark, d):
@@ -215,6 +219,21 @@ def applied_events(spark, d):
     return catalog.select("id", "bucket_id", "key", "etag", "content_type")
 
 
+@query(
+    "apply_outcomes",
+    FEED_MUTATIONS + """SELECT r.id, CASE WHEN skip_reason IS NOT NULL THEN 'skipped' WHEN m.key IS NOT NULL THEN 'failed' ELSE 'processed' END AS state,
+    coalesce(skip_reason, CASE WHEN m.key IS NOT NULL THEN 'head_not_found' END) AS error_message FROM reasoned r
+    LEFT JOIN (SELECT m.* FROM mutations m ANTI JOIN objects o ON o.bucket_id = m.bucket_id AND o.key = m.key WHERE job_type <> 'remove_objects') m
+      ON m.bucket_id = r.bucket_id AND m.key = r.object_key""",
+)
+def apply_outcomes(spark, d):
+    """Imports and refreshes without a document have failed."""
+    _, events = apply_events(
+        v.upstream_events(spark, d), _feed_buckets(spark, d), v.catalog(spark, d), _heads(spark, d), AT
+    )
+    return events.select("id", "state", "error_message")
+
+
 # What the stream stores: each dedupe key once, under an id made from it.
 INGESTED = f"""keyed AS (SELECT *, CASE WHEN event_id <> '' THEN concat_ws(':', bucket_id, event_name, key, event_id)
     ELSE sha256(concat_ws('|', bucket_id, event_name, key, {_stamp('event_time')})) END AS dedupe_key FROM normalized),
@@ -276,12 +295,11 @@ def change_feed(spark, d):
 @query(
     "stream_activity",
     v.with_views(v.EVENTS) + f"""SELECT date_trunc('hour', received_at) AS bucket_start, {v.CATEGORY} AS series, count(*) AS n FROM inbox
-    WHERE date_trunc('hour', received_at) + INTERVAL 1 HOUR <= (SELECT max(received_at) FROM inbox) - INTERVAL 1 HOUR GROUP BY ALL""",
+    GROUP BY ALL""",
 )
 def live_activity(spark, d):
-    """Windows the watermark has passed by the end of the data."""
+    """Every event of the data counts, however late."""
     work = scratch_path(spark, "activity")
-    live = stream_activity(v.upstream_events(spark, d, stream=True))
-    writer = live.writeStream.format("parquet").option("path", f"{work}/table").option("checkpointLocation", f"{work}/checkpoint")
-    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{work}/table").withColumn("bucket_start", ntz("bucket_start"))
+    events = v.upstream_events(spark, d, stream=True)
+    stream_activity(events, f"{work}/table", f"{work}/checkpoint", available_now=True).awaitTermination()
+    return read_activity(spark, f"{work}/table").withColumn("bucket_start", ntz("bucket_start"))
