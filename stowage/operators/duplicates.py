@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stowage.functions.evidence import evidence
 from stowage.functions import documents as docs
 from stowage.functions.text import parse_rfc3339
-from stowage.operators.skew import HOT_ROWS, join_groups
+from stowage.session import cut_lineage
 
 GROUP = ["etag", "size"]
 
@@ -39,9 +39,13 @@ def duplicate_groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("member_count")).where("member_count > 1")
 
 
-def duplicate_members(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Candidates whose (etag, size) is shared. The groups are counted first, so no group is gathered in one task."""
-    return join_groups(rows, duplicate_groups(rows), GROUP, "member_count", "id", hot_rows)
+def duplicate_members(rows: DataFrame) -> DataFrame:
+    """Candidates whose (etag, size) is shared.
+
+    The groups are counted first and written, so that the join shuffles two plain tables and Spark can split a group that
+    holds a large part of the rows.
+    """
+    return rows.join(cut_lineage(duplicate_groups(rows)), GROUP)
 
 
 def modified_or_first(last_modified: Column) -> Column:

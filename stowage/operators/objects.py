@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stowage.functions import documents as docs
 from stowage.functions.text import format_rfc3339_nano
 from stowage.operators.predicates import literal, scope
-from stowage.operators.skew import small_side
 from stowage.schema import OBJECT_COLUMNS, PROMOTED
 
 KEY = ["bucket_id", "key"]
@@ -42,57 +41,46 @@ def last_per_key(batch: DataFrame) -> DataFrame:
     return batch.groupBy(*KEY).agg(last).select(*KEY, "_row.*")
 
 
-def upsert_objects(objects: DataFrame, batch: DataFrame, seen_at: datetime, few: bool = False) -> DataFrame:
-    """Objects with ``batch`` merged in by (bucket_id, key).
+def upsert_objects(objects: DataFrame, batch: DataFrame, seen_at: datetime) -> DataFrame:
+    """Objects with ``batch`` merged in by (bucket_id, key), in one full join of the two.
 
     ``batch`` has bucket_id, key, attributes, attribute_provenance, ordinal and optionally id. Namespaces present in the
     new document replace the old ones whole, the id and the first time seen stay, provenance maps merge.
-
-    The catalog is only left-joined. ``few`` says that the caller has counted the batch and it is small enough to
-    broadcast; then none of the catalog's rows move.
     """
     stamp = literal(seen_at).column
     rows = last_per_key(batch)
     fresh_id = new_object_id(F.col("bucket_id"), F.col("key"))
     rows = rows.withColumn("id", F.coalesce("id", fresh_id) if "id" in rows.columns else fresh_id)
-    seen = format_rfc3339_nano(stamp)
+    nothing = F.create_map().cast("map<string,string>")
     rows = rows.select(
         *KEY,
         F.col("id").alias("_id"),
-        docs.with_core(F.col("attributes"), F.col("id"), seen).alias("_attributes"),
-        F.coalesce("attribute_provenance", F.create_map().cast("map<string,string>")).alias("_provenance"),
+        docs.with_core(F.col("attributes"), F.col("id"), format_rfc3339_nano(stamp)).alias("_attributes"),
+        F.coalesce("attribute_provenance", nothing).alias("_provenance"),
     )
-    touched = F.col("_id").isNotNull()
-    kept_provenance = F.coalesce("attribute_provenance", F.create_map().cast("map<string,string>"))
+    touched, known = F.col("_id").isNotNull(), F.col("_known").isNotNull()
     merged = docs.merge_attributes(F.col("attributes"), F.col("_attributes"), F.col("id"))
-    updated = objects.select(*OBJECT_COLUMNS).join(small_side(rows, few), KEY, "left").select(
-        "id",
+    overlaid = docs.overlay(F.coalesce("attribute_provenance", nothing), F.col("_provenance"))
+    old = objects.select(*OBJECT_COLUMNS, F.lit(True).alias("_known"))
+    result = old.join(rows, KEY, "full").select(
+        F.when(known, F.col("id")).otherwise(F.col("_id")).alias("id"),
         *KEY,
-        F.when(touched, merged).otherwise(F.col("attributes")).alias("attributes"),
-        F.when(touched, docs.overlay(kept_provenance, F.col("_provenance")))
+        F.when(~known, F.col("_attributes")).when(touched, merged).otherwise(F.col("attributes")).alias("attributes"),
+        F.when(~known, F.col("_provenance"))
+        .when(touched, overlaid)
         .otherwise(F.col("attribute_provenance"))
         .alias("attribute_provenance"),
-        "created_at",
+        F.when(known, F.col("created_at")).otherwise(stamp).alias("created_at"),
         F.when(touched, stamp).otherwise(F.col("updated_at")).alias("updated_at"),
     )
-    known = objects.select(*KEY).join(small_side(rows.select(*KEY), few), KEY, "left_semi")
-    inserted = rows.join(known, KEY, "left_anti").select(
-        F.col("_id").alias("id"),
-        *KEY,
-        F.col("_attributes").alias("attributes"),
-        F.col("_provenance").alias("attribute_provenance"),
-        stamp.alias("created_at"),
-        stamp.alias("updated_at"),
-    )
-    result = updated.unionByName(inserted)
     promoted = {name for name, _ in PROMOTED.values()}
     return with_promoted(result) if promoted & set(objects.columns) else result
 
 
-def delete_objects(objects: DataFrame, removals: DataFrame, few: bool = False) -> DataFrame:
+def delete_objects(objects: DataFrame, removals: DataFrame) -> DataFrame:
     """Objects without the ids in ``removals``; rows without an id remove nothing."""
     ids = removals.where(F.coalesce("id", F.lit("")) != "").select("id").distinct()
-    return objects.join(small_side(ids, few), "id", "left_anti")
+    return objects.join(ids, "id", "left_anti")
 
 
 def deletion_counts(objects: DataFrame, removals: DataFrame) -> DataFrame:

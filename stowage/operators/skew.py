@@ -1,68 +1,34 @@
-"""Joins and numbering that stay spread out when one group holds a large part of the rows, or one side is large."""
+"""Numbering that stays spread out when one group, or one moment of it, holds a large part of the rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-# Rows of one group that a single task may take. Groups above it are cut into pieces.
-HOT_ROWS = 1_000_000
+from stowage.session import cut_lineage
 
-# Rows of keys that may be broadcast; at some hundred bytes each that is tens of megabytes.
-FEW_ROWS = 200_000
 
-
-def is_few(rows: DataFrame) -> bool:
-    """Whether there are few enough rows to broadcast; the count stops once it knows."""
-    return rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS
-
-
-def small_side(rows: DataFrame, few: bool) -> DataFrame:
-    """``rows`` to be broadcast if the caller has found them few, else left to Spark."""
-    return F.broadcast(rows) if few else rows
-
-
-def join_groups(
-    rows: DataFrame,
-    groups: DataFrame,
-    keys: Sequence[str],
-    size: str,
-    row_id: str,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Inner join of ``rows`` to ``groups``, which has one row per key and the number of rows behind it in ``size``.
-
-    A group larger than ``hot_rows`` is cut into pieces by a hash of ``row_id`` and its row is copied once per piece.
-    Only the keys of such groups are broadcast: there are fewer of them than rows / hot_rows.
-    """
-    keys = list(keys)
-    pieces = F.ceil(F.col(size) / F.lit(hot_rows)).cast("int")
-    hot = groups.where(F.col(size) > hot_rows).select(*keys, pieces.alias("_pieces"))
-    piece = F.pmod(F.xxhash64(row_id), F.coalesce("_pieces", F.lit(1))).cast("int")
-    spread = rows.join(F.broadcast(hot), keys, "left").withColumn("_piece", piece).drop("_pieces")
-    copies = groups.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1)))
-    return spread.join(copies, [*keys, "_piece"]).drop("_piece")
-
-
-def number_within(
-    rows: DataFrame, group: Sequence[str], slice_by: Column, order: Sequence[str | Column], name: str
-) -> DataFrame:
+def number_within(rows: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """``row_number`` per group without sorting a whole group in one task.
 
-    ``slice_by`` must rise with the order. Rows are numbered inside each (group, slice), and the slice counts, far fewer
-    than the rows, give the number each slice starts from.
+    Rows are dealt into ranges of about equal size over the group and the whole order, so a moment that very many rows
+    share is split by what follows in the order. They are numbered inside each (group, range), and the counts of the
+    ranges, one row per group and range, give the number that each starts from. The ranges are written once, because
+    both halves must see the same ones.
     """
-    group = list(group)
-    sliced = rows.withColumn("_slice", slice_by)
-    inside = Window.partitionBy(*group, "_slice").orderBy(*order)
-    numbered = sliced.withColumn("_n", F.row_number().over(inside))
-    earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    group, order = list(group), list(order)
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(ranges, *group, *order).withColumn("_range", F.spark_partition_id())
+    ranged = cut_lineage(dealt)
+    inside = Window.partitionBy(*group, "_range").orderBy(*order)
+    numbered = ranged.withColumn("_n", F.row_number().over(inside))
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        sliced.groupBy(*group, "_slice")
+        ranged.groupBy(*group, "_range")
         .agg(F.count(F.lit(1)).alias("_count"))
         .withColumn("_before", F.coalesce(F.sum("_count").over(earlier), F.lit(0)))
         .drop("_count")
     )
-    joined = numbered.join(starts, [*group, "_slice"])
-    return joined.withColumn(name, F.col("_before") + F.col("_n")).drop("_slice", "_n", "_before")
+    joined = numbered.join(starts, [*group, "_range"])
+    return joined.withColumn(name, F.col("_before") + F.col("_n")).drop("_range", "_n", "_before")

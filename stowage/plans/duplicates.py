@@ -12,9 +12,9 @@ from stowage.operators.duplicates import GROUP, candidates, duplicate_members, g
 from stowage.operators.objects import KEY, with_promoted
 from stowage.operators.predicates import literal
 from stowage.operators.relations import DUPLICATE, EDGE, upsert_relations
-from stowage.operators.skew import HOT_ROWS, join_groups
 from stowage.schema import PROMOTED
 from stowage.session import cut_lineage
+from stowage.sources.contents import hash_column
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,14 @@ class Duplicates:
 
 
 def hash_members(members: DataFrame, contents: DataFrame) -> DataFrame:
-    """Members with a hash: the stored one, else the one of their content."""
+    """Members with a hash: the stored one, else the one of their content.
+
+    ``contents`` brings either the hashes (content_sha256, bytes_read) or the contents themselves (content). Contents are
+    matched against the members without a stored hash first, so only those are hashed.
+    """
+    if "content" in contents.columns:
+        wanted = members.where("cached_sha256 IS NULL").select(*KEY)
+        contents = hash_column(contents.select(*KEY, "content").join(wanted, KEY, "left_semi"), F.col("content"))
     read = contents.select(*KEY, F.col("content_sha256").alias("_read"), F.col("bytes_read").alias("_bytes"))
     joined = members.join(read, KEY, "left")
     fresh = F.col("cached_sha256").isNull() & F.col("_read").isNotNull()
@@ -40,13 +47,11 @@ def hash_members(members: DataFrame, contents: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_edges(
-    hashed: DataFrame, groups: DataFrame, run_id: str, at: datetime, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def duplicate_edges(hashed: DataFrame, groups: DataFrame, run_id: str, at: datetime) -> DataFrame:
     """Original to copy, for every verified group."""
     stamp = literal(at).column
-    verified = groups.where("state = 'verified'").select(*GROUP, "member_count", "original_id", "content_sha256")
-    rows = join_groups(hashed.select("id", *GROUP), verified, GROUP, "member_count", "id", hot_rows)
+    verified = groups.where("state = 'verified'").select(*GROUP, "original_id", "content_sha256")
+    rows = hashed.select("id", *GROUP).join(verified, GROUP)
     attributes = F.create_map(
         F.lit("content_sha256"), F.col("content_sha256"), F.lit("etag"), F.col("etag"), F.lit("size"),
         F.col("size").cast("string"),
@@ -62,10 +67,9 @@ def duplicate_edges(
     )
 
 
-def broken_edges(hashed: DataFrame, groups: DataFrame, relations: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def broken_edges(hashed: DataFrame, groups: DataFrame, relations: DataFrame) -> DataFrame:
     """Stored duplicate relations inside a group whose contents turned out to differ."""
-    mismatched = groups.where("state = 'mismatched'").select(*GROUP, "member_count")
-    rows = join_groups(hashed.select("id", *GROUP), mismatched, GROUP, "member_count", "id", hot_rows)
+    rows = hashed.select("id", *GROUP).join(groups.where("state = 'mismatched'").select(*GROUP), GROUP)
     duplicates = relations.where(F.col("relation_type") == DUPLICATE)
     sources = rows.select(F.col("id").alias("source_object_id"), *[F.col(c).alias(f"_s_{c}") for c in GROUP])
     targets = rows.select(F.col("id").alias("target_object_id"), *[F.col(c).alias(f"_t_{c}") for c in GROUP])
@@ -80,19 +84,19 @@ def detect_duplicates(
     run_id: str,
     at: datetime,
     scope: Column | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> Duplicates:
     """Groups by (etag, size), verified by content hash.
 
-    ``contents`` has bucket_id, key, content_sha256 and bytes_read. A verified group gets one relation from its original
+    ``contents`` has bucket_id, key and either content, which is hashed where it must be, or content_sha256 and
+    bytes_read. A verified group gets one relation from its original
     to each copy; a group whose hashes differ loses the relations inside it; a group with a hash missing is left alone.
     """
-    members = duplicate_members(candidates(objects, scope), hot_rows)
-    # Hashing reads object contents, so its small result is written once and shared by everything below.
+    members = duplicate_members(candidates(objects, scope))
+    # Hashing reads object contents, so its small result is written once, as are the groups, and shared by what follows.
     hashed = cut_lineage(hash_members(members, contents))
-    groups = group_summary(hashed.drop("member_count"))
-    edges = duplicate_edges(hashed.drop("member_count"), groups, run_id, at, hot_rows)
-    broken = broken_edges(hashed.drop("member_count"), groups, relations, hot_rows)
+    groups = cut_lineage(group_summary(hashed.drop("member_count")))
+    edges = duplicate_edges(hashed, groups, run_id, at)
+    broken = broken_edges(hashed, groups, relations)
     kept = relations.join(broken.select(*EDGE), EDGE, "left_anti")
     hashes = hashed.where("hashed").select("id", *KEY, F.col("sha256").alias("content_sha256"))
     return Duplicates(groups, edges, broken, upsert_relations(kept, edges), hashes, _counts(hashed, groups, broken))

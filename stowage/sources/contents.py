@@ -7,15 +7,31 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from stowage.functions.hashing import sha256_hex
 
 
+# What Spark reads as one value at most.
+READABLE = (1 << 31) - 1 - 15
+
+
 def hash_contents(spark: SparkSession, path_glob: str) -> DataFrame:
-    """(path, content_sha256, bytes_read) for every file.
+    """(path, content_sha256, bytes_read, error) for every file.
 
-    The content never leaves its task. Spark reads a file as one value of at most 2 GB; hash larger files elsewhere and
-    bring the hashes as a table.
+    The content never leaves its task. Spark reads a file as one value; a file above that size is not read but comes back
+    with an error in place of a hash, so it does not fail the others.
     """
     files = spark.read.format("binaryFile").load(path_glob)
-    return files.select(
-        "path", sha256_hex(F.col("content")).alias("content_sha256"), F.col("length").alias("bytes_read")
+    listed = files.select("path", "length").where(F.col("length") > READABLE)
+    hashed = files.where(F.col("length") <= READABLE).select(
+        "path",
+        sha256_hex(F.col("content")).alias("content_sha256"),
+        F.col("length").alias("bytes_read"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    return hashed.unionByName(
+        listed.select(
+            "path",
+            F.lit(None).cast("string").alias("content_sha256"),
+            F.lit(0).cast("bigint").alias("bytes_read"),
+            F.lit("content is too large to read").alias("error"),
+        )
     )
 
 

@@ -11,8 +11,8 @@ from stowage.operators import fingerprints as fp
 from stowage.operators import objects as ops
 from stowage.operators import reconcile as diff
 from stowage.operators.relations import upsert_relations
-from stowage.operators.skew import join_groups, number_within
-from stowage.plans.duplicates import detect_duplicates
+from stowage.operators.skew import number_within
+from stowage.plans.duplicates import detect_duplicates, hash_members
 from stowage.plans.reconcile import reconcile
 from stowage.plans.verify import verify
 from stowage.schema import LISTED, RELATION
@@ -63,14 +63,6 @@ def test_upsert_merges_and_keeps(spark):
     assert rows["n"].id.startswith("object_") and len(rows) == 3
 
 
-def test_counted_batches_give_the_same(spark):
-    old = catalog(spark, [("o1", "b", "a", '{"user":{"score":7}}'), ("o2", "b", "c", "{}")])
-    new = batch(spark, [("b", "a", 1, '{"upstream":{"etag":"y"}}', "r"), ("b", "n", 1, "{}", "r")])
-    plain, few = ops.upsert_objects(old, new, T1), ops.upsert_objects(old, new, T1, few=True)
-    assert bodies(plain) == bodies(few) and len(bodies(few)) == 3
-    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
-
-
 def test_deletes(spark):
     old = catalog(spark, [("o1", "b", "p/a", "{}"), ("o2", "b", "p/b", '{"core":{"last_seen_at":"2026-01-05T00:00:00Z"}}'),
                           ("o3", "b", "q", '{"core":{"last_seen_at":"2026-01-01T00:00:00Z"}}')])
@@ -131,7 +123,8 @@ def test_verify(spark):
     status = verify(local, listed, date(2026, 1, 1)).buckets.first()
     assert status.status == "needs_sync" and status.partitions_mismatched > 0
     assert verify(local, listed, date(2026, 1, 1), complete=False).buckets.first().status is None
-    assert verify(local, listed, date(2026, 1, 1), max_listed=2).buckets.first().status is None
+    # A share of the partitions is only checked if it is asked for.
+    assert verify(local, listed, date(2026, 1, 1), rate=0.0).buckets.count() == 0
     after = reconcile(local, listed, T2).snapshot
     assert verify(after, listed, date(2026, 1, 1)).buckets.first().status == "healthy"
     left = spark.createDataFrame([("k", 100), ("k2", 5)], "key string, size long")
@@ -160,8 +153,9 @@ def test_duplicates(spark):
     stored = spark.createDataFrame(
         [("p1", "p2", "duplicate", {}, "old", T1, T1), ("q1", "q2", "duplicate", {}, "old", T1, T1), ("p1", "p2", "derived", {}, "old", T1, T1),
          ("p1", "o1", "duplicate", {}, "old", T1, T1)], RELATION)
-    for hot in (1_000_000, 1):
-        found = detect_duplicates(objects, contents, stored, "run", T2, hot_rows=hot)
+    raw = spark.createDataFrame(texts, "bucket_id string, key string, content string")
+    for given in (contents, raw):
+        found = detect_duplicates(objects, given, stored, "run", T2)
         # An unreadable time counts as the earliest.
         assert {(r.source_object_id, r.target_object_id) for r in found.edges.collect()} == {("o3", "o1"), ("o3", "o2")}
         after = {(r.source_object_id, r.target_object_id, r.relation_type) for r in found.relations.collect()}
@@ -172,26 +166,32 @@ def test_duplicates(spark):
         assert (counts.objects_hashed, counts.bytes_hashed) == (6, 23)
 
 
-def test_hot_groups_keep_every_row(spark):
-    random.seed(3)
-    rows = [(i, "hot" if i % 3 == 0 else f"k{i % 50}") for i in range(3000)]
-    random.shuffle(rows)
-    frame = spark.createDataFrame(rows, "id long, k string")
-    groups = frame.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    joined = join_groups(frame, groups, ["k"], "n", "id", hot_rows=25)
-    expected = frame.join(groups, "k")
-    assert sorted(map(tuple, joined.select("id", "k", "n").collect())) == sorted(map(tuple, expected.select("id", "k", "n").collect()))
+def test_only_members_without_a_hash_are_hashed(spark):
+    members = spark.createDataFrame([("a", "b", "k1", None), ("c", "b", "k2", "h")], "id string, bucket_id string, key string, cached_sha256 string")
+    contents = spark.createDataFrame([("b", "k1", "x"), ("b", "k2", "y"), ("b", "k3", "z")], "bucket_id string, key string, content string")
+    found = hash_members(members, contents)
+    assert {(r.id, r.hashed) for r in found.collect()} == {("a", True), ("c", False)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # The semi join stands below the hashing.
+    assert plan.index("sha2") < plan.index("LeftSemi")
 
 
-def test_numbering_by_slices_equals_one_window(spark):
+def test_numbering_by_ranges_equals_one_window(spark):
     from pyspark.sql import Window
 
     frame = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise("cold").alias("g"), F.pmod(F.hash("id"), F.lit(500)).alias("at"))
-    numbered = number_within(frame, ["g"], F.floor(F.col("at") / 20), ["at", "id"], "n")
+    numbered = number_within(frame, ["g"], ["at", "id"], "n")
     plain = frame.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("at", "id")).cast("long"))
     assert sorted(map(tuple, numbered.select("id", "n").collect())) == sorted(map(tuple, plain.select("id", "n").collect()))
 
 
+def test_one_moment_with_a_third_of_the_rows_is_split(spark):
+    frame = spark.range(12_000).select("id", F.lit("g").alias("g"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("at"))
+    spread = frame.repartitionByRange(8, "g", "at", "id").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in spread) <= 2 * 12_000 / 8
+    assert number_within(frame, ["g"], ["at", "id"], "n").agg(F.max("n"), F.count_distinct("n")).first()[:] == (12_000, 12_000)
+
+
 def test_original_does_not_depend_on_order(spark):
     members = dup.duplicate_members(dup.candidates(copies(spark)))
     pick = lambda df: {r.etag: r.o for r in df.groupBy("etag").agg(dup.group_original(F.col("last_modified"), F.col("id")).alias("o")).collect()}

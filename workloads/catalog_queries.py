@@ -89,13 +89,13 @@ SNAPSHOT = f"""SELECT coalesce(c.id, {NEW_ID}) AS id, l.bucket_id, l.key, l.etag
     FROM listing l LEFT JOIN catalog c ON c.bucket_id = l.bucket_id AND c.key = l.key"""
 
 
-def snapshot_columns(df):
+def snapshot_columns(df, *more):
     document = F.col("attributes")
     return df.select(
         "id", "bucket_id", "key", "etag", "size", "last_modified", "storage_class", "content_type",
         docs.attr(document, "user.quality", "integer").alias("quality"),
         docs.attr_text(document, "core.first_seen_at").alias("first_seen_at"),
-        ntz("created_at"), ntz("updated_at"), F.col("attribute_provenance")["upstream"].alias("provenance"),
+        ntz("created_at"), ntz("updated_at"), F.col("attribute_provenance")["upstream"].alias("provenance"), *more,
     )
 
 
@@ -154,8 +154,7 @@ def upsert_objects(spark, d):
         F.create_map(F.lit("upstream"), F.concat(F.lit("run_"), F.col("ordinal").cast("string"))).alias("attribute_provenance"),
     )
     result = object_ops.upsert_objects(v.catalog(spark, d), batch, AT)
-    seen = docs.attr_text(F.col("attributes"), "core.last_seen_at").alias("last_seen_at")
-    return snapshot_columns(result).join(result.select("bucket_id", "key", seen), ["bucket_id", "key"])
+    return snapshot_columns(result, docs.attr_text(F.col("attributes"), "core.last_seen_at").alias("last_seen_at"))
 
 
 def _removals(spark, d):
@@ -241,30 +240,31 @@ def compare_fingerprints(spark, d):
     return fp.compare_fingerprints(local, fp.fingerprints(v.listing(spark, d), by=["bucket_id"]), ["bucket_id"])
 
 
-def _sampled_sql(count: str) -> str:
-    label = "lpad(CAST(i AS VARCHAR), 3, '0') || '/256'"
-    return f"""CASE WHEN {count} < 10000 THEN true
-      ELSE {fnv_sql(f"({label} || '2024-02-01')")} % 10000 < CASE WHEN {count} > 100000 THEN 100 ELSE 1000 END END"""
+SAMPLED = f"""{fnv_sql("(lpad(CAST(partition_index AS VARCHAR), 3, '0') || '/256' || '2024-02-01')")} % 10000 < 2500"""
 
 
 @query(
     "sample_partitions",
-    f"""WITH scopes AS (SELECT o_orderpriority AS bucket_id, count(*) * 20 AS object_count FROM orders GROUP BY 1),
-    all_parts AS (SELECT *, unnest(range(256)) AS i FROM scopes)
-    SELECT bucket_id, CAST(object_count AS BIGINT) AS object_count, CAST(i AS INTEGER) AS partition_index,
-    lpad(CAST(i AS VARCHAR), 3, '0') || '/256' AS partition_id FROM all_parts WHERE {_sampled_sql('object_count')}""",
+    f"""WITH scopes AS (SELECT o_orderpriority AS bucket_id, count(*) AS object_count FROM orders GROUP BY 1),
+    all_parts AS (SELECT *, CAST(unnest(range(256)) AS INTEGER) AS partition_index FROM scopes)
+    SELECT bucket_id, object_count, partition_index, lpad(CAST(partition_index AS VARCHAR), 3, '0') || '/256' AS partition_id
+    FROM all_parts WHERE {SAMPLED}""",
 )
 def sample_partitions(spark, d):
-    scopes = v.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("bucket_id")).agg(
-        (F.count(F.lit(1)) * 20).alias("object_count")
-    )
-    return fp.sample_partitions(scopes, DAY)
+    """A quarter of the partitions, as asked for."""
+    scopes = v.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("bucket_id")).agg(F.count(F.lit(1)).alias("object_count"))
+    return fp.sample_partitions(scopes, DAY, 0.25)
+
+
+@query("verify_sampled", PRINTS + f"""SELECT bucket_id, lpad(CAST(partition_index AS VARCHAR), 3, '0') || '/256' AS partition_id,
+    partition_index, local_count, local_bytes, upstream_count, upstream_bytes, drift_at FROM drifts WHERE {SAMPLED}""")
+def verify_sampled(spark, d):
+    return verify(v.catalog(spark, d), v.listing(spark, d), DAY, rate=0.25).partitions
 
 
 @query("verify_partitions", PRINTS + """SELECT bucket_id, lpad(CAST(partition_index AS VARCHAR), 3, '0') || '/256' AS partition_id,
     partition_index, local_count, local_bytes, upstream_count, upstream_bytes, drift_at FROM drifts""")
 def verify_partitions(spark, d):
-    """Every scope here is below the medium size, so all partitions are in the sample."""
     return verify(v.catalog(spark, d), v.listing(spark, d), DAY).partitions
 
 
@@ -276,16 +276,6 @@ def verify_buckets(spark, d):
     return verify(v.catalog(spark, d), v.listing(spark, d), DAY).buckets
 
 
-@query("verify_budget", PRINTS + """, totals AS (SELECT bucket_id, sum(local_count) AS object_count, sum(upstream_count) AS objects_listed,
-    count(*) AS partitions_scanned, count(*) FILTER (drift_at <> '') AS drifted FROM drifts GROUP BY bucket_id)
-    SELECT bucket_id, CAST(object_count AS BIGINT) AS object_count, CAST(objects_listed AS BIGINT) AS objects_listed,
-    objects_listed <= 40 AS listing_complete, CAST(256 AS BIGINT) AS partitions_sampled, partitions_scanned,
-    CASE WHEN objects_listed <= 40 THEN drifted ELSE 0 END AS partitions_mismatched,
-    CASE WHEN objects_listed > 40 THEN NULL WHEN drifted > 0 THEN 'needs_sync' ELSE 'healthy' END AS status FROM totals""")
-def verify_budget(spark, d):
-    return verify(v.catalog(spark, d), v.listing(spark, d), DAY, max_listed=40).buckets
-
-
 @query("reconcile_drifted", PRINTS + f""", bad AS (SELECT bucket_id, partition_index FROM drifts WHERE drift_at <> ''),
     planned AS ({IMPORTS} UNION ALL {REFRESHES} UNION ALL {REMOVALS})
     SELECT p.* FROM planned p SEMI JOIN bad b ON p.bucket_id = b.bucket_id AND {fnv_sql('p.key')} % 256 = b.partition_index""")
@@ -341,15 +331,44 @@ def verified_groups(spark, d):
     return dup.verified_groups(hashed)
 
 
+def _relations(spark, d):
+    """Relations, and a duplicate between each object and the first with its etag and size, be it right or not."""
+    stored = v.relations(spark, d)
+    rows = v.objects(spark, d).select("id", "etag", "size", "bucket_id")
+    firsts = rows.groupBy("etag", "size").agg(F.min("id").alias("source_object_id"))
+    stamp = F.lit("2024-01-01T00:00:00Z").cast("timestamp")
+    guessed = rows.join(firsts, ["etag", "size"]).where("id <> source_object_id").select(
+        "source_object_id", F.col("id").alias("target_object_id"), F.lit("duplicate").alias("relation_type"),
+        F.create_map().cast("map<string,string>").alias("attributes"), F.lit("run_old").alias("created_by_run_id"),
+        stamp.alias("created_at"), stamp.alias("updated_at"),
+    )
+    edge = ["source_object_id", "target_object_id", "relation_type"]
+    return stored.unionByName(guessed.join(stored.select(*edge), edge, "left_anti"))
+
+
 def _detected(spark, d):
-    return detect_duplicates(v.objects(spark, d), v.contents(spark, d), v.relations(spark, d), "run_1", AT)
+    return detect_duplicates(v.hashed_objects(spark, d), v.raw_contents(spark, d), _relations(spark, d), "run_1", AT)
 
 
+NUMBER = "CAST(substr(o.id, 8) AS BIGINT)"
+READ = f"""members AS (SELECT o.*, {NUMBER} % 3 = 0 AND o.size > 0 AS stored, {NUMBER} % 7 = 1 AS changed,
+    sha256(CASE WHEN {NUMBER} % 7 = 1 AND NOT ({NUMBER} % 3 = 0 AND o.size > 0) THEN text || '!' ELSE text END) AS sha
+    FROM objects o JOIN grp USING (etag, size)),
+  verified AS (SELECT etag, size, count(*) AS member_count, arg_min(id, (created_at, id)) AS original_id, min(sha) AS content_sha256
+    FROM members GROUP BY ALL HAVING min(sha) = max(sha)),
+  mismatched AS (SELECT etag, size FROM members GROUP BY ALL HAVING min(sha) <> max(sha))"""
 EDGES = """edges AS (SELECT v.original_id AS source_object_id, m.id AS target_object_id, v.content_sha256, v.etag,
     CAST(v.size AS VARCHAR) AS size FROM members m JOIN verified v USING (etag, size) WHERE m.id <> v.original_id)"""
+GUESSED = """guessed AS (SELECT source_object_id, target_object_id, relation_type FROM relations
+    UNION SELECT min(id) OVER (PARTITION BY etag, size), id, 'duplicate' FROM objects),
+  known AS (SELECT * FROM guessed WHERE source_object_id <> target_object_id),
+  broken AS (SELECT k.* FROM known k JOIN members s ON s.id = k.source_object_id JOIN members t ON t.id = k.target_object_id
+    SEMI JOIN mismatched m ON m.etag = s.etag AND m.size = s.size
+    WHERE k.relation_type = 'duplicate' AND s.etag = t.etag AND s.size = t.size)"""
+DETECTED = v.with_views(v.OBJECTS, GROUPS, READ, EDGES, v.RELATIONS, GUESSED)
 
 
-@query("detect_duplicates", v.with_views(v.OBJECTS, GROUPS, HASHED, EDGES) + "SELECT *, 'duplicate' AS relation_type, 'run_1' AS created_by_run_id FROM edges")
+@query("detect_duplicates", DETECTED + "SELECT *, 'duplicate' AS relation_type, 'run_1' AS created_by_run_id FROM edges")
 def duplicate_edges(spark, d):
     facts = [F.col("attributes")[n].alias(n) for n in ("content_sha256", "etag", "size")]
     return _detected(spark, d).edges.select(
@@ -357,24 +376,36 @@ def duplicate_edges(spark, d):
     )
 
 
-@query("duplicate_relations", v.with_views(v.OBJECTS, GROUPS, HASHED, EDGES, v.RELATIONS) + """SELECT source_object_id, target_object_id, relation_type
-    FROM relations UNION SELECT source_object_id, target_object_id, 'duplicate' FROM edges""")
+@query("duplicate_relations", DETECTED + """SELECT source_object_id, target_object_id, relation_type FROM known
+    ANTI JOIN broken USING (source_object_id, target_object_id, relation_type)
+    UNION SELECT source_object_id, target_object_id, 'duplicate' FROM edges""")
 def duplicate_relations(spark, d):
-    """Relations after detection; no group here mismatches, so none is lost."""
+    """Relations after detection: those inside a group whose contents differ are gone."""
     return _detected(spark, d).relations.select("source_object_id", "target_object_id", "relation_type")
 
 
-@query("duplicate_counts", v.with_views(v.OBJECTS, GROUPS, HASHED, EDGES) + """SELECT (SELECT count(*) FROM grp) AS candidate_groups,
+@query("duplicate_counts", DETECTED + """SELECT (SELECT count(*) FROM grp) AS candidate_groups,
     (SELECT count(*) FROM verified) AS verified_groups, (SELECT count(*) FROM edges) AS relations_created,
-    (SELECT count(*) FROM members) AS objects_hashed, (SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) FROM members) AS bytes_hashed,
-    CAST(0 AS BIGINT) AS relations_removed""")
+    (SELECT count(*) FROM members WHERE NOT stored) AS objects_hashed,
+    (SELECT CAST(sum(octet_length(encode(text)) + CAST(changed AS BIGINT)) AS BIGINT) FROM members WHERE NOT stored) AS bytes_hashed,
+    (SELECT count(*) FROM broken) AS relations_removed""")
 def duplicate_counts(spark, d):
     return _detected(spark, d).counts
 
 
-@query("cached_hashes", v.with_views(v.OBJECTS, GROUPS, HASHED) + """SELECT o.id, m.sha AS content_sha256,
-    CASE WHEN m.id IS NULL THEN NULL ELSE 'run_1' END AS provenance FROM objects o LEFT JOIN members m ON m.id = o.id""")
+@query("broken_relations", DETECTED + "SELECT * FROM broken")
+def broken_relations(spark, d):
+    return _detected(spark, d).broken.select("source_object_id", "target_object_id", "relation_type")
+
+
+@query("cached_hashes", v.with_views(v.OBJECTS, GROUPS, READ) + f"""SELECT o.id,
+    coalesce(m.sha, CASE WHEN {NUMBER} % 3 = 0 THEN sha256(o.text) END) AS content_sha256,
+    CASE WHEN m.id IS NULL OR m.stored THEN NULL ELSE 'run_1' END AS provenance FROM objects o LEFT JOIN members m ON m.id = o.id""")
 def cached_hashes(spark, d):
-    """Documents after the hashes read once have been kept in them."""
+    """Stored hashes, and those read once kept beside them."""
+    objects = v.hashed_objects(spark, d)
     kept = apply_hashes(v.objects(spark, d), _detected(spark, d).hashes, "run_1")
-    return kept.select("id", "content_sha256", F.col("attribute_provenance")["extracted"].alias("provenance"))
+    stored = objects.select("id", F.col("content_sha256").alias("stored"))
+    return kept.join(stored, "id").select(
+        "id", F.coalesce("content_sha256", "stored").alias("content_sha256"), F.col("attribute_provenance")["extracted"].alias("provenance")
+    )

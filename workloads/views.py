@@ -120,6 +120,21 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_column(rows, F.col("text")).drop("text")
 
 
+def raw_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents to be hashed. Every seventh differs from what its etag says."""
+    rows = table(spark, sf_dir, "documents")
+    changed = F.when(F.pmod("doc_id", F.lit(7)) == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return rows.select(F.col("source").alias("bucket_id"), _key().alias("key"), changed.alias("content"))
+
+
+def hashed_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of which every third has a stored hash."""
+    known = table(spark, sf_dir, "documents").where(F.pmod("doc_id", F.lit(3)) == 0)
+    stored = known.select(_object_id(F.col("doc_id")).alias("id"), F.sha2("text", 256).alias("_stored"))
+    rows = objects(spark, sf_dir).join(stored, "id", "left")
+    return rows.withColumn("content_sha256", F.col("_stored")).drop("_stored")
+
+
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """derived_from: a document labelled good quality to the next one; duplicate: to the one after that."""
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", "toxic")
