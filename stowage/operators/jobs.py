@@ -258,7 +258,9 @@ def trace_roots(jobs: DataFrame) -> DataFrame:
     distance = 1
     nothing = F.lit(None).cast("string")
     while left:
-        ahead = done.select(F.col("id").alias("_at"), F.col("found").alias("_found"), nothing.alias("_up")).unionByName(
+        # Of the finished jobs only those that somebody points at go on.
+        pointed = open_.select(F.col("up").alias("id")).distinct()
+        ahead = done.join(pointed, "id", "left_semi").select(F.col("id").alias("_at"), F.col("found").alias("_found"), nothing.alias("_up")).unionByName(
             open_.select(F.col("id").alias("_at"), nothing.alias("_found"), F.col("up").alias("_up"))
         )
         step = cut_lineage(open_.join(ahead, F.col("up") == F.col("_at")).select("id", "_found", "_up"))

@@ -2,22 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from stowage.operators.events import append_events, first_per_key, to_stored, unseen
 from stowage.schema import INBOX, INGEST, STORED_EVENT
 from stowage.sources.notifications import accepted, parse_notifications, rejects
 
+# Parts of the store by a hash of the dedupe key. A batch reads the parts that its keys fall into.
+KEY_PARTS = 64
+PART = "key_part"
+STORE = T.StructType([*INBOX.fields, T.StructField(PART, T.IntegerType())])
+
+
+def key_part(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(KEY_PARTS)).cast("int")
+
 
 def create_inbox(spark: SparkSession, path: str) -> None:
     """An empty inbox table, so that readers find it before the first batch."""
     empty = spark.createDataFrame([], STORED_EVENT)
-    empty.write.mode("ignore").parquet(f"{path}/{INGEST}=-1")
+    empty.write.mode("ignore").parquet(f"{path}/{INGEST}=-1/{PART}=0")
 
 
 def read_inbox(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(INBOX).parquet(path)
+    return spark.read.schema(STORE).parquet(path).drop(PART)
+
+
+def stored_keys(spark: SparkSession, path: str, parts: list[int], without: int) -> DataFrame:
+    """The stored dedupe keys of some parts, but for one batch's; other parts are not read."""
+    rows = spark.read.schema(STORE).parquet(path)
+    return rows.where(F.col(PART).isin(parts) & (F.col(INGEST) != without)).select("dedupe_key")
+
+
+def compact_inbox(spark: SparkSession, path: str, into: str) -> None:
+    """Write the inbox to a new folder with one batch folder and one file per part, for ingest to go on with.
+
+    The rows keep their state and no folder is written over. They belong to no batch that is still to come.
+    """
+    rows = spark.read.schema(STORE).parquet(path).drop(INGEST)
+    rows.repartition(KEY_PARTS, PART).write.partitionBy(PART).parquet(f"{into}/{INGEST}=-1")
 
 
 def dedupe_batch(batch: DataFrame, stored: DataFrame) -> DataFrame:
@@ -28,16 +52,18 @@ def dedupe_batch(batch: DataFrame, stored: DataFrame) -> DataFrame:
 def store_batch(batch: DataFrame, batch_id: int, inbox: str, rejected: str, transport: str = "stream") -> None:
     """Parse, dedupe and store one micro-batch of (bucket_id, body, received_at).
 
-    A batch owns one folder and replaces it whole, so a batch that is run again leaves the same rows. The new keys are
-    held in memory, so Spark knows their size and broadcasts them to the store's files below its threshold.
+    A batch owns one folder and replaces it whole, so a batch that is run again leaves the same rows. Of the store only the
+    parts that the new keys fall into are read, and of those only the keys.
     """
     parsed = parse_notifications(batch).persist()
     unique = first_per_key(to_stored(accepted(parsed, ("bucket_id", "received_at")), transport)).persist()
     try:
-        earlier = read_inbox(batch.sparkSession, inbox).where(F.col(INGEST) != batch_id)
-        unique.count()
-        fresh = unseen(earlier, unique).select(*STORED_EVENT.fieldNames())
-        fresh.write.mode("overwrite").parquet(f"{inbox}/{INGEST}={batch_id}")
+        # At most KEY_PARTS numbers.
+        parts = [row[0] for row in unique.select(key_part(F.col("dedupe_key"))).distinct().collect()]
+        earlier = stored_keys(batch.sparkSession, inbox, parts, batch_id)
+        fresh = unseen(earlier, unique).select(*STORED_EVENT.fieldNames(), key_part(F.col("dedupe_key")).alias(PART))
+        # A part of a batch is one file.
+        fresh.repartition(PART).write.mode("overwrite").partitionBy(PART).parquet(f"{inbox}/{INGEST}={batch_id}")
         bad = rejects(parsed).select("bucket_id", "received_at", "body", "error")
         bad.write.mode("overwrite").parquet(f"{rejected}/{INGEST}={batch_id}")
     finally:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stowage.operators import activity, events as ops, jobs, ordering
 from stowage.plans.change_feed import apply_events, feed_outcomes, run_change_feed
 from stowage.schema import JOB_RUN, STORED_EVENT
-from stowage.streaming.ingest import create_inbox, dedupe_batch, read_inbox, store_batch, stream_ingest
+from stowage.streaming.ingest import compact_inbox, create_inbox, dedupe_batch, read_inbox, store_batch, stored_keys, stream_ingest
 
 T0 = datetime(2026, 6, 26, tzinfo=timezone.utc)
 
@@ -147,6 +147,19 @@ def test_a_batch_run_again_changes_nothing(spark, tmp_path):
     assert spark.read.parquet(rejected).count() == 1
 
 
+def test_only_the_parts_of_new_keys_are_read_and_compaction_keeps_all(spark, tmp_path):
+    inbox, rejected = str(tmp_path / "inbox"), str(tmp_path / "rejected")
+    create_inbox(spark, inbox)
+    for batch, names in enumerate((("a", "b", "c"), ("d", "a"))):
+        store_batch(messages(spark, [body(n) for n in names]), batch, inbox, rejected)
+    plan = stored_keys(spark, inbox, [3, 5], 2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "key_part" in plan.split("PartitionFilters")[1]
+    compact_inbox(spark, inbox, str(tmp_path / "small"))
+    assert sorted(r.object_key for r in read_inbox(spark, str(tmp_path / "small")).collect()) == ["a", "b", "c", "d"]
+    store_batch(messages(spark, [body("b"), body("e")]), 2, str(tmp_path / "small"), rejected)
+    assert sorted(r.object_key for r in read_inbox(spark, str(tmp_path / "small")).collect()) == ["a", "b", "c", "d", "e"]
+
+
 def test_stream_restarts_where_it_ended(spark, tmp_path):
     source, inbox = tmp_path / "in", str(tmp_path / "inbox")
     schema = "bucket_id string, body string, received_at timestamp"
