@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -50,9 +52,25 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder. It is removed when the driver's process ends, as results may read it so long."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(remove_scratch)
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def remove_scratch() -> None:
+    """Remove what this process has written below the shared folder. Whatever cannot be reached any more is left."""
+    while _SCRATCH:
+        spark, path = _SCRATCH.pop()
+        with contextlib.suppress(Exception):
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
