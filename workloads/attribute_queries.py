@@ -151,10 +151,20 @@ PARENTS = f"near AS (SELECT DISTINCT {_UP} AS path FROM leaves), parents AS (SEL
 ALL_TYPES = "all_types AS (SELECT path, value_type FROM types UNION ALL SELECT path, 'unknown' FROM parents)"
 
 
-@query("observe_catalog", v.with_views(v.OBJECTS, LEAVES, OBJECT_TYPES, PARENTS, ALL_TYPES) + "SELECT *, 'observed' AS source FROM all_types")
+@query("observe_catalog", v.with_views(v.OBJECTS, LEAVES, OBJECT_TYPES, PARENTS, ALL_TYPES) + """SELECT path,
+    CASE WHEN path = 'upstream.size' THEN 'string' ELSE value_type END AS value_type,
+    CASE WHEN path = 'upstream.etag' THEN 'builtin' ELSE 'observed' END AS source, path = 'upstream.size' AS conflict FROM all_types
+    UNION ALL SELECT 'extracted.pages', 'integer', 'registered', false""")
 def observed_catalog(spark, d):
-    empty = _click_catalog(spark, d).where(F.lit(False))
-    return observe_catalog(v.bare_objects(spark, d), empty)[0]
+    """Into a catalog that knows some paths: one as it is, one built in, one that nothing shows, and one of another type."""
+    known = [
+        ("user.quality", "integer", "observed"), ("upstream.etag", "string", "builtin"),
+        ("extracted.pages", "integer", "registered"), ("upstream.size", "string", "observed"),
+    ]
+    catalog = spark.createDataFrame(known, "path string, value_type string, source string")
+    merged, conflicts = observe_catalog(v.bare_objects(spark, d), catalog)
+    clash = conflicts.select("path", F.lit(True).alias("_clash"))
+    return merged.join(clash, "path", "left").select("path", "value_type", "source", F.coalesce("_clash", F.lit(False)).alias("conflict"))
 
 
 def _object_catalog(spark, d):
