@@ -29,28 +29,11 @@ B2_EVENTS = (
 PUBSUB = "struct<attributes: map<string, string>, data: string>"
 R2 = "struct<action: string, bucket: string, eventTime: string, object: struct<key: string, size: bigint, eTag: string>>"
 
-_TEXT_FIELDS = [f.name for f in NORMALIZED_EVENT.fields if f.dataType.simpleString() == "string"]
-
 
 def _text(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
-def _event(error: Column, **fields: Column) -> Column:
-    """One normalized event with its own error; absent text is '' and an absent size 0."""
-    columns = {name: F.lit("") for name in _TEXT_FIELDS}
-    columns.update({k: _text(v) for k, v in fields.items() if k in _TEXT_FIELDS})
-    columns["size"] = F.coalesce(fields.get("size", F.lit(0)), F.lit(0)).cast("bigint")
-    columns["event_time"] = fields["event_time"]
-    ordered = [columns[f.name].cast(f.dataType).alias(f.name) for f in NORMALIZED_EVENT.fields]
-    return F.struct(*ordered, error.cast("string").alias("error"))
-
-
-def _once(build: Callable[[Column], Column], **values: Column) -> Column:
-    """``build`` over the values, each computed once however often it is used."""
-    return F.get(F.transform(F.array(F.struct(*[v.alias(n) for n, v in values.items()])), build), 0)
-
-
 def _time_error(text: Column, at: Column) -> Column:
     return F.when(_text(text) == "", "event time is empty").when(at.isNull(), "event time is malformed")
 
@@ -117,121 +100,163 @@ def envelope_format(keys: Column) -> Column:
     )
 
 
-def _s3_record(record: Column, legacy: bool) -> Column:
-    raw = _text(record["s3"]["object"]["key"])
-    return _once(
-        lambda seen: _s3_event(record, legacy, seen["key"], seen["action"], seen["at"]),
-        key=F.when(raw == "", "").otherwise(decode_key(raw)),
-        action=event_action(record["eventName"]),
-        at=parse_rfc3339(record["eventTime"]),
-    )
+# What the envelopes say about one event, as they write it; the same for all of them.
+RAW = {
+    "kind": "string", "name": "string", "source": "string", "time": "string", "millis": "bigint", "bucket": "string",
+    "arn": "string", "region": "string", "deployment": "string", "key": "string", "etag": "string", "size": "bigint",
+    "size_text": "string", "event_id": "string", "version": "string", "broken": "boolean", "unread": "boolean",
+}
 
 
-def _s3_event(record: Column, legacy: bool, key: Column, action: Column, at: Column) -> Column:
-    source, time = _text(record["eventSource"]), record["eventTime"]
-    skipped = (key == "") | (action == "ignore")
-    error = F.when(key.isNull(), "object key is malformed").when(~skipped, _time_error(time, at))
-    return _event(
-        error,
-        upstream=F.lit("rustfs") if legacy else event_provider(source),
-        action=action,
-        event_name=record["eventName"],
-        event_source=source,
-        bucket_name=record["s3"]["bucket"]["name"],
-        bucket_arn=record["s3"]["bucket"]["arn"],
+def _raw(kind: str, **fields: Column) -> Column:
+    named = {"kind": F.lit(kind), **fields}
+    return F.struct(*[named.get(n, F.lit(None)).cast(t).alias(n) for n, t in RAW.items()])
+
+
+def _s3_raw(record: Column, kind: str) -> Column:
+    return _raw(
+        kind,
+        name=record["eventName"],
+        source=record["eventSource"],
+        time=record["eventTime"],
+        bucket=record["s3"]["bucket"]["name"],
+        arn=record["s3"]["bucket"]["arn"],
         region=record["awsRegion"],
-        deployment_id=get_ci(record["responseElements"], "x-rustfs-deployment-id"),
-        key=key,
+        deployment=get_ci(record["responseElements"], "x-rustfs-deployment-id"),
+        key=record["s3"]["object"]["key"],
         etag=record["s3"]["object"]["eTag"],
         size=record["s3"]["object"]["size"],
-        event_time=at,
-        version_id=record["s3"]["object"]["versionId"],
+        version=record["s3"]["object"]["versionId"],
     )
 
 
-def _eventbridge(name: Column, body: Column) -> Column:
+def _eventbridge_raw(name: Column, body: Column) -> Column:
     stored = body["detail"]["object"]
-    return _event(
-        F.when(body.isNull(), "envelope is malformed").otherwise(_time_error(body["time"], parse_rfc3339(body["time"]))),
-        upstream=F.lit("aws"),
-        action=event_action(name),
-        event_name=name,
-        event_source=F.lit("aws:eventbridge"),
-        bucket_name=body["detail"]["bucket"]["name"],
+    return _raw(
+        "eventbridge",
+        name=name,
+        source=F.lit("aws:eventbridge"),
+        time=body["time"],
+        bucket=body["detail"]["bucket"]["name"],
         region=body["region"],
         key=stored["key"],
         etag=stored["etag"],
         size=stored["size"],
-        event_time=parse_rfc3339(body["time"]),
-        version_id=stored["version-id"],
+        version=stored["version-id"],
+        broken=body.isNull(),
     )
 
 
-def _b2_event(item: Column) -> Column:
-    return _event(
-        F.lit(None),
-        upstream=F.lit("b2"),
-        action=event_action(item["eventType"]),
-        event_name=item["eventType"],
-        bucket_name=item["bucketName"],
+def _b2_raw(item: Column) -> Column:
+    return _raw(
+        "b2",
+        name=item["eventType"],
+        millis=item["eventTimestamp"],
+        bucket=item["bucketName"],
         key=item["objectName"],
         size=item["objectSize"],
-        event_time=F.timestamp_millis(F.coalesce(item["eventTimestamp"], F.lit(0))),
         event_id=item["eventId"],
     )
 
 
-def _pubsub(message: Column, payload: Column) -> Column:
+def _pubsub_raw(message: Column, payload: Column) -> Column:
     values = message["attributes"]
-    name, time = values["eventType"], values["eventTime"]
-    encoded = F.trim(_text(message["data"]))
-    size = _text(F.try_variant_get(payload, "$.size", "string"))
-    error = F.when(event_action(name) == "ignore", F.lit(None)).otherwise(
-        F.coalesce(
-            F.when(message.isNull(), "envelope is malformed"),
-            _time_error(time, parse_rfc3339(time)),
-            F.when((encoded != "") & as_map(payload).isNull(), "message data is malformed"),
-            F.when((size != "") & ~size.rlike(r"^[+-]?\d+$"), "object size is malformed"),
-        )
-    )
-    return _event(
-        error,
-        upstream=F.lit("gcp"),
-        action=event_action(name),
-        event_name=name,
-        bucket_name=values["bucketId"],
+    return _raw(
+        "gcp",
+        name=values["eventType"],
+        time=values["eventTime"],
+        bucket=values["bucketId"],
         key=values["objectId"],
         etag=F.try_variant_get(payload, "$.md5Hash", "string"),
-        size=size.try_cast("bigint"),
-        event_time=parse_rfc3339(time),
-        version_id=values["objectGeneration"],
+        size_text=F.try_variant_get(payload, "$.size", "string"),
+        version=values["objectGeneration"],
+        broken=message.isNull(),
+        unread=(F.trim(_text(message["data"])) != "") & as_map(payload).isNull(),
     )
 
 
-def _r2(body: Column) -> Column:
-    action = event_action(body["action"])
-    skipped = (_text(body["object"]["key"]) == "") | (action == "ignore")
-    error = F.when(body.isNull(), "envelope is malformed").when(
-        ~skipped, _time_error(body["eventTime"], parse_rfc3339(body["eventTime"]))
-    )
-    return _event(
-        error,
-        upstream=F.lit("r2"),
-        action=action,
-        event_name=body["action"],
-        bucket_name=body["bucket"],
+def _r2_raw(body: Column) -> Column:
+    return _raw(
+        "r2",
+        name=body["action"],
+        time=body["eventTime"],
+        bucket=body["bucket"],
         key=body["object"]["key"],
         etag=body["object"]["eTag"],
         size=body["object"]["size"],
-        event_time=parse_rfc3339(body["eventTime"]),
+        broken=body.isNull(),
     )
 
 
-def parse_notifications(df: DataFrame, body: str = "body") -> DataFrame:
-    """``df`` with ``format``, ``events`` (array of normalized events) and ``error``.
+def _read(raw: Column) -> dict[str, Column]:
+    """What is worked out from one raw event: its key, action and time."""
+    records = raw["kind"].isin("s3", "rustfs")
+    key = _text(raw["key"])
+    return {
+        "key": F.when(records & (key != ""), decode_key(key)).otherwise(key),
+        "action": event_action(raw["name"]),
+        "at": F.when(raw["kind"] == "b2", F.timestamp_millis(F.coalesce(raw["millis"], F.lit(0)))).otherwise(
+            parse_rfc3339(raw["time"])
+        ),
+    }
+
+
+def _error(raw: Column, read: dict[str, Column]) -> Column:
+    """What is wrong with one event, by the rules of its envelope."""
+    kind, key, action = raw["kind"], read["key"], read["action"]
+    late = _time_error(raw["time"], read["at"])
+    skipped = (key == "") | (action == "ignore")
+    size = _text(raw["size_text"])
+    return (
+        F.when(kind == "b2", F.lit(None).cast("string"))
+        .when(kind.isin("s3", "rustfs"), F.when(key.isNull(), "object key is malformed").when(~skipped, late))
+        .when((kind == "gcp") & (action == "ignore"), F.lit(None).cast("string"))
+        .when(raw["broken"], "envelope is malformed")
+        .when(kind == "r2", F.when(~skipped, late))
+        .when(kind == "eventbridge", late)
+        .otherwise(
+            F.coalesce(
+                late,
+                F.when(raw["unread"], "message data is malformed"),
+                F.when((size != "") & ~size.rlike(r"^[+-]?\d+$"), "object size is malformed"),
+            )
+        )
+    )
 
-    Events without a key, or whose name means neither an import nor a removal, are left out. One bad event makes its
-    whole notification bad, so that it can be looked at and sent again. Of ``events`` and ``error`` one is NULL.
+
+def _event(raw: Column, read: dict[str, Column]) -> list[Column]:
+    """The columns of a normalized event; absent text is '' and an absent size 0."""
+    kind = raw["kind"]
+    size = F.when(kind == "gcp", _text(raw["size_text"]).try_cast("bigint")).otherwise(raw["size"])
+    columns = {
+        "upstream": F.when(kind == "s3", event_provider(_text(raw["source"])))
+        .when(kind == "eventbridge", "aws")
+        .otherwise(kind),
+        "action": read["action"],
+        "event_name": raw["name"],
+        "event_source": raw["source"],
+        "bucket_name": raw["bucket"],
+        "bucket_arn": raw["arn"],
+        "region": raw["region"],
+        "deployment_id": raw["deployment"],
+        "key": read["key"],
+        "etag": raw["etag"],
+        "event_id": raw["event_id"],
+        "version_id": raw["version"],
+    }
+    columns = {name: _text(value) for name, value in columns.items()}
+    columns |= {"size": F.coalesce(size, F.lit(0)).cast("bigint"), "event_time": read["at"]}
+    return [columns[f.name].cast(f.dataType).alias(f.name) for f in NORMALIZED_EVENT.fields]
+
+
+def _once(raw: Column, build: Callable[[Column, dict[str, Column]], Column]) -> Column:
+    """``build`` over a raw event and what is read from it, each part computed once."""
+    read = [value.alias(name) for name, value in _read(raw).items()]
+    return F.get(F.transform(F.array(F.struct(*read)), lambda r: build(raw, {n: r[n] for n in ("key", "action", "at")})), 0)
+
+
+def _staged(df: DataFrame, body: str) -> DataFrame:
+    """``df`` with ``format``, ``_raw`` (array of raw events) and ``_unread``, why a notification cannot be read at all.
 
     Each step is a column of its own, and a body is read only as the envelope it is.
     """
@@ -254,23 +279,23 @@ def parse_notifications(df: DataFrame, body: str = "body") -> DataFrame:
         }
     )
     staged = staged.withColumn("_payload", decode_payload(F.col("_message.data")))
-
-    events = (
-        F.when(kind == "s3", F.transform("_records", lambda r: _s3_record(r, False)))
-        .when(kind == "rustfs", F.transform("_records", lambda r: _s3_record(r, True)))
-        .when(kind == "b2", F.transform("_b2", _b2_event))
-        .when(kind == "eventbridge", F.array(_eventbridge(F.col("_bridge_name"), F.col("_bridge"))))
-        .when(kind == "gcp", F.array(_pubsub(F.col("_message"), F.col("_payload"))))
-        .when(kind == "r2", F.array(_r2(F.col("_r2"))))
+    raw = (
+        F.when(kind == "s3", F.transform("_records", lambda r: _s3_raw(r, "s3")))
+        .when(kind == "rustfs", F.transform("_records", lambda r: _s3_raw(r, "rustfs")))
+        .when(kind == "b2", F.transform("_b2", _b2_raw))
+        .when(kind == "eventbridge", F.array(_eventbridge_raw(F.col("_bridge_name"), F.col("_bridge"))))
+        .when(kind == "gcp", F.array(_pubsub_raw(F.col("_message"), F.col("_payload"))))
+        .when(kind == "r2", F.array(_r2_raw(F.col("_r2"))))
     )
     topic = F.col("_topic")
     quiet = F.coalesce(topic.isin("SubscriptionConfirmation", "UnsubscribeConfirmation"), F.lit(False))
     # A list that is there but does not have the shape it should; a JSON null counts as an empty list.
-    raw = F.coalesce(
+    listed = F.coalesce(
         read("s3", "$.Records", "variant"), read("rustfs", "$.records", "variant"), read("b2", "$.events", "variant")
     )
     misshapen = F.when(
-        F.coalesce(F.size("_records"), F.size("_b2")).isNull(), raw.isNotNull() & (F.schema_of_variant(raw) != "VOID")
+        F.coalesce(F.size("_records"), F.size("_b2")).isNull(),
+        listed.isNotNull() & (F.schema_of_variant(listed) != "VOID"),
     )
     unread = (
         F.when(F.col(body).isNull() | value.isNull() | F.col("_keys").isNull(), "body is not a JSON object")
@@ -279,12 +304,22 @@ def parse_notifications(df: DataFrame, body: str = "body") -> DataFrame:
         .when((kind == "sns") & ~quiet, "unsupported topic message type")
         .when(misshapen, "envelope is malformed")
     )
-    staged = staged.withColumns({"_events": events, "_unread": unread})
+    return staged.withColumns({"_raw": raw, "_unread": unread})
+
+
+def parse_notifications(df: DataFrame, body: str = "body") -> DataFrame:
+    """``df`` with ``format``, ``events`` (array of normalized events) and ``error``.
+
+    Events without a key, or whose name means neither an import nor a removal, are left out. One bad event makes its
+    whole notification bad, so that it can be looked at and sent again. Of ``events`` and ``error`` one is NULL.
+    """
+    staged = _staged(df, body)
+    build = lambda raw, read: F.struct(*_event(raw, read), _error(raw, read).alias("error"))
+    staged = staged.withColumn("_events", F.transform("_raw", lambda raw: _once(raw, build)))
     first_error = F.get(F.filter(F.transform("_events", lambda e: e["error"]), lambda e: e.isNotNull()), 0)
     staged = staged.withColumn("error", F.coalesce("_unread", first_error))
-    kept = F.filter("_events", lambda e: (e["key"] != "") & (e["action"] != "ignore"))
-    none = F.filter(F.array(_event(F.lit(None), event_time=F.lit(None))), lambda _: F.lit(False))
-    staged = staged.withColumn("events", F.when(F.col("error").isNull(), F.coalesce(kept, none)))
+    kept = F.filter(F.coalesce("_events", F.array()), lambda e: (e["key"] != "") & (e["action"] != "ignore"))
+    staged = staged.withColumn("events", F.when(F.col("error").isNull(), kept))
     return fence(staged.select(*df.columns, "format", "events", "error"), ["format", "events", "error"])
 
 
@@ -299,8 +334,21 @@ def rejects(parsed: DataFrame) -> DataFrame:
 
 
 def normalize_notifications(df: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per event of every readable notification."""
-    return accepted(parse_notifications(df, body), keep)
+    """One row per event of every readable notification.
+
+    Raw events are exploded first, so that keys, times and actions are plain columns that Spark compiles. A notification
+    of one event is judged by that row; only those of several are judged as a whole before.
+    """
+    staged = _staged(df, body)
+    bad = F.exists("_raw", lambda raw: _once(raw, _error).isNotNull())
+    whole = F.col("_unread").isNull() & F.when(F.size("_raw") > 1, ~bad).otherwise(True)
+    # The outer form keeps Spark from inferring a filter on the array.
+    rows = staged.select(*keep, F.explode_outer(F.when(whole, F.col("_raw"))).alias("_raw")).where("_raw IS NOT NULL")
+    raw = F.col("_raw")
+    rows = rows.withColumns({f"_{name}": value for name, value in _read(raw).items()})
+    read = {name: F.col(f"_{name}") for name in ("key", "action", "at")}
+    good = _error(raw, read).isNull() & (read["key"] != "") & (read["action"] != "ignore")
+    return rows.where(good).select(*keep, *_event(raw, read))
 
 
 def rejected_notifications(df: DataFrame, body: str = "body") -> DataFrame:
