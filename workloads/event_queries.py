@@ -59,7 +59,7 @@ NORMALIZED = f"""normalized AS (SELECT i.event_id AS event_no, i.event_id % 7 AS
     {ACTION} AS action, i.event_name,
     CASE WHEN i.event_id % 7 = 3 THEN 'aws:eventbridge' WHEN i.event_id % 7 IN (4, 5) THEN '' ELSE 'aws:s3' END AS event_source,
     i.bucket_id AS bucket_name, CASE WHEN i.event_id % 7 IN (3, 4, 5) THEN '' ELSE 'arn:' || i.bucket_id END AS bucket_arn,
-    CASE WHEN i.event_id % 7 IN (4, 5) THEN '' ELSE 'eu-west-1' END AS region, '' AS deployment_id, i.object_key AS key,
+    CASE WHEN i.event_id % 7 IN (4, 5) THEN '' ELSE 'eu-west-1' END AS region, CASE WHEN i.event_id % 7 = 6 THEN 'dep-' || i.bucket_id ELSE '' END AS deployment_id, i.object_key AS key,
     CASE WHEN i.event_id % 7 = 4 THEN '' ELSE md5(i.object_key) END AS etag, CAST(floor(i.value * 100) AS BIGINT) AS size,
     CASE WHEN i.event_id % 7 = 4 THEN date_trunc('millisecond', i.received_at) ELSE i.received_at END AS event_time,
     CASE WHEN i.event_id % 7 = 4 THEN CAST(i.event_id AS VARCHAR) ELSE '' END AS event_id, '' AS version_id

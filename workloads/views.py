@@ -228,7 +228,9 @@ def raw_notifications(spark: SparkSession, sf_dir: str, stream: bool = False) ->
     aws = F.to_json(F.struct(F.array(record).alias("Records")))
     sns = F.to_json(F.struct(F.lit("Notification").alias("Type"), aws.alias("Message")))
     wrapped = F.concat(F.lit('{"transport":"queue","body":'), aws, F.lit("}"))
-    rustfs = F.to_json(F.struct(F.array(record).alias("records")))
+    answered = F.create_map(F.lit("X-RustFS-Deployment-Id"), F.concat(F.lit("dep-"), "bucket_id")).alias("responseElements")
+    fields = [record[n].alias(n) for n in ("eventSource", "awsRegion", "eventTime", "eventName", "s3")]
+    rustfs = F.to_json(F.struct(F.array(F.struct(*fields, answered)).alias("records")))
     detail = F.struct(
         F.struct(F.col("bucket_id").alias("name")).alias("bucket"),
         F.struct(F.col("object_key").alias("key"), "size", F.md5("object_key").alias("etag")).alias("object"),
