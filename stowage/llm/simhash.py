@@ -24,11 +24,11 @@ from stowage.llm.components import connected_components, merge
 BITS = 64
 SEED = 42
 # Node pairs walked at once; more are halved and walked in turn.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 15
 # Element pairs of a node pair from which they are compared directly.
 LEAF_PAIRS = 16
 # Elements of whole groups that a task joins at once.
-TASK_ELEMENTS = 1 << 18
+TASK_ELEMENTS = 1 << 15
 
 
 def simhash(text: str, words: int = 4) -> int:
@@ -91,6 +91,7 @@ def trie_links(turned: np.ndarray, starts: np.ndarray, max_bits: int) -> tuple[n
     many = ends - starts > 1
     roots = (starts[many], ends[many], starts[many], ends[many], np.zeros(int(many.sum()), dtype=np.int64))
     stack = [(0, roots)]
+    counted, changes = None, None
     while stack:
         depth, pairs = stack.pop()
         if len(pairs[0]) > FRONTIER:
@@ -99,7 +100,8 @@ def trie_links(turned: np.ndarray, starts: np.ndarray, max_bits: int) -> tuple[n
             continue
         a0, a1, b0, b1, spent = pairs
         # A pair of nodes whose elements all have one label has nothing to add.
-        changes = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
+        if counted is not label:
+            counted, changes = label, np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
         one = (changes[a0] == changes[a1 - 1]) & (changes[b0] == changes[b1 - 1]) & (label[a0] == label[b0])
         a0, a1, b0, b1, spent = (x[~one] for x in (a0, a1, b0, b1, spent))
         few = (a1 - a0) * (b1 - b0) <= LEAF_PAIRS
@@ -226,4 +228,5 @@ def keep_one(docs: DataFrame, words: int, max_bits: int, id_col: str = "doc_id",
     distinct = cut_lineage(numbered.groupBy(F.col(bits).alias("bits")).agg(F.min(order).alias("first")))
     rooted = groups(distinct, max_bits).join(distinct, "bits")
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
-    return numbered.join(cut_lineage(kept), row, "left_semi").select(*docs.columns)
+    # The kept rows grow with the documents, so they are merged at every size and never broadcast.
+    return numbered.join(cut_lineage(kept).hint("merge"), row, "left_semi").select(*docs.columns)
