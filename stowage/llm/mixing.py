@@ -177,5 +177,6 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         & F.col(source_col).cast("string").eqNullSafe(F.col(names["source"]))
         & (size == F.col(names["size"]))
     )
-    copied = docs.join(renamed, same).withColumn(names["copy"], F.explode(F.sequence(F.lit(1), F.col(names["copies"]))))
+    # The plan grows with the documents, so it is merged at every size and never broadcast.
+    copied = docs.join(renamed.hint("merge"), same).withColumn(names["copy"], F.explode(F.sequence(F.lit(1), F.col(names["copies"]))))
     return copied.select(*docs.columns)
