@@ -33,7 +33,9 @@ PASSES = 2
 SEED = 11
 # Pseudo-counts of transitions and emissions.
 SMOOTH = 0.01
-# Tokens whose states are held at once, and distinct words a task counts before it passes them on.
+# Tokens whose states the driver holds at once in the first passes.
+FIRST_TOKENS = 100_000
+# Tokens whose states are held at once in a task, and distinct words a task counts before it passes them on.
 BATCH_TOKENS = 500_000
 COUNTED = 300_000
 
@@ -235,15 +237,20 @@ def train(docs: DataFrame, symbols: Symbols, unigrams: np.ndarray, states: int =
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
     picked = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIRST_DOCUMENTS)
     rows = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
-    numbers = Numbers(symbols)
-    texts = [row["text"] for row in sorted(rows, key=lambda row: row["doc_id"])]
-    few = [np.append(np.array([numbers[w] for w in words_of(text)], dtype=np.int64), END) for text in texts]
+    few = []
+    for _, text in sorted((row["doc_id"], row["text"]) for row in rows):
+        words = words_of(text)
+        numbered = (symbols.number.get(word) or symbols.of_class(word) for word in words)
+        few.append(np.append(np.fromiter(numbered, dtype=np.int32, count=len(words)), END))
+    del rows
+    # Side by side, sequences cost as many steps as the longest has, so those of like length go together.
+    few.sort(key=len)
     for _ in range(FIRST_PASSES if few else 0):
         sums, held, n = Sums(states, symbols.size), [], 0
         for sequence in few:
             held.append(sequence)
             n += len(sequence)
-            if n > BATCH_TOKENS:
+            if n > FIRST_TOKENS:
                 expect(model, held, sums)
                 held, n = [], 0
         if held:
@@ -269,9 +276,10 @@ def score_documents(
     totals = counts.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     documents = training.count()
     distinct, tokens = totals["v"] + (documents > 0), totals["n"] + documents
-    # At most COMMON rows.
-    top = counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()
-    common = {bytes(row["word"]): row["n"] for row in top}
+    # At most COMMON rows, of no more than 16 times as many that can have so large a share of the tokens.
+    large = counts.where(F.col("n") >= totals["n"] // (16 * COMMON))
+    top = large.orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
+    common = dict(zip(top["word"].to_pylist(), top["n"].to_pylist()))
     symbols = Symbols(list(common)[:FREQUENT])
 
     # What the words without an emission of their own have in each class: a row per class.
@@ -350,12 +358,13 @@ def score_documents(
     )
 
 
-def _after(top: list, bound: int) -> Column:
+def _after(top: pa.Table, bound: int) -> Column:
     """Whether a word comes after the first ``bound`` of ``top``, in the order by count and word."""
-    if len(top) < bound:
-        return F.lit(False)
-    last = top[bound - 1]
-    return (F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("word") > F.lit(bytes(last["word"]))))
+    if not top.num_rows:
+        return F.lit(True)
+    last = min(bound, top.num_rows) - 1
+    word, n = top["word"][last].as_py(), top["n"][last].as_py()
+    return (F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > F.lit(word)))
 
 
 def class_column(word: str) -> Column:
