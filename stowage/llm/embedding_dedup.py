@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stowage.llm.common import cut_lineage
+from stowage.llm.common import cut_lineage, hashed_share
 from stowage.llm.components import connected_components, merge
 
 # Vectors that the cells are fitted on, taken by the order of a hash. 16 MB at 64 dimensions.
@@ -172,9 +172,11 @@ def near_duplicates(
     usable = usable.where(F.size("vector") == width)
     distinct = cut_lineage(usable.groupBy("vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")))
 
-    cells = min(MOST_CELLS, max(1, -(-distinct.count() // cell_rows)))
-    sample = distinct.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vector").toPandas()["vector"]
-    centroids = fit_cells(np.array(sample.tolist()), cells)
+    n_distinct = distinct.count()
+    cells = min(MOST_CELLS, max(1, -(-n_distinct // cell_rows)))
+    some = distinct.where(hashed_share(F.col("node"), 2 * SAMPLE, n_distinct))
+    sample = some.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vector").toArrow()["vector"].combine_chunks()
+    centroids = fit_cells(sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, width), cells)
     placed = cut_lineage(assign(distinct, centroids, margin))
 
     # A row per cell, of which there are at most MOST_CELLS.

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stowage.llm.common import text_rows
+from stowage.llm.common import hashed_share, text_rows
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{place}-{kind}" for kind in KINDS for place in "BI"))
@@ -464,16 +464,23 @@ def find(texts: list[str], decoder: Decoder) -> list[tuple[list[tuple[int, int,
 
 
 def training_table(docs: DataFrame, lines: int = SAMPLE_LINES) -> list[tuple[list[str], list[int]]]:
-    """Bounded samples of the corpus's lines of up to 2000 characters: with a digit or an @ (the base labels them), and without."""
-    line = F.explode(F.split("text", "\n")).alias("line")
-    chosen = docs.select("doc_id", line).where(F.length("line").between(1, 2_000))
-    chosen = chosen.withColumn("marked", F.rlike("line", F.lit("@|[0-9]")).cast("int"))
-    picked = []
-    for marked, bound in ((1, 2 * lines), (0, lines)):
-        # Ordered by short hashes first, so that a task sends no more than the bound of lines.
-        some = chosen.where(F.col("marked") == marked).orderBy(F.xxhash64("line"), "line").limit(bound)
-        picked += [row["line"] for row in some.select("line").collect()]
-    return labelled_lines(picked)
+    """Bounded samples of the corpus's lines of up to 2000 characters: with a digit or an @ (the base labels them), and without.
+
+    Lines are counted first, and then taken by a hash at a rate that gives a few times as many as are wanted.
+    """
+    line = F.posexplode(F.split("text", "\n")).alias("at", "line")
+    every = docs.select("doc_id", line).where(F.length("line").between(1, 2_000))
+    every = every.withColumn("marked", F.rlike("line", F.lit("@|[0-9]")))
+    counts = {row["marked"]: row["n"] for row in every.groupBy("marked").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = {True: 2 * lines, False: lines}
+    key = F.concat_ws(":", "doc_id", "at")
+    chosen = F.lit(False)
+    for marked, n in wanted.items():
+        chosen = chosen | ((F.col("marked") == marked) & hashed_share(key, 4 * n, counts.get(marked, 0)))
+    # A line that stands in very many rows comes once.
+    found = every.where(chosen).groupBy("marked", "line").agg(F.min(F.xxhash64("line")).alias("order")).collect()
+    found.sort(key=lambda row: (row["order"], row["line"]))
+    return labelled_lines([row["line"] for marked, n in wanted.items() for row in [r for r in found if r["marked"] == marked][:n]])
 
 
 def join_spans(spans: list[tuple[int, int, int]]) -> str:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stowage.llm.common import slices, text_rows
+from stowage.llm.common import cut_lineage, slices, text_rows
 from stowage.llm.tokens import REMEMBERED, encoder
 
 # Entries of the broadcast table, and candidates that each task names for it. With at most 64 characters an entry the
@@ -46,8 +46,11 @@ def frequent_pieces(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES) ->
         if top:
             yield pa.RecordBatch.from_pydict({"piece": [p for p, _ in top], "n": [n for _, n in top]})
 
-    named = docs.mapInArrow(candidates, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [row["piece"] for row in named.orderBy(F.desc("n"), "piece").limit(entries).collect()]
+    named = cut_lineage(docs.mapInArrow(candidates, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")))
+    total = named.agg(F.sum("n")).first()[0] or 0
+    # No more than 16 times as many pieces can have so large a share, however many candidates there are.
+    large = named.where(F.col("n") >= total // (16 * entries))
+    return large.orderBy(F.desc("n"), "piece").limit(entries).toArrow()["piece"].to_pylist()
 
 
 class LengthTable:
