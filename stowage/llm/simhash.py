@@ -16,13 +16,13 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from stowage.llm.common import cut_lineage, fresh, text_rows
 from stowage.llm.components import connected_components, merge
+from stowage.llm.shingle_join import common_shingles, prefix, shingles, similar_links
 
 BITS = 64
-SEED = 42
 # Node pairs walked at once; more are halved and walked in turn.
 FRONTIER = 1 << 15
 # Element pairs of a node pair from which they are compared directly.
@@ -33,15 +33,12 @@ TASK_ELEMENTS = 1 << 15
 
 def simhash(text: str, words: int = 4) -> int:
     """The fingerprint of a text as an unsigned integer; zero for a text without words."""
-    found = text.encode().lower().split()
-    if not found:
-        return 0
-    if len(found) <= words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(found), SEED)]
-    else:
-        shingles = map(b" ".join, zip(*(found[i:] for i in range(words))))
-        hashes = [xxhash.xxh64_intdigest(shingle, SEED) for shingle in shingles]
-    bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return _majority(shingles(text, words))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)).tobytes(), "big")
 
 
@@ -207,26 +204,54 @@ def near_duplicates(
 def keep_one(docs: DataFrame, words: int, max_bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, all its columns as they are: the one of the smallest id.
 
-    Null ids come last; of several rows of that id the first in the order of the input stays. A null text is empty, and
-    texts without words are one group. An empty table gives an empty table.
+    Near-duplicates are linked by a Jaccard similarity of their sets of shingles of at least 4/5. Fingerprints within
+    ``max_bits`` name likely pairs, and the prefixes of the sets all others. Null ids come last; of several rows of that id
+    the first in the order of the input stays. A null text is empty, and texts without words are one group. An empty table
+    gives an empty table.
     """
-    row, bits = fresh("row_id", docs.columns), fresh("bits", docs.columns)
-    schema = StructType([*docs.schema.fields, StructField(row, LongType()), StructField(bits, LongType())])
+    names = {name: fresh(name, docs.columns) for name in ("row_id", "bits", "shingle_set", "n_shingles", "prefix")}
+    row, bits, shingle_set, n_shingles, prefixed = names.values()
+    kinds = [LongType(), LongType(), BinaryType(), LongType(), ArrayType(LongType())]
+    schema = StructType([*docs.schema.fields, *[StructField(name, kind) for name, kind in zip(names.values(), kinds)]])
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words, text_col))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
         for batch in batches:
-            found = np.array([simhash(text.as_py() or "", words) for text in batch[text_col]], dtype=np.uint64)
+            prints, digests, sizes, prefixes = [], [], [], []
+            for text in batch[text_col]:
+                hashes = shingles(text.as_py() or "", words)
+                distinct = np.unique(hashes)
+                prints.append(_majority(hashes))
+                digests.append(xxhash.xxh3_128_digest(distinct.tobytes()))
+                sizes.append(len(distinct))
+                prefixes.append(prefix(distinct, shared.value).view(np.int64))
             rows = np.arange(first, first + batch.num_rows)
             first += batch.num_rows
-            columns = [*batch.columns, pa.array(rows), pa.array(found.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, row, bits])
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]), pa.int32())
+            values = pa.array(np.concatenate([np.empty(0, dtype=np.int64), *prefixes]))
+            found = np.array(prints, dtype=np.uint64).view(np.int64)
+            added = [pa.array(rows), pa.array(found), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, values)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], schema.names)
 
     # Written with the rows' numbers, which thereby stay what they are.
     numbered = cut_lineage(docs.mapInArrow(number, schema))
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    distinct = cut_lineage(numbered.groupBy(F.col(bits).alias("bits")).agg(F.min(order).alias("first")))
-    rooted = groups(distinct, max_bits).join(distinct, "bits")
+    # Equal sets are one element, known by the row that would stay of them.
+    sets = numbered.groupBy(shingle_set).agg(F.min(order).alias("first"), F.min_by(bits, order).alias("bits"))
+    sets = cut_lineage(sets.select(F.col("first.row").alias("row"), "first", "bits"))
+    distinct = cut_lineage(sets.groupBy("bits").agg(F.min("row").alias("row")))
+    equal = sets.select("bits", F.col("row").alias("b")).join(distinct.withColumnRenamed("row", "a"), "bits").where("a != b").select("a", "b")
+    ends = links(distinct, max_bits)
+    for end in ("a", "b"):
+        ends = ends.join(distinct.select(F.col("bits").alias(end), F.col("row").alias(f"row_{end}")), end)
+    near = equal.unionByName(ends.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")))
+
+    texts = numbered.select(F.col(row).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    prefixes = numbered.select(F.col(row).alias("row"), F.col(n_shingles).alias("n"), F.col(prefixed).alias("prefix"))
+    prefixes = prefixes.join(sets.select("row").hint("merge"), "row", "left_semi")
+    found = connected_components(similar_links(prefixes, near, texts, words))
+    rooted = sets.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("component", "row"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     # The kept rows grow with the documents, so they are merged at every size and never broadcast.
     return numbered.join(cut_lineage(kept).hint("merge"), row, "left_semi").select(*docs.columns)
