@@ -5,6 +5,8 @@ import re
 import corpus_pipeline as C
 import numpy as np
 
+from stowage.llm import simhash as S
+
 from . import test_pipeline
 from .conftest import SF_DIR
 
@@ -71,3 +73,11 @@ def test_stages_with_jaccard(spark, documents, monkeypatch):
     monkeypatch.setattr(test_pipeline, "fingerprint", shingle_set)
     monkeypatch.setattr(test_pipeline, "components", groups)
     test_pipeline.test_stages(spark, documents)
+
+
+def test_near_fingerprints_alone_drop_nothing(spark):
+    random = np.random.default_rng(5)
+    rows = [(i, " ".join(f"u{x}" for x in random.integers(0, 5000, 60))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # Unrelated fingerprints differ in about 32 bits, so the trie links all of these.
+    assert sorted(r["doc_id"] for r in S.keep_one(docs, C.WORDS, 48).collect()) == list(range(12))
