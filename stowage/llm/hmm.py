@@ -3,8 +3,8 @@
 Every word of the training documents is counted. The most frequent words have emissions of their own; all others,
 unseen words included, emit the class of their surface (length and last letter), and within a class a word has its
 smoothed share of the class. So the model is a distribution over word sequences with an end, and the hidden states learn
-what kinds of words follow each other. Training first goes over a bounded part of the documents to part the states, then
-over all training documents; each task adds up its expected counts, and only those sums move.
+what kinds of words follow each other. Every pass of the training goes over all training documents, until the likelihood
+rises by little; each task adds up its expected counts, and only those sums move.
 """
 
 from __future__ import annotations
@@ -26,15 +26,11 @@ STATES = 8
 FREQUENT = 20_000
 # Words whose counts are broadcast, some 10 MB; the counts of all others reach the documents by a join.
 COMMON = 200_000
-# Passes over a bounded part of the training documents, then over all of them.
-FIRST_PASSES = 12
-FIRST_DOCUMENTS = 3_000
-PASSES = 2
+# Training ends with the pass that finds the log-likelihood raised by less than this share of it.
+GAIN = 3e-4
 SEED = 11
 # Pseudo-counts of transitions and emissions.
 SMOOTH = 0.01
-# Tokens whose states the driver holds at once in the first passes.
-FIRST_TOKENS = 100_000
 # Tokens whose states are held at once in a task, and distinct words a task counts before it passes them on.
 BATCH_TOKENS = 500_000
 COUNTED = 300_000
@@ -120,12 +116,13 @@ class Model:
 
 
 class Sums:
-    """Expected counts of starts, transitions and emissions."""
+    """Expected counts of starts, transitions and emissions, and the log10 likelihood under the model that expects them."""
 
     def __init__(self, states: int, symbols: int):
         self.start = np.zeros(states)
         self.move = np.zeros((states, states))
         self.emit = np.zeros((symbols, states))
+        self.likelihood = 0.0
 
     def model(self, unigrams: np.ndarray) -> Model:
         """The model of these counts. Emissions are smoothed towards the symbols' shares of all tokens."""
@@ -169,7 +166,8 @@ def forward(model: Model, flat: np.ndarray, reach: np.ndarray, keep: bool = Fals
 def expect(model: Model, sequences: list[np.ndarray], sums: Sums) -> None:
     """Add the expected counts of whole sequences to ``sums`` by the scaled forward and backward recursions."""
     flat, reach, _ = ragged(sequences)
-    _, emitted, scales, ahead = forward(model, flat, reach, keep=True)
+    likelihoods, emitted, scales, ahead = forward(model, flat, reach, keep=True)
+    sums.likelihood += float(likelihoods.sum())
     ends = np.cumsum(reach)
     posterior = np.empty_like(ahead)
     back = np.ones((0, ahead.shape[1]))
@@ -211,54 +209,36 @@ def baum_welch(docs: DataFrame, symbols: Symbols, model: Model) -> Sums:
         sums, numbers = Sums(states, symbols.size), Numbers(symbols)
         for _, _, sequences in sequences_of(batches, numbers):
             expect(model, sequences, sums)
-        # The rows after the symbols are the transitions, and the last one the starts.
-        every = np.concatenate([sums.emit, sums.move, sums.start[None, :]])
+        # The rows after the symbols are the transitions, then the starts, and the last one begins with the likelihood.
+        every = np.concatenate([sums.emit, sums.move, sums.start[None, :], sums.likelihood * np.eye(1, len(model.start))])
         (seen,) = np.nonzero(every.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(seen), *[pa.array(every[seen, i]) for i in range(states)]], ["row", *columns])
 
     schema = "row long, " + ", ".join(f"{c} double" for c in columns)
     added = docs.mapInArrow(run, schema).groupBy("row").agg(*[F.sum(c).alias(c) for c in columns])
     # A row per symbol at most, whatever the corpus.
-    every = np.zeros((symbols.size + states + 1, states))
+    every = np.zeros((symbols.size + states + 2, states))
     for row in added.collect():
         every[row["row"]] = row[1:]
     sums = Sums(states, symbols.size)
-    sums.emit, sums.move, sums.start = every[: symbols.size], every[symbols.size : -1], every[-1]
+    sums.emit, sums.move, sums.start = every[: symbols.size], every[symbols.size : -2], every[-2]
+    sums.likelihood = float(every[-1, 0])
     return sums
 
 
 def train(docs: DataFrame, symbols: Symbols, unigrams: np.ndarray, states: int = STATES) -> Model:
-    """Fit the model: some passes on a bounded part of the documents part the states, then all documents count."""
+    """Fit the model to all documents, from a random start, until a pass raises their likelihood by less than ``GAIN``."""
     random = np.random.default_rng(SEED)
     move = np.full((states, states), 0.4 / states) + 0.6 * np.eye(states)
     emit = unigrams[:, None] * random.uniform(0.5, 1.5, (len(unigrams), states))
     model = Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
-    # Ids first, so that no more than the chosen texts reach the driver.
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    picked = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIRST_DOCUMENTS)
-    rows = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
-    few = []
-    for _, text in sorted((row["doc_id"], row["text"]) for row in rows):
-        words = words_of(text)
-        numbered = (symbols.number.get(word) or symbols.of_class(word) for word in words)
-        few.append(np.append(np.fromiter(numbered, dtype=np.int32, count=len(words)), END))
-    del rows
-    # Side by side, sequences cost as many steps as the longest has, so those of like length go together.
-    few.sort(key=len)
-    for _ in range(FIRST_PASSES if few else 0):
-        sums, held, n = Sums(states, symbols.size), [], 0
-        for sequence in few:
-            held.append(sequence)
-            n += len(sequence)
-            if n > FIRST_TOKENS:
-                expect(model, held, sums)
-                held, n = [], 0
-        if held:
-            expect(model, held, sums)
+    before = -np.inf
+    while True:
+        sums = baum_welch(docs, symbols, model)
         model = sums.model(unigrams)
-    for _ in range(PASSES):
-        model = baum_welch(docs, symbols, model).model(unigrams)
-    return model
+        if sums.likelihood - before <= GAIN * abs(sums.likelihood):
+            return model
+        before = sums.likelihood
 
 
 def score_documents(

@@ -108,3 +108,28 @@ def test_edge_cases(spark, edge, none):
     assert H.score_documents(spark, none).collect() == []
     held = spark.createDataFrame([(i, "only held out") for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1], "doc_id long, text string")
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in H.score_documents(spark, held).collect())
+
+
+def test_every_pass_sees_all_documents(spark, monkeypatch):
+    random = np.random.default_rng(4)
+    kinds = [["the", "cat", "sat", "on"], ["der", "hund", "lag", "auf"], ["a", "b", "c", "d"]]
+    texts = [" ".join(random.choice(kinds[i % 3], int(random.integers(3, 30)))) for i in range(90)]
+    # Ids that are null or stand twice are documents like all others.
+    docs = spark.createDataFrame([(None if i % 9 == 0 else i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    symbols = H.Symbols(sorted({w for kind in kinds for w in map(str.encode, kind)}))
+    unigrams = np.full(symbols.size, 1 / symbols.size)
+    passes, run = [], H.baum_welch
+    monkeypatch.setattr(H, "baum_welch", lambda *a: passes.append((a, run(*a))) or passes[-1][1])
+    found = H.train(docs, symbols, unigrams, 3)
+
+    sequences = [np.array([symbols.number[w.encode()] for w in t.split()] + [H.END]) for t in texts]
+    flat, reach, _ = H.ragged(sequences)
+    model, before = passes[0][0][2], -np.inf
+    for _, sums in passes:
+        now = H.forward(model, flat, reach)[0].sum()
+        assert sums.likelihood == pytest.approx(now)
+        last, before, want = now - before, now, H.Sums(3, symbols.size)
+        H.expect(model, sequences, want)
+        model = want.model(unigrams)
+    assert last <= H.GAIN * abs(now) and len(passes) > 2
+    assert np.allclose(found.emit, model.emit) and np.allclose(found.move, model.move) and np.allclose(found.start, model.start)
