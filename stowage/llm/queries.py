@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stowage.llm import embedding_dedup, fingerprints, hmm, mixing, pii, toxicity
+from stowage.llm import embedding_dedup, fill_in_middle, fingerprints, hmm, merkle, mixing, pii, quality, toxicity
 from stowage.llm.common import read_table, scratch_path, ship
 from stowage.llm.packing import pack_documents
 from stowage.llm.simhash import near_duplicates
+from stowage.llm.sql import fill_in_middle_sql, merkle_sql
 from stowage.llm.token_counts import count_tokens
 from stowage.llm.token_store import checksums, read_tokens, write_tokens
 from stowage.llm.tokens import BYTE_BPE, WORD_BPE
@@ -88,4 +89,21 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+@query("op11_merkle_manifest", merkle_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read_table(spark, sf_dir, "documents"), presented={"text": merkle.lowered_where_divisible()})
+
+
+@query("op12_quality_outliers")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read_table(spark, sf_dir, "documents"))
+
+
+@query("op13_fill_in_middle", fill_in_middle_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = fill_in_middle.restore(fill_in_middle.transform(read_table(spark, sf_dir, "documents")))
+    digests = [F.sha2(F.col(name).cast("binary"), 256).alias(f"{name}_sha256") for name in ("output", "restored")]
+    return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
