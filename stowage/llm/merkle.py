@@ -22,9 +22,8 @@ from stowage.llm.common import cut_lineage
 from stowage.operators.skew import number_within
 
 FAN = 16
-# Levels of a superblock, and the nodes it starts from at most.
+# Levels of a superblock, which starts from 4096 nodes at most.
 HEIGHT = 3
-SUPERBLOCK = FAN**HEIGHT
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 NODES = "tree long, at long, n long, node binary"
@@ -49,10 +48,10 @@ def leaf_hash(fields: Sequence[Column]) -> Column:
     return F.sha2(F.concat(*[part(field) for field in fields]).cast("binary"), 256)
 
 
-def steps_of(n: int) -> int:
+def steps_of(n: int, height: int = HEIGHT) -> int:
     """Levels that a superblock of a tree of ``n`` nodes is reduced by: all of them, or up to where one node is left."""
     steps = 0
-    while n > 1 and steps < HEIGHT:
+    while n > 1 and steps < height:
         n, steps = -(-n // FAN), steps + 1
     return steps
 
@@ -95,55 +94,72 @@ def fold(node: bytes, shape: bytes, others: bytes) -> bytes:
     return node
 
 
-def _levels(rows: pd.DataFrame) -> tuple[pd.DataFrame, list[list[bytes]]]:
+def _levels(rows: pd.DataFrame, height: int) -> tuple[pd.DataFrame, list[list[bytes]]]:
     rows = rows.sort_values("at", kind="stable")
-    return rows, climb([bytes(node).hex().encode() for node in rows["node"]], steps_of(int(rows["n"].iloc[0])))
+    return rows, climb([bytes(node).hex().encode() for node in rows["node"]], steps_of(int(rows["n"].iloc[0]), height))
 
 
-def _shrink(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows, levels = _levels(rows)
-    ((top,),) = levels[-1:]
-    n = -(-int(rows["n"].iloc[0]) // SUPERBLOCK)
-    return pd.DataFrame({"tree": [int(key[0])], "at": [int(key[1])], "n": [n], "node": [bytes.fromhex(top.decode())]})
+def _given(outer: pd.DataFrame) -> tuple[bytes, ...]:
+    return tuple(None if (value := outer[name].iloc[0]) is None else bytes(value) for name in ("shape", "others", "subroot", "root"))
 
 
-def _descend(rows: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
-    rows, levels = _levels(rows)
-    given = outer.iloc[0]
-    shapes, others = zip(*proofs(levels, bytes(given["shape"]), bytes(given["others"])))
-    same = {name: [given[name]] * len(rows) for name in ("subroot", "root")}
-    return pd.DataFrame({"tree": rows["tree"].tolist(), "at": rows["at"].tolist(), "node": rows["node"].tolist(), "shape": shapes, "others": others, **same})
+class Superblocks:
+    """The work on superblocks of ``height`` levels: up, one node each; down, what their nodes need of the others."""
 
+    def __init__(self, height: int = HEIGHT):
+        self.height, self.size = height, FAN**height
 
-def _settle(rows: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
-    rows, levels = _levels(rows)
-    given = outer.iloc[0]
-    subroot, root = bytes(given["subroot"]).hex(), bytes(given["root"]).hex()
-    out = []
-    joined = proofs(levels, bytes(given["shape"]), bytes(given["others"]))
-    for doc_id, claim, leaf, (shape, others) in zip(rows["doc_id"], rows["claim"], levels[0], joined):
-        folded = fold(leaf if claim is None else bytes(claim).hex().encode(), shape, others).decode()
-        out.append((doc_id, leaf.decode(), subroot, root, hashed(others).decode(), folded, folded == root))
-    return pd.DataFrame(out, columns=[part.split()[0] for part in PROVED.split(", ")])
+    def grouped(self, nodes: DataFrame):
+        return nodes.withColumn("block", F.floor(F.col("at") / self.size)).groupBy("tree", "block")
 
+    def beside(self, nodes: DataFrame, outer: DataFrame):
+        """Superblocks cogrouped with the outer nodes of each."""
+        given = outer.select("tree", F.col("at").alias("block"), "shape", "others", "subroot", "root")
+        return self.grouped(nodes).cogroup(given.groupBy("tree", "block"))
 
-def _grouped(nodes: DataFrame):
-    return nodes.withColumn("block", F.floor(F.col("at") / SUPERBLOCK)).groupBy("tree", "block")
+    def layers(self, lowest: DataFrame, largest: int) -> list[DataFrame]:
+        """The layers of all trees, of ``largest`` nodes at most, the last of them the trees' roots."""
+        height, size = self.height, self.size
 
+        def shrink(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            rows, levels = _levels(rows, height)
+            ((top,),) = levels[-1:]
+            n = -(-int(rows["n"].iloc[0]) // size)
+            return pd.DataFrame({"tree": [int(key[0])], "at": [int(key[1])], "n": [n], "node": [bytes.fromhex(top.decode())]})
 
-def _layers(lowest: DataFrame, largest: int) -> list[DataFrame]:
-    """The layers of all trees, of ``largest`` nodes at most, up to where each is one superblock, and the trees' roots."""
-    layers, n = [lowest], largest
-    while len(layers) == 1 or n > 1:
-        layers.append(cut_lineage(_grouped(layers[-1]).applyInPandas(_shrink, NODES)))
-        n = -(-n // SUPERBLOCK)
-    return layers
+        found, n = [lowest], largest
+        while len(found) == 1 or n > 1:
+            found.append(cut_lineage(self.grouped(found[-1]).applyInPandas(shrink, NODES)))
+            n = -(-n // size)
+        return found
 
+    def descend(self, nodes: DataFrame, outer: DataFrame) -> DataFrame:
+        """Each node with its proof, as the outer nodes of the superblock below it."""
+        height = self.height
 
-def _beside(nodes: DataFrame, outer: DataFrame):
-    """Superblocks cogrouped with the outer nodes of each."""
-    given = outer.select("tree", F.col("at").alias("block"), "shape", "others", "subroot", "root")
-    return _grouped(nodes).cogroup(given.groupBy("tree", "block"))
+        def join(rows: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+            rows, levels = _levels(rows, height)
+            shape, others, subroot, root = _given(outer)
+            shapes, siblings = zip(*proofs(levels, shape, others))
+            named = {name: rows[name].tolist() for name in ("tree", "at", "node")}
+            return pd.DataFrame({**named, "shape": shapes, "others": siblings, "subroot": [subroot] * len(rows), "root": [root] * len(rows)})
+
+        return cut_lineage(self.beside(nodes, outer).applyInPandas(join, OUTER))
+
+    def settle(self, leaves: DataFrame, outer: DataFrame) -> DataFrame:
+        """Each leaf with the hash of its proof, and the root that its claim folds to."""
+        height = self.height
+
+        def check(rows: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+            rows, levels = _levels(rows, height)
+            shape, others, subroot, root = _given(outer)
+            out = []
+            for doc_id, claim, leaf, (places, siblings) in zip(rows["doc_id"], rows["claim"], levels[0], proofs(levels, shape, others)):
+                folded = fold(leaf if claim is None else bytes(claim).hex().encode(), places, siblings)
+                out.append((doc_id, leaf.decode(), subroot.hex(), root.hex(), hashed(siblings).decode(), folded.decode(), folded.decode() == root.hex()))
+            return pd.DataFrame(out, columns=[part.split()[0] for part in PROVED.split(", ")])
+
+        return self.beside(leaves, outer).applyInPandas(check, PROVED)
 
 
 def manifest(
@@ -152,6 +168,7 @@ def manifest(
     presented: Mapping[str, Column] | None = None,
     id_col: str = "doc_id",
     source_col: str = "source",
+    height: int = HEIGHT,
 ) -> DataFrame:
     """One row per row of ``docs``: its leaf, subroot and root, the hash of its proof, the root that the presented row
     folds to with this proof, and whether that is the root.
@@ -163,7 +180,7 @@ def manifest(
     and root at once, with a proof of nothing. Other columns, whatever their names, are not read. An empty table gives an
     empty table.
     """
-    spark = docs.sparkSession
+    blocks = Superblocks(height)
     own = leaf_hash([F.col(name) for name in fields])
     claim = F.lit(None).cast("binary")
     if presented:
@@ -181,19 +198,19 @@ def manifest(
     placed = number_within(treed, ["tree"], ["doc_id", "node", "tie"], "place")
     leaves = cut_lineage(placed.select(F.col("doc_id").cast("string").alias("doc_id"), "tree", (F.col("place") - 1).cast("long").alias("at"), "n", "node", "claim"))
 
-    *inner, subroots = _layers(leaves, size["largest"] or 0)
+    *inner, subroots = blocks.layers(leaves, size["largest"] or 0)
     tops = subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("at"), F.lit(size["sources"]).cast("long").alias("n"), "node")
-    *upper, root = _layers(tops, size["sources"])
+    *upper, root = blocks.layers(tops, size["sources"])
 
     nothing = F.lit(b"")
     outer = root.select("tree", "at", nothing.alias("shape"), nothing.alias("others"), F.lit(None).cast("binary").alias("subroot"), F.col("node").alias("root"))
     for layer in reversed(upper):
-        outer = cut_lineage(_beside(layer, outer).applyInPandas(_descend, OUTER))
+        outer = blocks.descend(layer, outer)
+    # From the tree of sources to the trees of their rows.
     outer = outer.withColumns({"tree": F.col("at"), "at": F.lit(0).cast("long"), "subroot": F.col("node")})
     for layer in reversed(inner[1:]):
-        outer = cut_lineage(_beside(layer, outer).applyInPandas(_descend, OUTER))
-    proved = _beside(inner[0], outer).applyInPandas(_settle, PROVED)
-    return proved.withColumn("doc_id", F.col("doc_id").cast("long"))
+        outer = blocks.descend(layer, outer)
+    return blocks.settle(inner[0], outer).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def lowered_where_divisible(id_col: str = "doc_id", text_col: str = "text", by: int = 5) -> Column:
