@@ -34,11 +34,13 @@ CUTOFF = 30.86
 MIN_GROUP = 50
 # A step must lower the logarithm of the determinant by this much, or the group is done.
 GAIN = 1e-3
+# Groups that are broadcast, with their estimates some 10 MB.
+FEW_GROUPS = 20_000
 # Distance bins per doubling.
 BINS = 16
 
 _WHITE = " \t\n\x0b\x0c\r"
-_SYMBOLS = "#*$%&|<>"
+_SYMBOLS = "[#*$%&|<>]+"
 _NAMES = list(STATISTICS)
 _PAIRS = [(i, j) for i in range(len(_NAMES)) for j in range(i + 1)]
 
@@ -83,20 +85,22 @@ def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` with the statistics of ``text`` in place of it, and ``base_failed``."""
     text = F.col("text")
     lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
-    counted = _let(words(text), lambda found: F.struct(F.size(found).cast("long").alias("n"), repeated_words(found).alias("again")))
+    chars = lambda found: F.length(F.array_join(found, "")).cast("long")
+    counted = _let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), chars(w).alias("chars"), repeated_words(w).alias("again")))
     told = _let(lines, lambda found: F.struct(F.size(found).alias("n"), F.size(F.array_distinct(found)).alias("distinct")))
-    n_symbols = F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))
+    # Symbols are rare, so cutting them out is little more than looking for them.
+    n_symbols = F.length(text) - F.length(F.regexp_replace(text, _SYMBOLS, ""))
     measured = docs.select(
         *[c for c in docs.columns if c != "text"],
         counted.alias("counted"),
         told.alias("told"),
-        F.length(F.translate(text, _WHITE, "")).cast("long").alias("word_chars"),
         n_symbols.cast("long").alias("n_symbols"),
     )
     n_words, again = F.col("counted.n"), F.col("counted.again")
     return measured.withColumns(
         {
             "n_words": n_words,
+            "word_chars": F.col("counted.chars"),
             "n_dup_lines": (F.col("told.n") - F.col("told.distinct")).cast("long"),
             "n_lines": F.col("told.n").cast("long"),
             "n_repeat_words": again,
@@ -149,9 +153,17 @@ _ESTIMATE = [*_MEANS, *[f"f_{i}_{j}" for i, j in _PAIRS], "log_det"]
 _GROUP = ["lang", "source"]
 
 
+def _small(groups: DataFrame) -> DataFrame:
+    """``groups`` for a join with documents: sent to all tasks if they are few, so that no document moves to its group.
+
+    More than ``FEW_GROUPS`` are joined by a shuffle, in which Spark splits a group that is large.
+    """
+    return F.broadcast(groups) if groups.count() <= FEW_GROUPS else groups
+
+
 def _of_group(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of their language and source; a null is a value of its own."""
-    named = groups.withColumnsRenamed({name: f"of_{name}" for name in _GROUP})
+    named = _small(groups).withColumnsRenamed({name: f"of_{name}" for name in _GROUP})
     same = [F.col(name).eqNullSafe(F.col(f"of_{name}")) for name in _GROUP]
     return rows.join(named, same[0] & same[1], how).drop(*[f"of_{name}" for name in _GROUP])
 
@@ -187,7 +199,7 @@ def _starts(grouped: DataFrame, centres: DataFrame) -> DataFrame:
     means = [(F.col(f"centre_{i}") / UNITS).alias(f"m_{i}") for i in size]
     spread = lambda i, j: F.col(f"spread_{i}") * F.col(f"spread_{j}")
     apart = centres.select("group", *means, *[(spread(i, j) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in _PAIRS])
-    beside = grouped.join(centres, "group")
+    beside = grouped.join(_small(centres), "group")
     off = [(F.col(name) - F.col(f"centre_{i}")) / UNITS / F.col(f"spread_{i}") for i, name in enumerate(_NAMES)]
     scaled = beside.select("group", *[x.alias(f"u_{i}") for i, x in enumerate(off)])
     squares = F.greatest(sum((F.col(f"u_{i}") ** 2 for i in size), F.lit(0.0)), F.lit(1e-9))
@@ -205,7 +217,8 @@ def _starts(grouped: DataFrame, centres: DataFrame) -> DataFrame:
 
 def _step(grouped: DataFrame, centres: DataFrame, state: DataFrame) -> DataFrame:
     """The estimates of each group's nearest three quarters of documents by the active estimates of ``state``."""
-    near = grouped.join(centres.select("group", "n", *_CENTRES), "group").join(state.where("active").drop("active", "log_det"), "group")
+    active = centres.select("group", "n", *_CENTRES).join(state.where("active").drop("active", "log_det"), "group")
+    near = grouped.join(_small(cut_lineage(active)), "group")
     off = [(F.col(name) - F.col(f"centre_{i}")).alias(f"d_{i}") for i, name in enumerate(_NAMES)]
     binned = near.select("group", "start", "n", *off, F.floor(BINS * F.log2(_squared_distance() + 2.0**-10)).alias("bin"))
     sums = [F.sum(f"d_{i}").alias(f"s_{i}") for i in range(len(off))]
