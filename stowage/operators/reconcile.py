@@ -56,11 +56,30 @@ def compare(listing: DataFrame, objects: DataFrame, carry: Sequence[str] = ()) -
     return listed.join(local, KEY, "full").withColumn("action", action)
 
 
-def plan_mutations(listing: DataFrame, objects: DataFrame, complete: bool = True) -> DataFrame:
-    """Imports, refreshes and removals at once. A listing that did not finish plans no removals."""
-    planned = compare(listing, objects).where(F.col("action").isNotNull())
-    if not complete:
-        planned = planned.where(F.col("action") != "remove")
+Complete = bool | DataFrame
+
+
+def without_unsure_removals(compared: DataFrame, complete: Complete, keep: bool = False) -> DataFrame:
+    """``compared`` without the removals that its listing does not allow.
+
+    ``complete`` is one answer for all buckets, or a row per bucket (bucket_id, complete) as
+    :func:`stowage.sources.listing.listing_chains` gives them; with a ``prefix`` only keys below it are covered. A bucket
+    without a row is not complete. With ``keep`` it is the other way round: removals that are allowed go, the rest stays.
+    """
+    removal = F.coalesce(F.col("action") == "remove", F.lit(False))
+    if isinstance(complete, bool):
+        return compared.where(~removal) if complete == keep else compared
+    prefix = F.coalesce("prefix", F.lit("")) if "prefix" in complete.columns else F.lit("")
+    sure = complete.where("complete").select("bucket_id", prefix.alias("_prefix"), F.lit(True).alias("_sure"))
+    # Several rows of one bucket, as of several prefixes, must not double the rows they meet.
+    covers = sure.groupBy("bucket_id").agg(F.collect_set("_prefix").alias("_prefixes"))
+    covered = F.coalesce(F.exists("_prefixes", lambda p: F.startswith(F.col("key"), p)), F.lit(False))
+    return compared.join(covers, "bucket_id", "left").where(~removal | (~covered if keep else covered)).drop("_prefixes")
+
+
+def plan_mutations(listing: DataFrame, objects: DataFrame, complete: Complete = True) -> DataFrame:
+    """Imports, refreshes and removals at once. A bucket whose listing did not finish plans no removals."""
+    planned = without_unsure_removals(compare(listing, objects).where(F.col("action").isNotNull()), complete)
     return planned.select("action", "bucket_id", F.coalesce("id", F.lit("")).alias("id"), "key", *EVIDENCE)
 
 

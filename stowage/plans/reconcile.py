@@ -14,7 +14,7 @@ from stowage.functions.evidence import EVIDENCE, overlay_evidence
 from stowage.functions.text import format_rfc3339_nano
 from stowage.operators.objects import KEY, new_object_id, with_promoted
 from stowage.operators.predicates import in_partition, literal, scope
-from stowage.operators.reconcile import compare, plan_counts, plan_mutations
+from stowage.operators.reconcile import Complete, compare, plan_counts, plan_mutations, without_unsure_removals
 from stowage.schema import OBJECT_COLUMNS, PROMOTED
 
 
@@ -41,7 +41,7 @@ def reconcile(
     objects: DataFrame,
     listing: DataFrame,
     seen_at: datetime,
-    complete: bool = True,
+    complete: Complete = True,
     bucket_id: str = "",
     prefix: str = "",
     partition: tuple[int, int] | None = None,
@@ -50,6 +50,7 @@ def reconcile(
 ) -> Reconciled:
     """Plan, counts and new snapshot for the listed part of the catalog.
 
+    ``complete`` may differ by bucket, see :func:`stowage.operators.reconcile.without_unsure_removals`.
     ``partition`` is (number of partitions, index). ``heads`` may bring captured documents by (bucket_id, key); the
     listing's own facts are laid over them. Rows outside the scope pass through unchanged.
     """
@@ -65,8 +66,7 @@ def _apply(objects, inside, listing, seen_at, complete, heads, run_id) -> DataFr
     nothing = F.to_variant_object(docs.empty_map())
     carried = [c for c in OBJECT_COLUMNS if c not in ("id", *KEY)]
     rows = compare(listing, objects.where(inside), carried)
-    if complete:
-        rows = rows.where(F.col("action").isNull() | (F.col("action") != "remove"))
+    rows = without_unsure_removals(rows, complete, keep=True)
     captured = nothing
     if heads is not None:
         rows = rows.join(heads.select(*KEY, F.col("attributes").alias("captured")), KEY, "left")

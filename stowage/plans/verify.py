@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from stowage.functions.evidence import evidence
 from stowage.functions.hashing import DEFAULT_PARTITIONS, partition_id, partition_index
 from stowage.operators.fingerprints import paired_fingerprints, sampled_total, should_sample
+from stowage.operators.reconcile import Complete
 
 BUCKET = ["bucket_id"]
 
@@ -20,11 +21,20 @@ class Verified:
     buckets: DataFrame
 
 
+def _with_completeness(rows: DataFrame, complete: Complete) -> DataFrame:
+    """``rows`` with ``listing_complete`` of their bucket; a listing of a prefix alone is not one of the bucket."""
+    if isinstance(complete, bool):
+        return rows.withColumn("listing_complete", F.lit(complete))
+    whole = complete.where("complete AND coalesce(prefix, '') = ''" if "prefix" in complete.columns else "complete")
+    sure = whole.select(*BUCKET).distinct().withColumn("listing_complete", F.lit(True))
+    return rows.join(sure, BUCKET, "left").withColumn("listing_complete", F.coalesce("listing_complete", F.lit(False)))
+
+
 def verify(
     objects: DataFrame,
     listing: DataFrame,
     day: date | datetime,
-    complete: bool = True,
+    complete: Complete = True,
     partitions: int = DEFAULT_PARTITIONS,
     rate: float = 1.0,
 ) -> Verified:
@@ -32,7 +42,8 @@ def verify(
 
     ``partitions`` reports every partition with rows, ``buckets`` the status: healthy, needs_sync, or none where the
     listing is not complete and nothing differs. A ``rate`` below 1 checks the day's share of the partitions; the rows of
-    others are left out before anything is summed, so counts are then those of the checked partitions.
+    others are left out before anything is summed, so counts are then those of the checked partitions. ``complete`` is one
+    answer for all buckets or a row per bucket; a bucket whose listing was cut does not silence the others.
     """
     index = partition_index(F.col("key"), partitions)
     chosen = should_sample(partition_id(index, partitions), F.lit(rate), day) if rate < 1 else F.lit(True)
@@ -43,9 +54,9 @@ def verify(
     compared = (
         compared.withColumn("object_count", F.sum("local_count").over(bucket))
         .withColumn("objects_listed", F.sum("upstream_count").over(bucket))
-        .withColumn("listing_complete", F.lit(complete))
         .withColumn("partition_id", partition_id(F.col("partition_index"), partitions))
     )
+    compared = _with_completeness(compared, complete)
     report = compared.select(
         *BUCKET,
         "partition_id",
