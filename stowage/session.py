@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,8 +72,44 @@ def remove_scratch() -> None:
     while _SCRATCH:
         spark, path = _SCRATCH.pop()
         with contextlib.suppress(Exception):
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            remove_folder(spark, path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, as ``--py-files`` would, for functions that run there."""
+    context = spark.sparkContext
+    if getattr(context, "_stowage_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    # The driver serves this file to the executors for as long as the application runs.
+    folder = tempfile.mkdtemp(prefix="package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/{root.name}_package.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for file in sorted(root.rglob("*.py")):
+            packed.write(file, file.relative_to(root.parent))
+    context.addPyFile(archive)
+    context._stowage_shipped = True
+
+
+def child_numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers n of the folders ``name=n`` below ``path``, in order; none if there is no such path."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        return []
+    named = [status.getPath().getName().partition("=") for status in files.listStatus(target)]
+    return sorted(int(number) for start, _, number in named if start == name)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
