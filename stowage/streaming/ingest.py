@@ -1,12 +1,20 @@
-"""Continuous ingest of notifications into an inbox that holds every dedupe key once."""
+"""Continuous ingest of notifications into an inbox that holds every dedupe key once.
+
+A notification that cannot be read waits and is delivered again with the next batch, five times in all; then it is a dead
+letter. The waiting ones are a table of their own, one folder per batch, and each batch takes over what the batch before it
+has left, so a batch that is run again delivers the same ones the same time.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from stowage.operators.events import append_events, first_per_key, to_stored, unseen
 from stowage.schema import INBOX, INGEST, STORED_EVENT
+from stowage.session import child_numbers, remove_folder
 from stowage.sources.notifications import accepted, parse_notifications, rejects
 
 # Parts of the store by a hash of the dedupe key. A batch reads the parts that its keys fall into.
@@ -49,36 +57,143 @@ def dedupe_batch(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return append_events(stored, batch)
 
 
-def store_batch(batch: DataFrame, batch_id: int, inbox: str, rejected: str, transport: str = "stream") -> None:
-    """Parse, dedupe and store one micro-batch of (bucket_id, body, received_at).
+# How often a notification that cannot be read is delivered.
+DELIVERIES = 5
+NOTIFICATION = ["bucket_id", "body", "received_at"]
+WAITING = "bucket_id string, body string, received_at timestamp, delivery int, error string"
+# Deliveries without new notifications after a batch, in folders of their own.
+AGAIN = "delivered_again"
 
-    A batch owns one folder and replaces it whole, so a batch that is run again leaves the same rows. Of the store only the
-    parts that the new keys fall into are read, and of those only the keys.
-    """
-    parsed = parse_notifications(batch).persist()
+Parse = Callable[[DataFrame], DataFrame]
+
+
+def _last_waiting(spark: SparkSession, waiting: str, before: int | None = None) -> tuple[int, int] | None:
+    """The batch, and the delivery after it, that left the newest waiting notifications."""
+    batches = [n for n in child_numbers(spark, waiting, INGEST) if before is None or n < before]
+    if not batches:
+        return None
+    return max(batches), max(child_numbers(spark, f"{waiting}/{INGEST}={max(batches)}", AGAIN))
+
+
+def _read_waiting(spark: SparkSession, waiting: str, last: tuple[int, int] | None) -> DataFrame:
+    if last is None:
+        return spark.createDataFrame([], WAITING)
+    return spark.read.schema(WAITING).parquet(f"{waiting}/{INGEST}={last[0]}/{AGAIN}={last[1]}")
+
+
+def _deliver(rows: DataFrame, number: int, inbox: str, dead: str, waiting: str | None, transport: str, parse: Parse, most: int) -> None:
+    """Parse, dedupe and store ``rows`` (…, delivery) as the batch folder ``number``."""
+    parsed = parse(rows).persist()
     unique = first_per_key(to_stored(accepted(parsed, ("bucket_id", "received_at")), transport)).persist()
     try:
         # At most KEY_PARTS numbers.
         parts = [row[0] for row in unique.select(key_part(F.col("dedupe_key"))).distinct().collect()]
-        earlier = stored_keys(batch.sparkSession, inbox, parts, batch_id)
+        earlier = stored_keys(rows.sparkSession, inbox, parts, number)
         fresh = unseen(earlier, unique).select(*STORED_EVENT.fieldNames(), key_part(F.col("dedupe_key")).alias(PART))
         # A part of a batch is one file.
-        fresh.repartition(PART).write.mode("overwrite").partitionBy(PART).parquet(f"{inbox}/{INGEST}={batch_id}")
-        bad = rejects(parsed).select("bucket_id", "received_at", "body", "error")
-        bad.write.mode("overwrite").parquet(f"{rejected}/{INGEST}={batch_id}")
+        fresh.repartition(PART).write.mode("overwrite").partitionBy(PART).parquet(f"{inbox}/{INGEST}={number}")
+        bad = rejects(parsed)
+        done = F.col("delivery") >= (most if waiting else 1)
+        bad.where(done).select(*NOTIFICATION, "error").write.mode("overwrite").parquet(f"{dead}/{INGEST}={number}")
+        if waiting:
+            bad.where(~done).select(*NOTIFICATION, "delivery", "error").write.mode("overwrite").parquet(waiting)
     finally:
         unique.unpersist()
         parsed.unpersist()
 
 
+def store_batch(
+    batch: DataFrame,
+    batch_id: int,
+    inbox: str,
+    rejected: str,
+    transport: str = "stream",
+    waiting: str | None = None,
+    parse: Parse = parse_notifications,
+    deliveries: int = DELIVERIES,
+) -> None:
+    """Parse, dedupe and store one micro-batch of (bucket_id, body, received_at).
+
+    A batch owns one folder and replaces it whole, so a batch that is run again leaves the same rows. Of the store only the
+    parts that the new keys fall into are read, and of those only the keys. With ``waiting`` the notifications that earlier
+    batches could not read are delivered with this one, and those that cannot be read now wait there, until their
+    ``deliveries`` are used up and they go to ``rejected``; without it they go there at once. ``parse`` reads notifications
+    into ``events`` and ``error`` as :func:`stowage.sources.notifications.parse_notifications` does.
+    """
+    spark = batch.sparkSession
+    rows = batch.select(*NOTIFICATION).withColumn("delivery", F.lit(1))
+    left = last = None
+    if waiting:
+        last = _last_waiting(spark, waiting, batch_id)
+        again = _read_waiting(spark, waiting, last)
+        rows = rows.unionByName(again.drop("error").withColumn("delivery", F.col("delivery") + 1))
+        left = f"{waiting}/{INGEST}={batch_id}/{AGAIN}=0"
+    _deliver(rows, batch_id, inbox, rejected, left, transport, parse, deliveries)
+    if last:
+        # What this batch has taken over stays, for a repeated run of it.
+        for old in child_numbers(spark, waiting, INGEST):
+            if old < last[0]:
+                remove_folder(spark, f"{waiting}/{INGEST}={old}")
+
+
+def redeliver(
+    spark: SparkSession,
+    inbox: str,
+    rejected: str,
+    waiting: str,
+    transport: str = "stream",
+    parse: Parse = parse_notifications,
+    deliveries: int = DELIVERIES,
+) -> int:
+    """Deliver the waiting notifications once more while no new ones come, and tell how many still wait.
+
+    The stream must not run meanwhile. What is stored belongs to a batch of its own, numbered below those of the stream.
+    """
+    last = _last_waiting(spark, waiting)
+    if last is None:
+        return 0
+    batch, passed = last
+    rows = _read_waiting(spark, waiting, last).drop("error").withColumn("delivery", F.col("delivery") + 1)
+    left = f"{waiting}/{INGEST}={batch}/{AGAIN}={passed + 1}"
+    # One number per stream batch and delivery after it; -1 is the compacted store.
+    _deliver(rows, -2 - (batch << 20) - passed, inbox, rejected, left, transport, parse, deliveries)
+    return spark.read.schema(WAITING).parquet(left).count()
+
+
+def without_repeats(source: DataFrame, horizon: str) -> DataFrame:
+    """A stream of notifications without those that it has delivered before, within about ``horizon`` of each other.
+
+    A transport that delivers at least once sends the same bytes with the same time of receipt; only those are repeats, so
+    what is stored does not change. The state holds digests. Time is that of arrival here, so nothing is ever late.
+    """
+    digest = F.xxhash64("body").alias("_short"), F.md5(F.col("body").cast("binary")).alias("_digest")
+    named = source.select("*", *digest).withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", horizon)
+    once = named.dropDuplicatesWithinWatermark(["bucket_id", "_short", "_digest", "received_at"])
+    return once.select(*source.columns)
+
+
 def stream_ingest(
-    source: DataFrame, inbox: str, rejected: str, checkpoint: str, available_now: bool = False
+    source: DataFrame,
+    inbox: str,
+    rejected: str,
+    checkpoint: str,
+    available_now: bool = False,
+    waiting: str | None = None,
+    horizon: str | None = None,
+    parse: Parse = parse_notifications,
 ) -> StreamingQuery:
-    """Start ingesting a stream of (bucket_id, body, received_at); unreadable notifications go to ``rejected``."""
+    """Start ingesting a stream of (bucket_id, body, received_at); dead letters go to ``rejected``.
+
+    Notifications that cannot be read wait in ``waiting``, by default a folder beside ``rejected``, for the batches after.
+    With a ``horizon``, such as ``1 hour``, repeats within it are dropped before any of their keys is looked up; the store
+    decides about all others, as it does without.
+    """
     create_inbox(source.sparkSession, inbox)
+    place = waiting or f"{rejected}-waiting"
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        store_batch(batch, batch_id, inbox, rejected)
+        store_batch(batch, batch_id, inbox, rejected, waiting=place, parse=parse)
 
-    writer = source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    rows = source if horizon is None else without_repeats(source, horizon)
+    writer = rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
