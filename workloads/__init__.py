@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("search_queries", "catalog_queries", "job_queries", "event_queries", "attribute_queries")
+MODULES = ("search_queries", "catalog_queries", "job_queries", "event_queries", "attribute_queries", "listing_queries")
 
 
 def load() -> None:

@@ -174,11 +174,11 @@ def planned_counts(spark, d):
 
 @query(
     "active_work",
-    JOBS + f""", aimed AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {UNAIMED} THEN NULL ELSE target_id END AS target_id) FROM jobs),
+    JOBS + f""", aimed AS (SELECT * REPLACE (CASE WHEN {UNAIMED} THEN NULL ELSE target_id END AS target_id) FROM jobs),
     roots AS (SELECT id, target_type, target_id FROM aimed WHERE id = trace_id AND type IN ('sync_bucket', 'scan_bucket'))
-    SELECT j.id, j.trace_id, j.type, j.state, j.target_id FROM aimed j SEMI JOIN roots r ON r.id = j.trace_id
-      AND r.target_type IS NOT DISTINCT FROM j.target_type AND r.target_id IS NOT DISTINCT FROM j.target_id
-    WHERE state IN ('pending', 'running') AND NOT coalesce({STALE}, false)""",
+    SELECT j.id, j.trace_id, j.type, j.state, j.target_id FROM aimed j JOIN roots r ON r.id = j.trace_id
+    WHERE r.target_type IS NOT DISTINCT FROM j.target_type AND r.target_id IS NOT DISTINCT FROM j.target_id
+      AND state IN ('pending', 'running') AND NOT coalesce({STALE}, false)""",
 )
 def active_work(spark, d):
     """Some traces have no target, and are work of their own kind."""
