@@ -3,14 +3,19 @@
 Two sets of a Jaccard similarity of 4/5 or more share at least four fifths of the larger one. So with the shingles of each
 set in one global order, their prefixes of n - ceil(4n/5) + 1 shingles have one in common, and no pair is missed. Any order
 will do; shingles that a sample of the documents shows to be common come last, which only makes groups smaller. A shingle
-is known by its 64-bit hash. Documents of one group are compared with its first one, what that connects is one component,
-and then all pairs of a group that are in different components are compared. A pair is decided on its two texts.
+is known by its 64-bit hash.
+
+Prefixes are dealt out and sorted once, as pairs of shingle and row, and only shingles met twice go on. Documents of one
+group are compared with its first one, what that connects is one component, and then the pairs of a group that are in
+different components are compared. Before any text moves, a pair must pass by its sketches: the parity of the set's hashes
+in about one bit for each of them. Every bit in which two sketches differ is a shingle that only one set has, so a pair
+with too many of them is not similar, without exception. What is left, nearly all of it similar, is decided on the texts.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,52 +75,192 @@ def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndar
     return hashes[np.argsort(times, kind="stable")][: n - -(-SHARED * n // OF) + 1 if n else 0]
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose ``texts`` (row, text) are similar."""
+def sketch(hashes: np.ndarray) -> bytes:
+    """The parity of a set of distinct hashes by their lowest bits: as many bits as there are hashes, rounded up."""
+    bits = max(64, 1 << (max(len(hashes), 1) - 1).bit_length())
+    counts = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sketches: np.ndarray, size: int) -> np.ndarray:
+    """Sketches, a row each, as the shorter ones of ``size`` bytes that the same sets have."""
+    while sketches.shape[1] > size:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def possible(n: np.ndarray, other_n: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes may be similar, of which at least ``apart`` elements are in one alone."""
+    least = np.maximum(apart, np.abs(n - other_n))
+    return (OF - SHARED) * (n + other_n) >= (OF + SHARED) * least
+
+
+def shared_shingles(prefixes: DataFrame) -> DataFrame:
+    """(shingle, row, pivot) of each shingle that several ``prefixes`` (row, prefix) have; the pivot is its first row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last group of a batch goes on in the next one. Of a group met once so far its row is held back.
+        last, pivot, held = None, 0, False
+        for batch in batches:
+            shingle, row = (batch[name].to_numpy() for name in ("shingle", "row"))
+            if not len(shingle):
+                continue
+            starts = np.concatenate([[last is None or shingle[0] != last], shingle[1:] != shingle[:-1]])
+            at = np.flatnonzero(starts)
+            firsts = np.maximum.accumulate(np.where(starts, np.arange(len(shingle)), -1))
+            pivots = np.where(firsts >= 0, row[np.maximum(firsts, 0)], pivot)
+            sizes = np.diff(np.append(at, len(shingle)))
+            several = ~starts
+            several[at[sizes > 1]] = True
+            out = [shingle[several], row[several], pivots[several]]
+            if held and not starts[0]:
+                out = [np.concatenate([[value], one]) for value, one in zip((last, pivot, pivot), out)]
+            held = len(at) > 0 and len(shingle) - at[-1] == 1
+            last, pivot = shingle[-1], pivots[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()) for one in out], ["shingle", "row", "pivot"])
+
+    entries = prefixes.select(F.explode("prefix").alias("shingle"), "row")
+    dealt = entries.repartition("shingle").sortWithinPartitions("shingle", "row")
+    return dealt.mapInArrow(run, "shingle long, row long, pivot long")
+
+
+def surviving(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) that may be similar by their ``sketches`` (row, n, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, other_n = (batch[name].to_numpy() for name in ("n", "n_2"))
+            apart = np.zeros(batch.num_rows, dtype=np.int64)
+            near = np.flatnonzero(possible(n, other_n, apart))
+            one, two = batch["sketch"].take(pa.array(near)).to_pylist(), batch["sketch_2"].take(pa.array(near)).to_pylist()
+            for at, x, y in zip(near.tolist(), one, two):
+                apart[at] = _differing(x, y)
+            yield batch.select(["a", "b"]).filter(pa.array(possible(n, other_n, apart)))
+
+    first = sketches.select(F.col("row").alias("a"), "n", "sketch")
+    second = sketches.select(F.col("row").alias("b"), F.col("n").alias("n_2"), F.col("sketch").alias("sketch_2"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "n", "n_2", "sketch", "sketch_2").mapInArrow(run, "a long, b long")
+
+
+def _differing(one: bytes, two: bytes) -> int:
+    size = min(len(one), len(two))
+    x, y = (_folded(np.frombuffer(s, dtype=np.uint8)[None, :], size) for s in (one, two))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose texts are similar; ``texts`` gives (row, text) of some rows (row).
+
+    The pairs of one row stand together, after the row's own text, so a text is sent once for itself and once for each
+    pair in which it is the second.
+    """
     named = cut_lineage(pairs)
-    needed = cut_lineage(named.select(F.explode(F.array("a", "b")).alias("row")).distinct())
-    held = cut_lineage(texts.join(needed.hint("merge"), "row", "left_semi"))
-    first = held.select(F.col("row").alias("a"), F.col("text").alias("one"))
-    second = held.select(F.col("row").alias("b"), F.col("text").alias("two"))
+    needed = named.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    held = cut_lineage(texts(needed))
+    none = F.lit(None).cast("long")
+    first = held.join(named.select(F.col("a").alias("row")).distinct(), "row", "left_semi").select(F.col("row").alias("a"), none.alias("b"), "text")
+    second = named.join(held.withColumnRenamed("row", "b"), "b").select("a", "b", "text")
+    dealt = first.unionByName(second).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, one = None, None
+        one = None
         for batch in batches:
             keep = []
-            for a, text, other in zip(batch["a"].to_pylist(), batch["one"], batch["two"]):
-                if a != last:
-                    last, one = a, np.unique(shingles(text.as_py(), words))
-                keep.append(similar(one, np.unique(shingles(other.as_py(), words))))
+            for b, text in zip(batch["b"].to_pylist(), batch["text"]):
+                found = np.unique(shingles(text.as_py(), words))
+                if b is None:
+                    one = found
+                keep.append(b is not None and similar(one, found))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = named.join(first.hint("merge"), "a").join(second.hint("merge"), "b")
-    return cut_lineage(joined.select("a", "b", "one", "two").mapInArrow(decide, "a long, b long"))
+    return cut_lineage(dealt.mapInArrow(decide, "a long, b long"))
+
+
+# Rows of a group that are compared with as many others at once.
+BLOCK = 512
+
+
+def _crossing(row: np.ndarray, component: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one group's rows that are in different components and may be similar, block by block.
+
+    Rows are in order of size, so a block meets those blocks only whose sets are not too large for it.
+    """
+    order = np.argsort(n, kind="stable")
+    row, component, n = row[order], component[order], n[order]
+    kept = [np.frombuffer(sketches[at], dtype=np.uint8) for at in order.tolist()]
+    for first in range(0, len(row), BLOCK):
+        here = slice(first, min(first + BLOCK, len(row)))
+        for second in range(first, len(row), BLOCK):
+            there = slice(second, min(second + BLOCK, len(row)))
+            if SHARED * n[second] > OF * n[here][-1]:
+                break
+            apart = component[here][:, None] != component[there][None, :]
+            apart &= possible(n[here][:, None], n[there][None, :], np.zeros((1, 1), dtype=np.int64))
+            i, j = np.nonzero(apart & (np.arange(here.start, here.stop)[:, None] < np.arange(there.start, there.stop)[None, :]))
+            differing = np.zeros(len(i), dtype=np.int64)
+            sizes = np.array([len(s) for s in kept[here]])[i]
+            other_sizes = np.array([len(s) for s in kept[there]])[j]
+            for size in np.unique(np.stack([sizes, other_sizes]), axis=1).T.tolist() if len(i) else []:
+                (of,) = np.nonzero((sizes == size[0]) & (other_sizes == size[1]))
+                for part in np.array_split(of, max(1, len(of) * max(size) >> 24)):
+                    x = _folded(np.stack([kept[here][k] for k in i[part].tolist()]), min(size))
+                    y = _folded(np.stack([kept[there][k] for k in j[part].tolist()]), min(size))
+                    differing[part] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            near = possible(n[here][i], n[there][j], differing)
+            yield row[here][i[near]], row[there][j[near]]
+
+
+def crossing_pairs(labelled: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) that share a shingle, are in different components and may be similar.
+
+    ``labelled`` has (shingle, row, component). A group is walked in one task, a block against a block, and only pairs that
+    pass by their sketches leave it.
+    """
+    mixed = labelled.groupBy("shingle").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("shingle")
+    left = cut_lineage(labelled.join(mixed, "shingle", "left_semi"))
+    dealt = left.join(sketches, "row").repartition("shingle").sortWithinPartitions("shingle")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            row, component, n = (whole[name].to_numpy() for name in ("row", "component", "n"))
+            for a, b in _crossing(row, component, n, whole["sketch"].to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            shingle = batch["shingle"].to_numpy()
+            edges = [0, *(np.flatnonzero(shingle[1:] != shingle[:-1]) + 1).tolist(), len(shingle)]
+            for first, end in zip(edges, edges[1:]):
+                if held and shingle[first] != last:
+                    yield from pairs(held)
+                    held = []
+                last = shingle[first]
+                held.append(batch.slice(first, end - first))
+        if held:
+            yield from pairs(held)
+
+    columns = dealt.select("shingle", "row", "component", "n", "sketch")
+    return columns.mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_links(prefixes: DataFrame, near: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+def similar_links(
+    prefixes: DataFrame, near: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int
+) -> DataFrame:
     """Links (a, b), each between similar documents, that connect all similar ones.
 
-    ``prefixes`` has (row, n, prefix) of each distinct set, ``near`` pairs (a, b) that are likely to be similar, and
-    ``texts`` the text of every row.
+    ``prefixes`` has (row, prefix) of each distinct set and ``sketches`` (row, n, sketch), ``near`` pairs (a, b) that are
+    likely to be similar, and ``texts`` gives (row, text) of some rows (row).
     """
-    at = prefixes.select("row", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    firsts = at.groupBy("shingle").agg(F.min("row").alias("pivot"), F.min_by("n", "row").alias("pivot_n"), F.count(F.lit(1)).alias("m"))
-    several = cut_lineage(firsts.where("m > 1").drop("m"))
-    shared = cut_lineage(at.join(several.hint("merge"), "shingle"))
-    sized = lambda x, y: OF * F.least(x, y) >= SHARED * F.greatest(x, y)
-    stars = shared.where((F.col("row") != F.col("pivot")) & sized("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("row").alias("b"))
-    tried = cut_lineage(stars.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
+    shared = cut_lineage(shared_shingles(prefixes))
+    stars = shared.where("row <> pivot").select(F.col("pivot").alias("a"), F.col("row").alias("b"))
+    likely = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = cut_lineage(surviving(stars.unionByName(likely).distinct(), sketches))
     links = verified(tried, texts, words)
 
     labels = connected_components(links).select(F.col("node").alias("row"), "component")
-    labelled = shared.drop("pivot", "pivot_n").join(labels.hint("merge"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    labelled = cut_lineage(labelled)
-    mixed = cut_lineage(labelled.groupBy("shingle").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("shingle"))
-    left = cut_lineage(labelled.join(mixed.hint("merge"), "shingle", "left_semi"))
-    right = left.select("shingle", *[F.col(c).alias(f"{c}_2") for c in ("row", "n", "pos", "component")])
-    # What can still be shared from the first shingle in common on.
-    ahead = F.least(F.col("n") - F.col("pos"), F.col("n_2") - F.col("pos_2"))
-    enough = (SHARED + OF) * ahead >= SHARED * (F.col("n") + F.col("n_2"))
-    met = left.join(right.hint("merge"), "shingle").where((F.col("row") < F.col("row_2")) & (F.col("component") != F.col("component_2")))
-    rest = met.where(sized("n", "n_2") & enough).select(F.col("row").alias("a"), F.col("row_2").alias("b")).distinct()
-    return links.unionByName(verified(rest.join(tried.hint("merge"), ["a", "b"], "left_anti"), texts, words))
+    labelled = shared.drop("pivot").join(labels, "row", "left").withColumn("component", F.coalesce("component", "row"))
+    crossing = crossing_pairs(cut_lineage(labelled), sketches)
+    return links.unionByName(verified(crossing.join(tried, ["a", "b"], "left_anti"), texts, words))

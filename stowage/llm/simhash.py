@@ -15,12 +15,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from stowage.llm.common import cut_lineage, fresh, text_rows
 from stowage.llm.components import connected_components, merge
-from stowage.llm.shingle_join import common_shingles, prefix, shingles, similar_links
+from stowage.llm.shingle_join import common_shingles, prefix, shingles, similar_links, sketch
 
 BITS = 64
 # Node pairs walked at once; more are halved and walked in turn.
@@ -201,45 +201,60 @@ def near_duplicates(
     return prints.join(named, "bits").select("doc_id", hexed, "component_id")
 
 
+def placed(docs: DataFrame, file: str, at: str) -> DataFrame:
+    """``docs`` with the file that a row is stored in and its place there, which never change.
+
+    A table that is read from Parquet files has both; any other is written first, as what it gives might differ the next time.
+    """
+    try:
+        place = docs.metadataColumn("_metadata")
+        named = docs.withColumns({file: F.md5(place["file_path"].cast("binary")), at: place["row_index"]})
+        named.schema  # noqa: B018
+        return named
+    except AnalysisException:
+        return placed(cut_lineage(docs), file, at)
+
+
 def keep_one(docs: DataFrame, words: int, max_bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, all its columns as they are: the one of the smallest id.
 
-    Near-duplicates are linked by a Jaccard similarity of their sets of shingles of at least 4/5. Fingerprints within
-    ``max_bits`` name likely pairs, and the prefixes of the sets all others. Null ids come last; of several rows of that id
-    the first in the order of the input stays. A null text is empty, and texts without words are one group. An empty table
-    gives an empty table.
+    Near-duplicates are linked by a Jaccard similarity of their sets of shingles of at least 4/5, and by nothing else:
+    fingerprints within ``max_bits`` of each other name likely pairs, the prefixes of the sets name all others, and a pair
+    is linked if its texts are similar. Null ids come last; of several rows of that id one stays, the same at every run
+    over the same files. A null text is empty, and texts without words are one group. Texts are compared whole. An empty
+    table gives an empty table.
     """
-    names = {name: fresh(name, docs.columns) for name in ("row_id", "bits", "shingle_set", "n_shingles", "prefix")}
-    row, bits, shingle_set, n_shingles, prefixed = names.values()
-    kinds = [LongType(), LongType(), BinaryType(), LongType(), ArrayType(LongType())]
-    schema = StructType([*docs.schema.fields, *[StructField(name, kind) for name, kind in zip(names.values(), kinds)]])
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words, text_col))
+    file, at = fresh("file", docs.columns), fresh("at", docs.columns)
+    stored = placed(docs, file, at)
+    rows = stored.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(file).alias("file"), F.col(at).alias("at"))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, words))
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
         for batch in batches:
-            prints, digests, sizes, prefixes = [], [], [], []
-            for text in batch[text_col]:
-                hashes = shingles(text.as_py() or "", words)
+            found = []
+            for text in batch["text"]:
+                hashes = shingles(text.as_py(), words)
                 distinct = np.unique(hashes)
-                prints.append(_majority(hashes))
-                digests.append(xxhash.xxh3_128_digest(distinct.tobytes()))
-                sizes.append(len(distinct))
-                prefixes.append(prefix(distinct, shared.value).view(np.int64))
-            rows = np.arange(first, first + batch.num_rows)
+                # Signed, as columns are.
+                signed = int(np.uint64(_majority(hashes)).astype(np.int64))
+                found.append((signed, xxhash.xxh3_128_digest(distinct.tobytes()), len(distinct), sketch(distinct), prefix(distinct, common.value).view(np.int64)))
+            prints, digests, sizes, sketches, prefixes = zip(*found) if found else [()] * 5
+            numbers = pa.array(np.arange(first, first + batch.num_rows))
             first += batch.num_rows
             ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]), pa.int32())
             values = pa.array(np.concatenate([np.empty(0, dtype=np.int64), *prefixes]))
-            found = np.array(prints, dtype=np.uint64).view(np.int64)
-            added = [pa.array(rows), pa.array(found), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, values)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], schema.names)
+            columns = [numbers, batch["id"], batch["file"], batch["at"], pa.array(prints, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(ends, values)]
+            yield pa.RecordBatch.from_arrays(columns, [part.split()[0] for part in MEASURED.split(", ")])
 
-    # Written with the rows' numbers, which thereby stay what they are.
-    numbered = cut_lineage(docs.mapInArrow(number, schema))
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    # Narrow: no text, and rows get their numbers here, by which they go until the end.
+    measured = cut_lineage(rows.mapInArrow(measure, MEASURED))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "file", "at")
     # Equal sets are one element, known by the row that would stay of them.
-    sets = numbered.groupBy(shingle_set).agg(F.min(order).alias("first"), F.min_by(bits, order).alias("bits"))
-    sets = cut_lineage(sets.select(F.col("first.row").alias("row"), "first", "bits"))
+    first = F.min_by(F.struct("row", "bits", "n", "file", "at"), order)
+    sets = cut_lineage(measured.groupBy("digest").agg(F.min(order).alias("first"), first.alias("of")).select("of.*", "first"))
+    chosen = measured.join(sets.select("row"), "row", "left_semi")
+    sketches = cut_lineage(chosen.select("row", "n", "sketch"))
     distinct = cut_lineage(sets.groupBy("bits").agg(F.min("row").alias("row")))
     equal = sets.select("bits", F.col("row").alias("b")).join(distinct.withColumnRenamed("row", "a"), "bits").where("a != b").select("a", "b")
     ends = links(distinct, max_bits)
@@ -247,11 +262,15 @@ def keep_one(docs: DataFrame, words: int, max_bits: int, id_col: str = "doc_id",
         ends = ends.join(distinct.select(F.col("bits").alias(end), F.col("row").alias(f"row_{end}")), end)
     near = equal.unionByName(ends.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")))
 
-    texts = numbered.select(F.col(row).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    prefixes = numbered.select(F.col(row).alias("row"), F.col(n_shingles).alias("n"), F.col(prefixed).alias("prefix"))
-    prefixes = prefixes.join(sets.select("row").hint("merge"), "row", "left_semi")
-    found = connected_components(similar_links(prefixes, near, texts, words))
+    def texts(needed: DataFrame) -> DataFrame:
+        named = cut_lineage(sets.join(needed, "row").select("row", "file", "at"))
+        return rows.select("file", "at", "text").join(named, ["file", "at"]).select("row", "text")
+
+    found = connected_components(similar_links(chosen.select("row", "prefix"), near, sketches, texts, words))
     rooted = sets.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("component", "row"))
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.file").alias(file), F.col("first.at").alias(at))
     # The kept rows grow with the documents, so they are merged at every size and never broadcast.
-    return numbered.join(cut_lineage(kept).hint("merge"), row, "left_semi").select(*docs.columns)
+    return stored.join(cut_lineage(kept).hint("merge"), [file, at], "left_semi").select(*docs.columns)
+
+
+MEASURED = "row long, id long, file string, at long, bits long, digest binary, n long, sketch binary, prefix array<long>"

@@ -5,9 +5,8 @@ import re
 import corpus_pipeline as C
 import numpy as np
 
-from stowage.llm import simhash as S
+from stowage.llm import shingle_join as J, simhash as S
 
-from . import test_pipeline
 from .conftest import SF_DIR
 
 
@@ -16,7 +15,7 @@ def shingle_set(text, k=C.WORDS):
     return frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
 
 
-def groups(sets, _=None):
+def groups(sets):
     parent = list(range(len(sets)))
 
     def find(x):
@@ -69,15 +68,58 @@ def test_planted_edits_and_templates(spark):
     assert kept == [r[0] for at, r in enumerate(rows) if found[at] == at]
 
 
-def test_stages_with_jaccard(spark, documents, monkeypatch):
-    monkeypatch.setattr(test_pipeline, "fingerprint", shingle_set)
-    monkeypatch.setattr(test_pipeline, "components", groups)
-    test_pipeline.test_stages(spark, documents)
-
-
 def test_near_fingerprints_alone_drop_nothing(spark):
     random = np.random.default_rng(5)
     rows = [(i, " ".join(f"u{x}" for x in random.integers(0, 5000, 60))) for i in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     # Unrelated fingerprints differ in about 32 bits, so the trie links all of these.
     assert sorted(r["doc_id"] for r in S.keep_one(docs, C.WORDS, 48).collect()) == list(range(12))
+
+
+def test_sketches_never_lose_a_similar_pair():
+    """The bound holds for all pairs, and few pairs that are not similar pass it."""
+    random, passed, far = np.random.default_rng(7), 0, 0
+    for n in (1, 2, 5, 9, 40, 130, 700):
+        for _ in range(60):
+            whole = random.integers(0, 1 << 63, 2 * n + 40, dtype=np.uint64)
+            one = np.unique(whole[:n])
+            two = np.unique(np.concatenate([one[int(random.integers(0, n // 3 + 1)) :], whole[n : n + int(random.integers(0, n // 4 + 2))]]))
+            if not len(two):
+                continue
+            least = J._differing(J.sketch(one), J.sketch(two))
+            apart = len(np.setxor1d(one, two))
+            may = bool(J.possible(np.array([len(one)]), np.array([len(two)]), np.array([least]))[0])
+            assert least <= apart and (may or not J.similar(one, two))
+            assert bool(J.possible(np.array([len(one)]), np.array([len(two)]), np.array([apart]))[0]) == J.similar(one, two)
+            other = np.unique(whole[n : 2 * n])
+            far += 1
+            passed += bool(J.possible(np.array([n]), np.array([len(other)]), np.array([J._differing(J.sketch(one), J.sketch(other))]))[0])
+    assert passed < far / 4
+
+
+def test_shared_shingles_over_batches(spark):
+    """Groups that go over the ends of Arrow batches, and such as are met once."""
+    random = np.random.default_rng(8)
+    lists = [sorted(set(random.integers(0, 60, int(random.integers(0, 9))).tolist())) for _ in range(100)] + [[1000 + i] for i in range(50)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for row, found in enumerate(lists):
+        for shingle in found:
+            want.setdefault(shingle, []).append(row)
+    expected = sorted((shingle, row, min(rows)) for shingle, rows in want.items() if len(rows) > 1 for row in rows)
+    for size in (1, 2, 3, 7, 1000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+        prefixes = spark.createDataFrame(list(enumerate(lists)), "row long, prefix array<long>").repartition(3)
+        assert sorted(map(tuple, J.shared_shingles(prefixes).collect())) == expected
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_crossing_pairs_by_blocks(monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 5)
+    random = np.random.default_rng(9)
+    sets = [np.unique(random.integers(0, 1 << 63, int(random.integers(3, 400)), dtype=np.uint64)) for _ in range(20)]
+    sets += [np.unique(np.concatenate([s[1:], random.integers(0, 1 << 63, 1, dtype=np.uint64)])) for s in sets]
+    component = np.arange(40) % 7
+    found = {tuple(sorted(p)) for a, b in J._crossing(np.arange(40), component, np.array([len(s) for s in sets]), [J.sketch(s) for s in sets]) for p in zip(a.tolist(), b.tolist())}
+    wanted = {(i, j) for j in range(40) for i in range(j) if component[i] != component[j] and J.similar(sets[i], sets[j])}
+    assert wanted <= found and all(component[i] != component[j] for i, j in found) and len(wanted) > 5

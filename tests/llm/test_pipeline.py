@@ -12,7 +12,7 @@ from stowage.llm.tokens import WORD_BPE
 from stowage.session import scratch_path
 
 from .conftest import SF_DIR
-from .test_simhash import components, fingerprint
+from .test_near_duplicates import groups, shingle_set
 from .test_tokens import crc
 
 
@@ -37,7 +37,7 @@ def test_stages(spark, documents):
     assert sorted(r for r in rows[0] if r[0] not in toxic) == sorted(rows[1])
 
     ordered = sorted(rows[1])
-    group = components([fingerprint(r[1], C.WORDS) for r in ordered], C.MAX_BITS)
+    group = groups([shingle_set(r[1]) for r in ordered])
     assert [r for at, r in enumerate(ordered) if group[at] == at] == sorted(rows[2])
 
     model = pii.train(pii.training_table(text_rows(inputs[2])))
