@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 from math import log10
 
 import numpy as np
@@ -35,14 +36,25 @@ SMOOTH = 0.01
 BATCH_TOKENS = 500_000
 COUNTED = 300_000
 
+# Bytes of a word that counts and broadcasts hold.
+LONGEST = 64
+# Tokens that are sorted by the length of their texts before they are cut into batches.
+SORTED_TOKENS = 4_000_000
+
 END = 0
 _LENGTHS, _LETTERS = 12, 28
 CLASSES = _LENGTHS * _LETTERS
 
 
 def words_of(text: str) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case, as UTF-8."""
-    return text.encode().lower().split()
+    """Words between ASCII white space, A-Z in lower case, as UTF-8; very long ones by :func:`short`."""
+    words = text.encode().lower().split()
+    return words if max(map(len, words), default=0) <= LONGEST else [word if len(word) <= LONGEST else short(word) for word in words]
+
+
+def short(word: bytes) -> bytes:
+    """A word of more than ``LONGEST`` bytes by its beginning, a 128-bit hash of it and its last byte, in as many bytes."""
+    return word[: LONGEST - 17] + md5(word).digest() + word[-1:]
 
 
 def surface_class(word: bytes) -> int:
@@ -149,42 +161,55 @@ def forward(model: Model, flat: np.ndarray, reach: np.ndarray, keep: bool = Fals
     emitted = model.emit[flat]
     scales = np.empty(len(flat))
     kept = np.empty_like(emitted) if keep else None
+    ones = np.ones(emitted.shape[1])
     at = 0
     state = None
     for n in reach.tolist():
-        state = model.start * emitted[at : at + n] if state is None else (state[:n] @ model.move) * emitted[at : at + n]
-        scale = state.sum(axis=1)
+        moved = model.start if state is None else state[:n] @ model.move
+        state = np.multiply(moved, emitted[at : at + n], out=kept[at : at + n] if keep else None)
+        scale = np.matmul(state, ones, out=scales[at : at + n])
         state /= scale[:, None]
-        scales[at : at + n] = scale
-        if keep:
-            kept[at : at + n] = state
         at += n
-    sequence = np.concatenate([np.arange(n) for n in reach.tolist()])
-    return np.bincount(sequence, weights=np.log10(scales), minlength=int(reach[0])), emitted, scales, kept
+    # Added up step by step, so that nothing is numbered.
+    logs, total, at = np.log10(scales), np.zeros(int(reach[0])), 0
+    for n in reach.tolist():
+        total[:n] += logs[at : at + n]
+        at += n
+    return total, emitted, scales, kept
 
 
 def expect(model: Model, sequences: list[np.ndarray], sums: Sums) -> None:
     """Add the expected counts of whole sequences to ``sums`` by the scaled forward and backward recursions."""
     flat, reach, _ = ragged(sequences)
+    expect_ragged(model, flat, reach, sums)
+
+
+def expect_ragged(model: Model, flat: np.ndarray, reach: np.ndarray, sums: Sums) -> None:
+    """``expect`` for sequences that stand side by side already. What is ahead becomes the posterior step by step."""
     likelihoods, emitted, scales, ahead = forward(model, flat, reach, keep=True)
     sums.likelihood += float(likelihoods.sum())
     ends = np.cumsum(reach)
-    posterior = np.empty_like(ahead)
-    back = np.ones((0, ahead.shape[1]))
+    emitted /= scales[:, None]
+    back_move = np.ascontiguousarray(model.move.T)
+    pairs = np.zeros_like(model.move)
+    # Sequences that end at a step begin their backward recursion there, at one.
+    back = np.ones((int(reach[0]), ahead.shape[1]))
     for step in range(len(reach) - 1, -1, -1):
         n, end = int(reach[step]), int(ends[step])
         here = slice(end - n, end)
-        # Sequences that end at this step begin their backward recursion here.
-        back = np.concatenate([back, np.ones((n - len(back), back.shape[1]))])
-        posterior[here] = ahead[here] * back
         if step:
-            weighted = emitted[here] * back / scales[here, None]
-            before = slice(end - n - int(reach[step - 1]), end - n - int(reach[step - 1]) + n)
-            sums.move += model.move * (ahead[before].T @ weighted)
-            back = weighted @ model.move.T
-    sums.start += posterior[: reach[0]].sum(axis=0)
-    for state in range(posterior.shape[1]):
-        sums.emit[:, state] += np.bincount(flat, weights=posterior[:, state], minlength=len(sums.emit))
+            weighted = emitted[here]
+            weighted *= back[:n]
+            first = end - n - int(reach[step - 1])
+            pairs += ahead[first : first + n].T @ weighted
+            ahead[here] *= back[:n]
+            np.matmul(weighted, back_move, out=back[:n])
+        else:
+            ahead[here] *= back[:n]
+    sums.move += model.move * pairs
+    sums.start += ahead[: reach[0]].sum(axis=0)
+    for state in range(ahead.shape[1]):
+        sums.emit[:, state] += np.bincount(flat, weights=np.ascontiguousarray(ahead[:, state]), minlength=len(sums.emit))
 
 
 def sequences_of(batches: Iterator[pa.RecordBatch], numbers: Numbers) -> Iterator[tuple[pa.Array, list, list]]:
@@ -198,24 +223,69 @@ def sequences_of(batches: Iterator[pa.RecordBatch], numbers: Numbers) -> Iterato
             yield batch["doc_id"].slice(first, end - first), words, [np.append(s, END) for s in symbols]
 
 
-def baum_welch(docs: DataFrame, symbols: Symbols, model: Model) -> Sums:
-    """Expected counts over all of ``docs`` under ``model``: one row per symbol and task, added up by Spark."""
-    shared = docs.sparkSession.sparkContext.broadcast((symbols, model))
+STORED = "symbols binary, reach binary"
+
+
+def store_symbols(docs: DataFrame, symbols: Symbols) -> DataFrame:
+    """The symbols of all documents, once for all passes: a row per batch of texts of like length, as ``ragged`` lays
+    them out, in two or four bytes a token. The texts are not split again."""
+    shared = docs.sparkSession.sparkContext.broadcast(symbols)
+    kind = np.dtype("<u2") if symbols.size <= 1 << 16 else np.dtype("<u4")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers(shared.value)
+
+        def laid_out(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            held.sort(key=len)
+            first = n_held = 0
+            for at, sequence in enumerate(held):
+                n_held += len(sequence)
+                if n_held >= BATCH_TOKENS or at + 1 == len(held):
+                    flat, reach, _ = ragged(held[first : at + 1])
+                    raw = [flat.astype(kind).tobytes(), reach.astype("<i4").tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([one], pa.binary()) for one in raw], ["symbols", "reach"])
+                    first, n_held = at + 1, 0
+
+        held: list[np.ndarray] = []
+        n_held = 0
+        for batch in batches:
+            for text in batch["text"]:
+                words = words_of(text.as_py())
+                sequence = np.empty(len(words) + 1, dtype=kind)
+                sequence[:-1] = np.fromiter(map(numbers.__getitem__, words), dtype=kind, count=len(words))
+                sequence[-1] = END
+                held.append(sequence)
+                n_held += len(sequence)
+                if n_held >= SORTED_TOKENS:
+                    yield from laid_out(held)
+                    held, n_held = [], 0
+        yield from laid_out(held)
+
+    # The bytes are those of numbers of like size, which a dictionary of values would only copy.
+    return cut_lineage(docs.select("text").mapInArrow(run, STORED))
+
+
+def baum_welch(stored: DataFrame, symbols: Symbols, model: Model) -> Sums:
+    """Expected counts over all documents of ``store_symbols`` under ``model``: one row per symbol and task, added up by
+    Spark."""
+    shared = stored.sparkSession.sparkContext.broadcast((symbols.size, model))
     states = len(model.start)
     columns = [f"s{i}" for i in range(states)]
+    kind = np.dtype("<u2") if symbols.size <= 1 << 16 else np.dtype("<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, model = shared.value
-        sums, numbers = Sums(states, symbols.size), Numbers(symbols)
-        for _, _, sequences in sequences_of(batches, numbers):
-            expect(model, sequences, sums)
+        size, model = shared.value
+        sums = Sums(states, size)
+        for batch in batches:
+            for flat, reach in zip(batch["symbols"], batch["reach"]):
+                expect_ragged(model, np.frombuffer(flat.as_buffer(), dtype=kind), np.frombuffer(reach.as_buffer(), dtype="<i4"), sums)
         # The rows after the symbols are the transitions, then the starts, and the last one begins with the likelihood.
         every = np.concatenate([sums.emit, sums.move, sums.start[None, :], sums.likelihood * np.eye(1, len(model.start))])
         (seen,) = np.nonzero(every.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(seen), *[pa.array(every[seen, i]) for i in range(states)]], ["row", *columns])
 
     schema = "row long, " + ", ".join(f"{c} double" for c in columns)
-    added = docs.mapInArrow(run, schema).groupBy("row").agg(*[F.sum(c).alias(c) for c in columns])
+    added = stored.mapInArrow(run, schema).groupBy("row").agg(*[F.sum(c).alias(c) for c in columns])
     # A row per symbol at most, whatever the corpus.
     every = np.zeros((symbols.size + states + 2, states))
     for row in added.collect():
@@ -228,13 +298,14 @@ def baum_welch(docs: DataFrame, symbols: Symbols, model: Model) -> Sums:
 
 def train(docs: DataFrame, symbols: Symbols, unigrams: np.ndarray, states: int = STATES) -> Model:
     """Fit the model to all documents, from a random start, until a pass raises their likelihood by less than ``GAIN``."""
+    stored = store_symbols(docs, symbols)
     random = np.random.default_rng(SEED)
     move = np.full((states, states), 0.4 / states) + 0.6 * np.eye(states)
     emit = unigrams[:, None] * random.uniform(0.5, 1.5, (len(unigrams), states))
     model = Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
     before = -np.inf
     while True:
-        sums = baum_welch(docs, symbols, model)
+        sums = baum_welch(stored, symbols, model)
         model = sums.model(unigrams)
         if sums.likelihood - before <= GAIN * abs(sums.likelihood):
             return model
@@ -247,8 +318,10 @@ def score_documents(
     """One row per document: tokens, known tokens, the unigram base score and the model's log10 likelihood.
 
     Counts and training use the documents that are not held out; all are scored, whole. A null or empty text is the end
-    alone. Repeated rows count as often as they stand. Without training documents the base is that of an empty
-    vocabulary and the model knows classes only. An empty table gives an empty table.
+    alone. Repeated rows count as often as they stand; a null id trains. Texts of any length are scored whole, and a word
+    of more than ``LONGEST`` bytes is known by a hash. Words of equal counts are ranked by their bytes. Without training
+    documents the base is that of an empty vocabulary and the model knows classes only. Other columns, whatever their
+    names, are not read. An empty table gives an empty table.
     """
     rows = text_rows(docs, id_col, text_col)
     training = rows.where(~held_out(F.col("doc_id")))
