@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stowage.llm.common import cut_lineage, text_rows
+from stowage.llm.common import scratch_path, text_rows
 from stowage.llm.tokens import encoder
 
+# Ids of a shard, of which a shard has more once there are very many.
 SHARD_IDS = 1 << 23
+MOST_SHARDS = 1 << 15
 BLOCK_IDS = 1 << 19
 
 BLOCKS = "shard int, block int, first long, doc_id array<long>, n_ids array<long>, control binary, data binary"
@@ -66,38 +68,53 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return ranks
 
 
+ENCODED = "row_id long, doc_id long, ids binary, counts binary"
+
+
 def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """Each document's ids, the end id included, as little-endian integers of the narrowest type that holds them."""
+    """Each document's ids, the end id included, as little-endian integers of the narrowest type that holds them.
+
+    A task's last row has how often the task met each id, as 64-bit integers, and nothing else.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = encoder(path)
         end = np.array([end_id], dtype=codes.id_type).tobytes()
         row_id = TaskContext.get().partitionId() << 40
+        met = np.zeros(max(codes.size, end_id + 1), dtype=np.int64)
+
+        def rows(*columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(columns, ["row_id", "doc_id", "ids", "counts"])
+
         for batch in batches:
             ids = [one + end for one in codes.ids(batch["text"].to_pylist())]
-            rows = pa.array(np.arange(row_id, row_id + len(ids)), pa.int64())
+            met += np.bincount(np.frombuffer(b"".join(ids), dtype=codes.id_type), minlength=len(met))
+            numbers = pa.array(np.arange(row_id, row_id + len(ids)), pa.int64())
             row_id += len(ids)
-            columns = [rows, batch["doc_id"], pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["row_id", "doc_id", "ids"])
+            yield rows(numbers, batch["doc_id"], pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary()))
+        yield rows(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([met.tobytes()], pa.binary()))
 
-    return docs.mapInArrow(encode, "row_id long, doc_id long, ids binary")
+    return docs.mapInArrow(encode, ENCODED)
 
 
-def token_ranks(ids: DataFrame, width: int, vocabulary: int) -> DataFrame:
-    """Token ids by how often all documents have them: (rank, token_id, n), one row per vocabulary entry that occurs.
+def token_counts(stored: DataFrame) -> DataFrame:
+    """(token_id, n) over all documents of ``encoded``: one row per entry of the vocabulary that occurs.
 
-    Each task counts all its ids in one array, so at most a vocabulary's worth of rows leaves it.
+    Each task adds up the counts that it reads, so at most a vocabulary's worth of rows leaves it.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(vocabulary, dtype=np.int64)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
         for batch in batches:
-            for one in batch["ids"]:
-                found += np.bincount(np.frombuffer(one.as_buffer(), dtype=f"<u{width}"), minlength=vocabulary)
-        (seen,) = np.nonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(found[seen], pa.int64())], ["token_id", "n"])
+            for one in batch["counts"]:
+                met = np.frombuffer(one.as_buffer(), dtype="<i8")
+                total = met if total is None else total + met
+        if total is not None:
+            (seen,) = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["token_id", "n"])
 
-    return ids.select("ids").mapInArrow(count, "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
+    counts = stored.select("counts").where("counts IS NOT NULL")
+    return counts.mapInArrow(add, "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> str:
@@ -108,10 +125,14 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 1, id_co
     """
     spark = docs.sparkSession
     codes = encoder(path)
-    ids = cut_lineage(encoded(text_rows(docs, id_col, text_col), path, end_id))
+    scratch = scratch_path(spark, "encoded")
+    # Ids do not repeat as values of a column do, so no dictionary is tried.
+    encoded(text_rows(docs, id_col, text_col), path, end_id).write.option("parquet.enable.dictionary", "false").parquet(scratch)
+    stored = spark.read.schema(ENCODED).parquet(scratch)
+    ids = stored.where("row_id IS NOT NULL").drop("counts")
     width, vocabulary = codes.id_type.itemsize, max(codes.size, end_id + 1)
     # At most one row per entry of the vocabulary, whatever the corpus.
-    counted = [(r["token_id"], r["n"]) for r in token_ranks(ids, width, vocabulary).collect()]
+    counted = [(r["token_id"], r["n"]) for r in token_counts(stored).collect()]
     by_rank = [token for token, _ in sorted(counted, key=lambda pair: (-pair[1], pair[0]))]
     total = sum(n for _, n in counted)
     ranks = [(rank, token) for rank, token in enumerate(by_rank)]
@@ -143,7 +164,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 1, id_co
         if held:
             yield closed()
 
-    shards = max(1, -(-total // SHARD_IDS))
+    shards = min(MOST_SHARDS, max(1, -(-total // SHARD_IDS)))
     ordered = ids.repartitionByRange(shards, "doc_id", "row_id").sortWithinPartitions("doc_id", "row_id")
     ordered.select("doc_id", "ids").mapInArrow(blocks, BLOCKS).write.parquet(f"{folder}/blocks")
     return folder
