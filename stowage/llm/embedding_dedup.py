@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stowage.llm.common import cut_lineage, hashed_share
@@ -46,18 +47,29 @@ def fit_cells(sample: np.ndarray, cells: int, iterations: int = ITERATIONS) -> n
     return centroids
 
 
-def assign(vectors: DataFrame, centroids: np.ndarray, margin: float) -> DataFrame:
-    """A row per vector and cell that takes it; ``cells`` has all the vector's cells, ascending."""
+def assign(vectors: DataFrame, centroids: dict[int, tuple[int, np.ndarray]], margin: float) -> DataFrame:
+    """A row per vector and cell that takes it; ``cells`` has all the vector's cells, ascending.
+
+    ``centroids`` has, by length of a vector, the number of the first cell and the cells' centroids.
+    """
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)
-    width = centroids.shape[1]
+
+    def alike(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Parts of vectors of one length."""
+        lengths = pc.list_value_length(batch["vector"])
+        for width in pc.unique(lengths):
+            same = batch.filter(pc.equal(lengths, width))
+            yield from (same.slice(start, 2048) for start in range(0, same.num_rows, 2048))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
+            for part in alike(batch):
+                width = len(part["vector"][0])
+                first, middles = shared.value[width]
                 points = unit(part["vector"].flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
-                near = points @ shared.value.T
+                near = points @ middles.T
                 rows, cells = np.nonzero(near >= near.max(axis=1, keepdims=True) - margin)
+                cells = cells + first
                 ends = np.cumsum(np.bincount(rows, minlength=len(points)))
                 of_row = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(cells, pa.int32()))
                 raw = pa.array([one.tobytes() for one in points], pa.binary())
@@ -81,7 +93,7 @@ def _first_in(cell: int, cells: np.ndarray, i: np.ndarray, others: np.ndarray, j
     return first
 
 
-def compare(items: DataFrame, width: int, threshold: float) -> DataFrame:
+def compare(items: DataFrame, threshold: float) -> DataFrame:
     """Links found in each (cell, one, other): (a, null, copies linked to a) and (a, b, null) to connect what is linked."""
 
     def padded(rows: list, fill: int) -> np.ndarray:
@@ -95,7 +107,8 @@ def compare(items: DataFrame, width: int, threshold: float) -> DataFrame:
         block = np.array([r[0] for r in rows])
         node = np.array([r[1] for r in rows], dtype=np.int64)
         copies = np.array([r[2] for r in rows], dtype=np.int64)
-        points = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.float64).reshape(-1, width)
+        # The vectors of a cell have one length.
+        points = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.float64).reshape(len(rows), -1)
         left, right = np.flatnonzero(block == one), np.flatnonzero(block == other)
         linked = np.zeros(len(rows), dtype=np.int64)
         label = np.arange(len(rows))
@@ -157,35 +170,38 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per vector: vectors linked to it, the smallest id that links lead to, and whether it is that one.
 
-    Vectors that are null, zero, hold a null or a non-finite component, or are not of the commonest length link with
-    nothing, nor does a row with a null id, whose component is null and which is not kept. Rows with equal vectors are
-    linked. Rows that share an id are one node for components. An empty table gives an empty table.
+    Vectors that are null, zero, or hold a null or a non-finite component link with nothing, nor does a row with a null id,
+    whose component is null and which is not kept. Vectors of different lengths have no cosine and do not link; each length
+    has cells of its own, fitted one length after another, so lengths should be few. Rows with equal vectors are linked.
+    Rows that share an id are one node for components. A vector as near to two centroids is in both cells, and a pair
+    counts in the first cell that it shares. Other columns, whatever their names, are not read. An empty table gives an
+    empty table.
     """
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = rows.where(F.col("vec_id").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
-    lengths = usable.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    if lengths is None:
+    distinct = cut_lineage(usable.groupBy("vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")))
+    # A row per length.
+    lengths = distinct.groupBy(F.size("vector").alias("width")).count().orderBy("width").collect()
+    if not lengths:
         alone = F.lit(0).cast("long").alias("n_links")
         return rows.select("vec_id", alone, F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    width = lengths["width"]
-    usable = usable.where(F.size("vector") == width)
-    distinct = cut_lineage(usable.groupBy("vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")))
-
-    n_distinct = distinct.count()
-    cells = min(MOST_CELLS, max(1, -(-n_distinct // cell_rows)))
-    some = distinct.where(hashed_share(F.col("node"), 2 * SAMPLE, n_distinct))
-    sample = some.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vector").toArrow()["vector"].combine_chunks()
-    centroids = fit_cells(sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, width), cells)
+    centroids, first = {}, 0
+    for width, n_distinct in lengths:
+        cells = min(MOST_CELLS, max(1, -(-n_distinct // cell_rows)))
+        some = distinct.where((F.size("vector") == width) & hashed_share(F.col("node"), 2 * SAMPLE, n_distinct))
+        sample = some.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vector").toArrow()["vector"].combine_chunks()
+        centroids[width] = first, fit_cells(sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, width), cells)
+        first += len(centroids[width][1])
     placed = cut_lineage(assign(distinct, centroids, margin))
 
-    # A row per cell, of which there are at most MOST_CELLS.
+    # A row per cell, of which there are at most MOST_CELLS for a length.
     cuts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("cuts"))
     block = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
     blocked = placed.join(F.broadcast(cuts), "cell").withColumn("block", block)
     paired = blocked.withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     items = paired.withColumn("one", F.least("block", "beside")).withColumn("other", F.greatest("block", "beside"))
-    found = cut_lineage(compare(items, width, threshold))
+    found = cut_lineage(compare(items, threshold))
 
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("linked").alias("linked"))
     groups = connected_components(found.where("b IS NOT NULL").select("a", "b"))

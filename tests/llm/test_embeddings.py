@@ -67,6 +67,24 @@ def test_recall_of_pairs_near_the_threshold(spark):
     assert sum(r["n_links"] for r in found) >= 0.95 * len(rows)
 
 
+def test_vectors_of_several_lengths(spark):
+    vectors = make(5, 12, 0.05, 3, 8) + make(4, 10, 0.05, 4, 12) + make(1, 3, 0.05, 5, 5)[:3]
+    random = np.random.default_rng(6)
+    vectors = [vectors[i] for i in random.permutation(len(vectors))]
+    table = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").repartition(3)
+    found = near_duplicates(spark, table, cell_rows=40, block_rows=16)
+    assert sorted(map(tuple, found.collect())) == sorted(alike(vectors))
+
+
+def alike(vectors):
+    """``brute`` for each length by itself."""
+    out = []
+    for width in {len(v) for v in vectors}:
+        ids = [i for i, v in enumerate(vectors) if len(v) == width]
+        out += brute(ids, [vectors[i] for i in ids])
+    return out
+
+
 def test_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
