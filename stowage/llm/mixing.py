@@ -64,6 +64,11 @@ def _rate(tilt: Column) -> Column:
     return F.least(F.lit(float(MOST_COPIES)), F.exp(F.least(tilt * F.col("size") / F.col("mean"), F.lit(700.0))))
 
 
+def _exact(value: Column) -> Column:
+    """The sum of doubles, each to nine decimal places; it is the same in whatever order they are added up."""
+    return F.sum(value.cast("decimal(38,9)")).cast("double")
+
+
 def balance(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """(source_no, tilt): the tilt at which the rates of each source's documents add up to its target.
 
@@ -82,13 +87,13 @@ def balance(sized: DataFrame, sources: DataFrame) -> DataFrame:
         rate = _rate(F.col("tilt"))
         words = F.col("n") * F.col("size") * rate
         curve = F.when(rate < float(MOST_COPIES), words * F.col("size") / F.col("mean")).otherwise(0.0)
-        sums = spread.join(state.select("source_no", "tilt"), "source_no").groupBy("source_no").agg(F.sum(words).alias("words"), F.sum(curve).alias("curve"))
+        sums = spread.join(state.select("source_no", "tilt"), "source_no").groupBy("source_no").agg(_exact(words).alias("words"), _exact(curve).alias("curve"))
         state = cut_lineage(_newton(state.join(sums, "source_no")))
         worst = state.agg(F.max("miss")).first()[0]
         state = state.drop("miss")
         if worst is None or worst <= TOLERANCE:
             break
-    found = state.select("source_no", "tilt")
+    found = state.select("source_no", F.round("tilt", 12).alias("tilt"))
     return found.unionByName(facts.where(F.col("source_size") > 0).where(full).select("source_no", F.lit(float("inf")).alias("tilt")))
 
 
@@ -151,8 +156,9 @@ def mix(
     """One row per document: size, its source's words and target, its rate, the copies and the words the mix takes.
 
     A null text has no words, as has an empty one; a document without words is taken once and adds none. A null source is
-    a source of its own. Rows of equal id, source and size get equal copies. Reruns agree. An empty table gives an empty
-    table.
+    a source of its own, a null id an id like others. Rows of equal id, source and size get equal copies. Reruns agree,
+    however the rows are dealt out: sums are exact in any order. A very long text counts with all its words. Other columns,
+    whatever their names, are not read. An empty table gives an empty table.
     """
     sized = cut_lineage(sizes(docs, id_col, text_col, source_col))
     sources = cut_lineage(targets(sized, weights, share))
@@ -166,7 +172,12 @@ def mix(
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, all columns as they are."""
+    """The rows of ``docs`` as often as the mix takes them, all columns, whatever their names, as they are.
+
+    Rows are told apart by id, source and number of words, as :func:`mix` does: repeated rows, and rows of null ids that
+    agree in the others, are taken equally often. A null or empty text is taken once. A very long text is taken whole, as
+    often as the rate of its size says. An empty table gives an empty table.
+    """
     taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).where("copies > 0")
     plan = cut_lineage(taken.select("doc_id", "source", "size", "copies").distinct())
     names = {name: fresh(f"mix_{name}", docs.columns) for name in ("doc_id", "source", "size", "copies", "copy")}

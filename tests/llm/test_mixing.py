@@ -98,3 +98,11 @@ def test_many_chunks_of_one_source(spark, monkeypatch):
         taken[r["source"]] += r["taken"]
         target[r["source"]] = r["target"]
     assert all(abs(taken[s] - t) <= 0.02 * t + 20 for s, t in target.items())
+
+
+def test_reruns_agree_beyond_the_first_thousands(spark):
+    """However the rows are dealt out, sums are the same to the last bit, and so is every rounding."""
+    rows = [(i, "w " * (1 + i * i % 211), f"s{i % 3}" if i % 2 else "hot") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = [sorted((r["doc_id"], r["taken"], r["rate"]) for r in M.mix(docs.repartition(n)).collect()) for n in (1, 5, 13)]
+    assert found[0] == found[1] == found[2]
