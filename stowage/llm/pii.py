@@ -128,7 +128,7 @@ def shape(word: str) -> str:
     """The word's shape: runs of letters by case, digits one by one up to four of a run, other characters themselves."""
     out: list[str] = []
     run = 0
-    for char in word[:64]:
+    for char in word:
         kind = "9" if "0" <= char <= "9" else "A" if char.isupper() else "a" if char.isalpha() else char
         run = run + 1 if out and out[-1] == kind else 1
         if run == 1 or kind == "9" and run <= 4:
@@ -549,9 +549,15 @@ def mask_text(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*parts, text[end:]])
 
 
-def mask(spark: SparkSession, docs: DataFrame, model: Field | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span in the text replaced by its kind; other columns as they are. A null text stays null."""
-    shared = spark.sparkContext.broadcast(model or train(training_table(text_rows(docs, text_col=text_col))))
+def mask(
+    spark: SparkSession, docs: DataFrame, model: Field | None = None, text_col: str = "text", id_col: str = "doc_id"
+) -> DataFrame:
+    """``docs`` with every span in the text replaced by its kind; other columns, whatever their names, as they are.
+
+    A null text stays null, and an empty one has no spans. A row is masked by its text alone: repeated rows come out alike
+    and a null id is as good as any. Texts of any length are masked whole. An empty table gives an empty table.
+    """
+    shared = spark.sparkContext.broadcast(model or train(training_table(text_rows(docs, id_col, text_col))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
