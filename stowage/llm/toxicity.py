@@ -289,7 +289,12 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, threshold: float =
 
 
 def reject(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text scores below the threshold, all columns as they are. A null text is empty."""
+    """The rows of ``docs`` whose text scores below the threshold, all columns, whatever their names, as they are.
+
+    A null text is empty, and an empty one has the score of an empty window. A row is judged by its text alone: repeated
+    rows stay or go together, ids do not matter. A very long text scores as its most toxic window. An empty table gives an
+    empty table.
+    """
     scores = _scorer(spark, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,9 +311,10 @@ def score_documents(
     """One row per document: whether it is held out, its score, and 1 where the score reaches the threshold.
 
     A null or empty text has no words and gets the score of an empty window. Repeated rows score alike. Labels that are
-    null or not 0 or 1 teach nothing; of several labels of one id the highest counts,
-    of several texts the smallest. Without labels of both kinds no
-    document is toxic. An empty table gives an empty table.
+    null or not 0 or 1 teach nothing; of several labels of one id the highest counts, of several texts the smallest. A
+    null id is not held out and has no label. A very long text scores as its most toxic window, so no part of it is left
+    out. Without labels of both kinds no document is toxic. Other columns, whatever their names, are not read. An empty
+    table gives an empty table.
     """
     rows = text_rows(docs, id_col, text_col)
     scored = score(spark, rows, learn(rows, labels))
