@@ -84,7 +84,7 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         met = np.zeros(max(codes.size, end_id + 1), dtype=np.int64)
 
         def rows(*columns: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(columns, ["row_id", "doc_id", "ids", "counts"])
+            return pa.RecordBatch.from_arrays(list(columns), ["row_id", "doc_id", "ids", "counts"])
 
         for batch in batches:
             ids = [one + end for one in codes.ids(batch["text"].to_pylist())]
