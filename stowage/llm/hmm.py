@@ -159,9 +159,9 @@ def ragged(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
 def forward(model: Model, flat: np.ndarray, reach: np.ndarray, keep: bool = False):
     """Log10 likelihood of each sequence, in the order of ``ragged``; with ``keep`` also the scaled states by step."""
     emitted = model.emit[flat]
-    scales = np.empty(len(flat))
+    scales = np.empty(len(flat), dtype=emitted.dtype)
     kept = np.empty_like(emitted) if keep else None
-    ones = np.ones(emitted.shape[1])
+    ones = np.ones(emitted.shape[1], dtype=emitted.dtype)
     at = 0
     state = None
     for n in reach.tolist():
@@ -171,7 +171,7 @@ def forward(model: Model, flat: np.ndarray, reach: np.ndarray, keep: bool = Fals
         state /= scale[:, None]
         at += n
     # Added up step by step, so that nothing is numbered.
-    logs, total, at = np.log10(scales), np.zeros(int(reach[0])), 0
+    logs, total, at = np.log10(scales, dtype=np.float64), np.zeros(int(reach[0])), 0
     for n in reach.tolist():
         total[:n] += logs[at : at + n]
         at += n
@@ -191,9 +191,9 @@ def expect_ragged(model: Model, flat: np.ndarray, reach: np.ndarray, sums: Sums)
     ends = np.cumsum(reach)
     emitted /= scales[:, None]
     back_move = np.ascontiguousarray(model.move.T)
-    pairs = np.zeros_like(model.move)
+    pairs = np.zeros(model.move.shape)
     # Sequences that end at a step begin their backward recursion there, at one.
-    back = np.ones((int(reach[0]), ahead.shape[1]))
+    back = np.ones((int(reach[0]), ahead.shape[1]), dtype=ahead.dtype)
     for step in range(len(reach) - 1, -1, -1):
         n, end = int(reach[step]), int(ends[step])
         here = slice(end - n, end)
@@ -207,9 +207,9 @@ def expect_ragged(model: Model, flat: np.ndarray, reach: np.ndarray, sums: Sums)
         else:
             ahead[here] *= back[:n]
     sums.move += model.move * pairs
-    sums.start += ahead[: reach[0]].sum(axis=0)
+    sums.start += ahead[: reach[0]].sum(axis=0, dtype=np.float64)
     for state in range(ahead.shape[1]):
-        sums.emit[:, state] += np.bincount(flat, weights=np.ascontiguousarray(ahead[:, state]), minlength=len(sums.emit))
+        sums.emit[:, state] += np.bincount(flat, weights=np.ascontiguousarray(ahead[:, state], dtype=np.float64), minlength=len(sums.emit))
 
 
 def sequences_of(batches: Iterator[pa.RecordBatch], numbers: Numbers) -> Iterator[tuple[pa.Array, list, list]]:
@@ -275,6 +275,8 @@ def baum_welch(stored: DataFrame, symbols: Symbols, model: Model) -> Sums:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, model = shared.value
+        # States are scaled to one at every step, so half the digits do inside; counts are added up with all of them.
+        model = Model(*(part.astype(np.float32) for part in (model.start, model.move, model.emit)))
         sums = Sums(states, size)
         for batch in batches:
             for flat, reach in zip(batch["symbols"], batch["reach"]):
