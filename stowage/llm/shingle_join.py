@@ -7,8 +7,9 @@ is known by its 64-bit hash.
 
 Prefixes are dealt out and sorted once, as pairs of shingle and row, and only shingles met twice go on. Documents of one
 group are compared with its first one, what that connects is one component, and then the pairs of a group that are in
-different components are compared. Before any text moves, a pair must pass by its sketches: the parity of the set's hashes
-in about one bit for each of them. Every bit in which two sketches differ is a shingle that only one set has, so a pair
+different components are compared: first as many as connect, by their sketches, all that may be similar, and then, in
+the components which that gives, all pairs that are left. Before any text moves, a pair must pass by its sketches: the parity of the set's hashes
+in some bits for each of them. Every bit in which two sketches differ is a shingle that only one set has, so a pair
 with too many of them is not similar, without exception. What is left, nearly all of it similar, is decided on the texts.
 """
 
@@ -23,13 +24,17 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from stowage.llm.common import cut_lineage, hashed_share
-from stowage.llm.components import connected_components
+from stowage.llm.components import connected_components, merge
 
 SEED = 42
 # Jaccard similarity from which two sets are similar, as a fraction.
 SHARED, OF = 4, 5
 # Documents sampled for the order of shingles, the share of a text looked at, and common shingles at most.
 ORDER_DOCUMENTS, ORDER_CHARS, ORDER_SHINGLES = 2_000, 20_000, 50_000
+# Bits of a sketch for each hash, at least. At four of them nearly all pairs of a similarity below 0.78 are told apart.
+SKETCH_BITS = 4
+# A shingle of one sampled document in so many is hot.
+HOT = 100
 
 
 def shingles(text: str, words: int) -> np.ndarray:
@@ -76,8 +81,8 @@ def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndar
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """The parity of a set of distinct hashes by their lowest bits: as many bits as there are hashes, rounded up."""
-    bits = max(64, 1 << (max(len(hashes), 1) - 1).bit_length())
+    """The parity of a set of distinct hashes by their lowest bits: ``SKETCH_BITS`` bits for each of them, rounded up."""
+    bits = max(64, SKETCH_BITS << (max(len(hashes), 1) - 1).bit_length())
     counts = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -96,8 +101,17 @@ def possible(n: np.ndarray, other_n: np.ndarray, apart: np.ndarray) -> np.ndarra
     return (OF - SHARED) * (n + other_n) >= (OF + SHARED) * least
 
 
-def shared_shingles(prefixes: DataFrame) -> DataFrame:
-    """(shingle, row, pivot) of each shingle that several ``prefixes`` (row, prefix) have; the pivot is its first row."""
+def hot_shingles(common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Shingles that one sampled document in ``HOT`` has, whose groups are not brought together."""
+    known, met = common
+    return known[met >= max(2, ORDER_DOCUMENTS // HOT)]
+
+
+def shared_shingles(prefixes: DataFrame, hot: np.ndarray = np.empty(0, dtype=np.uint64)) -> DataFrame:
+    """(shingle, row, pivot) of each shingle that several ``prefixes`` (row, prefix) have; the pivot is its first row.
+
+    ``hot`` shingles are in a large part of all rows. How a shingle is treated decides about time and about no row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The last group of a batch goes on in the next one. Of a group met once so far its row is held back.
@@ -121,8 +135,16 @@ def shared_shingles(prefixes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()) for one in out], ["shingle", "row", "pivot"])
 
     entries = prefixes.select(F.explode("prefix").alias("shingle"), "row")
-    dealt = entries.repartition("shingle").sortWithinPartitions("shingle", "row")
-    return dealt.mapInArrow(run, "shingle long, row long, pivot long")
+    if not len(hot):
+        dealt = entries.repartition("shingle").sortWithinPartitions("shingle", "row")
+        return dealt.mapInArrow(run, "shingle long, row long, pivot long")
+    # At most ORDER_SHINGLES numbers. Their entries stay where they are; only their first rows are reduced.
+    named = F.broadcast(prefixes.sparkSession.createDataFrame([(int(h),) for h in hot.view(np.int64)], "shingle long"))
+    dealt = entries.join(named, "shingle", "left_anti").repartition("shingle").sortWithinPartitions("shingle", "row")
+    spread = entries.join(named, "shingle", "left_semi")
+    firsts = cut_lineage(spread.groupBy("shingle").agg(F.min("row").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"))
+    found = spread.join(F.broadcast(firsts), "shingle").select("shingle", "row", "pivot")
+    return dealt.mapInArrow(run, "shingle long, row long, pivot long").unionByName(found)
 
 
 def surviving(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -149,6 +171,10 @@ def _differing(one: bytes, two: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+# Pairs of one row that a task decides with one copy of its text.
+PART_PAIRS = 2_000
+
+
 def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int) -> DataFrame:
     """The ``pairs`` (a, b) whose texts are similar; ``texts`` gives (row, text) of some rows (row).
 
@@ -159,9 +185,14 @@ def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], words: i
     needed = named.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     held = cut_lineage(texts(needed))
     none = F.lit(None).cast("long")
-    first = held.join(named.select(F.col("a").alias("row")).distinct(), "row", "left_semi").select(F.col("row").alias("a"), none.alias("b"), "text")
-    second = named.join(held.withColumnRenamed("row", "b"), "b").select("a", "b", "text")
-    dealt = first.unionByName(second).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
+    # A row with very many pairs is dealt out, its own text to each part of them.
+    parts = cut_lineage(named.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART_PAIRS).cast("int").alias("parts")))
+    first = held.join(parts.withColumnRenamed("a", "row"), "row").select(
+        F.col("row").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), none.alias("b"), "text"
+    )
+    salted = named.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    second = salted.join(held.withColumnRenamed("row", "b"), "b").select("a", "part", "b", "text")
+    dealt = first.unionByName(second).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = None
@@ -174,93 +205,153 @@ def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], words: i
                 keep.append(b is not None and similar(one, found))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut_lineage(dealt.mapInArrow(decide, "a long, b long"))
+    return cut_lineage(dealt.select("a", "b", "text").mapInArrow(decide, "a long, b long"))
 
 
-# Rows of a group that are compared with as many others at once.
+# Rows of a group that are compared with as many others at once, and rows of a group that are one side of a task's work.
 BLOCK = 512
+CHUNK_ROWS = 1 << 15
 
 
-def _crossing(row: np.ndarray, component: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one group's rows that are in different components and may be similar, block by block.
+Side = tuple[np.ndarray, np.ndarray, np.ndarray, list]
 
-    Rows are in order of size, so a block meets those blocks only whose sets are not too large for it.
-    """
+
+def _ordered(side: Side) -> Side:
+    row, component, n, sketches = side
     order = np.argsort(n, kind="stable")
-    row, component, n = row[order], component[order], n[order]
-    kept = [np.frombuffer(sketches[at], dtype=np.uint8) for at in order.tolist()]
+    return row[order], component[order], n[order], [np.frombuffer(sketches[at], dtype=np.uint8) for at in order.tolist()]
+
+
+def _crossing(one: Side, two: Side | None = None, spanning: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that are in different components and may be similar, block by block: those of one side, or of a row of
+    one side and a row of the other.
+
+    With ``spanning`` components that a pair may connect count as one from then on, so that there are no more pairs than
+    it takes to connect them, the likeliest first. Rows are in order of size, so a block meets those blocks only whose sets are neither too small nor too large for it.
+    """
+    row, component, n, kept = _ordered(one)
+    other_row, other_component, other_n, other_kept = (row, component, n, kept) if two is None else _ordered(two)
+    # Components by number, and what is one of them by now.
+    distinct, number = np.unique(np.concatenate([component, other_component]), return_inverse=True)
+    own, other_own, label = number[: len(row)], number[len(row) :], np.arange(len(distinct))
     for first in range(0, len(row), BLOCK):
         here = slice(first, min(first + BLOCK, len(row)))
-        for second in range(first, len(row), BLOCK):
-            there = slice(second, min(second + BLOCK, len(row)))
-            if SHARED * n[second] > OF * n[here][-1]:
+        for second in range(first if two is None else 0, len(other_row), BLOCK):
+            there = slice(second, min(second + BLOCK, len(other_row)))
+            if SHARED * other_n[second] > OF * n[here][-1]:
                 break
-            apart = component[here][:, None] != component[there][None, :]
-            apart &= possible(n[here][:, None], n[there][None, :], np.zeros((1, 1), dtype=np.int64))
-            i, j = np.nonzero(apart & (np.arange(here.start, here.stop)[:, None] < np.arange(there.start, there.stop)[None, :]))
+            if SHARED * n[first] > OF * other_n[there][-1]:
+                continue
+            mine, theirs = label[own[here]], label[other_own[there]]
+            if (mine[0] == mine).all() and (mine[0] == theirs).all():
+                continue
+            apart = mine[:, None] != theirs[None, :]
+            apart &= possible(n[here][:, None], other_n[there][None, :], np.zeros((1, 1), dtype=np.int64))
+            if two is None:
+                apart &= np.arange(here.start, here.stop)[:, None] < np.arange(there.start, there.stop)[None, :]
+            i, j = np.nonzero(apart)
             differing = np.zeros(len(i), dtype=np.int64)
             sizes = np.array([len(s) for s in kept[here]])[i]
-            other_sizes = np.array([len(s) for s in kept[there]])[j]
+            other_sizes = np.array([len(s) for s in other_kept[there]])[j]
             for size in np.unique(np.stack([sizes, other_sizes]), axis=1).T.tolist() if len(i) else []:
                 (of,) = np.nonzero((sizes == size[0]) & (other_sizes == size[1]))
                 for part in np.array_split(of, max(1, len(of) * max(size) >> 24)):
                     x = _folded(np.stack([kept[here][k] for k in i[part].tolist()]), min(size))
-                    y = _folded(np.stack([kept[there][k] for k in j[part].tolist()]), min(size))
+                    y = _folded(np.stack([other_kept[there][k] for k in j[part].tolist()]), min(size))
                     differing[part] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            near = possible(n[here][i], n[there][j], differing)
-            yield row[here][i[near]], row[there][j[near]]
-
-
-def crossing_pairs(labelled: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) that share a shingle, are in different components and may be similar.
-
-    ``labelled`` has (shingle, row, component). A group is walked in one task, a block against a block, and only pairs that
-    pass by their sketches leave it.
+            near = np.flatnonzero(possible(n[here][i], other_n[there][j], differing))
+            if spanning and len(near):
+                near = near[np.argsort(differing[near] / (n[here][i[near]] + other_n[there][j[near]]), kind="stable")]
+                used, label = merge(label, own[here][i[near]], other_own[there][j[near]])
+                near = near[used]
+            yield row[here][i[near]], other_row[there][j[near]]
+
+
+def crossing_pairs(labelled: DataFrame, sketches: DataFrame, spanning: bool = False) -> DataFrame:
+    """Distinct pairs (a, b) that share a shingle, are in different components and may be similar; with ``spanning`` as
+    many of each piece of work as connect what all of them connect.
+
+    ``labelled`` has (shingle, row, component). Of a group, most rows are in its largest component as a rule, and are not
+    compared with each other. The others are cut into chunks, as is the largest component, and a task compares a chunk of
+    others with itself, with another such chunk, or with one of the largest component, block by block. So a group of any
+    size is many pieces of work of a bounded size, and only pairs that pass by their sketches leave them.
     """
-    mixed = labelled.groupBy("shingle").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("shingle")
-    left = cut_lineage(labelled.join(mixed, "shingle", "left_semi"))
-    dealt = left.join(sketches, "row").repartition("shingle").sortWithinPartitions("shingle")
+    counted = labelled.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"))
+    largest = F.max_by(F.struct("component", "k"), F.struct("k", "component"))
+    groups = counted.groupBy("shingle").agg(F.sum("k").alias("m"), F.count(F.lit(1)).alias("components"), largest.alias("largest")).where("components > 1")
+    chunks = lambda rows: F.ceil(rows / CHUNK_ROWS).cast("int")
+    mixed = cut_lineage(
+        groups.select("shingle", F.col("largest.component").alias("main"), chunks(F.col("m") - F.col("largest.k")).alias("others"), chunks(F.col("largest.k")).alias("mains"))
+    )
+    placed = labelled.join(mixed, "shingle").withColumn("in_main", F.col("component") == F.col("main"))
+    own = F.pmod(F.xxhash64("row"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    others, mains = F.sequence(F.lit(0), F.col("others") - 1), F.sequence(F.lit(0), F.col("mains") - 1)
+    item = lambda kind, one, two: F.struct(F.lit(kind).alias("kind"), one.alias("one"), two.alias("two"))
+    of_main = F.transform(others, lambda chunk: item("main", chunk, F.col("own")))
+    of_other = F.concat(
+        F.transform(others, lambda chunk: item("others", F.least(chunk, F.col("own")), F.greatest(chunk, F.col("own")))),
+        F.transform(mains, lambda chunk: item("main", F.col("own"), chunk)),
+    )
+    items = placed.withColumn("own", own).join(sketches, "row").withColumn("item", F.explode(F.when(F.col("in_main"), of_main).otherwise(of_other)))
+    # The side of a row in its item: 0 for the first chunk.
+    side = F.when(F.col("item.kind") == "main", F.col("in_main").cast("int")).otherwise((F.col("own") != F.col("item.one")).cast("int"))
+    keys = ["shingle", "kind", "one", "two"]
+    flat = items.select("shingle", "item.*", side.alias("side"), "row", "component", "n", "sketch")
+    dealt = flat.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = pa.Table.from_batches(held).combine_chunks()
-            row, component, n = (whole[name].to_numpy() for name in ("row", "component", "n"))
-            for a, b in _crossing(row, component, n, whole["sketch"].to_pylist()):
+            side, row, component, n = (whole[name].to_numpy() for name in ("side", "row", "component", "n"))
+            sketches = whole["sketch"].to_pylist()
+            sides = []
+            for which in (0, 1):
+                (at,) = np.nonzero(side == which)
+                sides.append((row[at], component[at], n[at], [sketches[k] for k in at.tolist()]))
+            alone = whole["kind"][0].as_py() == "others" and whole["one"][0].as_py() == whole["two"][0].as_py()
+            for a, b in _crossing(sides[0], None if alone else sides[1], spanning):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
-            shingle = batch["shingle"].to_numpy()
-            edges = [0, *(np.flatnonzero(shingle[1:] != shingle[:-1]) + 1).tolist(), len(shingle)]
+            columns = [batch[name].to_pylist() for name in keys]
+            places = list(zip(*columns))
+            edges = [0, *[at for at in range(1, len(places)) if places[at] != places[at - 1]], len(places)]
             for first, end in zip(edges, edges[1:]):
-                if held and shingle[first] != last:
+                if first == end:
+                    continue
+                if held and places[first] != last:
                     yield from pairs(held)
                     held = []
-                last = shingle[first]
+                last = places[first]
                 held.append(batch.slice(first, end - first))
         if held:
             yield from pairs(held)
 
-    columns = dealt.select("shingle", "row", "component", "n", "sketch")
-    return columns.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_links(
-    prefixes: DataFrame, near: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int
+    prefixes: DataFrame, near: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, hot: np.ndarray
 ) -> DataFrame:
     """Links (a, b), each between similar documents, that connect all similar ones.
 
     ``prefixes`` has (row, prefix) of each distinct set and ``sketches`` (row, n, sketch), ``near`` pairs (a, b) that are
-    likely to be similar, and ``texts`` gives (row, text) of some rows (row).
+    likely to be similar, ``texts`` gives (row, text) of some rows (row), and ``hot`` are shingles of very many rows.
     """
-    shared = cut_lineage(shared_shingles(prefixes))
+    shared = cut_lineage(shared_shingles(prefixes, hot))
     stars = shared.where("row <> pivot").select(F.col("pivot").alias("a"), F.col("row").alias("b"))
     likely = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tried = cut_lineage(surviving(stars.unionByName(likely).distinct(), sketches))
     links = verified(tried, texts, words)
 
-    labels = connected_components(links).select(F.col("node").alias("row"), "component")
-    labelled = shared.drop("pivot").join(labels, "row", "left").withColumn("component", F.coalesce("component", "row"))
-    crossing = crossing_pairs(cut_lineage(labelled), sketches)
-    return links.unionByName(verified(crossing.join(tried, ["a", "b"], "left_anti"), texts, words))
+    def labelled(links: DataFrame) -> DataFrame:
+        labels = connected_components(links).select(F.col("node").alias("row"), "component")
+        return cut_lineage(shared.drop("pivot").join(labels, "row", "left").withColumn("component", F.coalesce("component", "row")))
+
+    # Two large components of similar rows have very many pairs, of which a few connect them.
+    few = cut_lineage(crossing_pairs(labelled(links), sketches, spanning=True).join(tried, ["a", "b"], "left_anti"))
+    links, tried = cut_lineage(links.unionByName(verified(few, texts, words))), tried.unionByName(few)
+    rest = crossing_pairs(labelled(links), sketches).join(tried, ["a", "b"], "left_anti")
+    return links.unionByName(verified(rest, texts, words))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stowage.llm.common import cut_lineage, fresh, text_rows
 from stowage.llm.components import connected_components, merge
-from stowage.llm.shingle_join import common_shingles, prefix, shingles, similar_links, sketch
+from stowage.llm.shingle_join import common_shingles, hot_shingles, prefix, shingles, similar_links, sketch
 
 BITS = 64
 # Node pairs walked at once; more are halved and walked in turn.
@@ -227,7 +227,8 @@ def keep_one(docs: DataFrame, words: int, max_bits: int, id_col: str = "doc_id",
     file, at = fresh("file", docs.columns), fresh("at", docs.columns)
     stored = placed(docs, file, at)
     rows = stored.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(file).alias("file"), F.col(at).alias("at"))
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, words))
+    sampled = common_shingles(rows, words)
+    common = docs.sparkSession.sparkContext.broadcast(sampled)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
@@ -266,7 +267,7 @@ def keep_one(docs: DataFrame, words: int, max_bits: int, id_col: str = "doc_id",
         named = cut_lineage(sets.join(needed, "row").select("row", "file", "at"))
         return rows.select("file", "at", "text").join(named, ["file", "at"]).select("row", "text")
 
-    found = connected_components(similar_links(chosen.select("row", "prefix"), near, sketches, texts, words))
+    found = connected_components(similar_links(chosen.select("row", "prefix"), near, sketches, texts, words, hot_shingles(sampled)))
     rooted = sets.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("component", "row"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.file").alias(file), F.col("first.at").alias(at))
     # The kept rows grow with the documents, so they are merged at every size and never broadcast.

@@ -111,6 +111,8 @@ def test_shared_shingles_over_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
         prefixes = spark.createDataFrame(list(enumerate(lists)), "row long, prefix array<long>").repartition(3)
         assert sorted(map(tuple, J.shared_shingles(prefixes).collect())) == expected
+    for hot in ([3, 4, 1001], list(range(60))):
+        assert sorted(map(tuple, J.shared_shingles(prefixes, np.array(hot, dtype=np.uint64)).collect())) == expected
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
@@ -120,6 +122,40 @@ def test_crossing_pairs_by_blocks(monkeypatch):
     sets = [np.unique(random.integers(0, 1 << 63, int(random.integers(3, 400)), dtype=np.uint64)) for _ in range(20)]
     sets += [np.unique(np.concatenate([s[1:], random.integers(0, 1 << 63, 1, dtype=np.uint64)])) for s in sets]
     component = np.arange(40) % 7
-    found = {tuple(sorted(p)) for a, b in J._crossing(np.arange(40), component, np.array([len(s) for s in sets]), [J.sketch(s) for s in sets]) for p in zip(a.tolist(), b.tolist())}
+    side = lambda at: (at, component[at], np.array([len(sets[i]) for i in at]), [J.sketch(sets[i]) for i in at])
+    pairs = lambda *sides: {tuple(sorted(p)) for a, b in J._crossing(*sides) for p in zip(a.tolist(), b.tolist())}
+    found = pairs(side(np.arange(40)))
+    one, two = np.arange(0, 40, 3), np.array([i for i in range(40) if i % 3])
+    assert pairs(side(one)) | pairs(side(two)) | pairs(side(one), side(two)) == found
     wanted = {(i, j) for j in range(40) for i in range(j) if component[i] != component[j] and J.similar(sets[i], sets[j])}
     assert wanted <= found and all(component[i] != component[j] for i, j in found) and len(wanted) > 5
+
+
+def test_crossing_pairs_of_large_groups_are_cut(spark, monkeypatch):
+    """Chunks of three rows give the pairs that one chunk gives."""
+    random = np.random.default_rng(10)
+    base = random.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[int(random.integers(0, 8)) :], random.integers(0, 1 << 63, int(random.integers(0, 6)), dtype=np.uint64)])) for _ in range(30)]
+    rows = [(shingle, row, 0 if row < 17 else row % 5) for shingle in range(3) for row in range(30) if (row + shingle) % 4]
+    labelled = spark.createDataFrame(rows, "shingle long, row long, component long")
+    sketches = spark.createDataFrame([(i, len(s), bytearray(J.sketch(s))) for i, s in enumerate(sets)], "row long, n long, sketch binary")
+    whole = sorted(map(tuple, J.crossing_pairs(labelled, sketches).collect()))
+    component = {row: c for _, row, c in rows}
+    together = {(min(a, b), max(a, b)) for s in range(3) for _, a, _ in [r for r in rows if r[0] == s] for _, b, _ in [r for r in rows if r[0] == s]}
+    similar = {(a, b) for a, b in together if a < b and component[a] != component[b] and J.similar(sets[a], sets[b])}
+    assert similar <= set(whole) and all(component[a] != component[b] and a < b for a, b in whole) and similar
+    # As many as connect what all connect, and not more than that of each piece of work.
+    few = sorted(map(tuple, J.crossing_pairs(labelled, sketches, spanning=True).collect()))
+    assert set(few) <= set(whole) and joined(few, component) == joined(whole, component) and len(few) < len(whole)
+    monkeypatch.setattr(J, "CHUNK_ROWS", 3)
+    assert sorted(map(tuple, J.crossing_pairs(labelled, sketches).collect())) == whole
+    assert joined(map(tuple, J.crossing_pairs(labelled, sketches, spanning=True).collect()), component) == joined(whole, component)
+
+
+def joined(pairs, component):
+    """The components that pairs connect."""
+    root = {c: c for c in component.values()}
+    for a, b in pairs:
+        one, two = root[component[a]], root[component[b]]
+        root = {c: min(one, two) if r in (one, two) else r for c, r in root.items()}
+    return root
