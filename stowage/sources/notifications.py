@@ -255,8 +255,8 @@ def _once(raw: Column, build: Callable[[Column, dict[str, Column]], Column]) ->
     return F.get(F.transform(F.array(F.struct(*read)), lambda r: build(raw, {n: r[n] for n in ("key", "action", "at")})), 0)
 
 
-def _staged(df: DataFrame, body: str) -> DataFrame:
-    """``df`` with ``format``, ``_raw`` (array of raw events) and ``_unread``, why a notification cannot be read at all.
+def _opened(df: DataFrame, body: str) -> DataFrame:
+    """``df`` with ``format``, what its envelope holds, and ``_unread``, why a notification cannot be read at all.
 
     Each step is a column of its own, and a body is read only as the envelope it is.
     """
@@ -279,14 +279,6 @@ def _staged(df: DataFrame, body: str) -> DataFrame:
         }
     )
     staged = staged.withColumn("_payload", decode_payload(F.col("_message.data")))
-    raw = (
-        F.when(kind == "s3", F.transform("_records", lambda r: _s3_raw(r, "s3")))
-        .when(kind == "rustfs", F.transform("_records", lambda r: _s3_raw(r, "rustfs")))
-        .when(kind == "b2", F.transform("_b2", _b2_raw))
-        .when(kind == "eventbridge", F.array(_eventbridge_raw(F.col("_bridge_name"), F.col("_bridge"))))
-        .when(kind == "gcp", F.array(_pubsub_raw(F.col("_message"), F.col("_payload"))))
-        .when(kind == "r2", F.array(_r2_raw(F.col("_r2"))))
-    )
     topic = F.col("_topic")
     quiet = F.coalesce(topic.isin("SubscriptionConfirmation", "UnsubscribeConfirmation"), F.lit(False))
     # A list that is there but does not have the shape it should; a JSON null counts as an empty list.
@@ -304,7 +296,38 @@ def _staged(df: DataFrame, body: str) -> DataFrame:
         .when((kind == "sns") & ~quiet, "unsupported topic message type")
         .when(misshapen, "envelope is malformed")
     )
-    return staged.withColumns({"_raw": raw, "_unread": unread})
+    return staged.withColumn("_unread", unread)
+
+
+def _single_raw(kind: Column) -> Column:
+    """The raw event of an envelope that holds one."""
+    return (
+        F.when(kind == "eventbridge", _eventbridge_raw(F.col("_bridge_name"), F.col("_bridge")))
+        .when(kind == "gcp", _pubsub_raw(F.col("_message"), F.col("_payload")))
+        .when(kind == "r2", _r2_raw(F.col("_r2")))
+    )
+
+
+def _all_raw() -> Column:
+    """All raw events of an envelope."""
+    kind = F.col("format")
+    return (
+        F.when(kind == "s3", F.transform("_records", lambda r: _s3_raw(r, "s3")))
+        .when(kind == "rustfs", F.transform("_records", lambda r: _s3_raw(r, "rustfs")))
+        .when(kind == "b2", F.transform("_b2", _b2_raw))
+        .when(kind.isin("eventbridge", "gcp", "r2"), F.array(_single_raw(kind)))
+    )
+
+
+def _raw_at(at: Column) -> Column:
+    """The raw event at a place of its envelope, without building the others."""
+    kind = F.col("format")
+    return (
+        F.when(kind == "s3", _s3_raw(F.get("_records", at), "s3"))
+        .when(kind == "rustfs", _s3_raw(F.get("_records", at), "rustfs"))
+        .when(kind == "b2", _b2_raw(F.get("_b2", at)))
+        .otherwise(_single_raw(kind))
+    )
 
 
 def parse_notifications(df: DataFrame, body: str = "body") -> DataFrame:
@@ -313,7 +336,7 @@ def parse_notifications(df: DataFrame, body: str = "body") -> DataFrame:
     Events without a key, or whose name means neither an import nor a removal, are left out. One bad event makes its
     whole notification bad, so that it can be looked at and sent again. Of ``events`` and ``error`` one is NULL.
     """
-    staged = _staged(df, body)
+    staged = _opened(df, body).withColumn("_raw", _all_raw())
     build = lambda raw, read: F.struct(*_event(raw, read), _error(raw, read).alias("error"))
     staged = staged.withColumn("_events", F.transform("_raw", lambda raw: _once(raw, build)))
     first_error = F.get(F.filter(F.transform("_events", lambda e: e["error"]), lambda e: e.isNotNull()), 0)
@@ -336,14 +359,19 @@ def rejects(parsed: DataFrame) -> DataFrame:
 def normalize_notifications(df: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per event of every readable notification.
 
-    Raw events are exploded first, so that keys, times and actions are plain columns that Spark compiles. A notification
-    of one event is judged by that row; only those of several are judged as a whole before.
+    Places of events are exploded, and the event at a place is read as plain columns that Spark compiles. A notification
+    of one event is judged by that row; only those of several are built and judged as a whole before.
     """
-    staged = _staged(df, body)
-    bad = F.exists("_raw", lambda raw: _once(raw, _error).isNotNull())
-    whole = F.col("_unread").isNull() & F.when(F.size("_raw") > 1, ~bad).otherwise(True)
+    opened = _opened(df, body)
+    kind = F.col("format")
+    several = F.coalesce(F.when(kind.isin("s3", "rustfs"), F.size("_records")).when(kind == "b2", F.size("_b2")), F.lit(1))
+    counted = opened.withColumn("_several", several)
+    n = F.col("_several")
+    bad = F.when(n > 1, F.exists(_all_raw(), lambda raw: _once(raw, _error).isNotNull())).otherwise(False)
+    listed = F.when(F.col("_unread").isNull() & kind.isNotNull() & (kind != "sns") & (n > 0) & ~bad, F.sequence(F.lit(0), n - 1))
     # The outer form keeps Spark from inferring a filter on the array.
-    rows = staged.select(*keep, F.explode_outer(F.when(whole, F.col("_raw"))).alias("_raw")).where("_raw IS NOT NULL")
+    placed = counted.withColumn("_place", F.explode_outer(listed)).where("_place IS NOT NULL")
+    rows = fence(placed.select(*keep, _raw_at(F.col("_place")).alias("_raw")), ["_raw"])
     raw = F.col("_raw")
     rows = rows.withColumns({f"_{name}": value for name, value in _read(raw).items()})
     read = {name: F.col(f"_{name}") for name in ("key", "action", "at")}
