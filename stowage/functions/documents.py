@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, functions as F
@@ -29,6 +30,15 @@ def _quoted(segment: str) -> str:
     raise ValueError(f"attribute path segment {segment!r} mixes both kinds of quotes")
 
 
+def value_at(document: Column, segments: Sequence[str], as_type: str = "variant") -> Column:
+    """The value at some object keys, whatever is in their names."""
+    if any('"' in segment and "'" in segment for segment in segments):
+        # Such a name has no VARIANT path.
+        found = reduce(lambda value, segment: F.element_at(as_map(value), F.lit(segment)), segments, document)
+        return F.try_variant_get(found, "$", as_type)
+    return F.try_variant_get(document, "$" + "".join(map(_quoted, segments)), as_type)
+
+
 def variant_paths(path: str) -> list[str]:
     """VARIANT paths for a dotted path; a numeric segment is tried as an object key, then as an array index."""
     choices = [[_quoted(s)] + ([f"[{int(s)}]"] if s.isdecimal() else []) for s in split_path(path)]

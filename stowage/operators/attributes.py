@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from stowage.functions import documents as docs
 from stowage.schema import BUILTIN_ATTRIBUTES, CATALOG_ENTRY, REGISTERED_ATTRIBUTES
@@ -65,23 +66,76 @@ def flatten(
     return rows.where(~empty)
 
 
-def observe_attributes(documents: DataFrame, column: str = "attributes", depth: int | None = None) -> DataFrame:
+# Flags of what a path's values are; ``unknown`` are arrays.
+FLAGS = {"string": 1, "integer": 2, "float": 4, "boolean": 8, "timestamp": 16, "unknown": 32}
+# Paths whose values one pass looks at.
+PASS_PATHS = 200
+
+
+def merged_schema(documents: DataFrame, column: str = "attributes") -> T.DataType | None:
+    """One schema for all documents, from one reduced pass: structs for objects, VARIANT where values do not agree."""
+    text = documents.agg(F.schema_of_variant_agg(F.col(column))).first()[0]
+    if text is None:
+        return None
+    # Quoted names are left as they are.
+    return T.DataType.fromDDL(re.sub(r"`(?:[^`]|``)*`|OBJECT<", lambda m: "STRUCT<" if m[0] == "OBJECT<" else m[0], text))
+
+
+def _schema_leaves(kind: T.DataType, segments: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], T.DataType]]:
+    if not isinstance(kind, T.StructType):
+        return [(segments, kind)] if segments else []
+    return [leaf for field in kind.fields for leaf in _schema_leaves(field.dataType, (*segments, field.name))]
+
+
+def _leaf_flags(document: Column, segments: tuple[str, ...], kind: T.DataType) -> Column:
+    """The flag of the value at a path, 0 where there is none; only what the schema leaves open is looked at."""
+    number = lambda value: F.when(value.isNull(), 0).when(value == F.floor(value), FLAGS["integer"]).otherwise(FLAGS["float"])
+    if isinstance(kind, (T.DecimalType, T.DoubleType, T.FloatType)):
+        return number(docs.value_at(document, segments, "double"))
+    value = docs.value_at(document, segments)
+    found = docs.infer_type(value)
+    # An object under a path where others have values is looked at by itself.
+    other = F.when(docs.is_object(value), 0)
+    return F.coalesce(other, *[F.when(found == name, flag) for name, flag in FLAGS.items()], F.lit(0))
+
+
+def _observed_leaves(documents: DataFrame, column: str, prefix: tuple[str, ...] = ()) -> dict[tuple[str, ...], int]:
+    """Flags by path, for paths that some document has a value at."""
+    schema = merged_schema(documents, column)
+    if schema is None:
+        return {}
+    certain = {T.LongType: "integer", T.BooleanType: "boolean", T.ArrayType: "unknown"}
+    found, open_paths, mixed = {}, [], []
+    for segments, kind in _schema_leaves(schema):
+        if type(kind) in certain:
+            found[segments] = FLAGS[certain[type(kind)]]
+        elif not isinstance(kind, T.NullType):
+            open_paths.append((segments, kind))
+            if isinstance(kind, T.VariantType):
+                mixed.append(segments)
+    document = F.col(column)
+    for first in range(0, len(open_paths), PASS_PATHS):
+        part = open_paths[first : first + PASS_PATHS]
+        flags = documents.agg(*[F.bit_or(_leaf_flags(document, *leaf)).alias(f"_{n}") for n, leaf in enumerate(part)]).first()
+        found |= {segments: flags[n] for n, (segments, _) in enumerate(part) if flags[n]}
+    found = {(*prefix, *segments): flag for segments, flag in found.items()}
+    for segments in mixed:
+        inner = documents.select(docs.value_at(document, segments).alias("_inner")).where(docs.is_object(F.col("_inner")))
+        found |= _observed_leaves(inner, "_inner", (*prefix, *segments))
+    return found
+
+
+def observe_attributes(documents: DataFrame, column: str = "attributes") -> DataFrame:
     """(path, value_type) over all documents; the type is 'conflict' where values do not fit together.
 
-    Paths are few, so types are folded into flags before the shuffle; each path then moves as one row per task.
+    The documents' merged schema tells all paths and most types in one reduced pass. A second one reads only the paths that
+    it leaves open, numbers with decimals, texts that may be times, values of several types, each from its own Parquet
+    column where documents are stored so, and folds them into one number per path. No leaf is exploded. Paths are a row
+    each on the driver, as in the catalog that they go to.
     """
-    leaves = (
-        flatten(documents, column, depth=depth)
-        .select(F.array_join("segments", ".").alias("path"), "value", F.schema_of_variant("value").alias("kind"))
-        .select("path", docs.infer_type(F.col("value"), F.col("kind")).alias("leaf_type"))
-    )
-    # A leaf of no known type leaves every flag NULL; asking for one flag afterwards keeps the typing in one place.
-    flags = [F.max(F.col("leaf_type") == t).alias(f"_{t}") for t in LEAF_TYPES]
-    folded = leaves.groupBy("path").agg(*flags).where(F.col("_string").isNotNull())
-    seen = F.filter(
-        F.array(*[F.when(F.col(f"_{t}"), F.lit(t)) for t in LEAF_TYPES]), lambda t: t.isNotNull()
-    )
-    typed = folded.select("path", seen.alias("types"))
+    leaves = _observed_leaves(documents, column)
+    typed = [(".".join(segments), [t for t in LEAF_TYPES if flag & FLAGS[t]]) for segments, flag in leaves.items()]
+    typed = documents.sparkSession.createDataFrame(typed, "path string, types array<string>")
     untyped = F.array().cast("array<string>").alias("types")
     parents = typed.select(F.explode(docs.path_prefixes(F.col("path"))).alias("path"), untyped)
     merged = typed.unionByName(parents).groupBy("path").agg(F.flatten(F.collect_set("types")).alias("types"))
