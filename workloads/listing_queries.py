@@ -24,7 +24,11 @@ from workloads.catalog_queries import AT, DAY, IMPORTS, PRINTS, REFRESHES, REMOV
 from workloads.registry import query
 
 PAGE_KEYS = 10
-CASE = F.substring("bucket_id", 4, 9).cast("int") % 5
+
+
+def _kind():
+    """What happened to the pages of a bucket."""
+    return F.substring("bucket_id", 4, 9).cast("int") % 5
 
 
 def listed(pages):
@@ -58,9 +62,9 @@ def saved_pages(spark, d):
         F.when(more, _element("NextContinuationToken", cursor(F.col("page") + 1))).otherwise(""),
         F.col("contents"), F.lit("</ListBucketResult>"),
     )
-    failed = (CASE == 3) & (F.col("page") == 0)
-    lost = ((CASE == 1) & (F.col("page") == 1)) | ((CASE == 2) & ~more)
-    copies = F.when(lost, 0).when((CASE == 4) & (F.col("page") == 1), 2).otherwise(1)
+    failed = (_kind() == 3) & (F.col("page") == 0)
+    lost = ((_kind() == 1) & (F.col("page") == 1)) | ((_kind() == 2) & ~more)
+    copies = F.when(lost, 0).when((_kind() == 4) & (F.col("page") == 1), 2).otherwise(1)
     return pages.select(
         "bucket_id", F.lit("aws").alias("upstream"), F.when(failed, 503).otherwise(200).alias("status"),
         F.when(failed, "<Error><Code>SlowDown</Code></Error>").otherwise(body).alias("body"),
