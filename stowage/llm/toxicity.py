@@ -62,7 +62,9 @@ def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
         found_words.append(word_of[inside])
         found.append((mixed >> np.uint64(40)).astype(np.int64) % BUCKETS)
-    return np.concatenate(found_words), np.concatenate(found)
+    # Words of punctuation alone have none.
+    none = np.empty(0, dtype=np.int64)
+    return np.concatenate([none, *found_words]), np.concatenate([none, *found])
 
 
 def word_values(words: list[str], bucket_values: np.ndarray) -> np.ndarray:
