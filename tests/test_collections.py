@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stowage.operators.predicates import scope
 from stowage.operators.scopes import in_scope, least_prefixes
+from stowage.plans import collections as P
 from stowage.plans.collections import Term, indexed_members, terms_table
 from stowage.plans.search import collection_members
 from stowage.sources import contents as C
@@ -93,6 +94,48 @@ def test_many_predicates_plan_in_seconds(spark, objects):
     assert found.count() == want
 
 
+def test_keys_make_no_pair_that_is_not_a_hit(spark, objects, monkeypatch):
+    """An equality and a range are one key: what meets is what holds, not all objects of the equal value."""
+    saved = [(f"c{n}", [Term("bucket_id", "=", f"b{n % 4}"), Term("upstream.size", ">=", n % 50), Term("upstream.size", "<", n % 50 + 2)]) for n in range(200)]
+    looked_at = []
+    meetings = P._meetings
+    monkeypatch.setattr(P, "_meetings", lambda rows, index: looked_at.append(meetings(rows, index)) or looked_at[0])
+    found = indexed_members(objects, terms_table(spark, saved), TYPES)
+    assert looked_at[0].count() == found.count() == 400 * 2 // 50 * 100 // 4 * 4 // 2
+
+
+def test_pieces_of_hot_keys_meet_each_pair_once(spark, objects, monkeypatch):
+    """Keys that all objects and predicates share are cut into a grid; repeated objects are objects of their own."""
+    monkeypatch.setattr(P, "CHUNK", 16)
+    monkeypatch.setattr(P, "TASK_PAIRS", 500)
+    random = np.random.default_rng(5)
+    every = [[], [Term("upstream.size", "<=", 60)], [Term("key", "prefix", "p"), Term("bucket_id", "!=", "b1")], [Term("bucket_id", "=", "b2"), Term("upstream.size", ">", -1)]]
+    saved = [(f"c{n}", every[int(random.integers(0, 4))]) for n in range(70)]
+    twice = objects.unionByName(objects.where("id < 'o2'"))
+    got = indexed_members(twice, terms_table(spark, saved), TYPES).collect()
+    want = collection_members(twice, [(name, branch(terms)) for name, terms in saved], TYPES).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_terms_given_as_a_table(spark, objects):
+    """Several terms of one path and operation must all hold; a term without a value, or of no operation, never does."""
+    rows = [
+        ("both", "bucket_id", "=", "b1", None), ("both", "bucket_id", "=", "b2", None), ("one", "bucket_id", "=", "b1", None),
+        ("one", "key", "prefix", "p1", None), ("one", "key", "prefix", "p1/q", None), ("one", "bucket_id", "!=", "b2", None), ("one", "bucket_id", "!=", "b3", None),
+        ("nested", "key", "prefix", "p1/q1", None), ("nested", "key", "prefix", "p2", None), ("empty", "bucket_id", "=", None, None), ("empty_range", "upstream.size", ">", None, None),
+        ("unknown", "key", "like", "p", None), ("tight", "upstream.size", ">", None, 3.0), ("tight", "upstream.size", ">=", None, 4.5), ("tight", "upstream.size", "<", None, 5.5),
+        ("tight", "key", ">=", "p1", None), (None, "bucket_id", "=", "b1", None),
+    ]
+    got = {}
+    for name, of in indexed_members(objects, spark.createDataFrame(rows, P.TERMS), TYPES).collect():
+        got.setdefault(name, set()).add(of)
+    keys = {r.id: (r.bucket_id, r.key, int(r.id[1:]) % 50) for r in objects.collect()}
+    assert got == {
+        "one": {i for i, (b, k, _) in keys.items() if b == "b1" and k.startswith("p1/q")},
+        "tight": {i for i, (_, k, size) in keys.items() if size == 5 and k >= "p1"},
+    }
+
+
 def prefixes_of(spark, texts):
     return spark.createDataFrame([(t,) for t in texts], "prefix string")
 
