@@ -267,6 +267,30 @@ def _crossing(one: Side, two: Side | None = None, spanning: bool = False) -> Ite
             yield row[here][i[near]], other_row[there][j[near]]
 
 
+def mixed_groups(labelled: DataFrame) -> DataFrame:
+    """(shingle, main, others, mains) of the groups of several components, one for all groups of the same rows.
+
+    ``main`` is the largest component of a group that is more than a block, ``others`` and ``mains`` the chunks of the rows
+    outside and inside of it. Rows are known to be the same by their number, the least and the greatest of them and 128 bits
+    of hashes; a row is in a group once, and of one component.
+    """
+    counted = labelled.groupBy("shingle", "component").agg(
+        F.count(F.lit(1)).alias("k"), F.min("row").alias("low"), F.max("row").alias("high"),
+        F.bit_xor(F.xxhash64("row")).alias("one"), F.bit_xor(F.xxhash64(F.lit("rows"), "row")).alias("two"),
+    )
+    largest = F.max_by(F.struct("component", "k"), F.struct("k", "component"))
+    groups = counted.groupBy("shingle").agg(
+        F.sum("k").alias("m"), F.count(F.lit(1)).alias("components"), largest.alias("largest"),
+        F.min("low").alias("low"), F.max("high").alias("high"), F.bit_xor("one").alias("one"), F.bit_xor("two").alias("two"),
+    ).where("components > 1")
+    once = groups.groupBy("m", "low", "high", "one", "two").agg(F.min("shingle").alias("shingle"), F.min("largest").alias("largest"))
+    several, chunks = F.col("m") > BLOCK, lambda rows: F.ceil(rows / CHUNK_ROWS).cast("int")
+    return once.select(
+        "shingle", F.when(several, F.col("largest.component")).alias("main"),
+        chunks(F.col("m") - F.when(several, F.col("largest.k")).otherwise(0)).alias("others"), chunks(F.col("largest.k")).alias("mains"),
+    )
+
+
 def crossing_pairs(labelled: DataFrame, sketches: DataFrame, spanning: bool = False) -> DataFrame:
     """Distinct pairs (a, b) that share a shingle, are in different components and may be similar; with ``spanning`` as
     many of each piece of work as connect what all of them connect.
@@ -274,23 +298,19 @@ def crossing_pairs(labelled: DataFrame, sketches: DataFrame, spanning: bool = Fa
     ``labelled`` has (shingle, row, component). Of a group, most rows are in its largest component as a rule, and are not
     compared with each other. The others are cut into chunks, as is the largest component, and a task compares a chunk of
     others with itself, with another such chunk, or with one of the largest component, block by block. So a group of any
-    size is many pieces of work of a bounded size, and only pairs that pass by their sketches leave them.
+    size is many pieces of work of a bounded size, and only pairs that pass by their sketches leave them. A group of a block
+    or less is one piece. Documents that share a shingle share many as a rule, so the same rows are many groups, of which
+    one is compared.
     """
-    counted = labelled.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"))
-    largest = F.max_by(F.struct("component", "k"), F.struct("k", "component"))
-    groups = counted.groupBy("shingle").agg(F.sum("k").alias("m"), F.count(F.lit(1)).alias("components"), largest.alias("largest")).where("components > 1")
-    chunks = lambda rows: F.ceil(rows / CHUNK_ROWS).cast("int")
-    mixed = cut_lineage(
-        groups.select("shingle", F.col("largest.component").alias("main"), chunks(F.col("m") - F.col("largest.k")).alias("others"), chunks(F.col("largest.k")).alias("mains"))
-    )
-    placed = labelled.join(mixed, "shingle").withColumn("in_main", F.col("component") == F.col("main"))
+    mixed = cut_lineage(mixed_groups(labelled))
+    placed = labelled.join(mixed, "shingle").withColumn("in_main", F.coalesce(F.col("component") == F.col("main"), F.lit(False)))
     own = F.pmod(F.xxhash64("row"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
     others, mains = F.sequence(F.lit(0), F.col("others") - 1), F.sequence(F.lit(0), F.col("mains") - 1)
     item = lambda kind, one, two: F.struct(F.lit(kind).alias("kind"), one.alias("one"), two.alias("two"))
     of_main = F.transform(others, lambda chunk: item("main", chunk, F.col("own")))
     of_other = F.concat(
         F.transform(others, lambda chunk: item("others", F.least(chunk, F.col("own")), F.greatest(chunk, F.col("own")))),
-        F.transform(mains, lambda chunk: item("main", F.col("own"), chunk)),
+        F.when(F.col("main").isNotNull(), F.transform(mains, lambda chunk: item("main", F.col("own"), chunk))).otherwise(F.array()),
     )
     items = placed.withColumn("own", own).join(sketches, "row").withColumn("item", F.explode(F.when(F.col("in_main"), of_main).otherwise(of_other)))
     # The side of a row in its item: 0 for the first chunk.

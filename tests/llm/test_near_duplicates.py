@@ -159,3 +159,28 @@ def joined(pairs, component):
         one, two = root[component[a]], root[component[b]]
         root = {c: min(one, two) if r in (one, two) else r for c, r in root.items()}
     return root
+
+
+def test_groups_of_the_same_rows_are_compared_once(spark):
+    """Rows that share many shingles are many groups; one of them gives all pairs, and no sketch moves for the others."""
+    rows = [(shingle, row, row // 3) for shingle in range(40) for row in range(6)] + [(99, row, row // 3) for row in (1, 4, 7)] + [(98, 0, 0), (98, 1, 0)]
+    labelled = spark.createDataFrame(rows, "shingle long, row long, component long")
+    kept = {(r.shingle, r.main, r.others) for r in J.mixed_groups(labelled).collect()}
+    assert kept == {(0, None, 1), (99, None, 1)}
+    same = np.arange(50, dtype=np.uint64)
+    sketches = spark.createDataFrame([(row, 50, bytearray(J.sketch(same))) for row in range(8)], "row long, n long, sketch binary")
+    pairs = {tuple(p) for p in J.crossing_pairs(labelled, sketches).collect()}
+    assert pairs == {(a, b) for a in range(3) for b in range(3, 6)} | {(1, 7), (4, 7)}
+
+
+def test_largest_components_are_a_side_of_their_own(spark, monkeypatch):
+    """Groups of more than a block, cut into chunks inside and outside of their largest component, give the pairs of whole ones."""
+    same = J.sketch(np.arange(50, dtype=np.uint64))
+    labelled = spark.createDataFrame([(s, row, 0 if row < 20 else row) for s in (1, 2) for row in range(26)], "shingle long, row long, component long")
+    sketches = spark.createDataFrame([(row, 50, bytearray(same)) for row in range(26)], "row long, n long, sketch binary")
+    want = {(a, b) for b in range(20, 26) for a in range(b)}
+    assert {tuple(p) for p in J.crossing_pairs(labelled, sketches).collect()} == want
+    monkeypatch.setattr(J, "BLOCK", 4)
+    monkeypatch.setattr(J, "CHUNK_ROWS", 3)
+    assert [(r.main, r.others, r.mains) for r in J.mixed_groups(labelled).collect()] == [(0, 2, 7)]
+    assert {tuple(p) for p in J.crossing_pairs(labelled, sketches).collect()} == want
