@@ -9,7 +9,8 @@ an earlier batch has named is changed, so a batch that is run again reads and wr
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,7 +24,7 @@ from stowage.operators.events import (
     known_objects,
     resolve_events,
 )
-from stowage.schema import INBOX, STORED_EVENT
+from stowage.schema import INBOX
 from stowage.session import child_numbers, remove_folder
 from stowage.sources.tables import KEY_PARTS, PART, key_part
 
@@ -40,13 +41,27 @@ def inbox_stream(spark: SparkSession, path: str, max_files: int | None = None) -
     return reader.parquet(path)
 
 
+# What processing reads of an event, and what is kept of it once it is resolved. Envelopes stay where they are.
+READ = ["id", "bucket_id", "event_name", "object_key", "received_at", "state"]
+RESOLVED = ["id", "bucket_id", "object_key", "received_at", "job_type", "object_id", "skip_reason"]
+
+
+@contextmanager
 def process_events(
     events: DataFrame, buckets: DataFrame, objects: DataFrame, size: int = BATCH_SIZE, unified: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """(mutations cut into batches, outcome per event) for a set of pending events."""
+) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """(mutations cut into batches, outcome per event) for a set of pending events.
+
+    Events are resolved once, and coalesced once, for all that is made of them inside the ``with`` block.
+    """
     pending = events.where("state = 'pending'")
-    resolved = resolve_events(pending, buckets, objects, unified)
-    return batch_mutations(coalesce_mutations(resolved), size), event_outcomes(resolved)
+    resolved = resolve_events(pending, buckets, objects, unified).select(*RESOLVED).persist()
+    coalesced = coalesce_mutations(resolved).persist()
+    try:
+        yield batch_mutations(coalesced, size), event_outcomes(resolved)
+    finally:
+        coalesced.unpersist()
+        resolved.unpersist()
 
 
 def stream_apply(
@@ -68,7 +83,7 @@ def stream_apply(
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*STORED_EVENT.fieldNames()).persist()
+        rows = batch.select(*READ).persist()
         spark = rows.sparkSession
         try:
             state = read_state(spark, output, batch_id - 1)
@@ -80,11 +95,11 @@ def stream_apply(
             if PART in now.columns:
                 now = now.where(F.col(PART).isin(parts))
             known = known_objects(now.join(keys, MUTATION, "left_semi"), earlier)
-            mutations, outcomes = process_events(rows, buckets(), known, size, unified)
-            # A part of a batch is one file.
-            placed = mutations.withColumn(PART, key_part()).repartition(PART)
-            placed.write.mode("overwrite").partitionBy(PART).parquet(f"{output}/mutations/{APPLY}={batch_id}")
-            outcomes.write.mode("overwrite").parquet(f"{output}/outcomes/{APPLY}={batch_id}")
+            with process_events(rows, buckets(), known, size, unified) as (mutations, outcomes):
+                # A part of a batch is one file.
+                placed = mutations.withColumn(PART, key_part()).repartition(PART)
+                placed.write.mode("overwrite").partitionBy(PART).parquet(f"{output}/mutations/{APPLY}={batch_id}")
+                outcomes.write.mode("overwrite").parquet(f"{output}/outcomes/{APPLY}={batch_id}")
             write_state(spark, output, state, batch_id)
         finally:
             rows.unpersist()

@@ -214,3 +214,25 @@ def test_activity_with_late_events_and_bounded_state(spark, tmp_path):
     last = max(child_numbers(spark, f"{path}/timely", live.BATCH))
     live.count_batch(spark.createDataFrame(rows[-4:], schema), last, path, "1 hour", "10 minutes")
     assert sorted(map(tuple, live.read_activity(spark, path).collect())) == want
+
+
+def test_events_are_resolved_once_for_all_outputs(spark):
+    """Mutations, their numbering and the outcomes read what was resolved; the events are not gone through again."""
+    from stowage.streaming.apply import READ, process_events
+
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    rows = [(f"e{n:02}", "b1", "ObjectCreated:Put", f"k{n % 7}", datetime(2026, 6, 1, tzinfo=timezone.utc), "pending") for n in range(40)]
+    schema = "id string, bucket_id string, event_name string, object_key string, received_at timestamp, state string"
+    events = spark.createDataFrame(rows, schema).select(*READ).mapInArrow(counted, schema)
+    buckets = spark.createDataFrame([("b1",)], "id string")
+    objects = spark.createDataFrame([], "id string, bucket_id string, key string")
+    with process_events(events, buckets, objects) as (mutations, outcomes):
+        assert len(mutations.collect()) == 7 and len(outcomes.collect()) == 40
+        # Once as events and once as the imports before them.
+        assert passed.value == 2 * len(rows)
