@@ -10,12 +10,13 @@ group are compared with its first one, what that connects is one component, and
 different components are compared: first as many as connect, by their sketches, all that may be similar, and then, in
 the components which that gives, all pairs that are left. Before any text moves, a pair must pass by its sketches: the parity of the set's hashes
 in some bits for each of them. Every bit in which two sketches differ is a shingle that only one set has, so a pair
-with too many of them is not similar, without exception. What is left, nearly all of it similar, is decided on the texts.
+with too many of them is not similar, without exception. Most pairs of a group have little more in common than its shingle
+and fail by short sketches already, so the long ones are sent only for rows of which some pair passes by the short ones.
+What is left, nearly all of it similar, is decided on the texts.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,15 +59,24 @@ def similar(one: np.ndarray, two: np.ndarray) -> bool:
 
 
 def common_shingles(docs: DataFrame, words: int, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles met in several sampled documents, and in how many. They decide an order and no result."""
+    """Sorted hashes of shingles met in several sampled documents, and in how many. They decide an order and no result.
+
+    Tasks take the sampled texts apart and count, so at most ``ORDER_SHINGLES`` numbers reach the driver.
+    """
     total = docs.count()
     short = F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, ORDER_CHARS).alias("text")
-    rows = docs.select(short).where(hashed_share(F.col("text"), ORDER_DOCUMENTS, total)).limit(2 * ORDER_DOCUMENTS).toArrow()
-    met: Counter[int] = Counter()
-    for text in rows["text"]:
-        met.update(np.unique(shingles(text.as_py(), words)).tolist())
-    several = sorted(h for h, n in met.most_common(ORDER_SHINGLES) if n > 1)
-    return np.array(several, dtype=np.uint64), np.array([met[h] for h in several], dtype=np.int64)
+    rows = docs.select(short).where(hashed_share(F.col("text"), ORDER_DOCUMENTS, total)).limit(2 * ORDER_DOCUMENTS)
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.empty(0, dtype=np.uint64), *(np.unique(shingles(text.as_py(), words)) for text in batch["text"])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["shingle"])
+
+    counted = rows.mapInArrow(hashes, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    several = counted.orderBy(F.desc("met"), "shingle").limit(ORDER_SHINGLES).toArrow()
+    known, met = several["shingle"].to_numpy().view(np.uint64), several["met"].to_numpy()
+    order = np.argsort(known)
+    return known[order], met[order]
 
 
 def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -87,6 +97,17 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def short_sketches(sketches: DataFrame) -> DataFrame:
+    """``sketches`` (row, n, sketch) with sketches of a bit for each hash, rounded up: those of the same sets, folded."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [_folded(np.frombuffer(s, dtype=np.uint8)[None, :], max(8, len(s) // SKETCH_BITS)).tobytes() for s in batch["sketch"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["n"], pa.array(short, pa.binary())], ["row", "n", "sketch"])
+
+    return sketches.select("row", "n", "sketch").mapInArrow(fold, "row long, n long, sketch binary")
+
+
 def _folded(sketches: np.ndarray, size: int) -> np.ndarray:
     """Sketches, a row each, as the shorter ones of ``size`` bytes that the same sets have."""
     while sketches.shape[1] > size:
@@ -222,18 +243,24 @@ def _ordered(side: Side) -> Side:
     return row[order], component[order], n[order], [np.frombuffer(sketches[at], dtype=np.uint8) for at in order.tolist()]
 
 
-def _crossing(one: Side, two: Side | None = None, spanning: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _crossing(
+    one: Side, two: Side | None = None, spanning: bool = False, ends: bool = False
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows that are in different components and may be similar, block by block: those of one side, or of a row of
     one side and a row of the other.
 
     With ``spanning`` components that a pair may connect count as one from then on, so that there are no more pairs than
-    it takes to connect them, the likeliest first. Rows are in order of size, so a block meets those blocks only whose sets are neither too small nor too large for it.
+    it takes to connect them, the likeliest first. With ``ends`` pairs of which both rows are in an earlier pair are left out,
+    so that every row of any pair is in one. Rows are in order of size, so a block meets those blocks only whose sets are
+    neither too small nor too large for it.
     """
     row, component, n, kept = _ordered(one)
     other_row, other_component, other_n, other_kept = (row, component, n, kept) if two is None else _ordered(two)
     # Components by number, and what is one of them by now.
     distinct, number = np.unique(np.concatenate([component, other_component]), return_inverse=True)
     own, other_own, label = number[: len(row)], number[len(row) :], np.arange(len(distinct))
+    met = np.zeros(len(row), dtype=bool)
+    other_met = met if two is None else np.zeros(len(other_row), dtype=bool)
     for first in range(0, len(row), BLOCK):
         here = slice(first, min(first + BLOCK, len(row)))
         for second in range(first if two is None else 0, len(other_row), BLOCK):
@@ -246,6 +273,8 @@ def _crossing(one: Side, two: Side | None = None, spanning: bool = False) -> Ite
             if (mine[0] == mine).all() and (mine[0] == theirs).all():
                 continue
             apart = mine[:, None] != theirs[None, :]
+            if ends:
+                apart &= ~(met[here][:, None] & other_met[there][None, :])
             apart &= possible(n[here][:, None], other_n[there][None, :], np.zeros((1, 1), dtype=np.int64))
             if two is None:
                 apart &= np.arange(here.start, here.stop)[:, None] < np.arange(there.start, there.stop)[None, :]
@@ -264,6 +293,9 @@ def _crossing(one: Side, two: Side | None = None, spanning: bool = False) -> Ite
                 near = near[np.argsort(differing[near] / (n[here][i[near]] + other_n[there][j[near]]), kind="stable")]
                 used, label = merge(label, own[here][i[near]], other_own[there][j[near]])
                 near = near[used]
+            if ends:
+                met[here][i[near]] = True
+                other_met[there][j[near]] = True
             yield row[here][i[near]], other_row[there][j[near]]
 
 
@@ -291,16 +323,18 @@ def mixed_groups(labelled: DataFrame) -> DataFrame:
     )
 
 
-def crossing_pairs(labelled: DataFrame, sketches: DataFrame, spanning: bool = False) -> DataFrame:
-    """Distinct pairs (a, b) that share a shingle, are in different components and may be similar; with ``spanning`` as
-    many of each piece of work as connect what all of them connect.
+# What a piece of work is known by.
+PIECE = ["shingle", "kind", "one", "two"]
+
+
+def pieces(labelled: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Rows of the groups of several components with their sketches, dealt out and sorted by pieces of work of a bounded size.
 
     ``labelled`` has (shingle, row, component). Of a group, most rows are in its largest component as a rule, and are not
     compared with each other. The others are cut into chunks, as is the largest component, and a task compares a chunk of
     others with itself, with another such chunk, or with one of the largest component, block by block. So a group of any
-    size is many pieces of work of a bounded size, and only pairs that pass by their sketches leave them. A group of a block
-    or less is one piece. Documents that share a shingle share many as a rule, so the same rows are many groups, of which
-    one is compared.
+    size is many pieces of work of a bounded size. A group of a block or less is one piece. Documents that share a shingle
+    share many as a rule, so the same rows are many groups, of which one is compared.
     """
     mixed = cut_lineage(mixed_groups(labelled))
     placed = labelled.join(mixed, "shingle").withColumn("in_main", F.coalesce(F.col("component") == F.col("main"), F.lit(False)))
@@ -315,41 +349,66 @@ def crossing_pairs(labelled: DataFrame, sketches: DataFrame, spanning: bool = Fa
     items = placed.withColumn("own", own).join(sketches, "row").withColumn("item", F.explode(F.when(F.col("in_main"), of_main).otherwise(of_other)))
     # The side of a row in its item: 0 for the first chunk.
     side = F.when(F.col("item.kind") == "main", F.col("in_main").cast("int")).otherwise((F.col("own") != F.col("item.one")).cast("int"))
-    keys = ["shingle", "kind", "one", "two"]
     flat = items.select("shingle", "item.*", side.alias("side"), "row", "component", "n", "sketch")
-    dealt = flat.repartition(*keys).sortWithinPartitions(*keys)
+    return flat.repartition(*PIECE).sortWithinPartitions(*PIECE)
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Side, Side | None]]:
+    """Shingle and both sides of each of the ``pieces``; no second one where a chunk is compared with itself."""
+
+    def sides(held: list[pa.RecordBatch]) -> tuple[int, Side, Side | None]:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        side, row, component, n = (whole[name].to_numpy() for name in ("side", "row", "component", "n"))
+        sketches = whole["sketch"].to_pylist()
+        found = []
+        for which in (0, 1):
+            (at,) = np.nonzero(side == which)
+            found.append((row[at], component[at], n[at], [sketches[k] for k in at.tolist()]))
+        alone = whole["kind"][0].as_py() == "others" and whole["one"][0].as_py() == whole["two"][0].as_py()
+        return whole["shingle"][0].as_py(), found[0], None if alone else found[1]
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        columns = [batch[name].to_pylist() for name in PIECE]
+        places = list(zip(*columns))
+        edges = [0, *[at for at in range(1, len(places)) if places[at] != places[at - 1]], len(places)]
+        for first, end in zip(edges, edges[1:]):
+            if first == end:
+                continue
+            if held and places[first] != last:
+                yield sides(held)
+                held = []
+            last = places[first]
+            held.append(batch.slice(first, end - first))
+    if held:
+        yield sides(held)
+
+
+def promising(labelled: DataFrame, short: DataFrame) -> DataFrame:
+    """(shingle, row): of each group, the rows in some pair of different components that may be similar by ``short``
+    sketches. Of groups of the same rows one is named. No pair that may be similar by longer sketches is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shingle, one, two in _sides(batches):
+            found = [part for pair in _crossing(one, two, ends=True) for part in pair]
+            rows = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *found]))
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), shingle)), pa.array(rows)], ["shingle", "row"])
+
+    return cut_lineage(pieces(labelled, short).mapInArrow(run, "shingle long, row long").distinct())
+
+
+def crossing_pairs(labelled: DataFrame, sketches: DataFrame, spanning: bool = False) -> DataFrame:
+    """Distinct pairs (a, b) that share a shingle, are in different components and may be similar; with ``spanning`` as
+    many of each piece of work as connect what all of them connect. Only pairs that pass by their sketches leave a piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            side, row, component, n = (whole[name].to_numpy() for name in ("side", "row", "component", "n"))
-            sketches = whole["sketch"].to_pylist()
-            sides = []
-            for which in (0, 1):
-                (at,) = np.nonzero(side == which)
-                sides.append((row[at], component[at], n[at], [sketches[k] for k in at.tolist()]))
-            alone = whole["kind"][0].as_py() == "others" and whole["one"][0].as_py() == whole["two"][0].as_py()
-            for a, b in _crossing(sides[0], None if alone else sides[1], spanning):
+        for _, one, two in _sides(batches):
+            for a, b in _crossing(one, two, spanning):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            columns = [batch[name].to_pylist() for name in keys]
-            places = list(zip(*columns))
-            edges = [0, *[at for at in range(1, len(places)) if places[at] != places[at - 1]], len(places)]
-            for first, end in zip(edges, edges[1:]):
-                if first == end:
-                    continue
-                if held and places[first] != last:
-                    yield from pairs(held)
-                    held = []
-                last = places[first]
-                held.append(batch.slice(first, end - first))
-        if held:
-            yield from pairs(held)
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return pieces(labelled, sketches).mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_links(
@@ -363,15 +422,19 @@ def similar_links(
     shared = cut_lineage(shared_shingles(prefixes, hot))
     stars = shared.where("row <> pivot").select(F.col("pivot").alias("a"), F.col("row").alias("b"))
     likely = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tried = cut_lineage(surviving(stars.unionByName(likely).distinct(), sketches))
+    short = cut_lineage(short_sketches(sketches))
+    hopeful = cut_lineage(surviving(stars.unionByName(likely).distinct(), short))
+    tried = cut_lineage(surviving(hopeful, sketches))
     links = verified(tried, texts, words)
 
-    def labelled(links: DataFrame) -> DataFrame:
+    def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
         labels = connected_components(links).select(F.col("node").alias("row"), "component")
-        return cut_lineage(shared.drop("pivot").join(labels, "row", "left").withColumn("component", F.coalesce("component", "row")))
+        return cut_lineage(members.join(labels, "row", "left").withColumn("component", F.coalesce("component", "row")))
 
+    # Components only grow, so what has no promising pair across them now has none later.
+    members = promising(labelled(shared.drop("pivot"), links), short)
     # Two large components of similar rows have very many pairs, of which a few connect them.
-    few = cut_lineage(crossing_pairs(labelled(links), sketches, spanning=True).join(tried, ["a", "b"], "left_anti"))
+    few = cut_lineage(crossing_pairs(labelled(members, links), sketches, spanning=True).join(tried, ["a", "b"], "left_anti"))
     links, tried = cut_lineage(links.unionByName(verified(few, texts, words))), tried.unionByName(few)
-    rest = crossing_pairs(labelled(links), sketches).join(tried, ["a", "b"], "left_anti")
+    rest = crossing_pairs(labelled(members, links), sketches).join(tried, ["a", "b"], "left_anti")
     return links.unionByName(verified(rest, texts, words))

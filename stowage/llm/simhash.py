@@ -251,11 +251,11 @@ def keep_one(docs: DataFrame, words: int, max_bits: int, id_col: str = "doc_id",
     # Narrow: no text, and rows get their numbers here, by which they go until the end.
     measured = cut_lineage(rows.mapInArrow(measure, MEASURED))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "file", "at")
-    # Equal sets are one element, known by the row that would stay of them.
-    first = F.min_by(F.struct("row", "bits", "n", "file", "at"), order)
+    # Equal sets are one element, known by the row that would stay of them. Its sketch and prefix go with it, so that they
+    # are dealt out once and looked up by no join.
+    first = F.min_by(F.struct("row", "bits", "n", "file", "at", "sketch", "prefix"), order)
     sets = cut_lineage(measured.groupBy("digest").agg(F.min(order).alias("first"), first.alias("of")).select("of.*", "first"))
-    chosen = measured.join(sets.select("row"), "row", "left_semi")
-    sketches = cut_lineage(chosen.select("row", "n", "sketch"))
+    sketches = sets.select("row", "n", "sketch")
     distinct = cut_lineage(sets.groupBy("bits").agg(F.min("row").alias("row")))
     equal = sets.select("bits", F.col("row").alias("b")).join(distinct.withColumnRenamed("row", "a"), "bits").where("a != b").select("a", "b")
     ends = links(distinct, max_bits)
@@ -267,7 +267,7 @@ def keep_one(docs: DataFrame, words: int, max_bits: int, id_col: str = "doc_id",
         named = cut_lineage(sets.join(needed, "row").select("row", "file", "at"))
         return rows.select("file", "at", "text").join(named, ["file", "at"]).select("row", "text")
 
-    found = connected_components(similar_links(chosen.select("row", "prefix"), near, sketches, texts, words, hot_shingles(sampled)))
+    found = connected_components(similar_links(sets.select("row", "prefix"), near, sketches, texts, words, hot_shingles(sampled)))
     rooted = sets.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("component", "row"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.file").alias(file), F.col("first.at").alias(at))
     # The kept rows grow with the documents, so they are merged at every size and never broadcast.

@@ -40,6 +40,8 @@ SEED = 7
 
 THRESHOLD = 0.7
 REMEMBERED = 500_000
+# Words whose n-grams the driver takes apart and adds up at once.
+WORDS_AT_ONCE = 10_000
 
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -107,20 +109,24 @@ class _Fit:
 
     def __init__(self, texts: list[str]):
         numbers: dict[str, int] = {}
-        self.docs = [np.array([numbers.setdefault(w, len(numbers)) for w in words_of(t)], dtype=np.int64) for t in texts]
+        self.docs = [np.array([numbers.setdefault(w, len(numbers)) for w in words_of(t)], dtype=np.int32) for t in texts]
         words = list(numbers)
-        of, bucket = [], []
-        for start in range(0, len(words), 50_000):
-            a, b = ngrams(words[start : start + 50_000])
-            order = np.argsort(a, kind="stable")
-            of.append(a[order] + start)
-            bucket.append(b[order].astype(np.int32))
-        self.of = np.concatenate([np.empty(0, dtype=np.int64), *of])
+        numbers.clear()
+        self.count, bucket = np.zeros(len(words), dtype=np.int64), []
+        for start in range(0, len(words), WORDS_AT_ONCE):
+            some = words[start : start + WORDS_AT_ONCE]
+            a, b = ngrams(some)
+            bucket.append(b[np.argsort(a, kind="stable")].astype(np.int32))
+            self.count[start : start + len(some)] = np.bincount(a, minlength=len(some))
         self.bucket = np.concatenate([np.empty(0, dtype=np.int32), *bucket])
-        self.count = np.bincount(self.of, minlength=len(words))
         self.first = np.cumsum(self.count) - self.count
         self.start()
 
+    @property
+    def of(self) -> np.ndarray:
+        """The word of each of ``bucket``, which is made where it is asked for, as it is large."""
+        return np.repeat(np.arange(len(self.count)), self.count)
+
     def start(self) -> None:
         self.random = random = np.random.default_rng(SEED)
         self.vectors = random.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS))
@@ -129,7 +135,13 @@ class _Fit:
 
     def values(self) -> np.ndarray:
         bucket_values = self.vectors @ (self.weights[:, 1] - self.weights[:, 0])
-        summed = np.bincount(self.of, weights=bucket_values[self.bucket], minlength=len(self.count))
+        summed = np.zeros(len(self.count))
+        # Some words at once, as each has many n-grams and this runs on the driver.
+        for start in range(0, len(summed), WORDS_AT_ONCE):
+            count = self.count[start : start + WORDS_AT_ONCE]
+            here = slice(self.first[start], self.first[start] + count.sum())
+            of = np.repeat(np.arange(len(count)), count)
+            summed[start : start + len(count)] = np.bincount(of, weights=bucket_values[self.bucket[here]], minlength=len(count))
         return summed / np.maximum(self.count, 1)
 
     def step(self, chosen: list[np.ndarray], labels: np.ndarray, rate: float) -> None:

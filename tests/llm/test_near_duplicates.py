@@ -184,3 +184,44 @@ def test_largest_components_are_a_side_of_their_own(spark, monkeypatch):
     monkeypatch.setattr(J, "CHUNK_ROWS", 3)
     assert [(r.main, r.others, r.mains) for r in J.mixed_groups(labelled).collect()] == [(0, 2, 7)]
     assert {tuple(p) for p in J.crossing_pairs(labelled, sketches).collect()} == want
+
+
+def test_rows_without_a_possible_pair_get_no_long_sketch(spark):
+    random = np.random.default_rng(5)
+    sets = [np.unique(random.integers(0, 2**63, 300, dtype=np.uint64)) for _ in range(40)]
+    # Two near copies, which are in components of their own.
+    sets.append(np.unique(np.concatenate([sets[0][:-10], random.integers(0, 2**63, 10, dtype=np.uint64)])))
+    rows = [(at, len(one), J.sketch(one)) for at, one in enumerate(sets)]
+    sketches = spark.createDataFrame(rows, "row long, n long, sketch binary")
+    labelled = spark.createDataFrame([(7, at, at) for at in range(len(sets))], "shingle long, row long, component long")
+    short = J.short_sketches(sketches)
+    assert max(len(row["sketch"]) for row in short.collect()) * J.SKETCH_BITS == max(len(sketch) for _, _, sketch in rows)
+    members = J.promising(labelled, short)
+    assert sorted(row["row"] for row in members.collect()) == [0, 40]
+    for spanning in (False, True):
+        found = J.crossing_pairs(labelled.join(members, ["shingle", "row"]), sketches, spanning).collect()
+        assert [tuple(row) for row in found] == [tuple(row) for row in J.crossing_pairs(labelled, sketches, spanning).collect()] == [(0, 40)]
+
+
+def test_ends_name_every_row_of_a_pair():
+    random = np.random.default_rng(6)
+    base = random.integers(0, 2**63, 200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[random.permutation(200)[:keep]], random.integers(0, 2**63, 200 - keep, dtype=np.uint64)])) for keep in random.integers(100, 200, 1500)]
+    side = lambda at: (at, at % 400, np.array([len(sets[k]) for k in at]), [J.sketch(sets[k]) for k in at])
+    one, two = side(np.arange(0, 1500, 2)), side(np.arange(1, 1500, 2))
+    for other in (None, two):
+        rows = [{int(x) for pair in J._crossing(one, other, ends=ends) for part in pair for x in part} for ends in (False, True)]
+        assert rows[0] == rows[1] and 0 < len(rows[0]) < 1500
+
+
+def test_common_shingles_are_counted_in_tasks(spark, monkeypatch):
+    # The driver takes no text apart.
+    monkeypatch.setattr(J, "Counter", None, raising=False)
+    docs = spark.createDataFrame([(f"a b c d e f {at % 3}",) for at in range(9)] + [(None,), ("",)], "text string")
+    known, met = J.common_shingles(docs, 3)
+    counts = {}
+    for at in range(9):
+        for h in np.unique(J.shingles(f"a b c d e f {at % 3}", 3)).tolist():
+            counts[h] = counts.get(h, 0) + 1
+    assert known.tolist() == sorted(counts) and met.tolist() == [counts[h] for h in sorted(counts)]
+    assert [len(part) for part in J.common_shingles(docs.limit(0), 3)] == [0, 0]

@@ -143,3 +143,17 @@ def test_edge_cases(spark, edge, none, model):
     assert len(T.score_documents(spark, edge, labels.where("false")).collect()) == len(EDGE_TEXTS)
     kept = T.reject(spark, edge, model)
     assert kept.columns == edge.columns and kept.count() == edge.count()
+
+
+def test_n_grams_are_added_up_by_parts_of_the_words(monkeypatch):
+    texts = ["one two three -- four", "", "five six one !!! seven eight", "nine"]
+    whole = T._Fit(texts)
+    monkeypatch.setattr(T, "WORDS_AT_ONCE", 2)
+    parts = T._Fit(texts)
+    for name in ("count", "first", "bucket"):
+        assert np.array_equal(getattr(whole, name), getattr(parts, name))
+    assert np.array_equal(whole.values(), parts.values())
+    words = [word for text in texts for word in text.split()]
+    words = list(dict.fromkeys(words))
+    assert np.allclose(parts.values(), T.word_values(words, parts.vectors @ (parts.weights[:, 1] - parts.weights[:, 0])))
+    assert not len(T._Fit([""]).values())
