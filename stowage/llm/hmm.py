@@ -105,17 +105,17 @@ class Symbols:
 
 
 class Numbers(dict):
-    """Word to symbol; a word that is not frequent is classed once and remembered, up to a bound."""
+    """Word to symbol. A word that is not frequent is looked up by its length and last byte; it is not remembered, as most
+    such words are met once or twice and a dictionary of all of them fits no cache."""
 
     def __init__(self, symbols: Symbols):
         super().__init__(symbols.number)
-        self.symbols = symbols
+        lengths = [bytes(length) for length in range(_LENGTHS)]
+        self.classes = [[symbols.of_class(word + bytes([last])) for last in range(256)] for word in [b"", *lengths]]
 
     def __missing__(self, word: bytes) -> int:
-        found = self.symbols.of_class(word)
-        if len(self) < 400_000:
-            self[word] = found
-        return found
+        length = len(word)
+        return self.classes[length if length < _LENGTHS else _LENGTHS][word[-1]]
 
 
 @dataclass
@@ -156,23 +156,49 @@ def ragged(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return flat, reach, order
 
 
-def forward(model: Model, flat: np.ndarray, reach: np.ndarray, keep: bool = False):
-    """Log10 likelihood of each sequence, in the order of ``ragged``; with ``keep`` also the scaled states by step."""
-    emitted = model.emit[flat]
-    scales = np.empty(len(flat), dtype=emitted.dtype)
-    kept = np.empty_like(emitted) if keep else None
-    ones = np.ones(emitted.shape[1], dtype=emitted.dtype)
+class Room:
+    """Arrays that a task uses again for each batch, as pages that are new to a process take as long as the work in them."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def array(self, name: str, rows: int, *shape: int, dtype=np.float64) -> np.ndarray:
+        held = self.held.get(name)
+        if held is None or len(held) < rows or held.shape[1:] != shape or held.dtype != dtype:
+            held = self.held[name] = np.empty((rows, *shape), dtype=dtype)
+        return held[:rows]
+
+
+def forward(model: Model, flat: np.ndarray, reach: np.ndarray, keep: bool = False, room: Room | None = None):
+    """Log10 likelihood of each sequence, in the order of ``ragged``; with ``keep`` also the scaled states by step. What is
+    returned may be overwritten by the next call with the same ``room``."""
+    room = room or Room()
+    states, kind = model.emit.shape[1], model.emit.dtype
+    emitted = np.take(model.emit, flat, axis=0, out=room.array("emitted", len(flat), states, dtype=kind), mode="clip")
+    scales = room.array("scales", len(flat), dtype=kind)
+    steps = reach.tolist()
+    # Without ``keep`` two steps are held, by turns.
+    rows = len(flat) if keep else 2 * steps[0]
+    kept = room.array("kept", rows, states, dtype=kind)
+    ones = np.ones(states, dtype=kind)
+    move, matmul, multiply, divide = model.move, np.matmul, np.multiply, np.divide
     at = 0
     state = None
-    for n in reach.tolist():
-        moved = model.start if state is None else state[:n] @ model.move
-        state = np.multiply(moved, emitted[at : at + n], out=kept[at : at + n] if keep else None)
-        scale = np.matmul(state, ones, out=scales[at : at + n])
-        state /= scale[:, None]
-        at += n
+    for step, n in enumerate(steps):
+        end = at + n
+        first = at if keep else step % 2 * steps[0]
+        here = kept[first : first + n]
+        if state is None:
+            multiply(model.start, emitted[:n], out=here)
+        else:
+            matmul(state[:n], move, out=here)
+            multiply(here, emitted[at:end], out=here)
+        scale = matmul(here, ones, out=scales[at:end])
+        divide(here, scale[:, None], out=here)
+        state, at = here, end
     # Added up step by step, so that nothing is numbered.
-    logs, total, at = np.log10(scales, dtype=np.float64), np.zeros(int(reach[0])), 0
-    for n in reach.tolist():
+    logs, total, at = np.log10(scales, out=room.array("logs", len(flat)), dtype=np.float64), np.zeros(steps[0]), 0
+    for n in steps:
         total[:n] += logs[at : at + n]
         at += n
     return total, emitted, scales, kept
@@ -184,32 +210,46 @@ def expect(model: Model, sequences: list[np.ndarray], sums: Sums) -> None:
     expect_ragged(model, flat, reach, sums)
 
 
-def expect_ragged(model: Model, flat: np.ndarray, reach: np.ndarray, sums: Sums) -> None:
+# Tokens whose posteriors are turned to columns at once, and added up by symbol.
+COUNTED_TOKENS = 1 << 16
+
+
+def expect_ragged(model: Model, flat: np.ndarray, reach: np.ndarray, sums: Sums, room: Room | None = None) -> None:
     """``expect`` for sequences that stand side by side already. What is ahead becomes the posterior step by step."""
-    likelihoods, emitted, scales, ahead = forward(model, flat, reach, keep=True)
+    room = room or Room()
+    likelihoods, emitted, scales, ahead = forward(model, flat, reach, keep=True, room=room)
     sums.likelihood += float(likelihoods.sum())
-    ends = np.cumsum(reach)
+    steps, states, kind = reach.tolist(), ahead.shape[1], ahead.dtype
     emitted /= scales[:, None]
     back_move = np.ascontiguousarray(model.move.T)
-    pairs = np.zeros(model.move.shape)
+    # What pairs of states have in common at each step, of which the first has none before it.
+    pairs = room.array("pairs", len(steps), states, states, dtype=kind)
+    pairs[0] = 0
     # Sequences that end at a step begin their backward recursion there, at one.
-    back = np.ones((int(reach[0]), ahead.shape[1]), dtype=ahead.dtype)
-    for step in range(len(reach) - 1, -1, -1):
-        n, end = int(reach[step]), int(ends[step])
-        here = slice(end - n, end)
-        if step:
-            weighted = emitted[here]
-            weighted *= back[:n]
-            first = end - n - int(reach[step - 1])
-            pairs += ahead[first : first + n].T @ weighted
-            ahead[here] *= back[:n]
-            np.matmul(weighted, back_move, out=back[:n])
-        else:
-            ahead[here] *= back[:n]
-    sums.move += model.move * pairs
-    sums.start += ahead[: reach[0]].sum(axis=0, dtype=np.float64)
-    for state in range(ahead.shape[1]):
-        sums.emit[:, state] += np.bincount(flat, weights=np.ascontiguousarray(ahead[:, state], dtype=np.float64), minlength=len(sums.emit))
+    back = room.array("back", steps[0], states, dtype=kind)
+    back.fill(1)
+    matmul, multiply = np.matmul, np.multiply
+    end = len(flat)
+    for step in range(len(steps) - 1, 0, -1):
+        n = steps[step]
+        first = end - n
+        before = first - steps[step - 1]
+        weighted, behind, here = emitted[first:end], back[:n], ahead[first:end]
+        multiply(weighted, behind, out=weighted)
+        matmul(ahead[before : before + n].T, weighted, out=pairs[step])
+        multiply(here, behind, out=here)
+        matmul(weighted, back_move, out=behind)
+        end = first
+    ahead[:end] *= back
+    sums.move += model.move * pairs.sum(axis=0, dtype=np.float64)
+    sums.start += ahead[:end].sum(axis=0, dtype=np.float64)
+    for first in range(0, len(flat), COUNTED_TOKENS):
+        part = ahead[first : first + COUNTED_TOKENS]
+        columns = room.array("columns", states, COUNTED_TOKENS)[:, : len(part)]
+        columns[:] = part.T
+        symbols = flat[first : first + COUNTED_TOKENS].astype(np.intp)
+        for state in range(states):
+            sums.emit[:, state] += np.bincount(symbols, weights=columns[state], minlength=len(sums.emit))
 
 
 def sequences_of(batches: Iterator[pa.RecordBatch], numbers: Numbers) -> Iterator[tuple[pa.Array, list, list]]:
@@ -277,10 +317,10 @@ def baum_welch(stored: DataFrame, symbols: Symbols, model: Model) -> Sums:
         size, model = shared.value
         # States are scaled to one at every step, so half the digits do inside; counts are added up with all of them.
         model = Model(*(part.astype(np.float32) for part in (model.start, model.move, model.emit)))
-        sums = Sums(states, size)
+        sums, room = Sums(states, size), Room()
         for batch in batches:
             for flat, reach in zip(batch["symbols"], batch["reach"]):
-                expect_ragged(model, np.frombuffer(flat.as_buffer(), dtype=kind), np.frombuffer(reach.as_buffer(), dtype="<i4"), sums)
+                expect_ragged(model, np.frombuffer(flat.as_buffer(), dtype=kind), np.frombuffer(reach.as_buffer(), dtype="<i4"), sums, room)
         # The rows after the symbols are the transitions, then the starts, and the last one begins with the likelihood.
         every = np.concatenate([sums.emit, sums.move, sums.start[None, :], sums.likelihood * np.eye(1, len(model.start))])
         (seen,) = np.nonzero(every.any(axis=1))
@@ -358,11 +398,11 @@ def score_documents(
         first_class = 1 + len(symbols.words)
         logs = np.concatenate([[0.0], [logs_of[w] for w in symbols.words], np.zeros(CLASSES)])
         inside = np.concatenate([np.zeros(first_class), within])
-        row_id = TaskContext.get().partitionId() << 40
+        row_id, room = TaskContext.get().partitionId() << 40, Room()
         for doc_ids, words, sequences in sequences_of(batches, numbers):
             flat, reach, order = ragged(sequences)
             chance = np.empty(len(sequences))
-            chance[order] = forward(model, flat, reach)[0]
+            chance[order] = forward(model, flat, reach, room=room)[0]
             base, scores, n_known, rare_words, rare_times, n_rare = [], [], [], [], [], []
             for one, sequence, likelihood in zip(words, sequences, chance.tolist()):
                 classed = Counter([one[i] for i in np.flatnonzero(sequence >= first_class).tolist()])

@@ -133,3 +133,28 @@ def test_every_pass_sees_all_documents(spark, monkeypatch):
         model = want.model(unigrams)
     assert last <= H.GAIN * abs(now) and len(passes) > 2
     assert np.allclose(found.emit, model.emit) and np.allclose(found.move, model.move) and np.allclose(found.start, model.start)
+
+
+def test_arrays_that_are_used_again_change_nothing():
+    random = np.random.default_rng(4)
+    batches = [[random.integers(0, 30, n) for n in random.integers(1, most, size)] for most, size in ((40, 50), (300, 6), (5, 90), (40, 50))]
+    model = H.Model(np.full(3, 1 / 3), random.dirichlet(np.ones(3), 3), random.dirichlet(np.ones(30), 3).T.copy())
+    room, again, fresh = H.Room(), H.Sums(3, 30), H.Sums(3, 30)
+    for batch in batches:
+        flat, reach, _ = H.ragged(batch)
+        H.expect_ragged(model, flat, reach, again, room)
+        H.expect_ragged(model, flat, reach, fresh)
+        # Without what is ahead two steps are held, and the likelihoods are the same.
+        kept = H.forward(model, flat, reach, keep=True)[0]
+        assert np.array_equal(H.forward(model, flat, reach, room=room)[0], kept)
+    for name in ("emit", "move", "start", "likelihood"):
+        assert np.array_equal(getattr(again, name), getattr(fresh, name))
+    assert np.isclose(again.emit.sum(), sum(len(s) for batch in batches for s in batch))
+
+
+def test_rare_words_are_looked_up_and_not_remembered():
+    symbols = H.Symbols([b"the", b"of"])
+    numbers = H.Numbers(symbols)
+    words = [b"q" * n + bytes([last]) for n in range(20) for last in range(256)]
+    assert [numbers[word] for word in words] == [symbols.of_class(word) for word in words]
+    assert numbers[b"the"] == 1 and numbers[b"of"] == 2 and len(numbers) == 2
