@@ -34,6 +34,8 @@ SEED = 11
 SMOOTH = 0.01
 # Tokens whose states are held at once in a task, and distinct words a task counts before it passes them on.
 BATCH_TOKENS = 500_000
+# Sequences side by side, about, below which a stored batch goes on up to twice as many tokens, as each step has a cost.
+WIDE = 512
 COUNTED = 300_000
 
 # Bytes of a word that counts and broadcasts hold.
@@ -280,7 +282,8 @@ def store_symbols(docs: DataFrame, symbols: Symbols) -> DataFrame:
             first = n_held = 0
             for at, sequence in enumerate(held):
                 n_held += len(sequence)
-                if n_held >= BATCH_TOKENS or at + 1 == len(held):
+                wide = n_held >= min(WIDE * len(sequence), 2 * BATCH_TOKENS)
+                if n_held >= BATCH_TOKENS and wide or at + 1 == len(held):
                     flat, reach, _ = ragged(held[first : at + 1])
                     raw = [flat.astype(kind).tobytes(), reach.astype("<i4").tobytes()]
                     yield pa.RecordBatch.from_arrays([pa.array([one], pa.binary()) for one in raw], ["symbols", "reach"])
@@ -408,7 +411,7 @@ def score_documents(
                 classed = Counter([one[i] for i in np.flatnonzero(sequence >= first_class).tolist()])
                 found = [(logs_of.get(word), times) for word, times in classed.items()]
                 log = sum(value * times for value, times in found if value is not None)
-                rare = [(word, times) for word, times in classed.items() if word not in logs_of]
+                rare = [at for at, (value, _) in zip(classed.items(), found) if value is None]
                 rare_words += [word for word, _ in rare]
                 rare_times += [times for _, times in rare]
                 n_rare.append(len(rare))

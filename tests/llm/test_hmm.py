@@ -158,3 +158,16 @@ def test_rare_words_are_looked_up_and_not_remembered():
     words = [b"q" * n + bytes([last]) for n in range(20) for last in range(256)]
     assert [numbers[word] for word in words] == [symbols.of_class(word) for word in words]
     assert numbers[b"the"] == 1 and numbers[b"of"] == 2 and len(numbers) == 2
+
+
+def test_long_texts_are_stored_side_by_side(spark, monkeypatch):
+    # Batches of few long texts hold up to twice the tokens, and all symbols are stored once.
+    monkeypatch.setattr(H, "BATCH_TOKENS", 1000)
+    monkeypatch.setattr(H, "WIDE", 16)
+    lengths = [9] * 300 + [199] * 20
+    docs = spark.createDataFrame([("w " * n,) for n in lengths], "text string").coalesce(1)
+    rows = H.store_symbols(docs, H.Symbols([b"w"])).collect()
+    held = sorted((np.frombuffer(row["reach"], dtype="<i4").tolist() for row in rows), key=len)
+    assert [sum(reach) for reach in held if len(reach) == 10] == [1000, 1000, 1000]
+    assert [sum(reach) for reach in held if len(reach) == 200] == [2000, 2000]
+    assert sum(map(sum, held)) == sum(n + 1 for n in lengths)
