@@ -25,7 +25,7 @@ from stowage.operators.events import (
     resolve_events,
 )
 from stowage.schema import INBOX
-from stowage.session import child_numbers, remove_folder
+from stowage.session import child_numbers, remove_folder, written
 from stowage.sources.tables import KEY_PARTS, PART, key_part
 
 APPLY = "apply_batch"
@@ -55,13 +55,9 @@ def process_events(
     Events are resolved once, and coalesced once, for all that is made of them inside the ``with`` block.
     """
     pending = events.where("state = 'pending'")
-    resolved = resolve_events(pending, buckets, objects, unified).select(*RESOLVED).persist()
-    coalesced = coalesce_mutations(resolved).persist()
-    try:
-        yield batch_mutations(coalesced, size), event_outcomes(resolved)
-    finally:
-        coalesced.unpersist()
-        resolved.unpersist()
+    with written(resolve_events(pending, buckets, objects, unified).select(*RESOLVED)) as resolved:
+        with written(coalesce_mutations(resolved)) as coalesced:
+            yield batch_mutations(coalesced, size), event_outcomes(resolved)
 
 
 def stream_apply(
@@ -83,9 +79,8 @@ def stream_apply(
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*READ).persist()
-        spark = rows.sparkSession
-        try:
+        spark = batch.sparkSession
+        with written(batch.select(*READ)) as rows:
             state = read_state(spark, output, batch_id - 1)
             keys = rows.select("bucket_id", F.col("object_key").alias("key")).distinct()
             # At most KEY_PARTS numbers.
@@ -101,8 +96,6 @@ def stream_apply(
                 placed.write.mode("overwrite").partitionBy(PART).parquet(f"{output}/mutations/{APPLY}={batch_id}")
                 outcomes.write.mode("overwrite").parquet(f"{output}/outcomes/{APPLY}={batch_id}")
             write_state(spark, output, state, batch_id)
-        finally:
-            rows.unpersist()
 
     create_output(events.sparkSession, output)
     writer = events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stowage.operators.events import append_events, first_per_key, to_stored, unseen
 from stowage.schema import INBOX, INGEST, STORED_EVENT
-from stowage.session import child_numbers, remove_folder
+from stowage.session import child_numbers, remove_folder, written
 from stowage.sources.notifications import accepted, parse_notifications, rejects
 
 # Parts of the store by a hash of the dedupe key. A batch reads the parts that its keys fall into.
@@ -83,13 +83,15 @@ def _read_waiting(spark: SparkSession, waiting: str, last: tuple[int, int] | Non
 
 def _deliver(rows: DataFrame, number: int, inbox: str, dead: str, waiting: str | None, transport: str, parse: Parse, most: int) -> None:
     """Parse, dedupe and store ``rows`` (…, delivery) as the batch folder ``number``."""
-    parsed = parse(rows).persist()
-    unique = first_per_key(to_stored(accepted(parsed, ("bucket_id", "received_at")), transport)).persist()
-    try:
+    parsed = parse(rows)
+    # The body is of use where it could not be read.
+    body = F.when(F.col("error").isNotNull(), F.col("body")).alias("body")
+    with written(parsed.select("bucket_id", body, "received_at", "delivery", "events", "error")) as parsed:
+        incoming = to_stored(accepted(parsed, ("bucket_id", "received_at")), transport)
         # At most KEY_PARTS numbers.
-        parts = [row[0] for row in unique.select(key_part(F.col("dedupe_key"))).distinct().collect()]
+        parts = [row[0] for row in incoming.select(key_part(F.col("dedupe_key"))).distinct().collect()]
         earlier = stored_keys(rows.sparkSession, inbox, parts, number)
-        fresh = unseen(earlier, unique).select(*STORED_EVENT.fieldNames(), key_part(F.col("dedupe_key")).alias(PART))
+        fresh = unseen(earlier, first_per_key(incoming)).select(*STORED_EVENT.fieldNames(), key_part(F.col("dedupe_key")).alias(PART))
         # A part of a batch is one file.
         fresh.repartition(PART).write.mode("overwrite").partitionBy(PART).parquet(f"{inbox}/{INGEST}={number}")
         bad = rejects(parsed)
@@ -97,9 +99,6 @@ def _deliver(rows: DataFrame, number: int, inbox: str, dead: str, waiting: str |
         bad.where(done).select(*NOTIFICATION, "error").write.mode("overwrite").parquet(f"{dead}/{INGEST}={number}")
         if waiting:
             bad.where(~done).select(*NOTIFICATION, "delivery", "error").write.mode("overwrite").parquet(waiting)
-    finally:
-        unique.unpersist()
-        parsed.unpersist()
 
 
 def store_batch(

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 from datetime import datetime, timedelta, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from stowage import session
 from stowage.operators.events import coalesce_mutations, known_objects, resolve_events
 from stowage.schema import STORED_EVENT
 from stowage.session import child_numbers
@@ -236,3 +238,33 @@ def test_events_are_resolved_once_for_all_outputs(spark):
         assert len(mutations.collect()) == 7 and len(outcomes.collect()) == 40
         # Once as events and once as the imports before them.
         assert passed.value == 2 * len(rows)
+
+
+def test_a_batch_holds_no_rows_in_memory_and_leaves_no_files(spark, catalog, bucket, tmp_path, monkeypatch):
+    """What a batch uses more than once is in files of the shared folder that go with it."""
+    held, shared = [], session.shared_dir(spark)
+
+    def looking(module, name):
+        real = getattr(module, name)
+
+        def look(*args, **kwargs):
+            files = [f for f in Path(shared).glob("batch-*") if f.name not in before]
+            held.append((name, spark.sparkContext._jsc.getPersistentRDDs().size(), len(files)))
+            return real(*args, **kwargs)
+
+        monkeypatch.setattr(module, name, look)
+
+    before = {f.name for f in Path(shared).glob("batch-*")}
+    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+    looking(I, "rejects")
+    looking(A, "write_state")
+    inbox, dead, waiting = (str(tmp_path / n) for n in ("inbox", "dead", "waiting"))
+    I.create_inbox(spark, inbox)
+    I.store_batch(notes(spark, [body("a"), body("a"), body("b"), "bad", None]), 0, inbox, dead, waiting=waiting)
+    applied(spark, catalog, bucket, tmp_path, history(1))
+    # Of the second, what was resolved is gone when the state is written, and the events are still there.
+    assert held == [("rejects", cached, 1), ("write_state", cached, 1)]
+    assert {f.name for f in Path(shared).glob("batch-*")} == before
+    assert sorted(r.object_key for r in I.read_inbox(spark, inbox).collect()) == ["a", "b"]
+    left = spark.read.parquet(f"{waiting}/ingest_batch=0/{I.AGAIN}=0").collect()
+    assert sorted((r.bucket_id, r.body or "", r.delivery) for r in left) == [("b", "", 1), ("b", "bad", 1)]
