@@ -147,6 +147,41 @@ def test_prefix_tables(spark, objects, texts):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("count", [0, 1, 15, 16, 17, 255, 256, 257, 4097])
+def test_slots_of_any_number_of_bounds(spark, count):
+    numbers = [n * 1.5 for n in range(count)]
+    bounds = P.Bounds(numbers)
+    asked = sorted({x for at in (0, 1, 14, 15, 16, 17, 255, 256, 272, 4095, 4096, count - 1, count) for x in (at * 1.5, at * 1.5 - 0.5)}) + [None, 1e9]
+    got = spark.createDataFrame([(x,) for x in asked], "x double").select("x", bounds.slot(F.col("x")).alias("slot")).collect()
+    for row in got:
+        below = sum(n < row.x for n in numbers) if row.x is not None else 0
+        assert row.slot == 2 * below + (row.x in numbers)
+
+
+def test_a_lookup_compares_with_few_bounds(spark):
+    """The constants that a lookup goes through are short but for the last, of which it sees one step."""
+    sizes = lambda n: spark.range(1).select(F.transform(P.Bounds([float(x) for x in range(n)]).steps, F.size)).first()[0]
+    assert sizes(20_000) == [4, 78, 1250, 20_000] and sizes(16) == [16] and sizes(0) == [0]
+
+
+def test_many_predicates_are_many_tasks(spark, objects, monkeypatch):
+    """However little text they are."""
+    tasks = []
+
+    def cut(df, real=P.cut_lineage):
+        if "node" in df.columns and "collection_id" in df.columns:
+            tasks.append(df.rdd.getNumPartitions())
+        return real(df)
+
+    monkeypatch.setattr(P, "cut_lineage", cut)
+    monkeypatch.setattr(P, "PREDICATES", 10)
+    predicates = [(f"c{n}", [Term("upstream.size", ">=", n), Term("upstream.size", "<", n + 20)]) for n in range(45)]
+    got = indexed_members(objects, terms_table(spark, predicates), TYPES).groupBy("collection_id").count().collect()
+    size = objects.selectExpr("try_variant_get(attributes, '$.upstream.size', 'bigint') AS n").collect()
+    want = {name: sum(r.n is not None and low <= r.n < low + 20 for r in size) for low, name in ((n, f"c{n}") for n in range(45))}
+    assert tasks == [5] and {r.collection_id: r["count"] for r in got} == {name: n for name, n in want.items() if n}
+
+
 def test_scope_tables(spark, objects):
     buckets = spark.createDataFrame([("b1",), ("b3",), ("b3",)], "bucket_id string")
     got = in_scope(objects, buckets, prefixes_of(spark, ["p0/", "p1/q1"])).select("id").collect()
